@@ -145,3 +145,28 @@ def episode_state_delta(df: DataFrame, tl: Timeline, sensors: list[str], normal=
     return (out.filter(F.col("before").isNotNull() & F.col("after").isNotNull()
                        & (F.col("before") != F.col("after")))
                .withColumn("delta", F.col("after") - F.col("before")))
+
+
+def union_runs(dfs: list[DataFrame]) -> DataFrame:
+    """UNION ALL by name over runs with drifting schemas; columns missing in a
+    run become null, column order = first-seen union (O3 / P6)."""
+    order: list[str] = []
+    for d in dfs:
+        order += [c for c in d.columns if c not in order]
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d, allowMissingColumns=True)
+    return out.select(*order)
+
+
+def schema_diff(columns_by_run: dict, reference=None) -> list[tuple]:
+    """Extra / missing columns of each run against the reference run.
+    Works on column lists only (driver-side metadata, no data is read)."""
+    runs = list(columns_by_run)
+    ref = reference if reference is not None else runs[0]
+    base = set(columns_by_run[ref])
+    out = []
+    for r in runs:
+        cols = set(columns_by_run[r])
+        out.append((r, sorted(cols - base), sorted(base - cols)))
+    return out
