@@ -76,8 +76,8 @@ def remove_boundary_leakage(df: DataFrame, tl: Timeline, window_s: float) -> Dat
     t = F.col(tl.t)
     tt = F.when(changed(tl.label, tl), t)
     out = (df.withColumn("_tt", tt)
-             .withColumn("_prev_t", F.last("_tt", ignorenulls=True).over(tl.prefix()))
-             .withColumn("_next_t", F.first("_tt", ignorenulls=True).over(tl.suffix())))
+             .withColumn("_prev_t", tl.prev_non_null("_tt"))
+             .withColumn("_next_t", tl.next_non_null("_tt")))
     near = ((t - F.col("_prev_t")) <= window_s) | ((F.col("_next_t") - t) <= window_s)
     return out.filter(~F.coalesce(near, F.lit(False))).drop("_tt", "_prev_t", "_next_t")
 

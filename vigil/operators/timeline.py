@@ -40,8 +40,23 @@ class Timeline:
     def prefix(self, inclusive: bool = True) -> WindowSpec:
         return self.rows(Window.unboundedPreceding, 0 if inclusive else -1)
 
-    def suffix(self, inclusive: bool = True) -> WindowSpec:
-        return self.rows(0 if inclusive else 1, Window.unboundedFollowing)
+    def reversed_prefix(self, inclusive: bool = True) -> WindowSpec:
+        """Rows from the end of the run back to the current row, walked in
+        reverse order.  ``last(x, ignorenulls)`` over it equals
+        ``first(x, ignorenulls)`` over ``rows(0, unboundedFollowing)`` but is
+        evaluated incrementally: Spark recomputes an unbounded-following frame
+        for every row (quadratic in the run length)."""
+        desc = [F.col(o).desc() for o in self.order]
+        return (Window.partitionBy(*self.run_cols).orderBy(*desc)
+                .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+
+    def next_non_null(self, x, inclusive: bool = True) -> Column:
+        """Nearest non-null ``x`` at (or after) the current row."""
+        return F.last(x, ignorenulls=True).over(self.reversed_prefix(inclusive))
+
+    def prev_non_null(self, x, inclusive: bool = True) -> Column:
+        """Nearest non-null ``x`` at (or before) the current row."""
+        return F.last(x, ignorenulls=True).over(self.prefix(inclusive))
 
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.run_cols)
