@@ -235,7 +235,7 @@ def q_stratified_split(spark, sf):
 
 
 @register("stratified_sample", f"""WITH {EV}, g AS (SELECT label, count(*) AS n FROM ev GROUP BY label)
-SELECT label, CAST(round(n * 1500 / sum(n) OVER ()) AS BIGINT) AS n_sampled FROM g""")
+SELECT label, CAST(least(n, round(n * 1500 / sum(n) OVER ())) AS BIGINT) AS n_sampled FROM g""")
 def q_stratified_sample(spark, sf):
     x = SP.stratified_sample(events(spark, sf).select("event_id", "label"), "label", ["event_id"], 1500)
     return x.groupBy("label").agg(F.count(F.lit(1)).alias("n_sampled"))
