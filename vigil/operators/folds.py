@@ -33,24 +33,37 @@ def _greedy_cooldown(t: np.ndarray, cooldown: float) -> np.ndarray:
 
 def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldown: float,
                 out: str = "fired") -> DataFrame:
-    """Adds boolean ``out``: greedy cooldown per ``keys`` in ``order``."""
+    """Adds boolean ``out``: greedy cooldown per ``keys`` in ``order``.
+
+    Bursts (split at gaps >= cooldown) are independent, so they are hashed
+    across partitions by (keys, burst), sorted inside each partition and
+    scanned by one Arrow-batched ``mapInPandas`` call per partition: no
+    per-group Python call, and a hot key's bursts spread over many tasks.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
     gap = F.col(t) - F.lag(t).over(w)
     x = df.withColumn("_start", (gap.isNull() | (gap >= cooldown)).cast("int"))
     x = x.withColumn("_burst", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumn("_bn", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_burst")))
-    single = x.filter(F.col("_bn") == 1).withColumn(out, F.lit(True))
-    multi = x.filter(F.col("_bn") > 1)
-    schema = T.StructType(multi.schema.fields + [T.StructField(out, T.BooleanType(), False)])
-    cols = multi.columns
+    x = x.repartition(*[F.col(k) for k in keys], F.col("_burst")).sortWithinPartitions(*keys, "_burst", *order)
+    schema = T.StructType(x.schema.fields + [T.StructField(out, T.BooleanType(), False)])
+    group_cols = list(keys) + ["_burst"]
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        pdf[out] = _greedy_cooldown(pdf[t].to_numpy(dtype=float), cooldown)
-        return pdf[cols + [out]]
+    def scan(batches):
+        prev_key, last = None, -np.inf
+        for pdf in batches:
+            tv = pdf[t].to_numpy(dtype=float)
+            kv = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            fired = np.zeros(len(pdf), dtype=bool)
+            for i in range(len(pdf)):
+                if kv[i] != prev_key:
+                    prev_key, last = kv[i], -np.inf
+                if tv[i] - last >= cooldown:
+                    fired[i] = True
+                    last = tv[i]
+            pdf[out] = fired
+            yield pdf
 
-    fired = multi.groupBy(*keys, "_burst").applyInPandas(scan, schema)
-    return single.unionByName(fired).drop("_start", "_burst", "_bn")
+    return x.mapInPandas(scan, schema).drop("_start", "_burst")
 
 
 def last_valid_rule_check(df: DataFrame, keys: list[str], order: list[str], x: str,
