@@ -162,20 +162,48 @@ def add_shifted(df: DataFrame, tl: Timeline, sensors: list[str], n: int = 50) ->
 
 
 def family_b(df: DataFrame, tl: Timeline, sensors: list[str], windows=(10, 25, 50),
-             keep: list[str] | None = None, roc: int = 50) -> DataFrame:
-    """All family-B features, then the per-run ffill->bfill->0 sweep."""
+             keep: list[str] | None = None, roc: int = 50, chunk_rows: int | None = None,
+             force_chunks: bool | None = None) -> DataFrame:
+    """All family-B features, then the per-run ffill->bfill->0 sweep.
+
+    The windows look back at most max(windows, roc) rows; when a run is longer
+    than a chunk (checked) the run is cut into halo'd chunks and the sweep
+    carries values across chunks (see :mod:`vigil.operators.chunking`).
+    """
+    from vigil.operators import chunking as CH
     keep = keep or df.columns
+    back = max(max(windows), roc)
+    spark = df.sparkSession
+    chunk_rows = max(chunk_rows or CH._conf(spark, CH.CHUNK_ROWS_CONF, CH.DEFAULT_CHUNK_ROWS), 2 * back)
+    use = CH.needs_chunking(df, tl, chunk_rows) if force_chunks is None else force_chunks
+    if use:
+        seqd = CH.add_sequence(df, tl, CH._conf(spark, CH.BUCKET_S_CONF, CH.DEFAULT_BUCKET_S))
+        df, tl = CH.with_halo(seqd, tl, chunk_rows, back, 0)
     df = add_shifted(df, tl, sensors, roc)
     feats: Feats = {}
+    raw_feats: Feats = {}
     for s in sensors:
         feats.update(derivative_dt(s, tl))
         for n in windows:
             feats.update(rolling_partial(s, tl, n))
         feats.update(zscore_n(s, tl))
-        feats.update(roc_n(s, tl, roc, shifted=f"_sh{roc}_{s}"))
-    ctx = list(dict.fromkeys(keep + tl.run_cols + list(tl.order)))
+        raw_feats[f"{s}_roc{roc}"] = F.col(s)
+    ctx = list(dict.fromkeys(keep + tl.run_cols + list(tl.order) + list(sensors)
+                             + [f"_sh{roc}_{s}" for s in sensors]
+                             + (["_halo"] if use else [])))
     raw = build(df, ctx, feats)
-    return raw.select(*keep, *[ffill_bfill_zero(n, tl).alias(n) for n in feats])
+    names = list(feats) + [f"{s}_roc{roc}" for s in sensors]
+    if use:
+        # back fill of the shifted series across chunks, then roc and the sweep
+        raw = CH.fill_across_chunks(raw, tl, [f"_sh{roc}_{s}" for s in sensors], forward=False,
+                                    backward=True, default=None)
+        raw = raw.select("*", *[((F.col(s) - F.col(f"_sh{roc}_{s}")) / roc).alias(f"{s}_roc{roc}")
+                                for s in sensors])
+        swept = CH.fill_across_chunks(raw, tl, names)
+        return swept.filter(~F.col("_halo")).select(*keep, *names)
+    raw = raw.select("*", *[e.alias(n) for s in sensors for n, e in
+                            roc_n(s, tl, roc, shifted=f"_sh{roc}_{s}").items()])
+    return raw.select(*keep, *[ffill_bfill_zero(n, tl).alias(n) for n in names])
 
 
 def baseline_first_normal(df: DataFrame, tl: Timeline, x: str, normal=0) -> DataFrame:

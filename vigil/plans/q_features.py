@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import rnd
+from vigil.operators import chunking as CH
 from vigil.operators import features as X
 from vigil.operators.timeline import Timeline
 from vigil.plans.registry import EV, register
@@ -33,8 +34,10 @@ SELECT event_id, user_id,
   (k - lag(k) OVER w) - (lag(k) OVER w - lag(k, 2) OVER w) AS k_accel
 FROM ev {W}""")
 def q_rate_accel(spark, sf):
-    df = _ev(spark, sf, "value", "k")
-    return X.build(df, ["event_id", "user_id"], X.rate_accel("value", TL), X.rate_accel("k", TL))
+    df = _ev(spark, sf, "t", "value", "k")
+    return CH.chunked(df, TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d), X.rate_accel("value", tl), X.rate_accel("k", tl)), back=2).select(
+        "event_id", "user_id", "value_rate", "value_accel", "k_rate", "k_accel")
 
 
 def _rolling_a_sql():
@@ -51,8 +54,10 @@ def _rolling_a_sql():
 
 @register("rolling_stats_a", _rolling_a_sql())
 def q_rolling_stats_a(spark, sf):
-    df = _ev(spark, sf, "value")
-    out = X.build(df, ["event_id", "user_id"], *[X.rolling_full("value", TL, n) for n in (5, 10, 30)])
+    df = _ev(spark, sf, "t", "value")
+    out = CH.chunked(df, TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d), *[X.rolling_full("value", tl, n) for n in (5, 10, 30)]), back=29)
+    out = out.select("event_id", "user_id", *[f"value_{s}_{n}s" for n in (5, 10, 30) for s in ("mean", "std", "max", "min")])
     out = _round(out, [c for c in out.columns if "_std_" in c], 6)
     return _round(out, [c for c in out.columns if "_mean_" in c], 9)
 
@@ -83,8 +88,10 @@ def _iqr_sql(c):
 SELECT event_id, user_id, {_iqr_sql("value")}, {_iqr_sql("k")}
 FROM ev WINDOW p AS {_frame("30 PRECEDING", "1 PRECEDING")}""")
 def q_iqr_distance(spark, sf):
-    df = _ev(spark, sf, "value", "k")
-    out = X.build(df, ["event_id", "user_id"], X.prior_iqr_distance("value", TL), X.prior_iqr_distance("k", TL))
+    df = _ev(spark, sf, "t", "value", "k")
+    out = CH.chunked(df, TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d), X.prior_iqr_distance("value", tl),
+        X.prior_iqr_distance("k", tl)), back=30).select("event_id", "user_id", "value_outlier_dist", "k_outlier_dist")
     return _round(out, ["value_outlier_dist", "k_outlier_dist"], 6)
 
 
@@ -93,7 +100,9 @@ SELECT event_id, user_id, value / nullif(lag(value) OVER w, 0) - 1 AS value_pct_
   coalesce(CAST(value / nullif(lag(value) OVER w, 0) - 1 > 0.05 AS INTEGER), 0) AS value_spike
 FROM ev {W}""")
 def q_pct_change(spark, sf):
-    return X.build(_ev(spark, sf, "value"), ["event_id", "user_id"], X.pct_change("value", TL))
+    return CH.chunked(_ev(spark, sf, "t", "value"), TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d), X.pct_change("value", tl)), back=1).select(
+        "event_id", "user_id", "value_pct_change", "value_spike")
 
 
 DT = "greatest(coalesce(t - lag(t) OVER w, 0.2), 0.01)"
@@ -177,8 +186,8 @@ LI_TL = LINEITEM_TL
                ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
 WHERE abs(z) > 2.0""")
 def q_zscore_anomalies(spark, sf):
-    li = lineitem(spark, sf).select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
-    out = X.rolling_z_anomalies(li, "l_extendedprice", LI_TL, 100, 2.0)
+    li = lineitem(spark, sf).select("l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate", "t", "l_extendedprice")
+    out = CH.chunked(li, LI_TL, lambda d, tl: X.rolling_z_anomalies(d, "l_extendedprice", tl, 100, 2.0), back=99)
     return out.select("l_suppkey", "l_orderkey", "l_linenumber", rnd("z", 6).alias("z"))
 
 
@@ -217,9 +226,10 @@ SELECT event_id, user_id,
   round(avg(CAST(label <> 0 AS INTEGER)::DOUBLE) OVER q, 9) AS active_duty_10
 FROM ev WINDOW q AS {_frame("9 PRECEDING")}""")
 def q_rolling_corr(spark, sf):
-    df = _ev(spark, sf, "label", "value", "k").withColumn("active", F.col("label") != 0)
-    out = X.build(df, ["event_id", "user_id"], X.rolling_corr("value", "k", TL, 10),
-                  X.duty_cycle("active", TL, 10))
+    df = _ev(spark, sf, "t", "label", "value", "k").withColumn("active", F.col("label") != 0)
+    out = CH.chunked(df, TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d), X.rolling_corr("value", "k", tl, 10),
+        X.duty_cycle("active", tl, 10)), back=9).select("event_id", "user_id", "corr_value_k_10", "active_duty_10")
     return _round(out, ["corr_value_k_10"], 6).select(
         "event_id", "user_id", "corr_value_k_10", rnd("active_duty_10", 9).alias("active_duty_10"))
 
@@ -254,9 +264,12 @@ SELECT event_id, user_id,
   k / nullif(value + 1, 0) AS tank_ratio
 FROM ev {W}""")
 def q_physics_features(spark, sf):
-    df = _ev(spark, sf, "label", "value", "k")
-    return X.build(df, ["event_id", "user_id"],
-                   X.mass_balance("k", "value", TL), X.rising_while_off("value", "label", TL),
-                   X.ratio_plus_one("value", "k", "pressure_flow_ratio"),
-                   X.stage_average(["value", "k", "label"], "stage_avg"),
-                   X.ratio_plus_one("k", "value", "tank_ratio"))
+    df = _ev(spark, sf, "t", "label", "value", "k")
+    out = CH.chunked(df, TL, lambda d, tl: X.build(
+        d, ["event_id", "user_id"] + CH.ctx(d),
+        X.mass_balance("k", "value", tl), X.rising_while_off("value", "label", tl),
+        X.ratio_plus_one("value", "k", "pressure_flow_ratio"),
+        X.stage_average(["value", "k", "label"], "stage_avg"),
+        X.ratio_plus_one("k", "value", "tank_ratio")), back=1)
+    return out.select("event_id", "user_id", "mass_balance_violation", "ph_pump_anomaly",
+                      "pressure_flow_ratio", "stage_avg", "tank_ratio")
