@@ -83,3 +83,35 @@ def attack_registry(spark: SparkSession) -> DataFrame:
 def limits_table(spark: SparkSession, limits: dict) -> DataFrame:
     return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in limits.items()],
                                  "column string, lo double, hi double")
+
+
+# Severity of each raw attack id in the remediation knowledge base.
+ATTACK_SEVERITY = {8: "CRITICAL", 9: "HIGH", 10: "CRITICAL", 11: "HIGH", 12: "MEDIUM",
+                   13: "MEDIUM", 14: "CRITICAL", 15: "HIGH", 16: "HIGH"}
+
+REMEDIATION_SCHEMA = ("attack_id int, severity string, immediate array<string>, "
+                      "investigation array<string>, prevention array<string>")
+
+
+def remediation_table(spark: SparkSession, kb: dict | None = None) -> DataFrame:
+    """Remediation dimension (J1): ``kb = {id: {severity, immediate[],
+    investigation[], prevention[]}}``; defaults to the severities with no
+    advice text.  Advice can also be loaded with :func:`read_remediation`."""
+    kb = kb or {k: {"severity": v} for k, v in ATTACK_SEVERITY.items()}
+    rows = [(int(k), v.get("severity"), v.get("immediate", []), v.get("investigation", []),
+             v.get("prevention", [])) for k, v in kb.items()]
+    return spark.createDataFrame(rows, REMEDIATION_SCHEMA)
+
+
+def read_remediation(spark: SparkSession, path: str) -> DataFrame:
+    """Remediation knowledge base from JSON lines with the schema above."""
+    return spark.read.schema(REMEDIATION_SCHEMA).json(path)
+
+
+def attach_dimension(df: DataFrame, dim_df: DataFrame, key: str, defaults: dict | None = None) -> DataFrame:
+    """Equi left join of a small, fixed-size dimension (broadcast) with
+    defaults for missing keys (J1)."""
+    out = df.join(F.broadcast(dim_df), key, "left")
+    for c, d in (defaults or {}).items():
+        out = out.withColumn(c, F.coalesce(F.col(c), d if isinstance(d, Column) else F.lit(d)))
+    return out

@@ -30,3 +30,94 @@ def q_alert_dedup(spark, sf):
 
 
 _ = rnd
+
+
+# --- dimension joins (J1, J7, P7, P11) and splits / reports (K8, K9) ----------------------
+
+from vigil.functions.dims import ATTACK_REGISTRY, ID_REMAP, attach_dimension, map_lookup  # noqa: E402
+from vigil.operators import labels as L  # noqa: E402
+from vigil.plans.registry import LABEL_NAME_SQL  # noqa: E402
+from vigil.sources.tables import EVENTS_TL, table  # noqa: E402
+
+# Fixed values for the event stream's own remediation dimension (label -> severity, actions).
+EVENT_REMEDIATION = {1: ("LOW", ["verify account"]), 2: ("MEDIUM", ["check payment", "confirm order"]),
+                     3: ("HIGH", ["page on-call", "open incident", "collect logs"])}
+
+
+@register("remediation_join", f"""WITH {EV},
+d AS (SELECT * FROM (VALUES (1, 'LOW', 'verify account'), (2, 'MEDIUM', 'check payment; confirm order'),
+                            (3, 'HIGH', 'page on-call; open incident; collect logs')) AS d(label, severity, actions))
+SELECT event_id, ev.label, {LABEL_NAME_SQL.replace("label", "ev.label")} AS label_name,
+       coalesce(d.severity, 'Unknown') AS severity, coalesce(d.actions, '') AS actions
+FROM ev LEFT JOIN d ON ev.label = d.label""")
+def q_remediation_join(spark, sf):
+    from vigil.sources.tables import EVENT_LABEL_NAMES
+    dim = spark.createDataFrame([(k, s, a) for k, (s, a) in EVENT_REMEDIATION.items()],
+                                "label int, severity string, actions array<string>")
+    ev = events(spark, sf).select("event_id", "label")
+    out = attach_dimension(ev, dim, "label", {"severity": "Unknown"})
+    return out.select("event_id", "label", map_lookup(EVENT_LABEL_NAMES, "label").alias("label_name"),
+                      "severity", F.coalesce(F.array_join("actions", "; "), F.lit("")).alias("actions"))
+
+
+@register("normal_vs_group", f"""WITH {EV}, n AS (SELECT avg(value) AS nv, avg(k) AS nk, stddev_samp(value) AS sv FROM ev WHERE label = 0)
+SELECT label, count(*) AS n_rows, round(avg(value) - nv, 9) AS value_mean_diff, round(avg(k) - nk, 9) AS k_mean_diff,
+       round(stddev_samp(value) / sv, 9) AS value_std_ratio
+FROM ev, n WHERE label <> 0 GROUP BY label, nv, nk, sv""")
+def q_normal_vs_group(spark, sf):
+    ev = events(spark, sf).select("label", "value", "k")
+    normal = ev.filter(F.col("label") == 0).agg(F.avg("value").alias("nv"), F.avg("k").alias("nk"),
+                                                F.stddev_samp("value").alias("sv"))
+    g = ev.filter(F.col("label") != 0).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mv"), F.avg("k").alias("mk"),
+        F.stddev_samp("value").alias("s"))
+    j = g.crossJoin(F.broadcast(normal))  # a single aggregated row: the broadcast size is fixed
+    return j.select("label", "n_rows", rnd(F.col("mv") - F.col("nv"), 9).alias("value_mean_diff"),
+                    rnd(F.col("mk") - F.col("nk"), 9).alias("k_mean_diff"),
+                    rnd(F.col("s") / F.col("sv"), 9).alias("value_std_ratio"))
+
+
+def _map_sql(mapping: dict, key: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} = {k} THEN {v!r}" if isinstance(v, str) else
+                              f"WHEN {key} = {k} THEN {v}" for k, v in mapping.items()) + " END"
+
+
+@register("class_remap", f"""SELECT n_nationkey, {_map_sql(ID_REMAP, "n_nationkey")} AS class_id,
+  {_map_sql(ATTACK_REGISTRY, "n_nationkey").replace("'", "'")} AS attack_name,
+  CAST(n_nationkey > 0 AS INTEGER) AS is_attack FROM nation""")
+def q_class_remap(spark, sf):
+    from vigil.sources.runs import remap_classes
+    n = table(spark, sf, "nation").select("n_nationkey")
+    out = remap_classes(n, "n_nationkey", "class_id")
+    return out.select("n_nationkey", "class_id", map_lookup(ATTACK_REGISTRY, "n_nationkey").alias("attack_name"),
+                      "is_attack")
+
+
+@register("identify_nation", """SELECT s_suppkey, coalesce(n_name, 'Unknown') AS nation_name
+FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def q_identify_nation(spark, sf):
+    from vigil.functions.schema import identify
+    nat = table(spark, sf, "nation").select(F.col("n_nationkey").alias("address"), F.col("n_name").alias("name"))
+    sup = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    return identify(sup, "s_nationkey", nat, "nation_name").select("s_suppkey", "nation_name")
+
+
+@register("split_outputs", f"""WITH {EV}
+SELECT label <> 0 AS is_attack, count(*) AS n_rows, count(DISTINCT user_id) AS n_runs FROM ev GROUP BY 1""")
+def q_split_outputs(spark, sf):
+    ev = events(spark, sf).select("label", "user_id")
+    return ev.groupBy((F.col("label") != 0).alias("is_attack")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("user_id").alias("n_runs"))
+
+
+@register("episode_totals", f"""WITH {EV}, x AS (
+  SELECT *, CASE WHEN lag(label) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> label THEN 1 ELSE 0 END AS chg FROM ev),
+s AS (SELECT *, sum(chg) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seg FROM x),
+e AS (SELECT user_id, seg, min(label) AS label, count(*) AS n_rows,
+             (max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 AS duration_s FROM s GROUP BY user_id, seg)
+SELECT label, count(*) AS episodes, round(sum(duration_s), 6) AS total_duration_s, CAST(sum(n_rows) AS BIGINT) AS total_rows
+FROM e WHERE label <> 0 GROUP BY label""")
+def q_episode_totals(spark, sf):
+    ev = events(spark, sf).select("user_id", "event_id", "ts", "label")
+    tot = L.episode_totals(L.episodes(ev, EVENTS_TL, "ts"), EVENTS_TL)
+    return tot.withColumn("total_duration_s", rnd("total_duration_s", 6))
