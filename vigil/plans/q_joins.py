@@ -121,3 +121,42 @@ def q_episode_totals(spark, sf):
     ev = events(spark, sf).select("user_id", "event_id", "ts", "label")
     tot = L.episode_totals(L.episodes(ev, EVENTS_TL, "ts"), EVENTS_TL)
     return tot.withColumn("total_duration_s", rnd("total_duration_s", 6))
+
+
+# --- neighbours (J9, O9) ------------------------------------------------------------------
+
+KNN_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+p AS (SELECT a.vec_id, b.vec_id AS nid, b.label AS nl, list_distance(a.v, b.v) AS d
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, nid) AS rk FROM p),
+t AS (SELECT * FROM r WHERE rk <= 5),
+z AS (SELECT vec_id, bool_or(d = 0) AS hz, max(d) AS d5 FROM t GROUP BY vec_id),
+w AS (SELECT t.vec_id, nl, sum(CASE WHEN z.hz THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / d END) AS wt
+      FROM t JOIN z ON t.vec_id = z.vec_id GROUP BY t.vec_id, nl),
+v AS (SELECT vec_id, arg_max(nl, (wt, -nl)) AS pred_label FROM w GROUP BY vec_id)
+SELECT e.vec_id, e.label, CAST(v.pred_label AS BIGINT) AS pred_label, round(z.d5, 6) AS nn5_dist
+FROM e JOIN v ON e.vec_id = v.vec_id JOIN z ON e.vec_id = z.vec_id"""
+
+
+@register("knn_vote", KNN_SQL)
+def q_knn_vote(spark, sf):
+    from vigil.operators.neighbors import knn, neighbour_vote
+    emb = table(spark, sf, "embeddings")
+    nn = knn(emb, emb, 5, "vec_id", "embedding", ref_label="label")
+    vote = neighbour_vote(nn.select("vec_id", "nn_dist", "nn_labels"))
+    d5 = nn.select("vec_id", rnd(F.element_at("nn_dist", -1), 6).alias("nn5_dist"))
+    return (emb.select("vec_id", "label").join(vote, "vec_id").join(d5, "vec_id")
+            .select("vec_id", "label", "pred_label", "nn5_dist"))
+
+
+@register("smote_counts", """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT label, CAST(greatest(n, (SELECT max(n) FROM c)) AS BIGINT) AS n_rows,
+       CAST(greatest((SELECT max(n) FROM c) - n, 0) AS BIGINT) AS n_synthetic FROM c""")
+def q_smote_counts(spark, sf):
+    from vigil.operators.neighbors import smote
+    emb = table(spark, sf, "embeddings")
+    counts = emb.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    target = counts.agg(F.max("n")).first()[0]
+    labels = [r.label for r in counts.select("label").collect()]
+    out = smote(emb, "vec_id", "embedding", "label", {c: target for c in labels}, k=3)
+    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("synthetic").alias("n_synthetic"))
