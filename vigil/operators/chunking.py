@@ -50,10 +50,15 @@ def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
 
 
 def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float, out: str = "_seq") -> DataFrame:
-    """0-based position of each row within its run, in ``tl.order``.  ``tl.t``
-    (seconds) must be non-decreasing along ``tl.order``."""
+    """0-based position of each row within its run, in ``tl.order``.  Time
+    buckets come from the leading order column (timestamp -> epoch seconds,
+    numeric as is), which is non-decreasing along the order by definition."""
     runs = tl.run_cols
-    x = df.withColumn("_b", F.floor(F.col(tl.t) / F.lit(bucket_s)).cast("long"))
+    lead = tl.order[0]
+    typ = dict(df.dtypes)[lead]
+    secs = F.unix_micros(F.col(lead).cast("timestamp")) / 1e6 if typ.startswith("timestamp") or typ == "date" \
+        else F.col(lead).cast("double")
+    x = df.withColumn("_b", F.floor(secs / F.lit(bucket_s)).cast("long"))
     cnt = x.groupBy(*runs, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*runs).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
@@ -146,3 +151,62 @@ def fill_across_chunks(df: DataFrame, tl2: Timeline, cols: list[str], forward: b
         exprs.append(F.coalesce(*parts, F.lit(default)).alias(c))
     keep = [c for c in df.columns if c not in cols]
     return out.select(*keep, *exprs)
+
+
+def carry_nearest(df: DataFrame, tl2: Timeline, specs: list[tuple[str, str, str]]) -> DataFrame:
+    """Nearest non-null value across chunks.  ``specs`` = (source column,
+    "prev" | "next", output column); "prev" = at or before the row, "next" =
+    at or after.  Values of halo rows are never used."""
+    runs = [c for c in tl2.run_cols if c != "_chunk"]
+    has_halo = "_halo" in df.columns
+    core = df.filter(~F.col("_halo")) if has_halo else df
+    nn = lambda c: F.when(F.col(c).isNotNull(), F.col("_seq"))
+    aggs = []
+    for src, d, out in specs:
+        f = F.max_by if d == "prev" else F.min_by
+        aggs.append(f(F.col(src), nn(src)).alias(f"_s_{out}"))
+    summ = core.groupBy(*runs, "_chunk").agg(*aggs)
+    wf = Window.partitionBy(*runs).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    wb = Window.partitionBy(*runs).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*runs, "_chunk", *[
+        F.last(f"_s_{out}", ignorenulls=True).over(wf if d == "prev" else wb).alias(f"_c_{out}")
+        for src, d, out in specs])
+    x = df.join(carry, runs + ["_chunk"], "left")
+    for src, d, out in specs:
+        own = F.when(~F.col("_halo"), F.col(src)) if has_halo else F.col(src)
+        local = tl2.prev_non_null(own) if d == "prev" else tl2.next_non_null(own)
+        x = x.withColumn(out, F.coalesce(local, F.col(f"_c_{out}")))
+    return x.drop(*[f"_c_{out}" for _, _, out in specs])
+
+
+def carry_running_sum(df: DataFrame, tl2: Timeline, src: str, out: str) -> DataFrame:
+    """Running sum of ``src`` over the whole run on a chunked frame: local
+    running sum over the chunk's own rows plus the total of earlier chunks."""
+    runs = [c for c in tl2.run_cols if c != "_chunk"]
+    has_halo = "_halo" in df.columns
+    own = F.when(~F.col("_halo"), F.col(src)).otherwise(F.lit(0)) if has_halo else F.col(src)
+    x = df.withColumn("_own", own)
+    summ = x.groupBy(*runs, "_chunk").agg(F.sum("_own").alias("_tot"))
+    wf = Window.partitionBy(*runs).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*runs, "_chunk", F.coalesce(F.sum("_tot").over(wf), F.lit(0)).alias("_carry"))
+    x = x.join(carry, runs + ["_chunk"], "left")
+    return x.withColumn(out, F.sum("_own").over(tl2.prefix()) + F.col("_carry")).drop("_own", "_carry")
+
+
+def plan_chunks(df: DataFrame, tl: Timeline, back: int, fwd: int = 0, chunk_rows: int | None = None,
+                force: bool | None = None):
+    """Decide and prepare: returns (frame, timeline, chunked?)."""
+    spark = df.sparkSession
+    chunk_rows = max(chunk_rows or _conf(spark, CHUNK_ROWS_CONF, DEFAULT_CHUNK_ROWS), 2 * max(back, fwd, 1))
+    use = needs_chunking(df, tl, chunk_rows) if force is None else force
+    if not use:
+        return df, tl, False
+    seqd = add_sequence(df, tl, _conf(spark, BUCKET_S_CONF, DEFAULT_BUCKET_S))
+    wide, tl2 = with_halo(seqd, tl, chunk_rows, back, fwd)
+    return wide, tl2, True
+
+
+def finish(df: DataFrame, chunked_: bool) -> DataFrame:
+    if not chunked_:
+        return df
+    return df.filter(~F.col("_halo")).drop("_halo", "_chunk", "_seq")

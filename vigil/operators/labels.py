@@ -32,18 +32,29 @@ def changed(label: str, tl: Timeline) -> Column:
     return prev.isNotNull() & F.col(label).isNotNull() & (F.col(label) != prev)
 
 
-def transitions(df: DataFrame, tl: Timeline) -> DataFrame:
-    """Rows where the label changes, with the previous label."""
-    return (df.withColumn("prev_label", F.lag(tl.label).over(tl.w()))
-              .filter(F.col("prev_label").isNotNull() & F.col(tl.label).isNotNull()
-                      & (F.col(tl.label) != F.col("prev_label"))))
-
-
-def add_segment_id(df: DataFrame, tl: Timeline, out: str = "segment") -> DataFrame:
-    """Gaps-and-islands id: running count of label changes."""
-    return (df.withColumn("_chg", changed(tl.label, tl).cast("int"))
-              .withColumn(out, F.sum("_chg").over(tl.prefix()))
-              .drop("_chg"))
+def transitions(df: DataFrame, tl: Timeline, force_chunks: bool | None = None) -> DataFrame:
+    """Rows where the label changes, with the previous label.
+    Looks one row back, so long runs are cut into chunks with a 1-row halo."""
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
+    out = (x.withColumn("prev_label", F.lag(tl.label).over(t2.w()))
+             .filter(F.col("prev_label").isNotNull() & F.col(tl.label).isNotNull()
+                     & (F.col(tl.label) != F.col("prev_label"))))
+    return CH.finish(out, ch)
+
+
+def add_segment_id(df: DataFrame, tl: Timeline, out: str = "segment",
+                   force_chunks: bool | None = None) -> DataFrame:
+    """Gaps-and-islands id: running count of label changes (W9).  On long
+    runs: 1-row halo for the change flag, chunk-level totals for the count."""
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
+    x = x.withColumn("_chg", changed(tl.label, t2).cast("int"))
+    if ch:
+        x = CH.carry_running_sum(x, t2, "_chg", out)
+    else:
+        x = x.withColumn(out, F.sum("_chg").over(tl.prefix()))
+    return CH.finish(x.drop("_chg"), ch)
 
 
 def episodes(df: DataFrame, tl: Timeline, ts: str) -> DataFrame:
@@ -64,7 +75,8 @@ def episode_totals(ep: DataFrame, tl: Timeline, normal=0) -> DataFrame:
                    F.sum("n_rows").alias("total_rows")))
 
 
-def remove_boundary_leakage(df: DataFrame, tl: Timeline, window_s: float) -> DataFrame:
+def remove_boundary_leakage(df: DataFrame, tl: Timeline, window_s: float,
+                            force_chunks: bool | None = None) -> DataFrame:
     """Drop rows within ``window_s`` (inclusive) of any label transition of the
     same run (J3).
 
@@ -73,17 +85,21 @@ def remove_boundary_leakage(df: DataFrame, tl: Timeline, window_s: float) -> Dat
     rows x transitions range anti-join; one sort per run serves all three
     window expressions.
     """
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
     t = F.col(tl.t)
-    tt = F.when(changed(tl.label, tl), t)
-    out = (df.withColumn("_tt", tt)
-             .withColumn("_prev_t", tl.prev_non_null("_tt"))
-             .withColumn("_next_t", tl.next_non_null("_tt")))
+    out = x.withColumn("_tt", F.when(changed(tl.label, t2), t))
+    if ch:
+        out = CH.carry_nearest(out, t2, [("_tt", "prev", "_prev_t"), ("_tt", "next", "_next_t")])
+    else:
+        out = out.withColumn("_prev_t", tl.prev_non_null("_tt")).withColumn("_next_t", tl.next_non_null("_tt"))
     near = ((t - F.col("_prev_t")) <= window_s) | ((F.col("_next_t") - t) <= window_s)
-    return out.filter(~F.coalesce(near, F.lit(False))).drop("_tt", "_prev_t", "_next_t")
+    out = out.filter(~F.coalesce(near, F.lit(False))).drop("_tt", "_prev_t", "_next_t")
+    return CH.finish(out, ch)
 
 
 def asof_join(left: DataFrame, right: DataFrame, tl: Timeline, right_cols: list[str],
-              prefix: str = "asof_") -> DataFrame:
+              prefix: str = "asof_", force_chunks: bool | None = None) -> DataFrame:
     """Each left row takes the latest right row of the same run whose time is
     at or before its own (J4).
 
@@ -99,8 +115,14 @@ def asof_join(left: DataFrame, right: DataFrame, tl: Timeline, right_cols: list[
     u = l.unionByName(r, allowMissingColumns=True)
     # right rows sort before left rows at equal time ("at or before")
     w_order = [order[0], "_side"] + order[1:]
-    w = tl.with_(order=tuple(w_order)).prefix()
-    u = u.withColumn("_c", F.last("_p", ignorenulls=True).over(w)).filter(F.col("_side") == 1)
+    tlu = tl.with_(order=tuple(w_order))
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(u, tlu, back=0, force=force_chunks)
+    if ch:
+        x = CH.carry_nearest(x, t2, [("_p", "prev", "_c")])
+    else:
+        x = x.withColumn("_c", F.last("_p", ignorenulls=True).over(tlu.prefix()))
+    u = CH.finish(x, ch).filter(F.col("_side") == 1)
     return u.select(*lcols, *[F.col("_c")[c].alias(prefix + c) for c in right_cols])
 
 
