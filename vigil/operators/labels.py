@@ -3,7 +3,7 @@ as-of and interval labelling, episode tables and before/after deltas."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import micros
@@ -192,3 +192,17 @@ def schema_diff(columns_by_run: dict, reference=None) -> list[tuple]:
         cols = set(columns_by_run[r])
         out.append((r, sorted(cols - base), sorted(base - cols)))
     return out
+
+
+def episode_index(df: DataFrame, tl: Timeline, normal=0, out: str = "sample_index") -> DataFrame:
+    """0-based position of each row inside its (non-normal) episode (W17);
+    episodes are the W9 segments, so the window is per (run, segment)."""
+    seg = add_segment_id(df, tl)
+    w = Window.partitionBy(*tl.run_cols, "segment").orderBy(*tl.order)
+    return seg.filter(F.col(tl.label) != normal).withColumn(out, F.row_number().over(w) - 1)
+
+
+def align_predictions(preds: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
+    """Prediction <-> ground truth by key equality (J6), not by position: a
+    suppressed alert can never shift the pairing."""
+    return truth.join(preds, keys, "left")

@@ -128,3 +128,29 @@ def q_episode_delta(spark, sf):
     ev = events(spark, sf).select("user_id", "event_id", "ts", "label", "value", "k")
     out = L.episode_state_delta(ev, TL, ["value", "k"])
     return out.withColumn("delta", rnd("delta"))
+
+
+@register("episode_index", f"""WITH {EV}, x AS (
+  SELECT *, CASE WHEN lag(label) OVER ({W_EV}) <> label THEN 1 ELSE 0 END AS chg FROM ev),
+s AS (SELECT *, sum(chg) OVER ({W_EV} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM x)
+SELECT event_id, user_id, label, CAST(segment AS BIGINT) AS segment,
+       row_number() OVER (PARTITION BY user_id, segment ORDER BY ts, event_id) - 1 AS sample_index
+FROM s WHERE label <> 0""")
+def q_episode_index(spark, sf):
+    ev = events(spark, sf).select("event_id", "user_id", "ts", "label")
+    out = L.episode_index(ev, TL)
+    return out.select("event_id", "user_id", "label", "segment", F.col("sample_index").cast("bigint").alias("sample_index"))
+
+
+@register("label_set_ops", f"""WITH {EV}, p AS (SELECT label AS y, CASE WHEN value > 300 THEN 2 WHEN k >= 90 THEN 3
+                                   WHEN k < 10 THEN 1 ELSE 0 END AS p FROM ev)
+SELECT 'union' AS op, l FROM (SELECT y AS l FROM p UNION SELECT p FROM p)
+UNION ALL SELECT 'intersect', l FROM (SELECT y AS l FROM p INTERSECT SELECT p FROM p)
+UNION ALL SELECT 'truth_only', l FROM (SELECT y AS l FROM p EXCEPT SELECT p FROM p)""")
+def q_label_set_ops(spark, sf):
+    from vigil.plans.q_analysis import rule_pred
+    ev = events(spark, sf).select(F.col("label").alias("y"), rule_pred().alias("p"), "value", "k")
+    y, p = ev.select(F.col("y").alias("l")), ev.select(F.col("p").alias("l"))
+    return (y.union(p).distinct().withColumn("op", F.lit("union"))
+            .unionByName(y.intersect(p).withColumn("op", F.lit("intersect")))
+            .unionByName(y.subtract(p).withColumn("op", F.lit("truth_only")))).select("op", "l")
