@@ -71,9 +71,27 @@ def map_lookup(mapping: dict, key, default=None) -> Column:
     return v if default is None else F.coalesce(v, F.lit(default))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small fixed table as a JVM-side literal relation (no Python RDD
+    scan): ``ddl`` like ``"a int, b string, c array<string>"``."""
+    from pyspark.sql.types import _parse_datatype_string
+    schema = _parse_datatype_string(ddl)
+    structs = []
+    for r in rows:
+        fields = []
+        for v, f in zip(r, schema.fields):
+            if isinstance(v, (list, tuple)):
+                lit = F.array(*[F.lit(x) for x in v]).cast(f.dataType) if v else F.array().cast(f.dataType)
+            else:
+                lit = F.lit(v).cast(f.dataType)
+            fields.append(lit.alias(f.name))
+        structs.append(F.struct(*fields))
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def dim(spark: SparkSession, mapping: dict, key: str, value: str, key_type="int",
         value_type="string") -> DataFrame:
-    return spark.createDataFrame(list(mapping.items()), f"{key} {key_type}, {value} {value_type}")
+    return literal_table(spark, list(mapping.items()), f"{key} {key_type}, {value} {value_type}")
 
 
 def attack_registry(spark: SparkSession) -> DataFrame:
@@ -81,8 +99,8 @@ def attack_registry(spark: SparkSession) -> DataFrame:
 
 
 def limits_table(spark: SparkSession, limits: dict) -> DataFrame:
-    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in limits.items()],
-                                 "column string, lo double, hi double")
+    return literal_table(spark, [(k, float(a), float(b)) for k, (a, b) in limits.items()],
+                         "column string, lo double, hi double")
 
 
 # Severity of each raw attack id in the remediation knowledge base.
@@ -100,7 +118,7 @@ def remediation_table(spark: SparkSession, kb: dict | None = None) -> DataFrame:
     kb = kb or {k: {"severity": v} for k, v in ATTACK_SEVERITY.items()}
     rows = [(int(k), v.get("severity"), v.get("immediate", []), v.get("investigation", []),
              v.get("prevention", [])) for k, v in kb.items()]
-    return spark.createDataFrame(rows, REMEDIATION_SCHEMA)
+    return literal_table(spark, rows, REMEDIATION_SCHEMA)
 
 
 def read_remediation(spark: SparkSession, path: str) -> DataFrame:

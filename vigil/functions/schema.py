@@ -61,13 +61,15 @@ def sensor_schema(timestamp_as_string: bool = True) -> T.StructType:
 
 
 def register_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, i, s, u) for i, (n, s, u) in enumerate(REGISTERS)],
-                                 "name string, address int, scale int, unit string")
+    from vigil.functions.dims import literal_table
+    return literal_table(spark, [(n, i, s, u) for i, (n, s, u) in enumerate(REGISTERS)],
+                         "name string, address int, scale int, unit string")
 
 
 def coil_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, i, t) for i, (n, t) in enumerate(COILS)],
-                                 "name string, address int, type string")
+    from vigil.functions.dims import literal_table
+    return literal_table(spark, [(n, i, t) for i, (n, t) in enumerate(COILS)],
+                         "name string, address int, type string")
 
 
 def decode_registers(raw: Column, registers=REGISTERS) -> list[Column]:

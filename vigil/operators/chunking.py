@@ -49,7 +49,8 @@ def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
     return m is not None and m > chunk_rows
 
 
-def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float, out: str = "_seq") -> DataFrame:
+def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S, out: str = "_seq",
+                 bucket=None) -> DataFrame:
     """0-based position of each row within its run, in ``tl.order``.  Time
     buckets come from the leading order column (timestamp -> epoch seconds,
     numeric as is), which is non-decreasing along the order by definition."""
@@ -58,7 +59,8 @@ def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float, out: str = "_seq"
     typ = dict(df.dtypes)[lead]
     secs = F.unix_micros(F.col(lead).cast("timestamp")) / 1e6 if typ.startswith("timestamp") or typ == "date" \
         else F.col(lead).cast("double")
-    x = df.withColumn("_b", F.floor(secs / F.lit(bucket_s)).cast("long"))
+    b = bucket if bucket is not None else F.floor(secs / F.lit(bucket_s)).cast("long")
+    x = df.withColumn("_b", b)
     cnt = x.groupBy(*runs, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*runs).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")

@@ -310,19 +310,23 @@ def mahalanobis(cols: list[str], mu, inv) -> Column:
 
 
 def sequence_windows(df: DataFrame, tl: Timeline, cols: list[str], length: int = 25, step: int = 5,
-                     label: str | None = None) -> DataFrame:
+                     label: str | None = None, force_chunks: bool | None = None) -> DataFrame:
     """Per run, windows of ``length`` rows starting every ``step`` rows at
     positions ``range(0, n - length, step)``; label = label of the last row
-    (W16 b).  Each window is a bounded forward frame, so no run is gathered."""
-    w = tl.w()
-    fr = tl.rows(0, length - 1)
-    rn = F.row_number().over(w) - 1
-    n = F.count(F.lit(1)).over(tl.whole())
+    (W16 b).  Each window is a bounded forward frame; long runs are cut into
+    chunks with a forward halo of ``length - 1`` rows."""
+    from vigil.operators import chunking as CH
     label = label or tl.label
-    seq = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(fr)
-    x = df.select(*tl.run_cols, rn.alias("seq_start"), n.alias("_n"), seq.alias("seq"),
-                  F.lead(label, length - 1).over(w).alias("seq_label"))
-    return x.filter((F.col("seq_start") % step == 0) & (F.col("seq_start") < F.col("_n") - length)).drop("_n")
+    x, t2, ch = CH.plan_chunks(df, tl, back=0, fwd=length - 1, force=force_chunks)
+    w = t2.w()
+    pos = F.col("_seq") if ch else F.row_number().over(w) - 1
+    n = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("_n"))
+    seq = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(t2.rows(0, length - 1))
+    keep = CH.ctx(x)
+    y = x.select(*tl.run_cols, *keep, pos.alias("seq_start"), seq.alias("seq"),
+                 F.lead(label, length - 1).over(w).alias("seq_label"))
+    y = CH.finish(y, ch).join(n, tl.run_cols)
+    return y.filter((F.col("seq_start") % step == 0) & (F.col("seq_start") < F.col("_n") - length)).drop("_n")
 
 
 def lookback_windows(df: DataFrame, tl: Timeline, cols: list[str], length: int = 10,
@@ -366,3 +370,42 @@ def align_features(df: DataFrame, feature_names: list[str]) -> DataFrame:
 
 
 _ = (Window, col)
+
+
+def add_expanding_prior_z(df: DataFrame, tl: Timeline, cols: list[str], min_periods: int = 5,
+                          eps: float = 1e-6, force_chunks: bool | None = None) -> DataFrame:
+    """W3 as a frame operation that also works on runs cut into chunks: the
+    prior count / sum / sum of squares of earlier chunks are carried from a
+    one-row-per-chunk summary and combined with the in-chunk prefix.  Values
+    are shifted by the run's first value first, which keeps the sum of
+    squares well conditioned."""
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=0, force=force_chunks)
+    if not ch:
+        return build(df, df.columns, *[expanding_prior_z(c, tl, min_periods, eps) for c in cols])
+    runs = [c for c in t2.run_cols if c != "_chunk"]
+    first = x.groupBy(*runs).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_seq"))).alias(f"_c_{c}")
+                                   for c in cols])
+    x = x.join(first, runs, "left")
+    for c in cols:
+        y = F.col(c) - F.col(f"_c_{c}")
+        x = x.withColumn(f"_y_{c}", F.when(~F.col("_halo"), y)).withColumn(f"_q_{c}", F.col(f"_y_{c}") ** 2)
+    summ = x.groupBy(*runs, "_chunk").agg(*[f for c in cols for f in (
+        F.count(f"_y_{c}").alias(f"_n_{c}"), F.sum(f"_y_{c}").alias(f"_s_{c}"), F.sum(f"_q_{c}").alias(f"_ss_{c}"))])
+    wf = Window.partitionBy(*runs).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*runs, "_chunk", *[F.coalesce(F.sum(f"_{k}_{c}").over(wf), F.lit(0)).alias(f"_C{k}_{c}")
+                                           for c in cols for k in ("n", "s", "ss")])
+    x = x.join(carry, runs + ["_chunk"], "left")
+    fr = t2.prefix(inclusive=False)
+    outs = []
+    for c in cols:
+        n = F.col(f"_Cn_{c}") + F.count(f"_y_{c}").over(fr)
+        s = F.col(f"_Cs_{c}") + F.coalesce(F.sum(f"_y_{c}").over(fr), F.lit(0.0))
+        q = F.col(f"_Css_{c}") + F.coalesce(F.sum(f"_q_{c}").over(fr), F.lit(0.0))
+        mean = s / n
+        var = F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))
+        z = (F.col(c) - F.col(f"_c_{c}") - mean) / (F.sqrt(var) + eps)
+        outs.append(F.when(n >= min_periods, z).alias(f"{c}_zscore"))
+    helpers = [h for c in cols for h in (f"_c_{c}", f"_y_{c}", f"_q_{c}", f"_Cn_{c}", f"_Cs_{c}", f"_Css_{c}")]
+    out = x.select(*[F.col(k) for k in x.columns if k not in helpers], *outs)
+    return CH.finish(out, True)

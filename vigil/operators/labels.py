@@ -141,18 +141,22 @@ def interval_label(readings: DataFrame, intervals: DataFrame, tl: Timeline,
              .drop("_start", "_end", "_iid"))
 
 
-def episode_state_delta(df: DataFrame, tl: Timeline, sensors: list[str], normal=0) -> DataFrame:
+def episode_state_delta(df: DataFrame, tl: Timeline, sensors: list[str], normal=0,
+                        force_chunks: bool | None = None) -> DataFrame:
     """For each non-normal episode: last sensor values before it and first
-    values after it, one row per sensor whose value changed (A19)."""
-    seg = add_segment_id(df, tl)
-    w = tl.w()
+    values after it, one row per sensor whose value changed (A19).  Looks one
+    row back and one forward (chunk halo of 1 each way on long runs)."""
+    from vigil.operators import chunking as CH
+    seg0 = add_segment_id(df, tl, force_chunks=force_chunks)
+    seg, t2, ch = CH.plan_chunks(seg0, tl, back=1, fwd=1, force=force_chunks)
+    w = t2.w()
     first_in = F.lag("segment").over(w).isNull() | (F.lag("segment").over(w) != F.col("segment"))
     last_in = F.lead("segment").over(w).isNull() | (F.lead("segment").over(w) != F.col("segment"))
     cols = []
     for s in sensors:
         cols.append(F.when(first_in, F.lag(s).over(w)).alias(f"_b_{s}"))
         cols.append(F.when(last_in, F.lead(s).over(w)).alias(f"_a_{s}"))
-    seg = seg.select(*tl.run_cols, "segment", tl.label, *cols)
+    seg = CH.finish(seg.select(*tl.run_cols, "segment", tl.label, *CH.ctx(seg), *cols), ch)
     aggs = []
     for s in sensors:
         aggs.append(F.max(f"_b_{s}").alias(f"_b_{s}"))
@@ -195,11 +199,14 @@ def schema_diff(columns_by_run: dict, reference=None) -> list[tuple]:
 
 
 def episode_index(df: DataFrame, tl: Timeline, normal=0, out: str = "sample_index") -> DataFrame:
-    """0-based position of each row inside its (non-normal) episode (W17);
-    episodes are the W9 segments, so the window is per (run, segment)."""
-    seg = add_segment_id(df, tl)
-    w = Window.partitionBy(*tl.run_cols, "segment").orderBy(*tl.order)
-    return seg.filter(F.col(tl.label) != normal).withColumn(out, F.row_number().over(w) - 1)
+    """0-based position of each row inside its (non-normal) episode (W17):
+    run position minus the episode's first position, so one long episode is
+    not gathered into a single window task."""
+    from vigil.operators.chunking import add_sequence
+    seg = add_sequence(add_segment_id(df, tl), tl)
+    start = seg.groupBy(*tl.run_cols, "segment").agg(F.min("_seq").alias("_s0"))
+    return (seg.join(start, tl.run_cols + ["segment"]).filter(F.col(tl.label) != normal)
+               .withColumn(out, F.col("_seq") - F.col("_s0")).drop("_seq", "_s0"))
 
 
 def align_predictions(preds: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

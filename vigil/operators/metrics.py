@@ -19,8 +19,8 @@ def confusion(df: DataFrame, y: str, p: str, labels: list[int] | None = None) ->
     if labels is None:
         lab = counts.select(F.col("y_true").alias("l")).union(counts.select(F.col("y_pred").alias("l"))).distinct()
     else:
-        spark = df.sparkSession
-        lab = spark.createDataFrame([(int(v),) for v in labels], "l int")
+        from vigil.functions.dims import literal_table
+        lab = literal_table(df.sparkSession, [(int(v),) for v in labels], "l int")
     grid = F.broadcast(lab.select(F.col("l").alias("y_true"))).crossJoin(
         F.broadcast(lab.select(F.col("l").alias("y_pred"))))
     m = grid.join(counts, ["y_true", "y_pred"], "left").na.fill(0, ["n"])

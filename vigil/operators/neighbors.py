@@ -144,8 +144,9 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, targets: dict, k
     nn = knn(minority, minority, k, id_col, vec_col, within=label)
     w = Window.partitionBy(label).orderBy(id_col)
     ranked = minority.withColumn("_rank", F.row_number().over(w) - 1).join(nn, id_col)
-    plan = spark.createDataFrame([(int(c), int(n), int(counts[c])) for c, n in need.items()],
-                                 "cls long, n_new long, n_c long")
+    from vigil.functions.dims import literal_table
+    plan = literal_table(spark, [(int(c), int(n), int(counts[c])) for c, n in need.items()],
+                         "cls long, n_new long, n_c long")
     gen = plan.select("cls", "n_c", F.explode(F.sequence(F.lit(0), F.col("n_new") - 1)).alias("sid"))
     h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col("cls"), F.col("sid"))
     gen = gen.select(F.col("cls").cast(df.schema[label].dataType).alias(label), "sid",

@@ -197,21 +197,25 @@ def duplicate_report(df: DataFrame, columns: list[str] | None = None) -> DataFra
         "pct_duplicates", F.round(F.col("n_duplicates") * 100.0 / F.col("n_rows"), 4))
 
 
-def sampling_report(df: DataFrame, tl, ts: str, gap_s: float, ingest: str | None = None) -> DataFrame:
+def sampling_report(df: DataFrame, tl, ts: str, gap_s: float, ingest: str | None = None,
+                    force_chunks: bool | None = None) -> DataFrame:
     """Per run: median / min / max / mean interval between consecutive rows,
     gaps longer than ``gap_s`` and rows out of order against the ingest
-    sequence (A13)."""
+    sequence (A13).  Both look-backs are one row, so long runs are cut into
+    chunks with a 1-row halo; the median is an exact ``percentile``, whose
+    state is a map of distinct intervals."""
     from vigil.functions.columns import micros
-    from pyspark.sql import Window
-    dt = (micros(ts) - F.lag(micros(ts)).over(tl.w())) / 1e6
-    x = df.withColumn("_dt", dt)
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
+    x = CH.finish(x.withColumn("_dt", (micros(ts) - F.lag(micros(ts)).over(t2.w())) / 1e6), ch)
     aggs = [F.count(F.lit(1)).alias("n_rows"),
             F.percentile("_dt", 0.5).alias("median_dt"), F.min("_dt").alias("min_dt"),
             F.max("_dt").alias("max_dt"), F.avg("_dt").alias("mean_dt"),
             F.count_if(F.col("_dt") > gap_s).alias("n_gaps")]
     if ingest:
-        wi = Window.partitionBy(*tl.run_cols).orderBy(ingest)
-        x = x.withColumn("_ooo", F.col(ts) < F.lag(ts).over(wi))
+        ti = tl.with_(order=(ingest,))
+        y, t3, ch2 = CH.plan_chunks(x, ti, back=1, force=force_chunks)
+        x = CH.finish(y.withColumn("_ooo", F.col(ts) < F.lag(ts).over(t3.w())), ch2)
         aggs.append(F.count_if("_ooo").alias("n_out_of_order"))
     return x.groupBy(*tl.run_cols).agg(*aggs)
 
@@ -256,11 +260,15 @@ def expected_rows(df: DataFrame, run: str, expected: float | None = None,
         "warn", F.col("n_rows") < warn_below * F.col("expected"))
 
 
-def step_size_check(df: DataFrame, tl, sensor: str, first_steps: int = 10, warn_above: float = 50.0) -> DataFrame:
+def step_size_check(df: DataFrame, tl, sensor: str, first_steps: int = 10, warn_above: float = 50.0,
+                    force_chunks: bool | None = None) -> DataFrame:
     """Mean absolute step over the first ``first_steps`` steps of each run."""
-    x = df.withColumn("_rn", F.row_number().over(tl.w())).withColumn(
-        "_step", F.abs(F.col(sensor) - F.lag(sensor).over(tl.w())))
-    g = x.filter(F.col("_rn") <= first_steps + 1).groupBy(*tl.run_cols).agg(
+    from vigil.operators import chunking as CH
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
+    pos = F.col("_seq") if ch else F.row_number().over(t2.w()) - 1
+    x = x.withColumn("_pos", pos).withColumn("_step", F.abs(F.col(sensor) - F.lag(sensor).over(t2.w())))
+    x = CH.finish(x, ch)
+    g = x.filter(F.col("_pos") <= first_steps).groupBy(*tl.run_cols).agg(
         F.count("_step").alias("n_steps"), F.avg("_step").alias("mean_abs_step"))
     return g.withColumn("warn", F.col("mean_abs_step") > warn_above)
 

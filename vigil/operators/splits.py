@@ -21,11 +21,25 @@ def chrono_split(df: DataFrame, tl: Timeline, train_frac: float = 0.7, out: str
     """First ``train_frac`` of each run's rows (by time) train, rest test.
 
     Per run, not global: a global position needs a single-partition sort.
-    The run size is a grouped count joined back, the position a row_number.
+    Positions come from the two-phase prefix count of
+    :func:`vigil.operators.chunking.add_sequence` (no task holds a whole run);
+    the run size is a grouped count joined back.
     """
+    from vigil.operators.chunking import add_sequence
     n = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("_n"))
-    x = df.join(n, tl.run_cols).withColumn("_rn", F.row_number().over(tl.w()))
-    return x.withColumn(out, F.col("_rn") <= F.floor(F.col("_n") * train_frac)).drop("_n", "_rn")
+    x = add_sequence(df, tl).join(n, tl.run_cols)
+    return x.withColumn(out, F.col("_seq") < F.floor(F.col("_n") * train_frac)).drop("_n", "_seq")
+
+
+def _hash_rank(df: DataFrame, y: str, keys: list[str], seed: int) -> DataFrame:
+    """0-based rank of each row inside its class by (seeded hash, keys),
+    computed without a per-class window: ranks are offsets of hash-range
+    buckets (the hash's top 10 bits) plus a row_number inside one bucket."""
+    from vigil.operators.chunking import add_sequence
+    h = rank_key(keys, seed)
+    x = df.withColumn("_h", h)
+    tl = Timeline(run=y, order=("_h", *keys))
+    return add_sequence(x, tl, bucket=F.shiftright(F.col("_h"), 54), out="_rk").drop("_h")
 
 
 def stratified_split(df: DataFrame, y: str, keys: list[str], test_frac: float = 0.2, seed: int = 42,
@@ -33,9 +47,8 @@ def stratified_split(df: DataFrame, y: str, keys: list[str], test_frac: float =
     """Exactly round(test_frac * n_c) test rows per class, chosen by a seeded
     hash rank (O7)."""
     n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(y).orderBy(rank_key(keys, seed), *[F.col(k) for k in keys])
-    x = df.join(F.broadcast(n), y).withColumn("_rk", F.row_number().over(w))
-    return x.withColumn(out, F.col("_rk") <= F.round(F.col("_n") * test_frac)).drop("_n", "_rk")
+    x = _hash_rank(df, y, keys, seed).join(F.broadcast(n), y)  # one row per class
+    return x.withColumn(out, F.col("_rk") < F.round(F.col("_n") * test_frac)).drop("_n", "_rk")
 
 
 def run_holdout(df: DataFrame, run: str, train_runs: list, out: str = "is_train") -> DataFrame:
@@ -66,6 +79,5 @@ def stratified_sample(df: DataFrame, y: str, keys: list[str], n: int, seed: int
     chosen by seeded hash rank (O12)."""
     c = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
     c = c.withColumn("_take", F.round(F.col("_nc") * n / F.sum("_nc").over(Window.partitionBy())))
-    w = Window.partitionBy(y).orderBy(rank_key(keys, seed), *[F.col(k) for k in keys])
-    x = df.join(F.broadcast(c), y).withColumn("_rk", F.row_number().over(w))
-    return x.filter(F.col("_rk") <= F.col("_take")).drop("_nc", "_take", "_rk")
+    x = _hash_rank(df, y, keys, seed).join(F.broadcast(c), y)  # one row per class
+    return x.filter(F.col("_rk") < F.col("_take")).drop("_nc", "_take", "_rk")

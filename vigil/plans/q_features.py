@@ -70,8 +70,8 @@ SELECT event_id, user_id,
     AS k_zscore
 FROM ev WINDOW p AS {_frame("UNBOUNDED PRECEDING", "1 PRECEDING")}""")
 def q_expanding_z(spark, sf):
-    df = _ev(spark, sf, "value", "k")
-    out = X.build(df, ["event_id", "user_id"], X.expanding_prior_z("value", TL), X.expanding_prior_z("k", TL))
+    df = _ev(spark, sf, "t", "value", "k")
+    out = X.add_expanding_prior_z(df, TL, ["value", "k"]).select("event_id", "user_id", "value_zscore", "k_zscore")
     return _round(out, ["value_zscore", "k_zscore"], 6)
 
 
@@ -212,7 +212,7 @@ x AS (SELECT *, row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY user_
 SELECT user_id, rn AS seq_start, seq_label, sl AS seq_len, round(sv, 6) AS seq_sum
 FROM x WHERE rn % 5 = 0 AND rn < n - 25""")
 def q_sequence_windows(spark, sf):
-    df = _ev(spark, sf, "label", "value")
+    df = _ev(spark, sf, "t", "label", "value")
     out = X.sequence_windows(df, TL, ["value"], 25, 5)
     return out.select("user_id", F.col("seq_start").cast("bigint").alias("seq_start"), "seq_label",
                       F.size("seq").cast("bigint").alias("seq_len"),

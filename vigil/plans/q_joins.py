@@ -52,8 +52,9 @@ SELECT event_id, ev.label, {LABEL_NAME_SQL.replace("label", "ev.label")} AS labe
 FROM ev LEFT JOIN d ON ev.label = d.label""")
 def q_remediation_join(spark, sf):
     from vigil.sources.tables import EVENT_LABEL_NAMES
-    dim = spark.createDataFrame([(k, s, a) for k, (s, a) in EVENT_REMEDIATION.items()],
-                                "label int, severity string, actions array<string>")
+    from vigil.functions.dims import literal_table
+    dim = literal_table(spark, [(k, s, a) for k, (s, a) in EVENT_REMEDIATION.items()],
+                        "label int, severity string, actions array<string>")
     ev = events(spark, sf).select("event_id", "label")
     out = attach_dimension(ev, dim, "label", {"severity": "Unknown"})
     return out.select("event_id", "label", map_lookup(EVENT_LABEL_NAMES, "label").alias("label_name"),

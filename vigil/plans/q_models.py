@@ -24,7 +24,7 @@ def feature_table(spark, sf):
         return X.build(d, d.columns, X.rate_accel("value", tl), X.rolling_full("value", tl, 5),
                        X.rolling_full("k", tl, 5))
     f = CH.chunked(ev, TL, fn, back=4)
-    f = X.build(f, f.columns, X.expanding_prior_z("value", TL))
+    f = X.add_expanding_prior_z(f, TL, ["value"])
     f = SP.chrono_split(f, TL)
     return MD.prepare(f, FEATURES, "label", keep=["event_id", "is_train"])
 
