@@ -76,30 +76,50 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
         out_fields.append(T.StructField("nn_labels", T.ArrayType(T.LongType())))
     schema = T.StructType(out_fields)
 
+    def top_block(qv, qid, rv, rid, rl, best):
+        """Merge one reference block into the running top-k.  Candidates come
+        from the BLAS form |q|^2 + |r|^2 - 2 q.r; the k + 8 best are then
+        re-measured with the direct formula, so ranks and distances are exact."""
+        best_d, best_i, best_l = best
+        d2 = (qv * qv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * qv @ rv.T
+        if exclude_self:
+            d2[qid[:, None] == rid[None, :]] = np.inf
+        m = min(k + 8, d2.shape[1])
+        cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < d2.shape[1] else \
+            np.broadcast_to(np.arange(d2.shape[1]), (len(qv), d2.shape[1]))
+        diff = qv[:, None, :] - rv[cand]
+        exact = np.sqrt((diff * diff).sum(-1))
+        exact[~np.isfinite(np.take_along_axis(d2, cand, 1))] = np.inf
+        cd = np.concatenate([best_d, exact], 1)
+        ci = np.concatenate([best_i, rid[cand]], 1)
+        cl = np.concatenate([best_l, rl[cand]], 1)
+        order = np.lexsort((ci, cd), axis=1)[:, :k]
+        return (np.take_along_axis(cd, order, 1), np.take_along_axis(ci, order, 1),
+                np.take_along_axis(cl, order, 1))
+
     def run(batches):
+        tile = 512
         for pdf in batches:
             groups = [(None, pdf)] if not within else list(pdf.groupby(within))
             for part, q in groups:
-                qv = np.stack(q[vec_col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy()) \
-                    if len(q) else np.zeros((0, 0))
-                qid = q[id_col].to_numpy().astype(np.int64)
-                best_d = np.full((len(q), k), np.inf)
-                best_i = np.full((len(q), k), np.iinfo(np.int64).max, dtype=np.int64)
-                best_l = np.full((len(q), k), -1, dtype=np.int64)
+                if not len(q):
+                    continue
+                qv_all = np.stack(q[vec_col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
+                qid_all = q[id_col].to_numpy().astype(np.int64)
+                nq = len(q)
+                best = (np.full((nq, k), np.inf), np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64),
+                        np.full((nq, k), -1, dtype=np.int64))
                 for r in _ref_batches(path, part, within, block):
                     rv = np.stack(r["_rv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
                     rid = r["_rid"].to_numpy().astype(np.int64)
                     rl = r[ref_label].to_numpy().astype(np.int64) if ref_label else np.zeros(len(r), np.int64)
-                    d = np.sqrt(((qv[:, None, :] - rv[None, :, :]) ** 2).sum(-1))
-                    if exclude_self:
-                        d[qid[:, None] == rid[None, :]] = np.inf
-                    cd = np.concatenate([best_d, d], 1)
-                    ci = np.concatenate([best_i, np.broadcast_to(rid, d.shape)], 1)
-                    cl = np.concatenate([best_l, np.broadcast_to(rl, d.shape)], 1)
-                    order = np.lexsort((ci, cd), axis=1)[:, :k]
-                    best_d = np.take_along_axis(cd, order, 1)
-                    best_i = np.take_along_axis(ci, order, 1)
-                    best_l = np.take_along_axis(cl, order, 1)
+                    parts = []
+                    for s0 in range(0, nq, tile):
+                        sl = slice(s0, s0 + tile)
+                        parts.append(top_block(qv_all[sl], qid_all[sl], rv, rid, rl,
+                                               tuple(b[sl] for b in best)))
+                    best = tuple(np.concatenate([p_[i] for p_ in parts]) for i in range(3))
+                best_d, best_i, best_l = best
                 res = {id_col: q[id_col].to_numpy(),
                        "nn_ids": [list(i[np.isfinite(dd)]) for i, dd in zip(best_i, best_d)],
                        "nn_dist": [list(dd[np.isfinite(dd)]) for dd in best_d]}
@@ -108,8 +128,11 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
                 yield pd.DataFrame(res)
 
     q = queries.select(*qcols)
+    spark = queries.sparkSession
     if within:
         q = q.repartition(within)
+    else:
+        q = q.repartition(spark.sparkContext.defaultParallelism, F.col(id_col))
     return q.mapInPandas(run, schema)
 
 
