@@ -111,6 +111,8 @@ if __name__ == "__main__":
     from vigil.session import get_session
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", shuffle_partitions=8)
+    if os.environ.get("VIGIL_TZ"):
+        spark.conf.set("spark.sql.session.timeZone", os.environ["VIGIL_TZ"])
     if os.environ.get("VIGIL_CHUNK_ROWS"):
         spark.conf.set("vigil.window.chunkRows", os.environ["VIGIL_CHUNK_ROWS"])
     res = compare(spark, sf, sys.argv[2:] or None)

@@ -77,7 +77,7 @@ def test_label_states_asof(spark):
     states = R.read_label_states(spark, d)
     assert states.count() == 2
     readings = spark.createDataFrame([(i,) for i in range(0, 30, 5)], "s int").select(
-        "s", F.to_timestamp(F.format_string("2026-03-13 17:00:%02d", "s")).alias("Timestamp"))
+        "s", F.to_timestamp_ntz(F.format_string("2026-03-13 17:00:%02d", "s")).alias("Timestamp"))
     lab = {r.s: r.ATTACK_ID for r in R.label_readings(readings, states).collect()}
     assert lab == {0: 0, 5: 0, 10: 8, 15: 8, 20: 0, 25: 0}
 

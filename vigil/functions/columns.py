@@ -30,9 +30,25 @@ def rnd(c, d: int = 6) -> Column:
     return F.round(col(c), d)
 
 
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
 def micros(ts) -> Column:
-    """Timestamp (with or without zone; session zone is UTC) -> epoch micros."""
-    return F.unix_micros(col(ts).cast("timestamp"))
+    """Wall-clock timestamp -> microseconds since 1970-01-01 00:00, without
+    consulting the session time zone (readings carry no zone; the driver
+    tables are TIMESTAMP_NTZ)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), col(ts).cast("timestamp_ntz"))
+
+
+def from_micros_ntz(us) -> Column:
+    """Inverse of :func:`micros`: microseconds -> TIMESTAMP_NTZ."""
+    return F.timestamp_add("MICROSECOND", col(us), F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
+
+
+def event_time(ts) -> Column:
+    """A TIMESTAMP instant for watermarks / windows whose UTC reading equals
+    the wall clock, whatever the session zone."""
+    return F.timestamp_micros(micros(ts))
 
 
 def epoch_seconds(ts) -> Column:

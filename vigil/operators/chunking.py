@@ -57,7 +57,8 @@ def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S
     runs = tl.run_cols
     lead = tl.order[0]
     typ = dict(df.dtypes)[lead]
-    secs = F.unix_micros(F.col(lead).cast("timestamp")) / 1e6 if typ.startswith("timestamp") or typ == "date" \
+    from vigil.functions.columns import micros
+    secs = micros(lead) / 1e6 if typ.startswith("timestamp") or typ == "date" \
         else F.col(lead).cast("double")
     b = bucket if bucket is not None else F.floor(secs / F.lit(bucket_s)).cast("long")
     x = df.withColumn("_b", b)

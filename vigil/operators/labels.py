@@ -19,7 +19,7 @@ def add_elapsed(df: DataFrame, tl: Timeline, ts: str, out: str = "elapsed_second
     """
     us = micros(ts)
     starts = df.groupBy(*tl.run_cols).agg(F.min(us).alias("_us0"))
-    ms = F.expr(f"(unix_micros(cast(`{ts}` as timestamp)) - _us0 + 500) div 1000")
+    ms = F.floor((micros(ts) - F.col("_us0") + 500) / 1000)  # exact: |values| < 2^53
     return (df.join(starts, tl.run_cols, "left")
               .withColumn(out, ms / 1000.0)
               .drop("_us0"))

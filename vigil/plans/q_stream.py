@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.functions.columns import epoch_seconds
+from vigil.functions.columns import epoch_seconds, event_time, from_micros_ntz
 from vigil.operators import scoring as S
 from vigil.plans.registry import EV, register
 from vigil.sources.tables import event_label, table
@@ -22,9 +22,9 @@ def event_stream(spark, sf):
 @register("stream_window_counts", f"""WITH {EV}
 SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, label, count(*) AS n FROM ev GROUP BY ALL""")
 def q_stream_window_counts(spark, sf):
-    ev = event_stream(spark, sf).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    ev = event_stream(spark, sf).withColumn("event_ts", event_time("ts"))
     c = D.alert_counts(ev, "event_ts", "1 day", "2 days", by=["label"])
-    c = c.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "label", "n")
+    c = c.select(from_micros_ntz(F.unix_micros(F.col("w.start"))).alias("window_start"), "label", "n")
     return D.run_to_table(c, "window-counts", mode="update", key=["window_start", "label"])
 
 

@@ -57,7 +57,10 @@ def remap_classes(df: DataFrame, raw: str = "ATTACK_ID", out: str = "class_id",
 
 
 def parse_timestamp(c: Column) -> Column:
-    return F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    """ISO text -> TIMESTAMP_NTZ (wall clock; parse and cast back use the same
+    zone, so the result does not depend on it); malformed -> null."""
+    ts = F.coalesce(F.try_to_timestamp(c), F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    return ts.cast("timestamp_ntz")
 
 
 def load_run(spark: SparkSession, path: str, run_id: int | None = None) -> DataFrame:
