@@ -50,7 +50,7 @@ def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
 
 
 def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S, out: str = "_seq",
-                 bucket=None) -> DataFrame:
+                 bucket=None, total: str | None = None, grand_total: str | None = None) -> DataFrame:
     """0-based position of each row within its run, in ``tl.order``.  Time
     buckets come from the leading order column (timestamp -> epoch seconds,
     numeric as is), which is non-decreasing along the order by definition."""
@@ -64,7 +64,19 @@ def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S
     x = df.withColumn("_b", b)
     cnt = x.groupBy(*runs, "_b").agg(F.count(F.lit(1)).alias("_c"))
     wb = Window.partitionBy(*runs).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0))).drop("_c")
+    off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0)))
+    need_total = total or grand_total
+    if need_total:  # rows per run, from the same small table (no extra pass)
+        wl = Window.partitionBy(*runs).orderBy("_b").rowsBetween(Window.unboundedPreceding,
+                                                                 Window.unboundedFollowing)
+        off = off.withColumn("_tot", F.sum("_c").over(wl))
+    if grand_total:
+        # the first bucket of every run (offset 0) carries the run total once
+        off = off.withColumn(grand_total, F.sum(F.when(F.col("_off") == 0, F.col("_tot")))
+                             .over(Window.partitionBy(F.lit(0))))
+    if total:
+        off = off.withColumnRenamed("_tot", total)
+    off = off.drop("_c", "_tot")
     x = x.join(off, runs + ["_b"])
     wr = Window.partitionBy(*runs, "_b").orderBy(*tl.order)
     return x.withColumn(out, F.col("_off") + F.row_number().over(wr) - 1).drop("_b", "_off")

@@ -320,12 +320,14 @@ def sequence_windows(df: DataFrame, tl: Timeline, cols: list[str], length: int =
     x, t2, ch = CH.plan_chunks(df, tl, back=0, fwd=length - 1, force=force_chunks)
     w = t2.w()
     pos = F.col("_seq") if ch else F.row_number().over(w) - 1
-    n = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("_n"))
     seq = F.collect_list(F.array(*[F.col(c).cast("double") for c in cols])).over(t2.rows(0, length - 1))
     keep = CH.ctx(x)
+    extra = [] if ch else [F.count(F.lit(1)).over(tl.whole()).alias("_n")]
     y = x.select(*tl.run_cols, *keep, pos.alias("seq_start"), seq.alias("seq"),
-                 F.lead(label, length - 1).over(w).alias("seq_label"))
-    y = CH.finish(y, ch).join(n, tl.run_cols)
+                 F.lead(label, length - 1).over(w).alias("seq_label"), *extra)
+    y = CH.finish(y, ch)
+    if ch:
+        y = y.join(df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("_n")), tl.run_cols)
     return y.filter((F.col("seq_start") % step == 0) & (F.col("seq_start") < F.col("_n") - length)).drop("_n")
 
 

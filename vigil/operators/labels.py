@@ -198,12 +198,22 @@ def schema_diff(columns_by_run: dict, reference=None) -> list[tuple]:
     return out
 
 
-def episode_index(df: DataFrame, tl: Timeline, normal=0, out: str = "sample_index") -> DataFrame:
-    """0-based position of each row inside its (non-normal) episode (W17):
-    run position minus the episode's first position, so one long episode is
-    not gathered into a single window task."""
+def episode_index(df: DataFrame, tl: Timeline, normal=0, out: str = "sample_index",
+                  force_chunks: bool | None = None) -> DataFrame:
+    """0-based position of each row inside its (non-normal) episode.
+    Runs that fit a chunk use a window per (run, segment); on long runs the
+    index is the run position minus the episode's first position, so one
+    long episode is never gathered into a single window task."""
+    from vigil.operators import chunking as CH
     from vigil.operators.chunking import add_sequence
-    seg = add_sequence(add_segment_id(df, tl), tl)
+    spark = df.sparkSession
+    rows = CH._conf(spark, CH.CHUNK_ROWS_CONF, CH.DEFAULT_CHUNK_ROWS)
+    use = CH.needs_chunking(df, tl, rows) if force_chunks is None else force_chunks
+    seg = add_segment_id(df, tl, force_chunks=use)
+    if not use:
+        w = Window.partitionBy(*tl.run_cols, "segment").orderBy(*tl.order)
+        return seg.filter(F.col(tl.label) != normal).withColumn(out, F.row_number().over(w) - 1)
+    seg = add_sequence(seg, tl)
     start = seg.groupBy(*tl.run_cols, "segment").agg(F.min("_seq").alias("_s0"))
     return (seg.join(start, tl.run_cols + ["segment"]).filter(F.col(tl.label) != normal)
                .withColumn(out, F.col("_seq") - F.col("_s0")).drop("_seq", "_s0"))

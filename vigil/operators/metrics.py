@@ -30,35 +30,48 @@ def confusion(df: DataFrame, y: str, p: str, labels: list[int] | None = None) ->
 
 def class_report(cm: DataFrame) -> DataFrame:
     """precision / recall / f1 / support per class, then accuracy, macro and
-    weighted averages, zero_division = 0 (A24).  Input: :func:`confusion`."""
-    tp = cm.groupBy(F.col("y_true").alias("cls")).agg(
-        F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)).alias("tp"),
-        F.sum("n").alias("support"))
-    pp = cm.groupBy(F.col("y_pred").alias("cls")).agg(F.sum("n").alias("pred_n"))
-    c = tp.join(pp, "cls")
+    weighted averages, zero_division = 0 (A24).
+
+    Input: (y_true, y_pred, n) counts, e.g. :func:`confusion` or a plain
+    grouped count.  The counts are used once: every (true, pred) cell is
+    exploded into a "true" and a "pred" contribution, one grouped aggregate
+    gives tp / support / pred_n per class, and the summary rows come from
+    windows over that tiny table, so the scored rows are read a single time.
+    """
+    c = cm.select(F.explode(F.array(
+        F.struct(F.col("y_true").alias("cls"), F.col("n").alias("sup"),
+                 F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
+                 F.lit(0).cast("long").alias("pn")),
+        F.struct(F.col("y_pred").alias("cls"), F.lit(0).cast("long").alias("sup"), F.lit(0).cast("long").alias("tp"),
+                 F.col("n").alias("pn")))).alias("_e")).select("_e.*")
+    per = c.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("pn").alias("pred_n"))
+    per = per.filter((F.col("support") > 0) | (F.col("pred_n") > 0))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred_n")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
-    c = c.withColumn("precision", prec).withColumn("recall", rec).withColumn(
+    per = per.withColumn("precision", prec).withColumn("recall", rec).withColumn(
         "f1", F.when(F.col("precision") + F.col("recall") > 0,
                      2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall")))
         .otherwise(0.0))
-    per = c.select(F.col("cls").cast("string").alias("row"), "precision", "recall", "f1",
-                   F.col("support").cast("bigint").alias("support"))
-    tot = c.agg(F.sum("tp").alias("tp"), F.sum("support").alias("n"), F.count(F.lit(1)).alias("k"),
-                F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-                (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-                (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-                (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"))
-    acc = F.col("tp") / F.col("n")
-    summ = tot.select(F.explode(F.array(
-        F.struct(F.lit("accuracy").alias("row"), acc.alias("precision"), acc.alias("recall"), acc.alias("f1"),
-                 F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg").alias("row"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                 F.col("mf").alias("f1"), F.col("n").cast("bigint").alias("support")),
-        F.struct(F.lit("weighted avg").alias("row"), F.col("wp").alias("precision"), F.col("wr").alias("recall"),
-                 F.col("wf").alias("f1"), F.col("n").cast("bigint").alias("support")),
-    )).alias("_s")).select("_s.*")
-    return per.unionByName(summ)
+    g = Window.partitionBy()
+    n = F.sum("support").over(g)
+    acc = F.sum("tp").over(g) / n
+    tot = per.select(
+        "*", n.alias("_n"), acc.alias("_acc"),
+        F.avg("precision").over(g).alias("_mp"), F.avg("recall").over(g).alias("_mr"), F.avg("f1").over(g).alias("_mf"),
+        (F.sum(F.col("precision") * F.col("support")).over(g) / n).alias("_wp"),
+        (F.sum(F.col("recall") * F.col("support")).over(g) / n).alias("_wr"),
+        (F.sum(F.col("f1") * F.col("support")).over(g) / n).alias("_wf"),
+        F.row_number().over(Window.orderBy("cls")).alias("_first"))
+
+    def row(name, p, r, f, sup):
+        return F.struct(name.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
+                        sup.cast("bigint").alias("support"))
+    own = row(F.col("cls").cast("string"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))
+    summary = [row(F.lit("accuracy"), F.col("_acc"), F.col("_acc"), F.col("_acc"), F.col("_n")),
+               row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n")),
+               row(F.lit("weighted avg"), F.col("_wp"), F.col("_wr"), F.col("_wf"), F.col("_n"))]
+    rows = F.when(F.col("_first") == 1, F.array(own, *summary)).otherwise(F.array(own))
+    return tot.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
 def score_table(df: DataFrame, score: str, truth: str) -> DataFrame:
@@ -121,6 +134,11 @@ def one_vs_rest(df: DataFrame, prob_col: str, y: str, classes: list[int], fn=roc
     return out
 
 
+def counts(df: DataFrame, y: str, p: str) -> DataFrame:
+    """(y_true, y_pred, n): the only pass over the scored rows."""
+    return df.groupBy(F.col(y).alias("y_true"), F.col(p).alias("y_pred")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_weights(df: DataFrame, y: str) -> DataFrame:
     """Balanced weights n / (k * n_c) per class."""
     g = df.groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))

@@ -76,23 +76,22 @@ def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     the value counts as a JSON object with sorted keys (A8).
 
     Values of all columns are counted in one grouped aggregation (partial
-    aggregation map-side); only the distinct values reach the second step.
+    aggregation map-side); a second aggregation over the distinct values
+    (per column) derives everything else, so the rows are read once.
     """
     u = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"))
                                        for c in cols])).alias("_u")).select("_u.*")
     vc = u.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
-    nn = vc.filter(F.col("v").isNotNull())
-    w = Window.partitionBy("column").orderBy(F.col("cnt").desc(), F.col("v"))
-    top = nn.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select(
-        "column", F.col("v").alias("mode"), F.col("cnt").alias("top_count"))
-    entries = F.array_sort(F.collect_list(F.struct("v", "cnt")))
+    nn = F.col("v").isNotNull()
+    entries = F.array_sort(F.collect_list(F.when(nn, F.struct("v", "cnt"))))
     js = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(
         F.lit('"'), e["v"], F.lit('":'), e["cnt"].cast("string"))), ","), F.lit("}"))
-    summ = nn.groupBy("column").agg(F.sum("cnt").alias("count"), F.count(F.lit(1)).alias("nunique"),
-                                    js.alias("value_counts"))
-    miss = vc.groupBy("column").agg(F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("cnt"))),
-                                               F.lit(0)).alias("missing"))
-    return summ.join(miss, "column").join(top, "column")
+    return vc.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(nn, F.col("cnt"))), F.lit(0)).alias("count"),
+        F.count(F.when(nn, F.lit(1))).alias("nunique"), js.alias("value_counts"),
+        F.coalesce(F.sum(F.when(~nn, F.col("cnt"))), F.lit(0)).alias("missing"),
+        F.min_by(F.col("v"), F.when(nn, F.struct((-F.col("cnt")).alias("c"), F.col("v")))).alias("mode"),
+        F.max(F.when(nn, F.col("cnt"))).alias("top_count"))
 
 
 def corr_pairs(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -83,25 +83,40 @@ def dead_columns(df: DataFrame, columns: list[str], by: list[str] | None = None)
     return _unpivot_row(g, by, {c: {"is_dead": F.coalesce(F.col(f"d_{c}"), F.lit(True))} for c in columns})
 
 
+def _moments(s: str) -> list[Column]:
+    return [F.count(s).alias(f"n_{s}"), F.avg(s).alias(f"m_{s}"), F.stddev_samp(s).alias(f"s_{s}")]
+
+
+def _pooled_std(s: str) -> Column:
+    """Overall sample std of sensor ``s`` from per-group (n, mean, std) rows,
+    over a window spanning all groups (Chan's combination; no second pass)."""
+    g = Window.partitionBy()
+    n = F.col(f"n_{s}").cast("double")
+    m2 = F.coalesce(F.col(f"s_{s}") ** 2 * (n - 1), F.lit(0.0))
+    tot = F.sum(n).over(g)
+    mean = F.sum(n * F.col(f"m_{s}")).over(g) / tot
+    ss = F.sum(m2 + n * (F.col(f"m_{s}") - mean) ** 2).over(g)
+    return F.sqrt(ss / (tot - 1))
+
+
 def signal_quality(df: DataFrame, label: str, run: str, sensors: list[str], normal=0,
                    label_name: Column | None = None, invisible_below: float = 0.5) -> DataFrame:
     """Per non-normal label: z = |mean_label - mean_normal| / std_normal per
     sensor (0 when std_normal is 0, sensors with overall std 0 skipped), the
     two best sensors, rows, runs present, invisible flag (A5).
 
-    All sensor statistics come from one grouped aggregation (no unpivot of the
-    rows); only the tiny result is reshaped.
+    One grouped aggregation over the rows; the normal-class statistics and
+    the overall std come from windows over that per-label table.
     """
-    from pyspark.sql import Window
-    overall = df.agg(*[F.stddev_samp(s).alias(f"o_{s}") for s in sensors])
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("total_rows"),
                                 F.countDistinct(run).alias("runs_present"),
-                                *[F.avg(s).alias(f"m_{s}") for s in sensors],
-                                *[F.stddev_samp(s).alias(f"s_{s}") for s in sensors])
-    nrm = per.filter(F.col(label) == normal).select(
-        *[F.col(f"m_{s}").alias(f"nm_{s}") for s in sensors],
-        *[F.col(f"s_{s}").alias(f"ns_{s}") for s in sensors])
-    att = per.filter(F.col(label) != normal).crossJoin(F.broadcast(nrm)).crossJoin(F.broadcast(overall))
+                                *[m for s in sensors for m in _moments(s)])
+    g = Window.partitionBy()
+    normal_of = lambda c: F.max(F.when(F.col(label) == normal, F.col(c))).over(g)
+    per = per.select("*", *[normal_of(f"m_{s}").alias(f"nm_{s}") for s in sensors],
+                     *[normal_of(f"s_{s}").alias(f"ns_{s}") for s in sensors],
+                     *[_pooled_std(s).alias(f"o_{s}") for s in sensors])
+    att = per.filter(F.col(label) != normal)
     fields = {}
     for i, s in enumerate(sensors):
         z = F.when(F.col(f"ns_{s}") > 0, F.abs(F.col(f"m_{s}") - F.col(f"nm_{s}")) / F.col(f"ns_{s}")).otherwise(0.0)
@@ -229,10 +244,13 @@ def label_durations(df: DataFrame, label: str, ts: str) -> DataFrame:
 
 
 def std_ratio(df: DataFrame, label: str, sensors: list[str], normal=0) -> DataFrame:
-    """Attack std / normal std per label and sensor where normal std > 0."""
+    """Attack std / normal std per label and sensor where normal std > 0
+    (A16); one grouped pass, normal std by a window over the per-label rows."""
     per = df.groupBy(label).agg(*[F.stddev_samp(s).alias(f"s_{s}") for s in sensors])
-    nrm = per.filter(F.col(label) == normal).select(*[F.col(f"s_{s}").alias(f"n_{s}") for s in sensors])
-    att = per.filter(F.col(label) != normal).crossJoin(F.broadcast(nrm))
+    g = Window.partitionBy()
+    per = per.select("*", *[F.max(F.when(F.col(label) == normal, F.col(f"s_{s}"))).over(g).alias(f"n_{s}")
+                            for s in sensors])
+    att = per.filter(F.col(label) != normal)
     u = _unpivot_row(att, [label], {s: {"normal_std": F.col(f"n_{s}"), "label_std": F.col(f"s_{s}")}
                                     for s in sensors}, "sensor")
     return u.filter(F.col("normal_std") > 0).withColumn("ratio", F.col("label_std") / F.col("normal_std"))

@@ -26,12 +26,11 @@ def chrono_split(df: DataFrame, tl: Timeline, train_frac: float = 0.7, out: str
     the run size is a grouped count joined back.
     """
     from vigil.operators.chunking import add_sequence
-    n = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("_n"))
-    x = add_sequence(df, tl).join(n, tl.run_cols)
+    x = add_sequence(df, tl, total="_n")
     return x.withColumn(out, F.col("_seq") < F.floor(F.col("_n") * train_frac)).drop("_n", "_seq")
 
 
-def _hash_rank(df: DataFrame, y: str, keys: list[str], seed: int) -> DataFrame:
+def _hash_rank(df: DataFrame, y: str, keys: list[str], seed: int, grand: str | None = None) -> DataFrame:
     """0-based rank of each row inside its class by (seeded hash, keys),
     computed without a per-class window: ranks are offsets of hash-range
     buckets (the hash's top 10 bits) plus a row_number inside one bucket."""
@@ -39,15 +38,15 @@ def _hash_rank(df: DataFrame, y: str, keys: list[str], seed: int) -> DataFrame:
     h = rank_key(keys, seed)
     x = df.withColumn("_h", h)
     tl = Timeline(run=y, order=("_h", *keys))
-    return add_sequence(x, tl, bucket=F.shiftright(F.col("_h"), 54), out="_rk").drop("_h")
+    return add_sequence(x, tl, bucket=F.shiftright(F.col("_h"), 54), out="_rk", total="_n",
+                        grand_total=grand).drop("_h")
 
 
 def stratified_split(df: DataFrame, y: str, keys: list[str], test_frac: float = 0.2, seed: int = 42,
                      out: str = "is_test") -> DataFrame:
     """Exactly round(test_frac * n_c) test rows per class, chosen by a seeded
     hash rank (O7)."""
-    n = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n"))
-    x = _hash_rank(df, y, keys, seed).join(F.broadcast(n), y)  # one row per class
+    x = _hash_rank(df, y, keys, seed)
     return x.withColumn(out, F.col("_rk") < F.round(F.col("_n") * test_frac)).drop("_n", "_rk")
 
 
@@ -77,7 +76,6 @@ def first_n_per_class(df: DataFrame, y: str, order: list[str], n: int = 3) -> Da
 def stratified_sample(df: DataFrame, y: str, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """About ``n`` rows with class shares kept: round(n * n_c / N) per class,
     chosen by seeded hash rank (O12)."""
-    c = df.groupBy(y).agg(F.count(F.lit(1)).alias("_nc"))
-    c = c.withColumn("_take", F.round(F.col("_nc") * n / F.sum("_nc").over(Window.partitionBy())))
-    x = _hash_rank(df, y, keys, seed).join(F.broadcast(c), y)  # one row per class
-    return x.filter(F.col("_rk") < F.col("_take")).drop("_nc", "_take", "_rk")
+    x = _hash_rank(df, y, keys, seed, grand="_grand")
+    take = F.round(F.col("_n") * n / F.col("_grand"))
+    return x.filter(F.col("_rk") < take).drop("_n", "_grand", "_rk")

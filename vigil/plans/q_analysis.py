@@ -167,7 +167,7 @@ UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support),
        round(sum(recall * support) / sum(support), 9), round(sum(f1 * support) / sum(support), 9),
        CAST(sum(support) AS BIGINT) FROM f""")
 def q_class_report(spark, sf):
-    rep = M.class_report(M.confusion(scored(spark, sf), "label", "pred"))
+    rep = M.class_report(M.counts(scored(spark, sf), "label", "pred"))
     return _round(rep, ["precision", "recall", "f1"], 9)
 
 
@@ -266,10 +266,14 @@ SELECT (SELECT count(*) FROM ev WHERE weekofyear(ts) IN (1, 2, 3)) AS n_train, (
        CASE WHEN avg(f1) > 0.9 THEN 'generalises' WHEN avg(f1) > 0.75 THEN 'partial' ELSE 'overfit' END AS verdict FROM f""")
 def q_holdout_verdict(spark, sf):
     x = SP.run_holdout(scored(spark, sf), "week", [1, 2, 3])
-    test = x.filter(~F.col("is_train"))
-    rep = M.class_report(M.confusion(test, "label", "pred")).filter(F.col("row") == "macro avg")
-    counts = x.agg(F.count_if("is_train").alias("n_train"), F.count_if(~F.col("is_train")).alias("n_test"))
-    return counts.crossJoin(rep.select(F.col("f1").alias("macro_f1"))).select(
+    # one pass: counts of (split, truth, prediction); train/test sizes and the
+    # test report both come from that tiny table
+    c = x.groupBy("is_train", F.col("label").alias("y_true"), F.col("pred").alias("y_pred")).agg(
+        F.count(F.lit(1)).alias("n"))
+    sizes = c.groupBy().agg(F.sum(F.when(F.col("is_train"), F.col("n"))).alias("n_train"),
+                            F.sum(F.when(~F.col("is_train"), F.col("n"))).alias("n_test"))
+    rep = M.class_report(c.filter(~F.col("is_train"))).filter(F.col("row") == "macro avg")
+    return sizes.crossJoin(rep.select(F.col("f1").alias("macro_f1"))).select(
         "n_train", "n_test", rnd("macro_f1", 9).alias("macro_f1"), SP.holdout_verdict(F.col("macro_f1")).alias("verdict"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import rnd
@@ -67,12 +68,13 @@ SELECT label, count(*) AS n_rows, round(avg(value) - nv, 9) AS value_mean_diff,
 FROM ev, n WHERE label <> 0 GROUP BY label, nv, nk, sv""")
 def q_normal_vs_group(spark, sf):
     ev = events(spark, sf).select("label", "value", "k")
-    normal = ev.filter(F.col("label") == 0).agg(F.avg("value").alias("nv"), F.avg("k").alias("nk"),
-                                                F.stddev_samp("value").alias("sv"))
-    g = ev.filter(F.col("label") != 0).groupBy("label").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mv"), F.avg("k").alias("mk"),
-        F.stddev_samp("value").alias("s"))
-    j = g.crossJoin(F.broadcast(normal))  # a single aggregated row: the broadcast size is fixed
+    # one grouped pass; the single normal row is spread by a window over the
+    # per-label table instead of a second scan + cross join
+    g = ev.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("value").alias("mv"),
+                                F.avg("k").alias("mk"), F.stddev_samp("value").alias("s"))
+    w = Window.partitionBy()
+    nrm = lambda c: F.max(F.when(F.col("label") == 0, F.col(c))).over(w)
+    j = g.select("*", nrm("mv").alias("nv"), nrm("mk").alias("nk"), nrm("s").alias("sv")).filter("label <> 0")
     return j.select("label", "n_rows", rnd(F.col("mv") - F.col("nv"), 9).alias("value_mean_diff"),
                     rnd(F.col("mk") - F.col("nk"), 9).alias("k_mean_diff"),
                     rnd(F.col("s") / F.col("sv"), 9).alias("value_std_ratio"))

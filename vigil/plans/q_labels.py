@@ -148,9 +148,16 @@ SELECT 'union' AS op, l FROM (SELECT y AS l FROM p UNION SELECT p FROM p)
 UNION ALL SELECT 'intersect', l FROM (SELECT y AS l FROM p INTERSECT SELECT p FROM p)
 UNION ALL SELECT 'truth_only', l FROM (SELECT y AS l FROM p EXCEPT SELECT p FROM p)""")
 def q_label_set_ops(spark, sf):
+    """Union / intersection / difference of the label sets of truth and
+    prediction (O5) from ONE pass: each row contributes its label in the
+    "truth" role and its prediction in the "pred" role; a grouped aggregate
+    records which roles every label has."""
     from vigil.plans.q_analysis import rule_pred
-    ev = events(spark, sf).select(F.col("label").alias("y"), rule_pred().alias("p"), "value", "k")
-    y, p = ev.select(F.col("y").alias("l")), ev.select(F.col("p").alias("l"))
-    return (y.union(p).distinct().withColumn("op", F.lit("union"))
-            .unionByName(y.intersect(p).withColumn("op", F.lit("intersect")))
-            .unionByName(y.subtract(p).withColumn("op", F.lit("truth_only")))).select("op", "l")
+    ev = events(spark, sf).select("label", "value", "k")
+    roles = ev.select(F.explode(F.array(
+        F.struct(F.col("label").alias("l"), F.lit(True).alias("y"), F.lit(False).alias("p")),
+        F.struct(rule_pred().alias("l"), F.lit(False).alias("y"), F.lit(True).alias("p")))).alias("_r")).select("_r.*")
+    g = roles.groupBy("l").agg(F.bool_or("y").alias("in_y"), F.bool_or("p").alias("in_p"))
+    ops = F.filter(F.array(F.lit("union"), F.when(F.col("in_y") & F.col("in_p"), F.lit("intersect")),
+                           F.when(F.col("in_y") & ~F.col("in_p"), F.lit("truth_only"))), lambda o: o.isNotNull())
+    return g.select(F.explode(ops).alias("op"), "l")

@@ -9,7 +9,7 @@ from vigil.functions.dims import map_lookup
 from vigil.operators import quality as Q
 from vigil.operators.labels import union_runs
 from vigil.plans.registry import EV, LABEL_NAME_SQL, W_EV, register
-from vigil.sources.tables import EVENT_LABEL_NAMES, EVENTS_TL as TL, LINEITEM_TL, events, table
+from vigil.sources.tables import EVENT_LABEL_NAMES, EVENTS_TL as TL, LINEITEM_TL, event_label, events, table
 
 def names():
     return map_lookup(EVENT_LABEL_NAMES, "label")
@@ -65,7 +65,9 @@ DEAD_COLS_EV = ["event_type", "user_id", "value", "k", "props"]
     f"SELECT label, '{c}' AS column, coalesce((min({c}) = max({c})) OR count({c}) = 0, true) AS is_dead "
     f"FROM ev GROUP BY label" for c in DEAD_COLS_EV))
 def q_dead_columns(spark, sf):
-    ev = events(spark, sf).join(table(spark, sf, "events").select("event_id", "props"), "event_id")
+    ev = table(spark, sf, "events").select(
+        "event_type", "user_id", "value", "props", F.get_json_object("props", "$.k").cast("double").alias("k"),
+        event_label().alias("label"))
     return Q.dead_columns(ev, DEAD_COLS_EV, by=["label"])
 
 
