@@ -35,12 +35,12 @@ class RobustScalerExact(Estimator, _RobustParams, DefaultParamsReadable, Default
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "RobustScalerExactModel":
+        from vigil.operators.quantiles import exact_quantiles
         cols = self.getInputCols()
         lo, hi = self.getOrDefault("lower"), self.getOrDefault("upper")
-        probs = F.array(F.lit(lo), F.lit(0.5), F.lit(hi))
-        r = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(c) for c in cols]).first()
-        med = [float(r[c][1]) for c in cols]
-        rng = [float(r[c][2] - r[c][0]) for c in cols]
+        q = {(r.column, r.p): r.value for r in exact_quantiles(df, cols, [lo, 0.5, hi]).collect()}
+        med = [float(q[(c, 0.5)]) for c in cols]
+        rng = [float(q[(c, hi)] - q[(c, lo)]) for c in cols]
         m = RobustScalerExactModel(inputCols=cols, outputCols=self.getOutputCols(), medians=med,
                                    ranges=[v if v != 0 else 1.0 for v in rng])
         return self._copyValues(m)

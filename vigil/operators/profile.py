@@ -23,22 +23,28 @@ def corrected_kurt(g2: Column, n: Column) -> Column:
 def numeric_profile(df: DataFrame, cols: list[str], approx: bool = False,
                     accuracy: int = 100_000) -> DataFrame:
     """count, missing, mean, sample std, min, quartiles, max, sample skew and
-    excess kurtosis for every column in one aggregation (A6).
+    excess kurtosis for every column (A6).
 
-    ``percentile`` is exact; its state is a value -> count map, bounded by the
-    number of distinct (quantised) sensor readings.  For continuous columns of
-    unbounded cardinality pass ``approx=True`` (``percentile_approx``).
+    Moments come from one aggregation over all columns.  Quartiles are exact
+    via :func:`vigil.operators.quantiles.exact_quantiles` (a value -> count
+    map when the distinct count is checked to be bounded, range refinement
+    otherwise); ``approx=True`` uses ``percentile_approx`` instead.
     """
+    from vigil.operators.quantiles import exact_quantiles
     aggs = []
-    probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     for c in cols:
         x = F.col(c).cast("double")
-        q = (F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy) if approx else F.percentile(x, probs))
         aggs += [F.count(x).alias(f"n_{c}"), F.count_if(x.isNull()).alias(f"na_{c}"),
                  F.avg(x).alias(f"m_{c}"), F.stddev_samp(x).alias(f"s_{c}"),
-                 F.min(x).alias(f"mn_{c}"), F.max(x).alias(f"mx_{c}"), q.alias(f"q_{c}"),
+                 F.min(x).alias(f"mn_{c}"), F.max(x).alias(f"mx_{c}"),
                  F.skewness(x).alias(f"sk_{c}"), F.kurtosis(x).alias(f"ku_{c}")]
+        if approx:
+            aggs.append(F.percentile_approx(x, [0.25, 0.5, 0.75], accuracy).alias(f"q_{c}"))
     g = df.agg(*aggs)
+    if not approx:
+        q = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+        qrow = q.groupBy().pivot("column", cols).agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("q"))
+        g = g.crossJoin(qrow.select(*[F.transform(F.col(c), lambda e: e["value"]).alias(f"q_{c}") for c in cols]))
     fields = {}
     for c in cols:
         n = F.col(f"n_{c}").cast("double")
@@ -52,10 +58,12 @@ def numeric_profile(df: DataFrame, cols: list[str], approx: bool = False,
 
 def iqr_outliers(df: DataFrame, cols: list[str], k: float = 1.5) -> DataFrame:
     """Rows outside [q25 - k iqr, q75 + k iqr] per column, count and pct.
-    Quartiles come from one aggregation and are broadcast back (one row)."""
-    probs = F.array(F.lit(0.25), F.lit(0.75))
-    q = df.agg(*[F.percentile(F.col(c).cast("double"), probs).alias(f"q_{c}") for c in cols])
-    j = df.crossJoin(F.broadcast(q))
+    Exact quartiles (one row per column) are broadcast back for the count."""
+    from vigil.operators.quantiles import exact_quantiles
+    q = exact_quantiles(df, cols, [0.25, 0.75])
+    qrow = q.groupBy().pivot("column", cols).agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("q"))
+    qrow = qrow.select(*[F.transform(F.col(c), lambda e: e["value"]).alias(f"q_{c}") for c in cols])
+    j = df.crossJoin(F.broadcast(qrow))  # one row
     aggs = [F.count(F.lit(1)).alias("_n")]
     for c in cols:
         q25, q75 = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
