@@ -48,3 +48,10 @@ def test_carry_forward_matches_batch(spark):
     got = {r.event_id: r.v for r in s.collect()}
     exp = {r.event_id: r.v for r in b.collect()}
     assert got == exp
+
+
+def test_counters(spark):
+    c = {}
+    ev = event_stream(spark, "/root/testdata/sf0.001")
+    D.run_to_table(ev.select("event_id"), "t-count", counters=c)
+    assert c["input_rows"] == 1000 and c["batches"] >= 1

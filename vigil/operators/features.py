@@ -274,8 +274,12 @@ def first_order_balance(level: str, inflow: str, outflow: str, tl: Timeline,
 def finite_features(df: DataFrame, cols: list[str]) -> DataFrame:
     """Replace +-inf by the median of the finite values of the column (W12),
     medians from one aggregation."""
-    med = df.agg(*[F.percentile(F.when(is_finite(c), F.col(c)), 0.5).alias(f"_m_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(med))
+    from vigil.operators.quantiles import exact_quantiles
+    fin = df.select(*[F.when(is_finite(c), F.col(c)).alias(c) for c in cols])
+    q = exact_quantiles(fin, cols, [0.5])
+    med = q.groupBy().pivot("column", cols).agg(F.first("value"))
+    med = med.select(*[F.col(c).alias(f"_m_{c}") for c in cols])
+    out = df.crossJoin(F.broadcast(med))  # one row
     for c in cols:
         inf = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) == float("inf"))
         out = out.withColumn(c, F.when(inf, F.col(f"_m_{c}")).otherwise(F.col(c)))

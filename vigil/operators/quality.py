@@ -217,14 +217,13 @@ def sampling_report(df: DataFrame, tl, ts: str, gap_s: float, ingest: str | None
     """Per run: median / min / max / mean interval between consecutive rows,
     gaps longer than ``gap_s`` and rows out of order against the ingest
     sequence (A13).  Both look-backs are one row, so long runs are cut into
-    chunks with a 1-row halo; the median is an exact ``percentile``, whose
-    state is a map of distinct intervals."""
+    chunks with a 1-row halo; the median comes from
+    :func:`vigil.operators.quantiles.exact_quantiles` (bounded memory)."""
     from vigil.functions.columns import micros
     from vigil.operators import chunking as CH
     x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
     x = CH.finish(x.withColumn("_dt", (micros(ts) - F.lag(micros(ts)).over(t2.w())) / 1e6), ch)
-    aggs = [F.count(F.lit(1)).alias("n_rows"),
-            F.percentile("_dt", 0.5).alias("median_dt"), F.min("_dt").alias("min_dt"),
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.min("_dt").alias("min_dt"),
             F.max("_dt").alias("max_dt"), F.avg("_dt").alias("mean_dt"),
             F.count_if(F.col("_dt") > gap_s).alias("n_gaps")]
     if ingest:
@@ -232,7 +231,10 @@ def sampling_report(df: DataFrame, tl, ts: str, gap_s: float, ingest: str | None
         y, t3, ch2 = CH.plan_chunks(x, ti, back=1, force=force_chunks)
         x = CH.finish(y.withColumn("_ooo", F.col(ts) < F.lag(ts).over(t3.w())), ch2)
         aggs.append(F.count_if("_ooo").alias("n_out_of_order"))
-    return x.groupBy(*tl.run_cols).agg(*aggs)
+    from vigil.operators.quantiles import exact_quantiles
+    med = exact_quantiles(x, ["_dt"], [0.5], group=tl.run_cols).select(
+        *tl.run_cols, F.col("value").alias("median_dt"))
+    return x.groupBy(*tl.run_cols).agg(*aggs).join(med, tl.run_cols, "left")
 
 
 def label_durations(df: DataFrame, label: str, ts: str) -> DataFrame:

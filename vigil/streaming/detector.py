@@ -180,7 +180,7 @@ def alert_counts(alerts: DataFrame, ts: str, window: str = "1 hour", watermark:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str] | None = None,
-                 timeout_s: int = 600) -> DataFrame:
+                 timeout_s: int = 600, counters: dict | None = None) -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into a table in
     the shared checkpoint folder and return it as a batch frame (T7, T8).
 
@@ -201,6 +201,8 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str]
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    if counters is not None:  # detector counters (A31) from the progress reports
+        counters.update(progress_counters(q))
     res = spark.read.parquet(out)
     if mode != "append" and key:
         from pyspark.sql import Window
@@ -211,5 +213,6 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str]
 
 def progress_counters(query) -> dict:
     """Detector counters from the last progress reports."""
-    rows = sum(p.get("numInputRows", 0) for p in (query.recentProgress or []))
-    return {"batches": len(query.recentProgress or []), "input_rows": rows}
+    prog = query.recentProgress or []
+    rows = sum(p["numInputRows"] if isinstance(p, dict) else p.numInputRows for p in prog)
+    return {"batches": len(prog), "input_rows": rows}
