@@ -32,7 +32,7 @@ def _greedy_cooldown(t: np.ndarray, cooldown: float) -> np.ndarray:
 
 
 def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldown: float,
-                out: str = "fired") -> DataFrame:
+                out: str = "fired", force_chunks: bool | None = None) -> DataFrame:
     """Adds boolean ``out``: greedy cooldown per ``keys`` in ``order``.
 
     Bursts (split at gaps >= cooldown) are independent, so they are hashed
@@ -40,10 +40,19 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
     scanned by one Arrow-batched ``mapInPandas`` call per partition: no
     per-group Python call, and a hot key's bursts spread over many tasks.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    gap = F.col(t) - F.lag(t).over(w)
-    x = df.withColumn("_start", (gap.isNull() | (gap >= cooldown)).cast("int"))
-    x = x.withColumn("_burst", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    from vigil.operators import chunking as CH
+    from vigil.operators.timeline import Timeline
+    tl = Timeline(run=tuple(keys), order=tuple(order), t=t)
+    # burst ids: a one-row look-back and a running count, both chunk-safe, so
+    # a key holding a large share of the rows is not one window task
+    x, t2, ch = CH.plan_chunks(df, tl, back=1, force=force_chunks)
+    gap = F.col(t) - F.lag(t).over(t2.w())
+    x = x.withColumn("_start", (gap.isNull() | (gap >= cooldown)).cast("int"))
+    if ch:
+        x = CH.carry_running_sum(x, t2, "_start", "_burst")
+    else:
+        x = x.withColumn("_burst", F.sum("_start").over(t2.prefix()))
+    x = CH.finish(x, ch)
     x = x.repartition(*[F.col(k) for k in keys], F.col("_burst")).sortWithinPartitions(*keys, "_burst", *order)
     schema = T.StructType(x.schema.fields + [T.StructField(out, T.BooleanType(), False)])
     group_cols = list(keys) + ["_burst"]
