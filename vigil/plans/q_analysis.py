@@ -114,7 +114,10 @@ SELECT l_suppkey, tau, round(a + b, 6) AS start, round(a, 6) AS target, round(ss
 def q_exp_fit(spark, sf):
     tl = Timeline(run="l_suppkey", order=("l_shipdate", "l_orderkey", "l_linenumber"))
     li = lineitem(spark, sf).select("l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
-    li = li.withColumn("t", (F.row_number().over(tl.w()) - 1).cast("double"))
+    # sample index per supplier from the two-phase prefix count (no run is
+    # gathered into one window task)
+    from vigil.operators.chunking import add_sequence
+    li = add_sequence(li, tl).withColumn("t", F.col("_seq").cast("double")).drop("_seq")
     out = PR.exp_fit(li, ["l_suppkey"], "t", "l_quantity", EXP_TAUS)
     return _round(_round(out, ["start", "target"], 6), ["sse"], 4)
 

@@ -169,10 +169,16 @@ SELECT event_id, user_id,
            first_value(v IGNORE NULLS) OVER {_frame("CURRENT ROW", "UNBOUNDED FOLLOWING")}, 0.0) AS v_ffill_bfill0
 FROM x""")
 def q_ffill_bfill(spark, sf):
-    df = _ev(spark, sf, "label", "value").withColumn(
+    df = _ev(spark, sf, "t", "label", "value").withColumn(
         "v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
-    return df.select("event_id", "user_id", X.ffill_zero("v", TL).alias("v_ffill0"),
-                     X.ffill_bfill_zero("v", TL).alias("v_ffill_bfill0"))
+    x, tl, ch = CH.plan_chunks(df, TL, back=0)
+    if ch:  # nearest non-null across chunks from one-row-per-chunk summaries
+        x = CH.carry_nearest(x, tl, [("v", "prev", "_p"), ("v", "next", "_n")])
+    else:
+        x = x.withColumn("_p", TL.prev_non_null("v")).withColumn("_n", TL.next_non_null("v"))
+    x = CH.finish(x, ch)
+    return x.select("event_id", "user_id", F.coalesce("_p", F.lit(0.0)).alias("v_ffill0"),
+                    F.coalesce("_p", "_n", F.lit(0.0)).alias("v_ffill_bfill0"))
 
 
 LI_TL = LINEITEM_TL
@@ -250,7 +256,9 @@ def _ramp_sql():
 def q_linear_ramp(spark, sf):
     li = lineitem(spark, sf).select("l_orderkey", "l_linenumber",
                                     F.col("l_linenumber").cast("double").alias("x"))
-    return X.build(li, ["l_orderkey", "l_linenumber"], X.linear_ramp("x", ORDER_TL, 3, 0.01))
+    return CH.chunked(li, ORDER_TL, lambda d, tl: X.build(
+        d, ["l_orderkey", "l_linenumber"] + CH.ctx(d), X.linear_ramp("x", tl, 3, 0.01)), back=3).select(
+        "l_orderkey", "l_linenumber", "x_ramp3")
 
 
 @register("physics_features", f"""WITH {EV}
