@@ -49,6 +49,11 @@ def norm(v, digits=9):
     return v
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
 def compare(spark, sf_dir, names=None, digits=9, verbose=True):
     from vigil.plans.registry import ORACLES, QUERIES
     con = duck(sf_dir)
@@ -82,8 +87,14 @@ def compare(spark, sf_dir, names=None, digits=9, verbose=True):
             continue
         status = "OK"
         detail = ""
+        stypes = dict(sdf.dtypes)
+        otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+        bad_types = [(c, stypes[c], otypes.get(c)) for c in scols
+                     if SPARK_TO_DUCK.get(stypes[c], stypes[c]) != otypes.get(c)]
         if sorted(scols) != sorted(ocols):
             status, detail = "COLS", f"spark={scols} oracle={ocols}"
+        elif bad_types:
+            status, detail = "TYPES", str(bad_types)
         elif len(srows) != len(orows):
             status, detail = "COUNT", f"spark={len(srows)} oracle={len(orows)}"
         else:

@@ -49,8 +49,8 @@ def q_iqr_outliers(spark, sf):
 
 
 def _cat_sql(c, expr):
-    return f"""SELECT '{c}' AS column, sum(cnt) FILTER (WHERE v IS NOT NULL) AS count,
-  coalesce(sum(cnt) FILTER (WHERE v IS NULL), 0) AS missing, count(v) AS nunique,
+    return f"""SELECT '{c}' AS column, CAST(sum(cnt) FILTER (WHERE v IS NOT NULL) AS BIGINT) AS count,
+  CAST(coalesce(sum(cnt) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS missing, count(v) AS nunique,
   arg_min(v, (-cnt, v)) FILTER (WHERE v IS NOT NULL) AS mode, max(cnt) FILTER (WHERE v IS NOT NULL) AS top_count,
   '{{' || string_agg('"' || v || '":' || CAST(cnt AS VARCHAR), ',' ORDER BY v) || '}}' AS value_counts
 FROM (SELECT CAST({expr} AS VARCHAR) AS v, count(*) AS cnt FROM ev GROUP BY 1)"""
@@ -99,7 +99,7 @@ EXP_TAUS = PR.DEFAULT_TAUS
 
 
 def _exp_sql():
-    taus = ", ".join(repr(t) for t in EXP_TAUS)
+    taus = ", ".join(f"CAST({t!r} AS DOUBLE)" for t in EXP_TAUS)
     return f"""WITH x AS (SELECT l_suppkey, CAST(row_number() OVER (PARTITION BY l_suppkey
         ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS DOUBLE) AS t, l_quantity AS x FROM lineitem),
 e AS (SELECT l_suppkey, tau, x, exp(-t / tau) AS u FROM x, (SELECT unnest([{taus}]) AS tau)),
@@ -329,8 +329,9 @@ def q_ensemble_vote(spark, sf):
     x = ev.select("event_id", S.ensemble_vote(p1, p2, p3, (W1, W2, W3)).alias("r"),
                   S.class_from_probs(p1).alias("c1"))
     return x.select("event_id", "r.class_id", rnd("r.confidence", 9).alias("confidence"), "r.is_attack",
-                    F.col("r.model_votes")["gbt"].alias("vote_gbt"), F.col("r.model_votes")["mlp"].alias("vote_mlp"),
-                    F.col("r.model_votes")["seq"].alias("vote_seq"),
+                    F.col("r.model_votes")["gbt"].cast("int").alias("vote_gbt"),
+                    F.col("r.model_votes")["mlp"].cast("int").alias("vote_mlp"),
+                    F.col("r.model_votes")["seq"].cast("int").alias("vote_seq"),
                     F.col("c1.class_id").alias("gbt_class"), rnd("c1.confidence", 9).alias("gbt_confidence"),
                     S.passes_confidence(F.col("r.class_id"), F.col("r.confidence")).alias("passes_threshold"))
 

@@ -100,7 +100,8 @@ EV_LIMITS = {"value": (0.0, 400.0), "k": (1.0, 95.0)}
 
 @register("range_violations", f"""WITH {EV}
 """ + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS column, {lo} AS lo, {hi} AS hi, count(*) FILTER (WHERE {c} < {lo}) AS n_below, "
+    f"SELECT '{c}' AS column, CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, "
+    f"count(*) FILTER (WHERE {c} < {lo}) AS n_below, "
     f"count(*) FILTER (WHERE {c} > {hi}) AS n_above, "
     f"count(*) FILTER (WHERE {c} < {lo}) + count(*) FILTER (WHERE {c} > {hi}) AS n_violations, "
     f"CAST(min({c}) AS DOUBLE) AS actual_min, CAST(max({c}) AS DOUBLE) AS actual_max FROM ev"
@@ -234,7 +235,8 @@ EV_NORMAL = {"value": (0.0, 300.0), "k": (0.0, 100.0)}
 
 @register("normal_ranges", f"""WITH {EV}, n AS (SELECT * FROM ev WHERE label = 0)
 """ + "\nUNION ALL\n".join(
-    f"SELECT '{c}' AS sensor, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, {lo} AS lo, {hi} AS hi, "
+    f"SELECT '{c}' AS sensor, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+    f"CAST({lo} AS DOUBLE) AS lo, CAST({hi} AS DOUBLE) AS hi, "
     f"min({c}) >= {lo} AND max({c}) <= {hi} AS ok FROM n" for c, (lo, hi) in EV_NORMAL.items()))
 def q_normal_ranges(spark, sf):
     return Q.normal_range_sanity(events(spark, sf).select("label", "value", "k"), "label", EV_NORMAL)
