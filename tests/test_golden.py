@@ -144,3 +144,27 @@ def test_mahalanobis(spark):
     cov = np.cov(arr.T)
     dx = arr[0] - arr.mean(0)
     assert d == pytest.approx(math.sqrt(dx @ np.linalg.inv(cov) @ dx))
+
+
+def test_alert_dedup_long_bursts_match_scan(spark):
+    import random
+    rnd = random.Random(11)
+    rows = []
+    for key in range(3):
+        tt = 0.0
+        for i in range(400):
+            tt += rnd.choice([0.5, 1.0, 2.0, 3.5, 4.0]) if rnd.random() > 0.01 else 30.0
+            rows.append((key, 1, i, tt))
+    df = spark.createDataFrame(rows, "run int, cls int, i int, t double")
+    exp = {}
+    for key in range(3):
+        ts = [r[3] for r in rows if r[0] == key]
+        last = -1e18
+        for j, v in enumerate(ts):
+            if v - last >= 10.0:
+                exp[(key, j)] = True
+                last = v
+    for long_rows in (25, 10_000):
+        out = FD.alert_dedup(df, ["run", "cls"], ["i"], "t", 10.0, long_burst_rows=long_rows)
+        got = {(r.run, r.i) for r in out.collect() if r.fired}
+        assert got == set(exp), long_rows

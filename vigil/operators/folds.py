@@ -3,13 +3,10 @@
 Alert de-duplication (T6): per key, an alert fires when at least ``cooldown``
 seconds passed since the last alert that *fired* (greedy).  A row whose gap
 to the previous row of the key is >= cooldown always fires, so the timeline
-splits into independent "bursts" at those gaps.  Single-row bursts (the
-common case) are decided in SQL; only multi-row bursts go through an
-Arrow-batched ``applyInPandas`` scan, one burst per group.
-
-A burst is bounded by the alert storm it records, not by the table.  Inside
-a burst at most one alert fires per ``cooldown``-wide time bucket; that is
-the hook for a distributed prefix composition if storms ever outgrow a task.
+splits into independent "bursts" at those gaps; bursts are hashed over
+partitions and scanned once per partition.  A burst longer than a segment
+(an alert storm) is cut into segments that are summarised, chained through
+their small summaries and marked in parallel, so no storm is one task.
 """
 
 from __future__ import annotations
@@ -32,7 +29,8 @@ def _greedy_cooldown(t: np.ndarray, cooldown: float) -> np.ndarray:
 
 
 def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldown: float,
-                out: str = "fired", force_chunks: bool | None = None) -> DataFrame:
+                out: str = "fired", force_chunks: bool | None = None,
+                long_burst_rows: int | None = None) -> DataFrame:
     """Adds boolean ``out``: greedy cooldown per ``keys`` in ``order``.
 
     Bursts (split at gaps >= cooldown) are independent, so they are hashed
@@ -53,6 +51,15 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
     else:
         x = x.withColumn("_burst", F.sum("_start").over(t2.prefix()))
     x = CH.finish(x, ch)
+    long_rows = long_burst_rows or int(CH._conf(df.sparkSession, CH.CHUNK_ROWS_CONF, CH.DEFAULT_CHUNK_ROWS))
+    biggest = x.groupBy(*keys, "_burst").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+    if biggest > long_rows:
+        return _dedup_with_long_bursts(x, keys, order, t, cooldown, out, long_rows)
+    return _scan_bursts(x, keys, order, t, cooldown, out).drop("_start", "_burst")
+
+
+def _scan_bursts(x: DataFrame, keys, order, t, cooldown, out) -> DataFrame:
+    """Hash bursts over partitions, sort, one sequential scan per partition."""
     x = x.repartition(*[F.col(k) for k in keys], F.col("_burst")).sortWithinPartitions(*keys, "_burst", *order)
     schema = T.StructType(x.schema.fields + [T.StructField(out, T.BooleanType(), False)])
     group_cols = list(keys) + ["_burst"]
@@ -72,7 +79,132 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
             pdf[out] = fired
             yield pdf
 
-    return x.mapInPandas(scan, schema).drop("_start", "_burst")
+    return x.mapInPandas(scan, schema)
+
+
+def _dedup_with_long_bursts(x: DataFrame, keys, order, t, cooldown, out, seg_rows: int) -> DataFrame:
+    """Exact greedy cooldown when a burst is longer than ``seg_rows`` rows.
+
+    1. positions inside each burst (two-phase count) and the successor of
+       every alert: the first alert at or after t + cooldown (a forward as-of
+       lookup, chunk-safe);
+    2. bursts are cut into segments of ``seg_rows`` positions; for each
+       segment, in parallel, the last alert fired inside it is tabulated for
+       every possible entry alert -- entries can only be the alerts of its
+       first 2 x cooldown seconds, because consecutive fires inside a burst
+       are less than 2 x cooldown apart;
+    3. per burst, only those small tables are chained segment by segment to
+       find each segment's entry alert;
+    4. each segment then marks its fires from its entry, in parallel.
+    Short bursts keep the single-scan path.
+    """
+    from vigil.operators import chunking as CH
+    from vigil.operators.timeline import Timeline
+    bk = list(keys) + ["_burst"]
+    tlb = Timeline(run=tuple(bk), order=tuple(order), t=t)
+    x = CH.add_sequence(x, tlb, total="_bn").withColumnRenamed("_seq", "_pos")
+    short = x.filter(F.col("_bn") <= seg_rows).drop("_pos", "_bn")
+    lg = x.filter(F.col("_bn") > seg_rows)
+    # 1. successor positions via probes at t + cooldown (probe sorts before an
+    #    alert at the same time, so "at or after" holds)
+    ev = lg.select(*bk, F.col(t).cast("double").alias("_time"), F.lit(1).alias("_side"),
+                   F.col("_pos").alias("_epos"), F.lit(None).cast("long").alias("_opos"))
+    pr = lg.select(*bk, (F.col(t).cast("double") + cooldown).alias("_time"), F.lit(0).alias("_side"),
+                   F.lit(None).cast("long").alias("_epos"), F.col("_pos").alias("_opos"))
+    u = ev.unionByName(pr)
+    tlu = Timeline(run=tuple(bk), order=("_time", "_side", "_epos"), t="_time")
+    uu, t2, ch = CH.plan_chunks(u, tlu, back=0)
+    if ch:
+        uu = CH.carry_nearest(uu, t2, [("_epos", "next", "_succ")])
+    else:
+        uu = uu.withColumn("_succ", tlu.next_non_null("_epos", inclusive=True))
+    succ = CH.finish(uu, ch).filter(F.col("_side") == 0).select(*bk, F.col("_opos").alias("_pos"), "_succ")
+    lg = lg.join(succ, bk + ["_pos"], "left").withColumn("_seg", F.floor(F.col("_pos") / seg_rows).cast("long"))
+    base_cols = lg.columns
+
+    # 2. per segment: exit fire for every possible entry
+    cand_schema = T.StructType([lg.schema[c] for c in bk] + [
+        T.StructField("_seg", T.LongType()), T.StructField("_cpos", T.LongType()),
+        T.StructField("_ct", T.DoubleType()), T.StructField("_xpos", T.LongType()),
+        T.StructField("_xt", T.DoubleType())])
+
+    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        pos = pdf["_pos"].to_numpy(dtype=np.int64)
+        tv = pdf[t].to_numpy(dtype=float)
+        sc = pdf["_succ"].to_numpy(dtype=float)
+        p0, n = pos[0], len(pos)
+        end = np.arange(n)
+        for i in range(n - 1, -1, -1):
+            s_ = sc[i]
+            if not np.isnan(s_) and int(s_) - p0 < n:
+                end[i] = end[int(s_) - p0]
+        cand = np.nonzero(tv < tv[0] + 2 * cooldown)[0]
+        res = pdf.iloc[cand][bk].copy()
+        res["_seg"] = pdf["_seg"].iloc[0]
+        res["_cpos"] = pos[cand]
+        res["_ct"] = tv[cand]
+        res["_xpos"] = pos[end[cand]]
+        res["_xt"] = tv[end[cand]]
+        return res[[f.name for f in cand_schema.fields]]
+
+    cands = lg.groupBy(*bk, "_seg").applyInPandas(summarise, cand_schema)
+
+    # 3. chain the small per-segment tables inside each burst
+    entry_schema = T.StructType([lg.schema[c] for c in bk] + [
+        T.StructField("_seg", T.LongType()), T.StructField("_entry", T.LongType(), True)])
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_seg", "_ct", "_cpos"])
+        rows = []
+        exit_t = None
+        for seg, g in pdf.groupby("_seg", sort=True):
+            if exit_t is None:
+                i = 0
+            else:
+                # the next fire is the first alert >= exit + cooldown; it lies
+                # within 2 x cooldown of the segment start, or, when no
+                # candidate qualifies, the whole segment is inside the
+                # cooldown and fires nothing
+                ok = np.nonzero(g["_ct"].to_numpy() >= exit_t + cooldown)[0]
+                if len(ok) == 0:
+                    continue
+                i = int(ok[0])
+            rows.append((seg, int(g["_cpos"].iloc[i])))
+            exit_t = float(g["_xt"].iloc[i])
+        out_ = pd.DataFrame(rows, columns=["_seg", "_entry"])
+        for c in bk:
+            out_[c] = pdf[c].iloc[0]
+        return out_[[f.name for f in entry_schema.fields]]
+
+    entries = cands.groupBy(*bk).applyInPandas(chain, entry_schema)
+
+    # 4. mark fires inside each segment from its entry
+    lg2 = lg.join(entries, bk + ["_seg"], "left")  # no entry: the segment fires nothing
+    mark_schema = T.StructType([lg2.schema[c] for c in base_cols + ["_entry"]] +
+                               [T.StructField(out, T.BooleanType(), False)])
+
+    def mark(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        pos = pdf["_pos"].to_numpy(dtype=np.int64)
+        sc = pdf["_succ"].to_numpy(dtype=float)
+        p0, n = pos[0], len(pos)
+        fired = np.zeros(n, dtype=bool)
+        e0 = pdf["_entry"].iloc[0]
+        i = -1 if pd.isna(e0) else int(e0) - p0
+        while 0 <= i < n:
+            fired[i] = True
+            s_ = sc[i]
+            if np.isnan(s_):
+                break
+            i = int(s_) - p0
+        pdf[out] = fired
+        return pdf[[f.name for f in mark_schema.fields]]
+
+    long_out = lg2.groupBy(*bk, "_seg").applyInPandas(mark, mark_schema)
+    long_out = long_out.drop("_pos", "_bn", "_succ", "_seg", "_entry")
+    short_out = _scan_bursts(short, keys, order, t, cooldown, out)
+    return short_out.unionByName(long_out).drop("_start", "_burst")
 
 
 def last_valid_rule_check(df: DataFrame, keys: list[str], order: list[str], x: str,
