@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from vigil.operators.timeline import Timeline
 
 CHUNK_ROWS_CONF = "vigil.window.chunkRows"
+CHUNK_MODE_CONF = "vigil.window.chunkMode"   # auto (size check) | always | never
 BUCKET_S_CONF = "vigil.window.bucketSeconds"
 DEFAULT_CHUNK_ROWS = 2_000_000
 DEFAULT_BUCKET_S = 3600.0
@@ -44,7 +45,14 @@ def ctx(df: DataFrame) -> list[str]:
 
 def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
     """Size check: is any run longer than ``chunk_rows``?  One aggregation
-    that reads only the run columns (pruned scan, map-side combined)."""
+    that reads only the run columns (pruned scan, map-side combined).
+    ``vigil.window.chunkMode`` = always / never skips the check (a cluster
+    that knows its runs are skewed saves the extra pass)."""
+    mode = (df.sparkSession.conf.get(CHUNK_MODE_CONF, "auto") or "auto").lower()
+    if mode == "always":
+        return True
+    if mode == "never":
+        return False
     m = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
     return m is not None and m > chunk_rows
 
