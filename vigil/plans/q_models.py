@@ -26,7 +26,11 @@ def feature_table(spark, sf):
     f = CH.chunked(ev, TL, fn, back=4)
     f = X.add_expanding_prior_z(f, TL, ["value"])
     f = SP.chrono_split(f, TL)
-    return MD.prepare(f, FEATURES, "label", keep=["event_id", "is_train"])
+    # fit and scoring both read the windowed features: materialise them once
+    # in the shared checkpoint folder (reliable, cuts the lineage)
+    from vigil.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    return MD.prepare(f, FEATURES, "label", keep=["event_id", "is_train"]).checkpoint()
 
 
 @register("rf_score")
