@@ -34,6 +34,7 @@ def get_session(master: str | None = None, app: str = "vigil",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -55,3 +56,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vigil`` importable in the Python workers of every executor
+    (pandas UDFs, applyInPandas, streaming state functions pickle references
+    to it): zip the package once per application and ``addPyFile`` it.  The
+    zip goes to the shared checkpoint folder when that is a local/shared
+    mount, else next to the driver (``addPyFile`` serves it to executors)."""
+    import zipfile
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    d = ensure_checkpoint_dir(spark)
+    if "://" in d and not d.startswith("file:"):
+        d = tempfile.mkdtemp(prefix="vigil-pkg-")
+    d = d.replace("file://", "").replace("file:", "")
+    os.makedirs(d, exist_ok=True)
+    path = os.path.join(d, f"vigil-{app}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
