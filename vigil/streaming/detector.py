@@ -48,7 +48,7 @@ def stream_folder(spark: SparkSession, name: str) -> str:
 
 def _online_frame(prev: pd.DataFrame, new: pd.DataFrame, t: str, sensors: list[str], first: dict,
                   n_before: int, windows=(10, 25, 50), roc: int = 50) -> pd.DataFrame:
-    allr = pd.concat([prev, new], ignore_index=True)
+    allr = pd.concat([prev, new], ignore_index=True) if len(prev) else new.reset_index(drop=True)
     k = len(prev)
     out = new.copy()
     tt = allr[t].astype(float)
@@ -102,7 +102,8 @@ def online_features(stream: DataFrame, run: str, order: list[str], t: str, senso
             first = {s: (None if pd.isna(new[s].iloc[0]) else float(new[s].iloc[0])) for s in sensors}
         out = _online_frame(prev, new.reset_index(drop=True), t, sensors, first, n)
         n2 = n + len(new)
-        allr = pd.concat([prev, new[[t] + sensors]], ignore_index=True).tail(buffer_rows)
+        cur = new[[t] + sensors]
+        allr = (pd.concat([prev, cur], ignore_index=True) if len(prev) else cur.reset_index(drop=True)).tail(buffer_rows)
         state.update((json.dumps(allr.astype(float).where(allr.notna(), None).values.tolist()), n2,
                       json.dumps(first)))
         out["seq_ready"] = out["row_index"] + 1 >= seq_len
