@@ -28,7 +28,7 @@ def confusion(df: DataFrame, y: str, p: str, labels: list[int] | None = None) ->
     return m.withColumn("row_share", F.try_divide(F.col("n").cast("double"), row_tot))
 
 
-def class_report(cm: DataFrame) -> DataFrame:
+def class_report(cm: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
     """precision / recall / f1 / support per class, then accuracy, macro and
     weighted averages, zero_division = 0 (A24).
 
@@ -37,14 +37,19 @@ def class_report(cm: DataFrame) -> DataFrame:
     exploded into a "true" and a "pred" contribution, one grouped aggregate
     gives tp / support / pred_n per class, and the summary rows come from
     windows over that tiny table, so the scored rows are read a single time.
+    ``carry`` names columns that are constant over ``cm`` and are passed
+    through to every output row (e.g. split sizes computed alongside).
     """
+    carry = list(carry)
+    cc = [F.col(c) for c in carry]
     c = cm.select(F.explode(F.array(
         F.struct(F.col("y_true").alias("cls"), F.col("n").alias("sup"),
                  F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp"),
-                 F.lit(0).cast("long").alias("pn")),
+                 F.lit(0).cast("long").alias("pn"), *cc),
         F.struct(F.col("y_pred").alias("cls"), F.lit(0).cast("long").alias("sup"), F.lit(0).cast("long").alias("tp"),
-                 F.col("n").alias("pn")))).alias("_e")).select("_e.*")
-    per = c.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("pn").alias("pred_n"))
+                 F.col("n").alias("pn"), *cc))).alias("_e")).select("_e.*")
+    per = c.groupBy("cls").agg(F.sum("tp").alias("tp"), F.sum("sup").alias("support"), F.sum("pn").alias("pred_n"),
+                               *[F.first(k).alias(k) for k in carry])
     per = per.filter((F.col("support") > 0) | (F.col("pred_n") > 0))
     prec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("pred_n")), F.lit(0.0))
     rec = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("support")), F.lit(0.0))
@@ -65,7 +70,7 @@ def class_report(cm: DataFrame) -> DataFrame:
 
     def row(name, p, r, f, sup):
         return F.struct(name.alias("row"), p.alias("precision"), r.alias("recall"), f.alias("f1"),
-                        sup.cast("bigint").alias("support"))
+                        sup.cast("bigint").alias("support"), *cc)
     own = row(F.col("cls").cast("string"), F.col("precision"), F.col("recall"), F.col("f1"), F.col("support"))
     summary = [row(F.lit("accuracy"), F.col("_acc"), F.col("_acc"), F.col("_acc"), F.col("_n")),
                row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import rnd
@@ -269,15 +270,17 @@ SELECT (SELECT count(*) FROM ev WHERE weekofyear(ts) IN (1, 2, 3)) AS n_train, (
        CASE WHEN avg(f1) > 0.9 THEN 'generalises' WHEN avg(f1) > 0.75 THEN 'partial' ELSE 'overfit' END AS verdict FROM f""")
 def q_holdout_verdict(spark, sf):
     x = SP.run_holdout(scored(spark, sf), "week", [1, 2, 3])
-    # one pass: counts of (split, truth, prediction); train/test sizes and the
-    # test report both come from that tiny table
+    # one pass: counts of (split, truth, prediction); the split sizes come
+    # from windows over that tiny table and ride along with the test report
     c = x.groupBy("is_train", F.col("label").alias("y_true"), F.col("pred").alias("y_pred")).agg(
         F.count(F.lit(1)).alias("n"))
-    sizes = c.groupBy().agg(F.sum(F.when(F.col("is_train"), F.col("n"))).alias("n_train"),
-                            F.sum(F.when(~F.col("is_train"), F.col("n"))).alias("n_test"))
-    rep = M.class_report(c.filter(~F.col("is_train"))).filter(F.col("row") == "macro avg")
-    return sizes.crossJoin(rep.select(F.col("f1").alias("macro_f1"))).select(
-        "n_train", "n_test", rnd("macro_f1", 9).alias("macro_f1"), SP.holdout_verdict(F.col("macro_f1")).alias("verdict"))
+    g = Window.partitionBy()
+    c = (c.withColumn("n_train", F.sum(F.when(F.col("is_train"), F.col("n")).otherwise(0)).over(g))
+          .withColumn("n_test", F.sum(F.when(~F.col("is_train"), F.col("n")).otherwise(0)).over(g))
+          .filter(~F.col("is_train")))
+    rep = M.class_report(c, carry=["n_train", "n_test"]).filter(F.col("row") == "macro avg")
+    return rep.select("n_train", "n_test", rnd("f1", 9).alias("macro_f1"),
+                      SP.holdout_verdict(F.col("f1")).alias("verdict"))
 
 
 # --- scoring ------------------------------------------------------------------------------
