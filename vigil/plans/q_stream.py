@@ -65,3 +65,35 @@ def q_stream_alerts(spark, sf):
     fired = D.dedup_alerts(cand2, ["user_id", "class_id"], ["ts", "event_id"], "t", 3600.0,
                            keep=["event_id", "user_id", "ts", "class_id", "confidence"])
     return D.run_to_table(fired, "alerts")
+
+
+@register("stream_carry_forward", f"""WITH {EV}, x AS (SELECT *, CASE WHEN label = 3 THEN NULL ELSE value END AS v FROM ev)
+SELECT event_id, user_id,
+  coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
+           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1.0) AS v
+FROM x""")
+def q_stream_carry_forward(spark, sf):
+    """T3 on the replayed stream: readings with a missing value (errors) are
+    completed from the run's last known value kept in keyed state."""
+    ev = event_stream(spark, sf).withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
+    out = D.carry_forward(ev, "user_id", ["ts", "event_id"], ["v"], {"v": -1.0}, keep=["event_id", "user_id"])
+    return D.run_to_table(out, "carry-forward")
+
+
+@register("stream_alert_dedup", f"""WITH RECURSIVE {EV},
+a AS (SELECT user_id, label, event_id, t,
+             row_number() OVER (PARTITION BY user_id, label ORDER BY ts, event_id) AS rn FROM ev WHERE label <> 0),
+nx AS (SELECT a.user_id, a.label, a.rn, min(b.rn) AS nrn FROM a LEFT JOIN a b
+         ON b.user_id = a.user_id AND b.label = a.label AND b.t >= a.t + 3600.0 GROUP BY ALL),
+f AS (SELECT user_id, label, rn FROM a WHERE rn = 1
+      UNION ALL
+      SELECT f.user_id, f.label, nx.nrn FROM f JOIN nx ON nx.user_id = f.user_id AND nx.label = f.label
+        AND nx.rn = f.rn WHERE nx.nrn IS NOT NULL)
+SELECT a.event_id, a.user_id, a.label FROM a JOIN f ON f.user_id = a.user_id AND f.label = a.label AND f.rn = a.rn""")
+def q_stream_alert_dedup(spark, sf):
+    """T6 on the replayed stream: last fired time per (run, class) in keyed
+    state, event time; only fired alerts are emitted."""
+    ev = event_stream(spark, sf).filter(F.col("label") != 0)
+    out = D.dedup_alerts(ev, ["user_id", "label"], ["ts", "event_id"], "t", 3600.0,
+                         keep=["event_id", "user_id", "label"])
+    return D.run_to_table(out, "alert-dedup")
