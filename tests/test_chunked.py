@@ -63,3 +63,21 @@ def test_needs_chunking(spark, runs):
     assert CH.needs_chunking(runs, TL, 500)
     assert not CH.needs_chunking(runs, TL, 1000)
     _ = F
+
+
+def test_chunk_mode_setting(spark, runs):
+    try:
+        spark.conf.set("vigil.window.chunkMode", "never")
+        assert not CH.needs_chunking(runs, TL, 10)
+        spark.conf.set("vigil.window.chunkMode", "always")
+        assert CH.needs_chunking(runs, TL, 10_000)
+    finally:
+        spark.conf.unset("vigil.window.chunkMode")
+    assert CH.needs_chunking(runs, TL, 10) and not CH.needs_chunking(runs, TL, 10_000)
+
+
+def test_ship_package_idempotent(spark):
+    from vigil.session import _SHIPPED, ship_package
+    ship_package(spark)
+    ship_package(spark)
+    assert spark.sparkContext.applicationId in _SHIPPED
