@@ -38,6 +38,9 @@ def _conf(spark: SparkSession, key: str, default):
     return type(default)(v) if v not in (None, "") else default
 
 
+_DECISIONS: dict = {}
+
+
 def ctx(df: DataFrame) -> list[str]:
     """Chunk bookkeeping columns present in ``df`` (to keep through a select)."""
     return [c for c in ("_halo", "_chunk", "_seq") if c in df.columns]
@@ -53,8 +56,19 @@ def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
         return True
     if mode == "never":
         return False
+    # both paths give identical results, so a cached (even stale) decision can
+    # only cost speed: remember it per input plan and run key
+    try:
+        key = (df._jdf.queryExecution().analyzed().semanticHash(), tuple(tl.run_cols), int(chunk_rows))
+    except Exception:  # noqa: BLE001
+        key = None
+    if key is not None and key in _DECISIONS:
+        return _DECISIONS[key]
     m = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    return m is not None and m > chunk_rows
+    res = m is not None and m > chunk_rows
+    if key is not None:
+        _DECISIONS[key] = res
+    return res
 
 
 def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S, out: str = "_seq",
