@@ -18,6 +18,7 @@ one row each; an empty table an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -27,47 +28,66 @@ from pyspark.sql import functions as F
 
 CHUNK = 32_768        # characters of a chunk
 OVERLAP = 512         # characters two chunks share at first
-CACHE = 400_000       # distinct pieces kept by a worker before it starts anew
+CACHE = 1_000_000     # distinct pieces kept by a worker before it starts anew
 
 # The pre-tokenizer's pieces for plain Latin text, lower case.
 _L = "a-zªµºß-öø-ÿ"
 _N = "0-9²³¹¼-¾"
+RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}\\s]+")
 # words made of these only are stable under NFC and lower-cased alone
 UNSAFE = re.compile("[^\t-\r\x20-\x7e¡-ÿ]")
-SPACE = re.compile("[\t-\r\x20]+")
 WORD = re.compile("[^\t-\r\x20]+")
 
 
+_COUNTERS: dict = {}
+
+
+def counter_for(path: str) -> "Counter":
+    """One counter a worker process: later tasks of the worker reuse its pieces."""
+    if path not in _COUNTERS:
+        _COUNTERS[path] = Counter(path)
+    return _COUNTERS[path]
+
+
 class Counter:
     """Counts tokens of text pieces through the library, each piece once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        if RULE not in (r["pattern"].get("Regex") for r in json.loads(self.tok.to_str())["pre_tokenizer"].get(
+                "pretokenizers", []) if r["type"] == "Split"):
+            raise ValueError(f"{path}: not a tokenizer that drops white space and splits by {RULE}")
         self.special = [str(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xA1, 0x100)}
         self.pieces: dict[str, int] = {}
 
     def _learn(self, new: list[str]) -> None:
         if len(self.pieces) > CACHE:
             self.pieces.clear()
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for p, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[p] = len(e.ids)
+        model = self.tok.model
+        for p in new:
+            if p[-1] == " ":                                    # a raw word: the whole pipeline
+                self.pieces[p] = len(self.tok.encode(p, add_special_tokens=False).ids)
+            else:                                               # one normalised piece: its merges only
+                self.pieces[p] = len(model.tokenize(p if p.isascii() else p.translate(self.bytes)))
 
     def split(self, text: str) -> list[str]:
-        """The independent pieces of a text, in order."""
+        """The independent pieces of a text, in order: normalised pieces, and raw
+        words marked by a space behind them."""
         if any(s in text for s in self.special):
-            return WORD.findall(text)
+            return [w + " " for w in WORD.findall(text)]
         if not UNSAFE.search(text):
             return PIECE.findall(text.lower())
         out = []
         for w in WORD.findall(text):
             if UNSAFE.search(w):
-                out.append(w)
+                out.append(w + " ")
             else:
                 out.extend(PIECE.findall(w.lower()))
         return out
@@ -159,7 +179,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
                       F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
 
     def run(batches):
-        counter = Counter(tokenizer)
+        counter = counter_for(tokenizer)
         for pdf in batches:
             n = count_texts(pdf["t"].tolist(), counter, chunk, overlap)
             yield pd.DataFrame({"k": pdf["k"], "n_bytes": pdf["n_bytes"], "n_tokens": np.asarray(n, np.int64)})
