@@ -162,20 +162,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"], _POW["i"]
 
 
-def words_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of A-Z lower-cased texts, all at once:
-    (word hash, text index, start byte, end byte, lower-cased bytes).  Equal
-    words have equal 64-bit hashes wherever they stand."""
+def words_of(texts: list, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of A-Z lower-cased texts, all at once: (word hash, text index,
+    start byte, end byte, lower-cased bytes).  Words are the runs of bytes not
+    in ``space``, by default ``[^\\x20\\x09-\\x0D]+``.  Equal words have equal
+    64-bit hashes wherever they stand."""
     raw = "\n".join(t if t is not None else "" for t in texts).encode("utf-8", "surrogatepass")
     buf = _LOWER[np.frombuffer(raw, np.uint8)]
-    sp = _SPACE[buf]
+    sp = space[buf]
     edge = np.diff(np.concatenate([[True], sp, [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if len(start) == 0:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z, buf
     h = np.empty(len(start), np.uint64)
-    step = 1 << 22                        # words: hashes are made in slices to bound the temporaries
+    step = 1 << 17                        # words: hashes are made in slices to bound the temporaries
     for i in range(0, len(start), step):
         s, e = start[i:i + step], end[i:i + step]
         part = buf[s[0]:e[-1]]
@@ -214,7 +215,7 @@ def shingle_sets(texts: list, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return sd[keep], sh[keep]
 
 
-def slices(texts: list, limit: int = 8_000_000) -> list[slice]:
+def slices(texts: list, limit: int = 1_000_000) -> list[slice]:
     """Cut a batch into runs of about ``limit`` characters (whole texts)."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import pii, secrets, tokens
+from vigil.llm import html, packing, pii, secrets, tokens
 from vigil.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
@@ -19,6 +19,12 @@ def _query(fn):
     return fn
 
 
+@_query
+def op1_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 @_query
 def op5_secret_scan(spark, sf_dir):
     """Secrets of every document with their ownership class."""
@@ -36,6 +42,12 @@ def op9_pii_pseudonyms(spark, sf_dir):
                        "pseudonymised")
 
 
+@_query
+def op6_best_fit_packing(spark, sf_dir):
+    """Every piece of every document with its bin."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op7_token_counts(spark, sf_dir):
     """Tokens of every document."""
