@@ -27,6 +27,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: dict[str, str]) -> DataFrame:
+    """``keep`` columns of every row, untouched, and the columns ``added``
+    (name -> "long", "double" or "string") that ``fn(list of texts or None)``
+    returns as a list of arrays; one Arrow batch at a time, no shuffle."""
+    import pyarrow as pa
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    src = docs.select(*keep)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields),
+                        *(f"`{k}` {v}" for k, v in added.items())])
+    names = [*src.columns, *added]
+
+    def run(batches):
+        for b in batches:
+            new = fn(b.column(b.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], *(pa.array(c, kinds[k]) for c, k in zip(new, added.values(), strict=True))], names=names)
+
+    return docs.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, schema)
+
+
 # ---------------------------------------------------------------- regex spans
 
 def regex_spans(text: Column, pattern: str, guard: Column | None = None) -> Column:

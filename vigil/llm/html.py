@@ -23,9 +23,9 @@ import re
 from html.parser import HTMLParser
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from vigil.llm.common import map_texts
 
 SIGMA = 1.5           # lines: width of the Gaussian
 
@@ -193,16 +193,9 @@ def main_text(html: str | None) -> tuple[str, int, int]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(id, url, text, n_chars, n_lines, n_all_lines) for every page."""
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def run(batches):
-        for pdf in batches:
-            found = [main_text(h) for h in pdf["h"]]
-            yield pd.DataFrame({"k": pdf["k"], "u": pdf["u"], "text": [x[0] for x in found],
-                                "n_chars": np.array([len(x[0]) for x in found], np.int64),
-                                "n_lines": np.array([x[1] for x in found], np.int64),
-                                "n_all_lines": np.array([x[2] for x in found], np.int64)})
-
-    src = pages.select(F.col(id_col).alias("k"), F.col(url).cast("string").alias("u"), F.col(html).alias("h"))
-    out = src.mapInPandas(run, f"k {kind}, u string, text string, n_chars long, n_lines long, n_all_lines long")
-    return out.withColumnsRenamed({"k": id_col, "u": url})
+    def run(texts):
+        found = [main_text(h) for h in texts]
+        return [[x[0] for x in found], [len(x[0]) for x in found], [x[1] for x in found], [x[2] for x in found]]
+
+    return map_texts(pages, [id_col, url], html, run,
+                     {"text": "string", "n_chars": "long", "n_lines": "long", "n_all_lines": "long"})

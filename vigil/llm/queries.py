@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import html, packing, pii, secrets, tokens
+from vigil.llm import html, packing, pii, secrets, tokens, toxicity
 from vigil.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
@@ -25,6 +25,12 @@ def op1_main_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op4_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @_query
 def op5_secret_scan(spark, sf_dir):
     """Secrets of every document with their ownership class."""

@@ -22,7 +22,6 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -174,15 +173,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text:
                  limit: int = 2048, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) for every row.  ``tokenizer`` is the
     path of a tokenizers JSON file present on every worker."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("k"), F.col(text).alias("t"),
-                      F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes"))
-
-    def run(batches):
-        counter = counter_for(tokenizer)
-        for pdf in batches:
-            n = count_texts(pdf["t"].tolist(), counter, chunk, overlap)
-            yield pd.DataFrame({"k": pdf["k"], "n_bytes": pdf["n_bytes"], "n_tokens": np.asarray(n, np.int64)})
-
-    out = src.mapInPandas(run, f"k {kind}, n_bytes long, n_tokens long")
-    return out.select(F.col("k").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    def run(texts):
+        return [count_texts(texts, counter_for(tokenizer), chunk, overlap)]
+
+    n_bytes = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long").alias("n_bytes")
+    out = map_texts(docs, [id_col, n_bytes], text, run, {"n_tokens": "long"})
+    return out.select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
