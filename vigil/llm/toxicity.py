@@ -1,7 +1,8 @@
 """Toxicity by weak supervision (operator 4).
 
 1. A bounded sample of labelled rows (``FIT_ROWS``, the smallest hashes of
-   the ids that may teach) is read with its texts.
+   the ids that may teach) is read with its texts; of copies and near copies
+   (an equal minimal shingle under any of three orders) one teaches.
 2. Word and word-prefix features that stand with toxic labels are mined from
    the sample (signed likelihood ratio) and dealt to lexicon voters; pattern
    voters look at repetition, density and a short list of insults; one voter
@@ -32,12 +33,14 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vigil.llm.common import BYTE, MULT, _powers, map_texts, materialize, mix, slices, words_of
+from vigil.llm.common import BYTE, MULT, _powers, map_texts, materialize, mix, shingle_sets, slices, words_of
 
 FIT_ROWS = 24_000     # labelled rows the model is fitted on, at most
 FEATURES = 4_000      # mined lexicon entries, at most
-LEAST_G2 = 25.0       # likelihood ratio an entry needs
+LEAST_G2 = 20.0       # likelihood ratio an entry needs
+LEAST_ODDS = 4.0      # log odds an entry needs
 VOTERS = 12           # lexicon voters
 BUCKETS = 32          # lexicon inputs of the classifier
 REJECT = 0.7          # score from which a document counts as toxic
@@ -71,7 +74,7 @@ def features_of(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k in PREFIXES:
         i = np.flatnonzero(end - start >= k)
         s = start[i]
-        out.append(mix((acc[s + k] - acc[s]) * inv[s] + np.uint64(k) * MULT[6]))
+        out.append(mix((acc[s + k] - acc[s]) * inv[s] + MULT[k % 7]))
         where.append(doc[i])
         word.append(i)
     return np.concatenate(out), np.concatenate(where), np.concatenate(word)
@@ -128,6 +131,28 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights + self.bias, -40, 40)))
 
 
+def _teachers(sample: DataFrame) -> DataFrame:
+    """Ids of the sample without copies and near copies (at most FIT_ROWS rows
+    of four numbers reach the driver)."""
+    def run(texts):
+        low = [[0] * len(texts) for _ in range(3)]
+        for part in slices(texts):
+            doc, h = shingle_sets(texts[part])
+            if len(doc):
+                first = np.flatnonzero(np.diff(doc, prepend=-1))
+                for j in range(3):
+                    for d, v in zip(doc[first], np.minimum.reduceat(mix(h + MULT[j]), first), strict=True):
+                        low[j][part.start + int(d)] = int(v.view(np.int64))
+        return low
+
+    kind = sample.schema["_id"].dataType
+    rows = map_texts(sample, ["_id"], "text", run, {"m0": "long", "m1": "long", "m2": "long"}).toPandas()
+    rows = rows.sort_values(["_id", "m0"]).drop_duplicates("_id")
+    for m in ("m0", "m1", "m2"):
+        rows = rows[(rows[m] == 0) | ~rows.duplicated(m)]
+    return sample.sparkSession.createDataFrame([(v,) for v in rows["_id"].tolist()], T.StructType([T.StructField("_id", kind)]))
+
+
 def _mine(sample: DataFrame) -> DataFrame:
     """(feature, in toxic texts, in other texts) counted over the sample; a
     feature seen once in one slice, and there in no toxic text, is left out."""
@@ -167,7 +192,7 @@ def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
     for o, e in cells[1:]:
         g2 = g2 + part(o, e)
     odds = F.log((F.col("p") + 0.5) / (n_pos + 1.0)) - F.log((F.col("n") + 0.5) / (n_neg + 1.0))
-    return (c.select("f", g2.alias("g2"), odds.alias("odds")).where((F.col("odds") > 2) & (F.col("g2") > LEAST_G2))
+    return (c.select("f", g2.alias("g2"), odds.alias("odds")).where((F.col("odds") > LEAST_ODDS) & (F.col("g2") > LEAST_G2))
             .orderBy(F.desc("g2"), "f").limit(FEATURES).select("f", "odds").toPandas())
 
 
@@ -222,7 +247,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # at most fit_rows ids of 8 bytes: a bounded broadcast, so texts are not shuffled
     sample = (docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
               .join(F.broadcast(gold), "_id").where("text IS NOT NULL"))
-    sample = materialize(sample.select("text", "toxic").repartition(8), "toxicity-sample")
+    sample = materialize(sample.repartition(8), "toxicity-sample")
+    sample = sample.join(F.broadcast(_teachers(sample)), "_id").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
     if not n_pos or not n_neg:
@@ -263,7 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
         F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("p").alias("w")),
                           F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("w")))).alias("y"))
     train = materialize(train.select("features", "y.label", "y.w").where("w > 1e-6").coalesce(8), "toxicity-train")
-    lr = LogisticRegression(weightCol="w", regParam=1e-3, elasticNetParam=0.0, maxIter=60).fit(train)
+    lr = LogisticRegression(weightCol="w", regParam=1e-4, elasticNetParam=0.0, maxIter=60).fit(train)
     model.weights, model.bias = np.array(lr.coefficients.toArray()), float(lr.intercept)
     return model
 
