@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import html, packing, pii, secrets, tokens, toxicity
+from vigil.llm import html, jaccard, packing, pii, secrets, tokens, toxicity
 from vigil.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
@@ -58,3 +58,9 @@ def op6_best_fit_packing(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     """Tokens of every document."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+
+
+@_query
+def op10_ngram_jaccard_join(spark, sf_dir):
+    """Every document with its near-duplicate component."""
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
