@@ -3,7 +3,7 @@
 A text is the set of its distinct 5-word shingles; texts link at Jaccard 0.75
 or more.  Two linked sets of a and b shingles differ in at most (a + b) / 7.
 
-* Copies of one set are one node (a 128-bit set key), so only different
+* Copies of one set are one node (a 64-bit key of the set), so only different
   texts meet in the join.
 * Nodes fall into size bands; a zone is one band, or the border of two
   neighbouring bands.  In each zone the shingle universe is hashed into m
@@ -17,8 +17,9 @@ or more.  Two linked sets of a and b shingles differ in at most (a + b) / 7.
   neighbourhoods (threshold 1 each): less than one segment could differ by two
   or more everywhere.  Empty signatures are emitted only by sets whose other
   segments can't prove the match.  Zones of many frequent shingles take B.
-* Members of equal signatures are chained within sorted runs, candidate pairs
-  are verified exactly on the texts, and verified links form components.
+* Members of equal signatures are chained within sorted runs.  Candidate pairs
+  pass a bound from binned set sketches and are verified exactly on the texts;
+  verified links form components.
   Signatures whose members are then still in different components give all
   pairs between their components, verified too, so no link is lost while a
   group of copies never expands into all its pairs.
@@ -42,22 +43,49 @@ K = 5
 EDGES = (1, 4, 8, 16, 32, 64, 512, 4096, 32768, 1 << 18, 1 << 24, 1 << 31)   # lower ends of the size bands
 FREQUENT = 0.005      # share of nodes from which a shingle is frequent
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
-SCHEMA = "doc_id long, n long, k1 long, k2 long, hot array<struct<h:long,c:long>>"
+SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
+SMALL = 1_000_000     # node ids (16 bytes each) that may be broadcast; more are shuffled
 
 
 def _band(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.array(EDGES), n, side="right") - 1
 
 
-def set_keys(doc: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size, key, second key) of every text's shingle set."""
+def set_keys(doc: np.ndarray, h: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, key) of every text's shingle set."""
     n = np.bincount(doc, minlength=n_texts)
-    k1, k2 = np.zeros(n_texts, np.uint64), np.zeros(n_texts, np.uint64)
+    k1 = np.zeros(n_texts, np.uint64)
     if len(doc):
         first = np.flatnonzero(np.diff(doc, prepend=-1))
         k1[doc[first]] = mix(np.add.reduceat(mix(h ^ MULT[0]), first) + n[doc[first]].astype(np.uint64))
-        k2[doc[first]] = mix(np.add.reduceat(mix(h ^ MULT[1]), first))
-    return n, k1, k2
+    return n, k1
+
+
+def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list:
+    """Per text, how many shingles fall into each of 2^k bins (at least half as
+    many bins as shingles), capped at 255.  Sums of bin-wise minima bound
+    intersections from above."""
+    out: list = [None] * len(n)
+    start = np.concatenate([[0], np.cumsum(n)])
+    x = mix(h + MULT[5])
+    for i in np.flatnonzero(n):
+        bins = 1 << max(4, int(n[i] - 1).bit_length() - 1)
+        c = np.bincount((x[start[i]:start[i + 1]] & np.uint64(bins - 1)).astype(np.int64), minlength=bins)
+        out[i] = np.minimum(c, 255).astype(np.uint8).tobytes()
+    return out
+
+
+def sketch_bound(a: bytes, b: bytes) -> int:
+    """An upper bound of the intersection of two sets from their sketches (255
+    means any number)."""
+    x, y = (np.frombuffer(v, np.uint8).astype(np.int64) for v in (a, b))
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 40
+    while len(x) > len(y):
+        x = x[:len(x) // 2] + x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] + y[len(y) // 2:]
+    return int(np.minimum(x, y).sum())
 
 
 def sets_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -67,13 +95,14 @@ def sets_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
         for b in batches:
             texts = b.column(1).to_pylist()
             size = np.zeros(len(texts), np.int64)
-            keys = np.zeros((2, len(texts)), np.uint64)
+            keys = np.zeros(len(texts), np.uint64)
             seen: set = set()
-            parts = []
+            parts, sketch = [], []
             for part in slices(texts):
                 doc, h = shingle_sets(texts[part], K)
-                n, k1, k2 = set_keys(doc, h, part.stop - part.start)
-                size[part], keys[0, part], keys[1, part] = n, k1, k2
+                n, k1 = set_keys(doc, h, part.stop - part.start)
+                sketch.extend(sketches(doc, h, n))
+                size[part], keys[part] = n, k1
                 new = np.array([n[i] > 0 and k not in seen and not seen.add(k) for i, k in enumerate(k1.tolist())], bool)
                 parts.append(h[new[doc]] if len(doc) else h)
             ids, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
@@ -82,9 +111,10 @@ def sets_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             if texts:
                 hot[0] = [{"h": int(a), "c": int(c)} for a, c in zip(ids[often].view(np.int64), count[often], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                [b.column(0), pa.array(size), pa.array(keys.view(np.int64)),
+                 pa.array(sketch, pa.binary()),
                  pa.array(hot, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))],
-                names=["doc_id", "n", "k1", "k2", "hot"])
+                names=["doc_id", "n", "k1", "sketch", "hot"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
 
@@ -195,7 +225,7 @@ def hot_of(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
 def signatures(texts: list, hot: np.ndarray, zones: Zones, seen: set) -> tuple[np.ndarray, np.ndarray]:
     """(signature, node key) index entries of a run of texts, copies once."""
     doc, h = shingle_sets(texts, K)
-    n, k1, _ = set_keys(doc, h, len(texts))
+    n, k1 = set_keys(doc, h, len(texts))
     fresh = np.array([n[i] > 0 and k not in seen and not seen.add(k) for i, k in enumerate(k1.tolist())], bool)
     if not fresh.any():
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
@@ -287,9 +317,31 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _ratio_ok():
-    """The size condition of a link."""
-    return F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave possible."""
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = [7 * sketch_bound(x.as_py(), y.as_py()) >= 3 * int(m)
+                  for x, y, m in zip(batch.column(3), batch.column(5), na + nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    side = {k: nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab"}
+    both = (pairs.join(side["a"], "a").join(side["b"], "b")
+            .where(F.least("na", "nb") * 4 >= F.greatest("na", "nb") * 3))
+    return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
+
+
+def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of nodes that link: sketches first, then the texts."""
+    left = materialize(possible(pairs, nodes), "jaccard-possible")
+    wanted = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
+        nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")), "jaccard-wanted")
+    # the ids are broadcast below SMALL, else hashed a partition at a time: texts are never sorted
+    few = wanted.count() <= SMALL
+    found = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id")
+    texts = materialize(_own_text(found), "jaccard-texts")
+    return materialize(verified(left, texts), "jaccard-links")
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force: str | None = None) -> DataFrame:
@@ -297,50 +349,43 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sets = materialize(sets_of(rows, "doc_id", "text"), "jaccard-sets")
     nodes = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("k1").alias("node"))
-                        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "jaccard-nodes")
-    n_nodes = nodes.count()
-    hot = frequent(sets, n_nodes)
-    share = sets.where("hot IS NOT NULL").select(F.explode("hot").alias("x")).agg(F.sum("x.c")).first()[0] or 0
+                        .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-nodes")
     band = sum((F.col("n") >= e).cast("int") for e in EDGES[1:])
     by_band = {r["b"]: (r["c"], r["s"]) for r in nodes.groupBy(band.alias("b")).agg(
         F.count("*").alias("c"), F.avg("n").alias("s")).collect()}
+    hot = frequent(sets, sum(c for c, _ in by_band.values()))
+    share = sets.where("hot IS NOT NULL").select(F.explode("hot").alias("x")).agg(F.sum("x.c")).first()[0] or 0
     shingles = sum(c * s for c, s in by_band.values())
     hot_share = min(0.95, share / shingles) if len(hot) and shingles else 0.0
     zones = Zones({b: (c, s, hot_share) for b, (c, s) in by_band.items()}, force)
 
     live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs")
-    members = live.select("node").distinct().join(nodes, "node")
-    # texts of the candidates; the id set is hashed, so texts are not sorted
-    found = rows.join(members.select(F.col("rep").alias("doc_id"), "node").hint("shuffle_hash"), "doc_id")
-    texts = materialize(_own_text(found), "jaccard-texts")
-    size = nodes.select("node", "n")
-
-    def sized(pairs):
-        return (pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-                .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-                .where(_ratio_ok()).select("a", "b"))
-
-    pairs = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(verified(sized(pairs), texts), "jaccard-links")
-    comp = materialize(components(links, "jaccard-cc"), "jaccard-comp")
+    chained = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
+    comp = materialize(components(links_of(chained, nodes, rows), "jaccard-cc"), "jaccard-comp")
 
-    # signatures whose members are still in different components
-    tagged = materialize(live.select("sig", "node").distinct().join(comp, "node", "left").join(size, "node")
-                         .select("sig", "node", "n", F.coalesce("component", "node").alias("c")), "jaccard-tagged")
+    # signatures whose members are still in different components: every pair
+    # between a member outside the largest component and one of another
+    tagged = materialize(live.select("sig", "node").join(comp, "node", "left")
+                         .select("sig", "node", F.coalesce("component", "node").alias("c")), "jaccard-tagged")
     per = tagged.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = per.groupBy("sig").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("n_c")).where("n_c > 1")
-    open_ = tagged.join(main.select("sig", "main"), "sig")
-    outside = open_.where("c != main").select("sig", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    others = open_.select("sig", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    more = (outside.join(others, "sig").where((F.col("ca") != F.col("cb")) & _ratio_ok())
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    more = materialize(verified(more, texts), "jaccard-more")
-    comp = components(links.unionByName(more), "jaccard-cc2")
-
-    named = nodes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    main = (per.groupBy("sig").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("n_c"))
+            .where("n_c > 1").select("sig", "main"))
+    open_ = tagged.join(main, "sig")
+    outside = open_.where("c != main").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"))
+    others = open_.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"))
+    between = (outside.join(others, "sig").where("cx != cy")
+               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+               .join(chained, ["a", "b"], "left_anti"))
+    more = links_of(between, nodes, rows)
+    over = {k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"}
+    more = more.join(over["a"], "a", "left").join(over["b"], "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(more, "jaccard-cc2").select(F.col("node").alias("c"), F.col("component").alias("c2"))
+
+    named = (nodes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+             .join(joined, "c", "left").withColumn("c", F.coalesce("c2", "c")))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "c").select(F.col("node").alias("k1"), "component_id")
+    named = named.select("node", "c").join(least, "c").select(F.col("node").alias("k1"), "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"),
                       F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("k1")).alias("k1"))
     return (out.join(named, "k1", "left")
@@ -356,7 +401,7 @@ def _own_text(found: DataFrame) -> DataFrame:
             want = b.column(0).to_numpy()
             for part in slices(body):
                 doc, h = shingle_sets(body[part], K)
-                _, k1, _ = set_keys(doc, h, part.stop - part.start)
+                _, k1 = set_keys(doc, h, part.stop - part.start)
                 ok[part] = k1.view(np.int64) == want[part]
             yield b.filter(pa.array(ok))
 

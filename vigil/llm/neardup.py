@@ -99,12 +99,17 @@ def prune(x: np.ndarray) -> np.ndarray:
     dst = out.ravel()
     ok = dst >= 0
     both = np.unique(np.concatenate([np.stack([src[ok], dst[ok]], 1), np.stack([dst[ok], src[ok]], 1)]), axis=0)
-    # the nearest first, at most three times the degree
-    o = np.lexsort((-s[both[:, 0], both[:, 1]], both[:, 0]))
+    # the nearest first, at most three times the degree; but the edge back from
+    # a node's nearest kept neighbours always stays, so every node has a way in
+    first = np.zeros((n, n), bool)
+    for t in range(min(2, DEGREE)):
+        ok = out[:, t] >= 0
+        first[out[ok, t], np.flatnonzero(ok)] = True
+    o = np.lexsort((-s[both[:, 0], both[:, 1]], ~first[both[:, 0], both[:, 1]], both[:, 0]))
     both = both[o]
     start = np.searchsorted(both[:, 0], np.arange(n))
     rank = np.arange(len(both)) - start[both[:, 0]]
-    keep = rank < 3 * DEGREE
+    keep = (rank < 3 * DEGREE) | first[both[:, 0], both[:, 1]]
     width = int(rank[keep].max()) + 1
     adj = np.full((n, width), -1, np.int32)
     adj[both[keep, 0], rank[keep]] = both[keep, 1]
