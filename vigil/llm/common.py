@@ -29,10 +29,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: dict[str, str]) -> DataFrame:
     """``keep`` columns of every row, untouched, and the columns ``added``
-    (name -> "long", "double" or "string") that ``fn(list of texts or None)``
+    (name -> type, one of those below) that ``fn(list of texts or None)``
     returns as a list of arrays; one Arrow batch at a time, no shuffle."""
     import pyarrow as pa
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
+             "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
+             "array<string>": pa.list_(pa.string())}
     src = docs.select(*keep)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema.fields),
                         *(f"`{k}` {v}" for k, v in added.items())])

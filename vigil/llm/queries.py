@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import html, jaccard, neardup, packing, pii, secrets, tokens, toxicity
+from vigil.llm import html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
 from vigil.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
@@ -25,6 +25,12 @@ def op1_main_text(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op2_sentencepiece_nbest(spark, sf_dir):
+    """N best segmentations of every document, with the round trip."""
+    return spm.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 @_query
 def op3_embedding_near_dedup(spark, sf_dir):
     """Every vector with its links and component."""
