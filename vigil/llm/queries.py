@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
+from vigil.llm import ann, html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
 from vigil.llm.common import table
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
@@ -49,6 +49,12 @@ def op5_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+@_query
+def op8_nn_descent_search(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, 20)
+
+
 @_query
 def op9_pii_pseudonyms(spark, sf_dir):
     """Every document with its personal data replaced by pseudonyms."""
