@@ -25,8 +25,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from vigil.llm.common import table
     ship_package(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, keep=docs.columns)
-    return scored.where(F.col("score") < toxicity.REJECT).select(docs.columns)
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    scored = toxicity.score(docs, model, keep=docs.columns, out=name)
+    return scored.where(F.col(name) < toxicity.REJECT).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: d
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], *(pa.array(c, kinds[k]) for c, k in zip(new, added.values(), strict=True))], names=names)
 
+    # the text comes last, so a kept column of the same name does no harm
     return docs.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, schema)
 
 

@@ -295,9 +295,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "text",
-          keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default: the id) of every row with its score."""
-    return map_texts(docs, keep or [id_col], text, lambda texts: [model.scores(texts)], {"score": "double"})
+          keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """``keep`` columns (default: the id) of every row with its score as ``out``."""
+    return map_texts(docs, keep or [id_col], text, lambda texts: [model.scores(texts)], {out: "double"})
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
