@@ -3,6 +3,7 @@ connected components and the vectorised word / shingle hashing."""
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -27,6 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now: it acts
+    when the driver collects garbage, which a roomy driver seldom does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: dict[str, str]) -> DataFrame:
     """``keep`` columns of every row, untouched, and the columns ``added``
     (name -> type, one of those below) that ``fn(list of texts or None)``

@@ -10,7 +10,7 @@ or more.  Two linked sets of a and b shingles differ in at most (a + b) / 7.
   segments and two linked sets must agree on some segments.
 * Allocation by cost, per zone: plan A indexes whole segments (threshold 0).
   m is half the largest set (all of it in small bands), and each set emits its H + 1 first
-  segments in one global order (segments with a rare shingle first, segments
+  segments in one global order (those with the most rare shingles first, those
   made of frequent shingles only after them, empty ones last): two sets with
   distance <= H agree on at least m - H segments, so these prefixes meet.
   Plan B indexes m = H / 2 + 1 segments with their one-deletion
@@ -37,11 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import MULT, components, materialize, mix, shingle_sets, slices
+from vigil.llm.common import MULT, components, materialize, mix, release, shingle_sets, slices
 
 K = 5
 EDGES = (1, 4, 8, 16, 32, 64, 512, 4096, 32768, 1 << 18, 1 << 24, 1 << 31)   # lower ends of the size bands
-FREQUENT = 0.005      # share of nodes from which a shingle is frequent
+FREQUENT = 0.001      # share of nodes from which a shingle is frequent
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
 SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
 SMALL = 1_000_000     # node ids (16 bytes each) that may be broadcast; more are shuffled
@@ -121,9 +121,10 @@ def sets_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def frequent(sets: DataFrame, n_nodes: int) -> np.ndarray:
     """Sorted hashes of the frequent shingles.  At most (mean set size /
-    FREQUENT) shingles can be in that share of the sets, however many sets."""
+    FREQUENT, doubled) shingles can be in half that share of the sets, however
+    many sets; batches count them only from a few up, hence the half."""
     hot = (sets.where("hot IS NOT NULL").select(F.explode("hot").alias("x")).groupBy("x.h").agg(F.sum("x.c").alias("c"))
-           .where(F.col("c") >= max(8, FREQUENT * n_nodes)).select("h").toPandas())
+           .where(F.col("c") >= max(8, FREQUENT / 2 * n_nodes)).select("h").toPandas())
     return np.sort(hot["h"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -173,14 +174,14 @@ def _emit(doc, h, n, hot, zone, limit, zones):
     sdoc, sz = doc[first], z[first]
     place = mix(seed[sz] + seg[first].astype(np.uint64) * MULT[4])
     wide = zones.deletions[sz]
-    rare = np.add.reduceat(~hot_of(h, hot), first) > 0 if len(hot) else np.ones(len(first), bool)
+    rare = np.minimum(np.add.reduceat(~hot_of(h, hot), first), 4) if len(hot) else np.minimum(size, 4)
     out_s, out_d = [], []
 
     # plan A: the first H + 1 segments of the global order
     a = np.flatnonzero(~wide)
     if len(a):
         sig = mix(total[a] + place[a])
-        o = np.lexsort((sig, ~rare[a], sdoc[a]))
+        o = np.lexsort((sig, -rare[a], sdoc[a]))
         sig, d = sig[o], sdoc[a][o]
         start = np.flatnonzero(np.diff(d, prepend=-1))
         have = np.diff(np.append(start, len(d)))
@@ -335,6 +336,7 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs of nodes that link: sketches first, then the texts."""
     left = materialize(possible(pairs, nodes), "jaccard-possible")
+    release(pairs.sparkSession)
     wanted = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
         nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")), "jaccard-wanted")
     # the ids are broadcast below SMALL, else hashed a partition at a time: texts are never sorted
@@ -360,8 +362,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
     zones = Zones({b: (c, s, hot_share) for b, (c, s) in by_band.items()}, force)
 
     live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs")
+    release(docs.sparkSession)
     chained = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
     comp = materialize(components(links_of(chained, nodes, rows), "jaccard-cc"), "jaccard-comp")
+    release(docs.sparkSession)
 
     # signatures whose members are still in different components: every pair
     # between a member outside the largest component and one of another
@@ -373,9 +377,10 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
     open_ = tagged.join(main, "sig")
     outside = open_.where("c != main").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"))
     others = open_.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"))
-    between = (outside.join(others, "sig").where("cx != cy")
+    between = materialize(outside.join(others, "sig").where("cx != cy")
                .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-               .join(chained, ["a", "b"], "left_anti"))
+               .join(chained, ["a", "b"], "left_anti"), "jaccard-between")
+    release(docs.sparkSession)
     more = links_of(between, nodes, rows)
     over = {k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"}
     more = more.join(over["a"], "a", "left").join(over["b"], "b", "left").select(
