@@ -109,7 +109,7 @@ def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"t": pd.Series([], dtype="int64"), "near": []})
+            return pd.DataFrame({"t": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
         right = right.sort_values("node")
         ids, vec = right["node"].to_numpy(), _full(right["h"])
         vscale = right["scale"].to_numpy()
@@ -129,7 +129,7 @@ def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool
         if both:
             t2, near2 = _top(ids[at], u[row], s, k)
             t, near = np.concatenate([t, t2]), near + near2
-        return pd.DataFrame({"t": t, "near": near})
+        return pd.DataFrame({"t": t, "near": pd.Series(near, dtype=object)})
 
     rows = asked.select("u", "h", "scale", "cand").mapInArrow(
         split, "block int, u long, h binary, scale double, cand array<long>")
@@ -155,13 +155,13 @@ def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
         np.fill_diagonal(s, -np.inf)
         k = min(degree, len(ids) - 1)
         if k <= 0:
-            return pd.DataFrame({"t": ids, "near": [[] for _ in ids]})
+            return pd.DataFrame({"t": ids, "near": pd.Series([[] for _ in ids], dtype=object)})
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         row = np.repeat(np.arange(len(ids)), k)
         # the same sum as in evaluate(): equal pairs get equal scores
         val = np.einsum("ij,ij->i", x[row], x[top.ravel()]) * scale[row] * scale[top.ravel()]
         t, near = _top(ids[row], ids[top.ravel()], val, k)
-        return pd.DataFrame({"t": t, "near": near})
+        return pd.DataFrame({"t": t, "near": pd.Series(near, dtype=object)})
 
     return best(members.groupBy("shard", "block").applyInPandas(inside, f"t long, near {LIST}"), degree)
 
@@ -225,7 +225,7 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFr
                 t = top[r][ids[top[r]] != node[r]]
                 v = np.einsum("ij,ij->i", np.broadcast_to(q[r], (len(t), q.shape[1])), base[t]) * qs[r] * scale[t]
                 near.append([{"s": float(a), "v": int(b)} for a, b in zip(v, ids[t], strict=True)])
-            yield pd.DataFrame({"q": node, "h": h, "scale": qs, "near": near})
+            yield pd.DataFrame({"q": node, "h": h, "scale": qs, "near": pd.Series(near, dtype=object)})
 
     first = queries.mapInPandas(begin, f"q long, h binary, scale double, near {LIST}")
     own = first.join(graph.select(F.col("t").alias("q"), F.col("near").alias("mine")), "q", "left")
