@@ -200,11 +200,21 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tupl
     """Expectation maximisation over vote patterns (-1 clean, 0 silent, 1
     toxic): (posterior of each pattern, P(vote | class) as [voter, class, vote],
     weight of each voter).  Voters that agree beyond what the class explains
-    are correlated, and share one say."""
+    are correlated, and share one say; to begin with, voters that agree nearly
+    always do."""
     v = votes.astype(np.int64) + 1
     n_p, n_v = v.shape
-    weight = np.ones(n_v)
-    post = np.clip((votes.sum(1) + 1e-3) / (2 * np.abs(votes).sum(1) + 1e-3) + 0.5, 0.02, 0.98)
+
+    def agreement(w: np.ndarray) -> np.ndarray:
+        z = votes - (w[:, None] * votes).sum(0) / w.sum()
+        cov = (z * w[:, None]).T @ z / w.sum()
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
+        rho = np.clip(cov / np.outer(sd, sd), 0, 1)
+        np.fill_diagonal(rho, 0)
+        return rho
+
+    weight = 1 / (1 + (agreement(counts) ** 8).sum(1))
+    post = np.clip((votes @ weight + 1e-3) / (2 * np.abs(votes) @ weight + 1e-3) + 0.5, 0.02, 0.98)
     theta = np.zeros((n_v, 2, 3))
     for outer in range(2):
         for _ in range(rounds):
@@ -224,15 +234,8 @@ def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tupl
         if outer == 0:
             share = np.ones(n_v)
             for w in (counts * (1 - post), counts * post):
-                total = w.sum()
-                if total <= 0:
-                    continue
-                z = votes - (w[:, None] * votes).sum(0) / total
-                cov = (z * w[:, None]).T @ z / total
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-                rho = np.clip(cov / np.outer(sd, sd), 0, 1)
-                np.fill_diagonal(rho, 0)
-                share = np.maximum(share, 1 + rho.sum(1))
+                if w.sum() > 0:
+                    share = np.maximum(share, 1 + agreement(w).sum(1))
             weight = 1 / share
     return post, theta, weight
 
