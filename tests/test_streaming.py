@@ -5,17 +5,38 @@ from pyspark.sql import functions as F
 
 from vigil.operators import features as X
 from vigil.operators import folds as FD
-from vigil.plans.q_stream import event_stream
+from vigil.plans.q_stream import LATE, event_stream
 from vigil.sources.tables import EVENTS_TL, events
 from vigil.streaming import detector as D
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_online_features_match_batch(spark):
+@pytest.fixture(scope="module", params=["one file", "four shuffled files"])
+def sf(spark, request, tmp_path_factory):
+    """The driver's folder, or one whose events lie in four files of mixed order,
+    which the stream reads one a batch."""
+    if request.param == "one file":
+        return SF
+    folder = str(tmp_path_factory.mktemp("sf"))
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    ev.repartition(4, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_window_counts(spark, sf):
+    from vigil.plans.q_stream import q_stream_window_counts
+    got = q_stream_window_counts(spark, sf)
+    want = events(spark, SF).groupBy("label").count()
+    assert {r.label: r.n for r in got.groupBy("label").agg(F.sum("n").alias("n")).collect()} == {
+        r.label: r["count"] for r in want.collect()}
+
+
+def test_online_features_match_batch(spark, sf):
     keep = ["event_id", "user_id", "ts", "t", "label"]
-    online = D.run_to_table(D.online_features(event_stream(spark, SF), "user_id", ["ts", "event_id"], "t",
-                                              ["value"], keep=keep), "t-online")
+    ev, closing = event_stream(spark, sf)
+    online = D.run_to_table(D.online_features(ev, "user_id", ["event_id"], "t", ["value"], keep=keep, late=LATE),
+                            "t-online", closing=closing)
     batch = X.family_b(events(spark, SF).select(*keep, "value"), EVENTS_TL, ["value"], keep=["event_id", "user_id"])
     n = events(spark, SF).groupBy("user_id").agg(F.count("*").alias("n"))
     cols = [c for c in batch.columns if c.startswith(("d_", "value_"))]
@@ -30,19 +51,20 @@ def test_online_features_match_batch(spark):
             assert r["o_" + c] == pytest.approx(r[c], rel=1e-9, abs=1e-9), (c, r.event_id)
 
 
-def test_stream_dedup_matches_batch(spark):
-    ev = event_stream(spark, SF).filter(F.col("label") != 0)
-    s = D.run_to_table(D.dedup_alerts(ev, ["user_id", "label"], ["ts", "event_id"], "t", 3600.0,
-                                      keep=["event_id", "user_id", "label"]), "t-dedup")
+def test_stream_dedup_matches_batch(spark, sf):
+    ev, closing = event_stream(spark, sf)
+    s = D.run_to_table(D.dedup_alerts(ev.filter(F.col("label") != 0), ["user_id", "label"], ["event_id"], "t", 3600.0,
+                                      keep=["event_id", "user_id", "label"], late=LATE), "t-dedup", closing=closing)
     b = FD.alert_dedup(events(spark, SF).filter(F.col("label") != 0), ["user_id", "label"], ["ts", "event_id"],
                        "t", 3600.0).filter("fired")
     assert sorted(r.event_id for r in s.collect()) == sorted(r.event_id for r in b.collect())
 
 
-def test_carry_forward_matches_batch(spark):
-    ev = event_stream(spark, SF).withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
-    s = D.run_to_table(D.carry_forward(ev, "user_id", ["ts", "event_id"], ["v"], {"v": -1.0},
-                                       keep=["event_id", "user_id"]), "t-carry")
+def test_carry_forward_matches_batch(spark, sf):
+    ev, closing = event_stream(spark, sf)
+    ev = ev.withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
+    s = D.run_to_table(D.carry_forward(ev, "user_id", ["event_id"], ["v"], {"v": -1.0},
+                                       keep=["event_id", "user_id"], late=LATE), "t-carry", closing=closing)
     b = events(spark, SF).withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
     b = b.select("event_id", F.coalesce(EVENTS_TL.prev_non_null("v"), F.lit(-1.0)).alias("v"))
     got = {r.event_id: r.v for r in s.collect()}
@@ -52,6 +74,6 @@ def test_carry_forward_matches_batch(spark):
 
 def test_counters(spark):
     c = {}
-    ev = event_stream(spark, "/root/testdata/sf0.001")
+    ev, _ = event_stream(spark, "/root/testdata/sf0.001")
     D.run_to_table(ev.select("event_id"), "t-count", counters=c)
     assert c["input_rows"] == 1000 and c["batches"] >= 1

@@ -11,28 +11,37 @@ from vigil.sources.tables import event_label, table
 from vigil.streaming import detector as D
 
 
+LATE = "3650 days"      # recorded files come in any order: any row may come last
+
+
 def event_stream(spark, sf):
-    schema = table(spark, sf, "events").schema
-    s = D.replay_source(spark, sf, schema, glob="events.parquet")
+    """(stream, closing) of the recorded events: closing rows are one event of
+    each type, moved past the end of time."""
+    ev = table(spark, sf, "events")
+    last = ev.dropDuplicates(["event_type"]).withColumn(
+        "ts", (F.lit(D.CLOSING).cast(ev.schema["ts"].dataType) + F.expr("INTERVAL 20 YEARS")).cast(ev.schema["ts"].dataType))
+    s, closing = D.replay_source(spark, f"{sf}/events.parquet", last)
     return s.select("event_id", "ts", "user_id", "event_type", "value",
                     F.get_json_object("props", "$.k").cast("double").alias("k"),
-                    event_label().alias("label"), epoch_seconds("ts").alias("t"))
+                    event_label().alias("label"), epoch_seconds("ts").alias("t"),
+                    event_time("ts").alias(D.EVENT_TS)), closing
 
 
 @register("stream_window_counts", f"""WITH {EV}
 SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, label, count(*) AS n FROM ev GROUP BY ALL""")
 def q_stream_window_counts(spark, sf):
-    ev = event_stream(spark, sf).withColumn("event_ts", event_time("ts"))
-    c = D.alert_counts(ev, "event_ts", "1 day", "2 days", by=["label"])
+    ev, _ = event_stream(spark, sf)
+    c = D.alert_counts(ev, D.EVENT_TS, "1 day", LATE, by=["label"])
     c = c.select(from_micros_ntz(F.unix_micros(F.col("w.start"))).alias("window_start"), "label", "n")
     return D.run_to_table(c, "window-counts", mode="update", key=["window_start", "label"])
 
 
 @register("stream_features")
 def q_stream_features(spark, sf):
-    f = D.online_features(event_stream(spark, sf), "user_id", ["ts", "event_id"], "t", ["value", "k"],
-                          keep=["event_id", "user_id", "ts", "t", "label"])
-    return D.run_to_table(f, "online-features")
+    ev, closing = event_stream(spark, sf)
+    f = D.online_features(ev, "user_id", ["event_id"], "t", ["value", "k"],
+                          keep=["event_id", "user_id", "ts", "t", "label"], late=LATE)
+    return D.run_to_table(f, "online-features", closing=closing)
 
 
 def _probs(z, k, v):
@@ -51,20 +60,24 @@ def _probs(z, k, v):
 def q_stream_alerts(spark, sf):
     """Replay -> online features -> ensemble vote on feature-based class
     probabilities -> confidence filter -> per (run, class) cooldown -> alert log."""
-    f = D.online_features(event_stream(spark, sf), "user_id", ["ts", "event_id"], "t", ["value", "k"],
-                          keep=["event_id", "user_id", "ts", "t", "value", "k"])
+    ev, closing = event_stream(spark, sf)
+    f = D.online_features(ev, "user_id", ["event_id"], "t", ["value", "k"],
+                          keep=["event_id", "user_id", "ts", "t", "value", "k", D.EVENT_TS], late=LATE)
     p1, p2, p3 = _probs(F.col("value_zscore50"), F.col("k_rmean10"), F.col("value"))
     r = S.ensemble_vote(p1, p2, F.when(F.col("seq_ready"), p3))
-    scored = f.select("event_id", "user_id", "ts", "t", r.alias("r")).select(
-        "event_id", "user_id", "ts", "t", "r.class_id", "r.confidence")
+    scored = f.select("event_id", "user_id", "ts", "t", D.EVENT_TS, r.alias("r")).select(
+        "event_id", "user_id", "ts", "t", D.EVENT_TS, "r.class_id", "r.confidence")
     cand = scored.filter((F.col("class_id") > 0) & S.passes_confidence(F.col("class_id"), F.col("confidence")))
     # two stateful operators in one query would need a watermark chain; the
     # feature stream lands in a table first and the alert stream reads it
-    tab = D.run_to_table(cand, "alert-candidates")
-    cand2 = spark.readStream.schema(tab.schema).parquet(tab.inputFiles()[0].rsplit("/", 1)[0])
-    fired = D.dedup_alerts(cand2, ["user_id", "class_id"], ["ts", "event_id"], "t", 3600.0,
-                           keep=["event_id", "user_id", "ts", "class_id", "confidence"])
-    return D.run_to_table(fired, "alerts")
+    folder = D.stream_folder(spark, "alert-candidates")
+    D.run_to_table(cand, "alert-scores", closing=closing).write.parquet(folder)
+    tab = spark.read.schema(cand.schema).parquet(folder)
+    last = tab.limit(1).withColumn(D.EVENT_TS, F.lit(D.CLOSING).cast("timestamp") + F.expr("INTERVAL 20 YEARS"))
+    cand2, closing = D.replay_source(spark, folder, last)
+    fired = D.dedup_alerts(cand2, ["user_id", "class_id"], ["event_id"], "t", 3600.0,
+                           keep=["event_id", "user_id", "ts", "class_id", "confidence"], late=LATE)
+    return D.run_to_table(fired, "alerts", closing=closing)
 
 
 @register("stream_carry_forward", f"""WITH {EV}, x AS (SELECT *, CASE WHEN label = 3 THEN NULL ELSE value END AS v FROM ev)
@@ -75,9 +88,10 @@ FROM x""")
 def q_stream_carry_forward(spark, sf):
     """T3 on the replayed stream: readings with a missing value (errors) are
     completed from the run's last known value kept in keyed state."""
-    ev = event_stream(spark, sf).withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
-    out = D.carry_forward(ev, "user_id", ["ts", "event_id"], ["v"], {"v": -1.0}, keep=["event_id", "user_id"])
-    return D.run_to_table(out, "carry-forward")
+    ev, closing = event_stream(spark, sf)
+    ev = ev.withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
+    out = D.carry_forward(ev, "user_id", ["event_id"], ["v"], {"v": -1.0}, keep=["event_id", "user_id"], late=LATE)
+    return D.run_to_table(out, "carry-forward", closing=closing)
 
 
 @register("stream_alert_dedup", f"""WITH RECURSIVE {EV},
@@ -93,7 +107,7 @@ SELECT a.event_id, a.user_id, a.label FROM a JOIN f ON f.user_id = a.user_id AND
 def q_stream_alert_dedup(spark, sf):
     """T6 on the replayed stream: last fired time per (run, class) in keyed
     state, event time; only fired alerts are emitted."""
-    ev = event_stream(spark, sf).filter(F.col("label") != 0)
-    out = D.dedup_alerts(ev, ["user_id", "label"], ["ts", "event_id"], "t", 3600.0,
-                         keep=["event_id", "user_id", "label"])
-    return D.run_to_table(out, "alert-dedup")
+    ev, closing = event_stream(spark, sf)
+    out = D.dedup_alerts(ev.filter(F.col("label") != 0), ["user_id", "label"], ["event_id"], "t", 3600.0,
+                         keep=["event_id", "user_id", "label"], late=LATE)
+    return D.run_to_table(out, "alert-dedup", closing=closing)

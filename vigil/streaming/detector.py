@@ -1,15 +1,17 @@
 """Online detection as Structured Streaming queries.
 
-The reference keeps a 200-row deque per process and polls in a loop; here
-every run is a key of ``applyInPandasWithState``: the state holds the last
-``buffer_rows`` rows (>= 51 so that roc50 sees its 50-row shift), the run's
-first value and the row count, all in event time.  Features are computed by
-the same definitions as the batch family B, so batch and stream agree (see
-tests) except where batch looks into the future (back fill of a leading null,
-and roc50 of runs that end before row 51, which batch zeroes).
-
-Alert de-duplication keeps ``last_fired`` per (run, class) in state, in event
-time rather than wall-clock time.
+Files of a replay, and readings of a live source, come in any order, so no
+operator trusts the order of its input: rows are kept in the state of their key
+until the event-time watermark passes them and are then processed in event
+time.  ``late`` is how much later than a newer one a row may come; rows later
+than that are dropped by the watermark, as Structured Streaming defines it.
+A finished replay is closed by a few rows of a far future time, which move
+the watermark past everything that still waits; they never reach an operator.
+
+Features follow the definitions of the batch family B (see tests) except where
+batch looks into the future (back fill of a leading null, and roc50 of runs
+that end before row 51, which batch zeroes).  State of a key that has been
+silent for ``idle`` is removed.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,16 +31,37 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from vigil.session import ensure_checkpoint_dir
 
+CLOSING = "2900-01-01 00:00:00"      # rows from here on only move the watermark
+EVENT_TS = "event_ts"                # event time (timestamp) of every stream here
+
 
 # --- sources (S8, S9) --------------------------------------------------------------------
 
-def replay_source(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
-                  max_files_per_trigger: int = 1) -> DataFrame:
-    """Replay recorded parquet files as a stream (S9); back-pressure is
-    ``maxFilesPerTrigger``.  A live poller would write files (or a Kafka
-    topic) that the same reader consumes (S8)."""
-    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-            .option("pathGlobFilter", glob).parquet(folder))
+@dataclass
+class Closing:
+    """The rows that close a replay and the folder the stream reads them from."""
+    folder: str
+    rows: DataFrame
+
+    def write(self) -> None:
+        self.rows.write.mode("append").parquet(self.folder)
+
+
+def replay_source(spark: SparkSession, path: str, rows: DataFrame | None = None,
+                  max_files_per_trigger: int = 1) -> tuple[DataFrame, Closing | None]:
+    """Replay a recorded table (a parquet file or a folder of files) as a stream
+    (S9); back-pressure is ``maxFilesPerTrigger``.  A live poller would write
+    files (or a Kafka topic) that the same reader consumes (S8).  ``rows`` are
+    the closing rows (same columns)."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    # as a pattern: the file source takes a plain path for a folder only
+    stream = reader.parquet(f"{path[:-1]}[{path[-1]}]")
+    if rows is None:
+        return stream, None
+    closing = Closing(stream_folder(spark, "closing"), rows.select(*schema.names))
+    closing.rows.limit(0).write.parquet(closing.folder)
+    return stream.unionByName(spark.readStream.schema(schema).parquet(closing.folder)), closing
 
 
 def stream_folder(spark: SparkSession, name: str) -> str:
@@ -44,132 +69,164 @@ def stream_folder(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-# --- online family-B features (T1, T2, T4, T5) --------------------------------------------
-
-def _online_frame(prev: pd.DataFrame, new: pd.DataFrame, t: str, sensors: list[str], first: dict,
-                  n_before: int, windows=(10, 25, 50), roc: int = 50) -> pd.DataFrame:
-    allr = pd.concat([prev, new], ignore_index=True) if len(prev) else new.reset_index(drop=True)
-    k = len(prev)
-    out = new.copy()
-    tt = allr[t].astype(float)
-    dt = tt.diff()
-    if n_before == 0:
-        dt.iloc[0] = np.nan
-    dt = dt.fillna(0.2).clip(lower=0.01)
-    for s in sensors:
-        x = allr[s].astype(float)
-        out[f"d_{s}_dt"] = (x.diff().fillna(0) / dt).iloc[k:].to_numpy()
-        for w in windows:
-            r = x.rolling(w, min_periods=1)
-            out[f"{s}_rmean{w}"] = r.mean().iloc[k:].to_numpy()
-            out[f"{s}_rstd{w}"] = r.std().fillna(0).iloc[k:].to_numpy()
-        r50 = x.rolling(50, min_periods=10)
-        z = ((x - r50.mean()) / r50.std().clip(lower=0.001)).fillna(0)
-        out[f"{s}_zscore50"] = z.iloc[k:].to_numpy()
-        idx = np.arange(n_before - k, n_before - k + len(allr))
-        sh = x.shift(roc)
-        sh = sh.where(idx >= roc, first.get(s, x.iloc[0]) if n_before > 0 else x.iloc[0])
-        out[f"{s}_roc{roc}"] = ((x - sh) / roc).fillna(0).iloc[k:].to_numpy()
-    out["row_index"] = np.arange(n_before, n_before + len(new))
+# --- event-time order ---------------------------------------------------------------------
+
+def in_event_time(stream: DataFrame, keys: list[str], order: list[str], late: str, cols: list[str],
+                  fold, out_schema: T.StructType, idle: str = "30 days") -> DataFrame:
+    """``fold(memory, rows) -> (output rows, memory)`` over the rows of every
+    key in event time.  ``rows`` is a frame of ``cols`` sorted by event time and
+    ``order``; ``memory`` a JSON value, None at first."""
+    cols = list(dict.fromkeys([*cols, *order, EVENT_TS]))
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    state_schema = T.StructType([T.StructField("waiting", T.BinaryType()), T.StructField("memory", T.StringType()),
+                                 T.StructField("seen_ms", T.LongType())])
+
+    def step(key, frames, state):
+        waiting, memory, seen = state.get if state.exists else (None, None, 0)
+        rows = [] if waiting is None else [pa.ipc.open_stream(waiting).read_all().to_pandas()]
+        if not state.hasTimedOut:
+            rows += [f[cols] for f in frames]
+        rows = [r for r in rows if len(r)]
+        mark = state.getCurrentWatermarkMs()
+        if rows:
+            rows = pd.concat(rows, ignore_index=True)
+            ms = rows[EVENT_TS].astype("datetime64[ms]").astype("int64")
+            seen = max(seen, int(ms.max()))
+            due = rows[ms < mark]
+            rows, ms = rows[ms >= mark], ms[ms >= mark]
+            if len(due):
+                due = due.sort_values([EVENT_TS, *order], kind="stable").reset_index(drop=True)
+                out, memory_value = fold(None if memory is None else json.loads(memory), due)
+                memory = json.dumps(memory_value)
+                if len(out):
+                    yield out[[f.name for f in out_schema.fields]]
+        if len(rows):
+            sink = pa.BufferOutputStream()
+            tab = pa.Table.from_pandas(rows, preserve_index=False)
+            with pa.ipc.new_stream(sink, tab.schema) as w:
+                w.write_table(tab)
+            state.update((sink.getvalue().to_pybytes(), memory, seen))
+            state.setTimeoutTimestamp(max(int(ms.min()) + 1, mark + 1))
+        elif mark > seen + idle_ms:
+            state.remove()
+        else:
+            state.update((None, memory, seen))
+            state.setTimeoutTimestamp(max(seen + idle_ms, mark) + 1)
+
+    # the test on the event time stays behind the watermark, which must see the closing rows
+    rows = stream.withWatermark(EVENT_TS, late).filter(F.col(EVENT_TS) < F.lit(CLOSING).cast("timestamp"))
+    return rows.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append",
+                                                      GroupStateTimeout.EventTimeTimeout)
+
+
+# --- online family-B features (T1, T2, T5) -------------------------------------------------
+
+def _trailing(x: np.ndarray, n: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and sample deviation of the last ``n`` values up to each place (nan
+    with fewer than ``least`` values; the deviation needs two)."""
+    view = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), x]), n)
+    there = ~np.isnan(view)
+    count = there.sum(1)
+    total = np.where(there, view, 0.0).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = total / count
+        square = (np.where(there, view - mean[:, None], 0.0) ** 2).sum(1)
+        dev = np.sqrt(square / (count - 1))
+    return np.where(count >= least, mean, np.nan), np.where((count >= least) & (count > 1), dev, np.nan)
+
+
+def _filled(x: np.ndarray, value: float = 0.0) -> np.ndarray:
+    return np.where(np.isnan(x), value, x)
+
+
+def _sensor_features(name: str, x: np.ndarray, dt: np.ndarray, lagged: np.ndarray, windows, lag: int) -> dict:
+    """Family B of one sensor: derivative, trailing statistics, z-score, rate of change."""
+    out = {f"d_{name}_dt": _filled(np.diff(x, prepend=np.nan)) / dt}
+    for w in windows:
+        mean, dev = _trailing(x, w, 1)
+        out[f"{name}_rmean{w}"], out[f"{name}_rstd{w}"] = mean, _filled(dev)
+    mean, dev = _trailing(x, 50, 10)
+    out[f"{name}_zscore50"] = _filled((x - mean) / np.where(dev < 0.001, 0.001, dev))
+    out[f"{name}_roc{lag}"] = _filled((x - lagged) / lag)
     return out
 
 
 def online_features(stream: DataFrame, run: str, order: list[str], t: str, sensors: list[str],
-                    keep: list[str], warmup: int = 25, buffer_rows: int = 60, seq_len: int = 25) -> DataFrame:
-    """Keyed state per run -> family-B features for every row once the run has
-    ``warmup`` rows (T1, T2); ``seq_ready`` marks rows where the sequence model
-    has ``seq_len`` vectors (T5)."""
-    feat_names = []
-    for s in sensors:
-        feat_names += [f"d_{s}_dt"] + [f"{s}_r{m}{w}" for w in (10, 25, 50) for m in ("mean", "std")] + \
-                      [f"{s}_zscore50", f"{s}_roc50"]
-    in_fields = {f.name: f for f in stream.schema.fields}
-    out_schema = T.StructType([in_fields[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in feat_names]
+                    keep: list[str], warmup: int = 25, buffer_rows: int = 60, seq_len: int = 25,
+                    late: str = "1 day", windows=(10, 25, 50), lag: int = 50) -> DataFrame:
+    """Family-B features of every row once its run has ``warmup`` rows (T1, T2);
+    ``seq_ready`` marks rows where the sequence model has ``seq_len`` vectors (T5)."""
+    names = [n for s in sensors for n in _sensor_features(s, np.zeros(1), np.ones(1), np.zeros(1), windows, lag)]
+    fields = {f.name: f for f in stream.schema.fields}
+    out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in names]
                               + [T.StructField("row_index", T.LongType()), T.StructField("seq_ready", T.BooleanType())])
-    state_schema = T.StructType([T.StructField("buf", T.StringType()), T.StructField("n", T.LongType()),
-                                 T.StructField("first", T.StringType())])
-    cols = list(dict.fromkeys(keep + order + [t] + sensors))
-
-    def fn(key, pdfs, state):
-        if state.exists:
-            buf_json, n, first_json = state.get
-            prev = pd.DataFrame(json.loads(buf_json), columns=[t] + sensors)
-            first = json.loads(first_json)
-        else:
-            prev, n, first = pd.DataFrame(columns=[t] + sensors), 0, {}
-        new = pd.concat(list(pdfs), ignore_index=True)[cols].sort_values(order, kind="mergesort")
-        if n == 0:
-            first = {s: (None if pd.isna(new[s].iloc[0]) else float(new[s].iloc[0])) for s in sensors}
-        out = _online_frame(prev, new.reset_index(drop=True), t, sensors, first, n)
-        n2 = n + len(new)
-        cur = new[[t] + sensors]
-        allr = (pd.concat([prev, cur], ignore_index=True) if len(prev) else cur.reset_index(drop=True)).tail(buffer_rows)
-        state.update((json.dumps(allr.astype(float).where(allr.notna(), None).values.tolist()), n2,
-                      json.dumps(first)))
+
+    def fold(memory, rows):
+        past = memory or {"n": 0, "tail": [], "first": None}
+        old, n = np.array(past["tail"], float).reshape(-1, 1 + len(sensors)), past["n"]
+        new = rows[[t, *sensors]].to_numpy(dtype=float)
+        first = past["first"] or [None if np.isnan(v) else v for v in new[0, 1:]]
+        both, k = np.concatenate([old, new]), len(old)
+        index = np.arange(n - k, n + len(new))
+        dt = np.diff(both[:, 0], prepend=np.nan)
+        dt = np.maximum(_filled(dt, 0.2), 0.01)
+        out = rows[keep].copy()
+        for i, s in enumerate(sensors):
+            x = both[:, 1 + i]
+            start = np.nan if first[i] is None else first[i]
+            lagged = np.where(index >= lag, np.concatenate([np.full(lag, np.nan), x])[:len(x)], start)
+            for name, v in _sensor_features(s, x, dt, lagged, windows, lag).items():
+                out[name] = v[k:]
+        out["row_index"] = index[k:]
         out["seq_ready"] = out["row_index"] + 1 >= seq_len
-        out = out[out["row_index"] + 1 >= warmup]
-        yield out[[f.name for f in out_schema.fields]]
+        tail = [[None if np.isnan(v) else float(v) for v in r] for r in both[-buffer_rows:]]
+        return out[out["row_index"] + 1 >= warmup], {"n": int(n + len(new)), "tail": tail, "first": first}
 
-    return stream.groupBy(run).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
+    return in_event_time(stream, [run], order, late, [*keep, t, *sensors], fold, out_schema)
 
 
 # --- carry-forward of partial readings (T3) -----------------------------------------------
 
 def carry_forward(stream: DataFrame, run: str, order: list[str], sensors: list[str], defaults: dict,
-                  keep: list[str]) -> DataFrame:
+                  keep: list[str], late: str = "1 day") -> DataFrame:
     """Each reading is completed from the last known value of every sensor of
     its run, then from ``defaults`` (T3).  Batch twin: ``last(ignorenulls)``
     over the run prefix + ``coalesce(default)``."""
-    in_fields = {f.name: f for f in stream.schema.fields}
-    out_schema = T.StructType([in_fields[c] for c in keep] + [T.StructField(s, T.DoubleType()) for s in sensors])
-    state_schema = T.StructType([T.StructField("last", T.StringType())])
-    cols = list(dict.fromkeys(keep + order + sensors))
-
-    def fn(key, pdfs, state):
-        last = json.loads(state.get[0]) if state.exists else {}
-        new = pd.concat(list(pdfs), ignore_index=True)[cols].sort_values(order, kind="mergesort")
-        vals = {s: [] for s in sensors}
-        for _, r in new.iterrows():
-            for s in sensors:
-                v = r[s]
-                if v is not None and not pd.isna(v):
-                    last[s] = float(v)
-                vals[s].append(last.get(s, defaults.get(s)))
+    fields = {f.name: f for f in stream.schema.fields}
+    out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(s, T.DoubleType()) for s in sensors])
+
+    def fold(memory, rows):
+        last, out = memory or {}, rows[keep].copy()
         for s in sensors:
-            new[s] = vals[s]
-        state.update((json.dumps(last),))
-        yield new[[f.name for f in out_schema.fields]]
+            x = pd.concat([pd.Series([last.get(s)], dtype=float), rows[s].astype(float)]).ffill()
+            last[s] = None if pd.isna(x.iloc[-1]) else float(x.iloc[-1])
+            out[s] = x.iloc[1:].fillna(defaults.get(s, np.nan)).to_numpy()
+        return out, last
 
-    return stream.groupBy(run).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                      GroupStateTimeout.NoTimeout)
+    return in_event_time(stream, [run], order, late, [*keep, *sensors], fold, out_schema)
 
 
 # --- de-duplicated alerts (T6, T7, P14) ---------------------------------------------------
 
 def dedup_alerts(stream: DataFrame, keys: list[str], order: list[str], t: str, cooldown: float,
-                 keep: list[str]) -> DataFrame:
-    """Greedy cooldown per (run, class) with ``last_fired`` in state, event
-    time (T6).  Emits fired alerts only."""
-    in_fields = {f.name: f for f in stream.schema.fields}
-    out_schema = T.StructType([in_fields[c] for c in keep])
-    state_schema = T.StructType([T.StructField("last_fired", T.DoubleType())])
-    cols = list(dict.fromkeys(keep + order + [t]))
-
-    def fn(key, pdfs, state):
-        last = state.get[0] if state.exists else -np.inf
-        new = pd.concat(list(pdfs), ignore_index=True)[cols].sort_values(order, kind="mergesort")
-        fired = []
-        for v in new[t].astype(float).tolist():
-            f = v - last >= cooldown
-            if f:
-                last = v
-            fired.append(f)
-        state.update((float(last),))
-        yield new[np.array(fired, dtype=bool)][keep]
-
-    return stream.groupBy(*keys).applyInPandasWithState(fn, out_schema, state_schema, "append",
-                                                        GroupStateTimeout.NoTimeout)
+                 keep: list[str], late: str = "1 day") -> DataFrame:
+    """Greedy cooldown per (run, class) with the time of the last alert fired in
+    state, event time (T6).  Emits fired alerts only.  Times are compared in
+    whole microseconds."""
+    fields = {f.name: f for f in stream.schema.fields}
+    out_schema = T.StructType([fields[c] for c in keep])
+    wait = round(cooldown * 1e6)
+
+    def fold(memory, rows):
+        us = np.rint(rows[t].to_numpy(dtype=float) * 1e6).astype(np.int64)
+        fired, i = [], 0 if memory is None else int(np.searchsorted(us, memory + wait))
+        while i < len(us):
+            fired.append(i)
+            memory = int(us[i])
+            i = max(i + 1, int(np.searchsorted(us, memory + wait)))
+        return rows.iloc[fired][keep], memory
+
+    return in_event_time(stream, keys, order, late, [*keep, t], fold, out_schema)
 
 
 def alert_counts(alerts: DataFrame, ts: str, window: str = "1 hour", watermark: str = "2 hours",
@@ -181,9 +238,11 @@ def alert_counts(alerts: DataFrame, ts: str, window: str = "1 hour", watermark:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str] | None = None,
-                 timeout_s: int = 600, counters: dict | None = None) -> DataFrame:
+                 counters: dict | None = None, closing: Closing | None = None) -> DataFrame:
     """Run a streaming frame to completion (``availableNow``) into a table in
-    the shared checkpoint folder and return it as a batch frame (T7, T8).
+    the shared checkpoint folder and return it as a batch frame (T7, T8).  With
+    ``closing`` the stream then reads the closing rows and runs once more, so
+    nothing waits for the watermark when the table is read.
 
     ``update`` mode upserts: every micro-batch is appended with its batch id
     and the latest row per ``key`` wins when read back.
@@ -191,20 +250,22 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str]
     spark = df.sparkSession
     base = stream_folder(spark, name)
     out, ck = os.path.join(base, "table"), os.path.join(base, "checkpoint")
-    if mode == "append":
-        q = (df.writeStream.format("parquet").option("checkpointLocation", ck).outputMode("append")
-             .trigger(availableNow=True).start(out))
-    else:
-        def upsert(batch, batch_id):
-            batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
-        q = (df.writeStream.foreachBatch(upsert).option("checkpointLocation", ck).outputMode(mode)
-             .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    if counters is not None:  # detector counters (A31) from the progress reports
-        counters.update(progress_counters(q))
-    res = spark.read.parquet(out)
+    def upsert(batch, batch_id):
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
+
+    def go():
+        w = df.writeStream.option("checkpointLocation", ck).outputMode(mode).trigger(availableNow=True)
+        q = w.format("parquet").start(out) if mode == "append" else w.foreachBatch(upsert).start()
+        q.awaitTermination()                      # raises what the query raised
+        if counters is not None:                  # detector counters (A31) from the progress reports
+            for k, v in progress_counters(q).items():
+                counters[k] = counters.get(k, 0) + v
+
+    go()
+    if closing is not None:
+        closing.write()
+        go()
+    res = spark.read.schema(df.schema if mode == "append" else df.schema.add("_batch", "long")).parquet(out)
     if mode != "append" and key:
         from pyspark.sql import Window
         w = Window.partitionBy(*key).orderBy(F.col("_batch").desc())
