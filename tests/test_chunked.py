@@ -81,3 +81,27 @@ def test_ship_package_idempotent(spark):
     ship_package(spark)
     ship_package(spark)
     assert spark.sparkContext.applicationId in _SHIPPED
+
+
+NULLS = [(None, 1, 5.0, 1.0, 0), (None, 2, 6.0, 2.0, 1), (None, 3, None, 3.0, 1), (7, 4, None, 4.0, 0), (7, 5, 2.0, 5.0, 0),
+         (7, 6, 3.0, None, 1), (7, 7, 9000.0, 6.0, 1), (8, 8, 1.0, 7.0, None), (8, 9, 4.0, 8.0, None)]
+
+
+@pytest.mark.parametrize("force", [False, True])
+def test_rows_without_run_time_or_class_stay(spark, force):
+    """Null runs, times and classes are groups like any other, cut or whole."""
+    from vigil.operators import labels as L
+    from vigil.operators import splits as SP
+    df = spark.createDataFrame(NULLS, "run int, i int, t double, x double, y int")
+    spark.conf.set(CH.CHUNK_ROWS_CONF, "2")
+    try:
+        seg = L.add_segment_id(df, TL, force_chunks=force)
+        assert sorted(r.i for r in seg.collect()) == list(range(1, 10))
+        got = {r.i: r.segment for r in seg.collect()}
+        want = {r.i: r.segment for r in L.add_segment_id(df, TL, force_chunks=False).collect()}
+        assert got == want
+    finally:
+        spark.conf.unset(CH.CHUNK_ROWS_CONF)
+    assert SP.chrono_split(df, TL).count() == 9
+    assert SP.stratified_split(df, "y", ["i"]).count() == 9
+    assert SP.stratified_sample(df, "y", ["i"], 9).count() == 9

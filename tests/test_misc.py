@@ -75,7 +75,7 @@ def test_report_writers(spark):
     K.write_reports({"r1": df}, d)
     assert spark.read.json(os.path.join(d, "r1")).count() == 1
     K.write_features(df, os.path.join(d, "feat"), ["b"])
-    assert json.load(open(os.path.join(d, "feat", "_feature_columns.json"))) == ["b"]
+    assert json.loads(K.read_text(spark, os.path.join(d, "feat", "_feature_columns"))) == ["b"]
     K.write_episode_report(df, df, os.path.join(d, "ep"))
     assert spark.read.json(os.path.join(d, "ep", "totals")).count() == 1
 

@@ -38,7 +38,15 @@ def _conf(spark: SparkSession, key: str, default):
     return type(default)(v) if v not in (None, "") else default
 
 
-_DECISIONS: dict = {}
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join that lets null keys meet (a run, class or time may be null):
+    still a hash / sort-merge join, and no row is lost."""
+    other = right.withColumnsRenamed({k: f"_on_{k}" for k in keys})
+    test = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"_on_{k}"))
+        test = one if test is None else test & one
+    return left.join(other, test, how).drop(*[f"_on_{k}" for k in keys])
 
 
 def ctx(df: DataFrame) -> list[str]:
@@ -56,26 +64,16 @@ def needs_chunking(df: DataFrame, tl: Timeline, chunk_rows: int) -> bool:
         return True
     if mode == "never":
         return False
-    # both paths give identical results, so a cached (even stale) decision can
-    # only cost speed: remember it per input plan and run key
-    try:
-        key = (df._jdf.queryExecution().analyzed().semanticHash(), tuple(tl.run_cols), int(chunk_rows))
-    except Exception:  # noqa: BLE001
-        key = None
-    if key is not None and key in _DECISIONS:
-        return _DECISIONS[key]
     m = df.groupBy(*tl.run_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    res = m is not None and m > chunk_rows
-    if key is not None:
-        _DECISIONS[key] = res
-    return res
+    return m is not None and m > chunk_rows
 
 
 def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S, out: str = "_seq",
                  bucket=None, total: str | None = None, grand_total: str | None = None) -> DataFrame:
     """0-based position of each row within its run, in ``tl.order``.  Time
     buckets come from the leading order column (timestamp -> epoch seconds,
-    numeric as is), which is non-decreasing along the order by definition."""
+    numeric as is), which is non-decreasing along the order by definition; rows
+    without a time form the first bucket, as nulls sort first."""
     runs = tl.run_cols
     lead = tl.order[0]
     typ = dict(df.dtypes)[lead]
@@ -99,7 +97,7 @@ def add_sequence(df: DataFrame, tl: Timeline, bucket_s: float = DEFAULT_BUCKET_S
     if total:
         off = off.withColumnRenamed("_tot", total)
     off = off.drop("_c", "_tot")
-    x = x.join(off, runs + ["_b"])
+    x = join_on(x, off, runs + ["_b"])
     wr = Window.partitionBy(*runs, "_b").orderBy(*tl.order)
     return x.withColumn(out, F.col("_off") + F.row_number().over(wr) - 1).drop("_b", "_off")
 
@@ -174,7 +172,7 @@ def fill_across_chunks(df: DataFrame, tl2: Timeline, cols: list[str], forward: b
         if backward:
             sel.append(F.last(f"_f_{c}", ignorenulls=True).over(wb).alias(f"_cb_{c}"))
     carry = summ.select(*sel)
-    out = df.join(carry, runs + ["_chunk"], "left")
+    out = join_on(df, carry, runs + ["_chunk"], "left")
     exprs = []
     for c in cols:
         # halo rows carry values computed without their own context: only a
@@ -208,7 +206,7 @@ def carry_nearest(df: DataFrame, tl2: Timeline, specs: list[tuple[str, str, str]
     carry = summ.select(*runs, "_chunk", *[
         F.last(f"_s_{out}", ignorenulls=True).over(wf if d == "prev" else wb).alias(f"_c_{out}")
         for src, d, out in specs])
-    x = df.join(carry, runs + ["_chunk"], "left")
+    x = join_on(df, carry, runs + ["_chunk"], "left")
     for src, d, out in specs:
         own = F.when(~F.col("_halo"), F.col(src)) if has_halo else F.col(src)
         local = tl2.prev_non_null(own) if d == "prev" else tl2.next_non_null(own)
@@ -226,7 +224,7 @@ def carry_running_sum(df: DataFrame, tl2: Timeline, src: str, out: str) -> DataF
     summ = x.groupBy(*runs, "_chunk").agg(F.sum("_own").alias("_tot"))
     wf = Window.partitionBy(*runs).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*runs, "_chunk", F.coalesce(F.sum("_tot").over(wf), F.lit(0)).alias("_carry"))
-    x = x.join(carry, runs + ["_chunk"], "left")
+    x = join_on(x, carry, runs + ["_chunk"], "left")
     return x.withColumn(out, F.sum("_own").over(tl2.prefix()) + F.col("_carry")).drop("_own", "_carry")
 
 

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.columns import col, is_finite, row_mean
+from vigil.functions.columns import is_finite, row_mean
 from vigil.operators.timeline import Timeline, last_n
 
 Feats = dict[str, Column]
@@ -375,7 +375,6 @@ def align_features(df: DataFrame, feature_names: list[str]) -> DataFrame:
     return df.select(*cols)
 
 
-_ = (Window, col)
 
 
 def add_expanding_prior_z(df: DataFrame, tl: Timeline, cols: list[str], min_periods: int = 5,

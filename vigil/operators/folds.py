@@ -13,21 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _greedy_cooldown(t: np.ndarray, cooldown: float) -> np.ndarray:
-    fired = np.zeros(len(t), dtype=bool)
-    last = -np.inf
-    for i, v in enumerate(t):
-        if v - last >= cooldown:
-            fired[i] = True
-            last = v
-    return fired
-
-
 def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldown: float,
                 out: str = "fired", force_chunks: bool | None = None,
                 long_burst_rows: int | None = None) -> DataFrame:
@@ -40,6 +30,10 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
     """
     from vigil.operators import chunking as CH
     from vigil.operators.timeline import Timeline
+    # one predicate everywhere: times and the cooldown in whole microseconds
+    wait = round(cooldown * 1e6)
+    df = df.withColumn("_us", F.round(F.col(t).cast("double") * 1_000_000).cast("long"))
+    t, cooldown = "_us", wait
     tl = Timeline(run=tuple(keys), order=tuple(order), t=t)
     # burst ids: a one-row look-back and a running count, both chunk-safe, so
     # a key holding a large share of the rows is not one window task
@@ -54,8 +48,8 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
     long_rows = long_burst_rows or int(CH._conf(df.sparkSession, CH.CHUNK_ROWS_CONF, CH.DEFAULT_CHUNK_ROWS))
     biggest = x.groupBy(*keys, "_burst").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
     if biggest > long_rows:
-        return _dedup_with_long_bursts(x, keys, order, t, cooldown, out, long_rows)
-    return _scan_bursts(x, keys, order, t, cooldown, out).drop("_start", "_burst")
+        return _dedup_with_long_bursts(x, keys, order, t, cooldown, out, long_rows).drop("_us")
+    return _scan_bursts(x, keys, order, t, cooldown, out).drop("_start", "_burst", "_us")
 
 
 def _scan_bursts(x: DataFrame, keys, order, t, cooldown, out) -> DataFrame:
@@ -65,17 +59,24 @@ def _scan_bursts(x: DataFrame, keys, order, t, cooldown, out) -> DataFrame:
     group_cols = list(keys) + ["_burst"]
 
     def scan(batches):
-        prev_key, last = None, -np.inf
+        prev_key, last = None, 0
         for pdf in batches:
-            tv = pdf[t].to_numpy(dtype=float)
-            kv = list(zip(*[pdf[c].tolist() for c in group_cols]))
+            tv = pdf[t].to_numpy(dtype=np.int64)
             fired = np.zeros(len(pdf), dtype=bool)
-            for i in range(len(pdf)):
-                if kv[i] != prev_key:
-                    prev_key, last = kv[i], -np.inf
-                if tv[i] - last >= cooldown:
+            new = np.ones(len(pdf), dtype=bool)
+            same = pdf[group_cols].iloc[1:].reset_index(drop=True)
+            prev = pdf[group_cols].iloc[:-1].reset_index(drop=True)
+            new[1:] = ~((same == prev) | (same.isna() & prev.isna())).all(axis=1).to_numpy()
+            starts = np.flatnonzero(new)
+            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
+                key = tuple(None if pd.isna(v) else v for v in pdf[group_cols].iloc[a])
+                i = a if key != prev_key else a + int(np.searchsorted(tv[a:b], last + cooldown))
+                if key != prev_key:
+                    prev_key = key
+                while i < b:
                     fired[i] = True
-                    last = tv[i]
+                    last = int(tv[i])
+                    i = max(i + 1, a + int(np.searchsorted(tv[a:b], last + cooldown)))
             pdf[out] = fired
             yield pdf
 
@@ -107,9 +108,9 @@ def _dedup_with_long_bursts(x: DataFrame, keys, order, t, cooldown, out, seg_row
     lg = x.filter(F.col("_bn") > seg_rows)
     # 1. successor positions via probes at t + cooldown (probe sorts before an
     #    alert at the same time, so "at or after" holds)
-    ev = lg.select(*bk, F.col(t).cast("double").alias("_time"), F.lit(1).alias("_side"),
+    ev = lg.select(*bk, F.col(t).alias("_time"), F.lit(1).alias("_side"),
                    F.col("_pos").alias("_epos"), F.lit(None).cast("long").alias("_opos"))
-    pr = lg.select(*bk, (F.col(t).cast("double") + cooldown).alias("_time"), F.lit(0).alias("_side"),
+    pr = lg.select(*bk, (F.col(t) + cooldown).alias("_time"), F.lit(0).alias("_side"),
                    F.lit(None).cast("long").alias("_epos"), F.col("_pos").alias("_opos"))
     u = ev.unionByName(pr)
     tlu = Timeline(run=tuple(bk), order=("_time", "_side", "_epos"), t="_time")
@@ -125,13 +126,13 @@ def _dedup_with_long_bursts(x: DataFrame, keys, order, t, cooldown, out, seg_row
     # 2. per segment: exit fire for every possible entry
     cand_schema = T.StructType([lg.schema[c] for c in bk] + [
         T.StructField("_seg", T.LongType()), T.StructField("_cpos", T.LongType()),
-        T.StructField("_ct", T.DoubleType()), T.StructField("_xpos", T.LongType()),
-        T.StructField("_xt", T.DoubleType())])
+        T.StructField("_ct", T.LongType()), T.StructField("_xpos", T.LongType()),
+        T.StructField("_xt", T.LongType())])
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_pos")
         pos = pdf["_pos"].to_numpy(dtype=np.int64)
-        tv = pdf[t].to_numpy(dtype=float)
+        tv = pdf[t].to_numpy(dtype=np.int64)
         sc = pdf["_succ"].to_numpy(dtype=float)
         p0, n = pos[0], len(pos)
         end = np.arange(n)
@@ -171,7 +172,7 @@ def _dedup_with_long_bursts(x: DataFrame, keys, order, t, cooldown, out, seg_row
                     continue
                 i = int(ok[0])
             rows.append((seg, int(g["_cpos"].iloc[i])))
-            exit_t = float(g["_xt"].iloc[i])
+            exit_t = int(g["_xt"].iloc[i])
         out_ = pd.DataFrame(rows, columns=["_seg", "_entry"])
         for c in bk:
             out_[c] = pdf[c].iloc[0]
@@ -212,35 +213,38 @@ def last_valid_rule_check(df: DataFrame, keys: list[str], order: list[str], x: s
                           max_change: float | None = None) -> DataFrame:
     """Range and rate-of-change check against the last *valid* value.
 
-    The history only advances on values that pass every check, so the result
-    is a fold; a ``lag`` version is not equivalent.  Returns the rows with
-    ``valid`` and the first failing ``reason``.  One key's rows form one
-    group: the reference applies it per variable stream.
+    Adds ``valid`` and ``reason`` ("null", "low", "high", "jump" or null).
+    Null and range are columns; only the jump rule is a fold, since a value that
+    jumped is no reference for the next.  A value that differs by at most
+    ``max_change`` from the one before it is valid whenever that one is, so the
+    fold restarts only after a jump: the scan leaps from jump to jump.
     """
+    v = F.col(x).cast("double")
+    early = (F.when(v.isNull() | F.isnan(v), "null").when(F.lit(lo is not None) & (v < F.lit(lo)), "low")
+             .when(F.lit(hi is not None) & (v > F.lit(hi)), "high"))
+    rows = df.withColumn("reason", early)
+    if max_change is None:
+        return rows.withColumn("valid", F.col("reason").isNull()).select(*df.columns, "valid", "reason")
     schema = T.StructType(df.schema.fields + [T.StructField("valid", T.BooleanType(), False),
                                               T.StructField("reason", T.StringType(), True)])
-    cols = df.columns
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="mergesort")
-        valid, reason = [], []
-        last = None
-        for v in pdf[x].tolist():
-            r = None
-            if v is None or (isinstance(v, float) and np.isnan(v)):
-                r = "missing"
-            elif lo is not None and v < lo:
-                r = f"{x} below minimum: {v} < {lo}"
-            elif hi is not None and v > hi:
-                r = f"{x} above maximum: {v} > {hi}"
-            elif max_change is not None and last is not None and abs(v - last) > max_change:
-                r = f"{x} changed too rapidly: {abs(v - last)} > {max_change}"
-            if r is None:
-                last = v
-            valid.append(r is None)
-            reason.append(r)
-        pdf["valid"] = valid
+        reason = pdf["reason"].to_numpy(dtype=object)
+        at = np.flatnonzero(pdf["reason"].isna().to_numpy())
+        val = pdf[x].to_numpy(dtype=float)[at]
+        calm = np.abs(np.diff(val)) <= max_change
+        i, n = 0, len(val)
+        while i < n - 1:
+            stop = i + int(np.argmin(calm[i:])) if not calm[i:].all() else n - 1
+            if stop == n - 1:
+                break
+            far = np.abs(val[stop + 1:] - val[stop]) > max_change      # jumps until one is near the last valid value
+            back = int(np.argmin(far)) if not far.all() else len(far)
+            reason[at[stop + 1:stop + 1 + back]] = "jump"
+            i = stop + 1 + back
         pdf["reason"] = reason
-        return pdf[cols + ["valid", "reason"]]
+        pdf["valid"] = pdf["reason"].isna()
+        return pdf[[f.name for f in schema.fields]]
 
-    return df.groupBy(*keys).applyInPandas(scan, schema)
+    return rows.groupBy(*keys).applyInPandas(scan, schema)

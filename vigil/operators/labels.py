@@ -105,6 +105,8 @@ def asof_join(left: DataFrame, right: DataFrame, tl: Timeline, right_cols: list[
 
     Both sides are unioned and sorted once per run; the carried value is a
     struct, so a right row whose payload is null still counts as the latest.
+    Of right rows at the same time the one with the largest payload (column by
+    column) is the latest.
     """
     runs, order = tl.run_cols, list(tl.order)
     lcols = [c for c in left.columns]
@@ -114,7 +116,7 @@ def asof_join(left: DataFrame, right: DataFrame, tl: Timeline, right_cols: list[
     l = left.withColumn("_side", F.lit(1)).withColumn("_p", F.lit(None).cast(r.schema["_p"].dataType))
     u = l.unionByName(r, allowMissingColumns=True)
     # right rows sort before left rows at equal time ("at or before")
-    w_order = [order[0], "_side"] + order[1:]
+    w_order = [order[0], "_side", "_p"] + order[1:]
     tlu = tl.with_(order=tuple(w_order))
     from vigil.operators import chunking as CH
     x, t2, ch = CH.plan_chunks(u, tlu, back=0, force=force_chunks)
@@ -129,16 +131,29 @@ def asof_join(left: DataFrame, right: DataFrame, tl: Timeline, right_cols: list[
 def interval_label(readings: DataFrame, intervals: DataFrame, tl: Timeline,
                    start: str, end: str, id_col: str) -> DataFrame:
     """Label each reading with the interval of its run that covers it,
-    [start, end) (J5).  Intervals of one run are taken as non-overlapping (a
-    schedule); the covering interval is then the latest one starting at or
-    before the reading, which an as-of carry finds without pairing rows."""
-    iv = intervals.select(*tl.run_cols, F.col(start).alias(tl.order[0]),
-                          F.col(start).alias("_start"), F.col(end).alias("_end"),
-                          F.col(id_col).alias("_iid"))
-    j = asof_join(readings, iv, tl, ["_start", "_end", "_iid"], prefix="")
-    hit = F.col(tl.order[0]) < F.col("_end")
-    return (j.withColumn("interval_id", F.when(hit, F.col("_iid")))
-             .drop("_start", "_end", "_iid"))
+    [start, end) (J5); of several the one that starts last, then the largest id.
+
+    Overlapping intervals form islands; inside an island every start and end is
+    a boundary, and the interval in force from each boundary on is found among
+    the island's own intervals.  An as-of carry of the boundaries then labels
+    the readings without pairing them with intervals."""
+    runs, t = tl.run_cols, tl.order[0]
+    iv = (intervals.select(*runs, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(id_col).alias("_iid"))
+          .filter(F.col("_start") < F.col("_end")))
+    w = Window.partitionBy(*runs).orderBy("_start", "_end", "_iid")
+    reach = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    iv = iv.withColumn("_new", F.coalesce((reach <= F.col("_start")).cast("int"), F.lit(1)))
+    iv = iv.withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    from vigil.operators.chunking import join_on
+    at = iv.select(*runs, "_isle", F.explode(F.array_distinct(F.array("_start", "_end"))).alias("_at")).distinct()
+    cov = (join_on(at, iv, [*runs, "_isle"])
+           .groupBy(*runs, "_isle", "_at").agg(F.max(F.when(
+               (F.col("_start") <= F.col("_at")) & (F.col("_at") < F.col("_end")),
+               F.struct("_start", "_iid")))["_iid"].alias("_iid")))
+    # at a time where one island ends and the next begins, the later one counts
+    cov = cov.groupBy(*runs, F.col("_at").alias(t)).agg(F.max_by("_iid", "_isle").alias("_iid"))
+    j = asof_join(readings, cov, tl, ["_iid"], prefix="")
+    return j.withColumn("interval_id", F.col("_iid")).drop("_iid")
 
 
 def episode_state_delta(df: DataFrame, tl: Timeline, sensors: list[str], normal=0,

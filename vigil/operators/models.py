@@ -17,12 +17,13 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
                                        MultilayerPerceptronClassifier, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import is_finite
 from vigil.operators.metrics import add_weight_col, class_report, confusion
+from vigil.sources.sinks import read_text, write_text
 
 
 def prepare(df: DataFrame, features: list[str], label: str | None = None, keep: list[str] = ()) -> DataFrame:
@@ -190,9 +191,9 @@ def pca_score(model: PipelineModel, df: DataFrame, out: str = "anomaly_score") -
 def batch_score(model: PipelineModel, df: DataFrame, names: Column | None = None,
                 remediation: DataFrame | None = None, class_col: str = "prediction") -> DataFrame:
     """Score every row, attach the class name and remediation advice."""
-    s = model.transform(df).withColumn("class_id", F.col(class_col).cast("int")).withColumn(
-        "confidence", F.array_max(vector_to_array(F.col("probability"))) if "probability" in
-        model.transform(df.limit(0)).columns else F.lit(1.0))
+    s = model.transform(df)
+    sure = F.array_max(vector_to_array(F.col("probability"))) if "probability" in s.columns else F.lit(1.0)
+    s = s.withColumn("class_id", F.col(class_col).cast("int")).withColumn("confidence", sure)
     if names is not None:
         s = s.withColumn("class_name", names)
     if remediation is not None:
@@ -203,19 +204,15 @@ def batch_score(model: PipelineModel, df: DataFrame, names: Column | None = None
 def save_bundle(model: PipelineModel, path: str, features: list[str], meta: dict) -> None:
     """K6: model + feature list + metadata side by side."""
     model.write().overwrite().save(os.path.join(path, "model"))
-    with open(os.path.join(path, "bundle.json"), "w") as f:
-        json.dump({"features": features, **meta}, f)
+    write_text(SparkSession.active(), os.path.join(path, "bundle"), json.dumps({"features": features, **meta}))
 
 
 def load_bundle(path: str) -> tuple[PipelineModel, list[str], dict]:
     """K7."""
-    with open(os.path.join(path, "bundle.json")) as f:
-        meta = json.load(f)
+    meta = json.loads(read_text(SparkSession.active(), os.path.join(path, "bundle")))
     return PipelineModel.load(os.path.join(path, "model")), meta.pop("features"), meta
 
 
 def with_weights(df: DataFrame) -> DataFrame:
     return add_weight_col(df, "label")
 
-
-_ = array_to_vector

@@ -9,7 +9,8 @@ shared checkpoint folder; every task takes a batch of query rows
 keeping a running top-k per query in numpy.  Memory per task is
 O(batch x block); nothing is broadcast and nothing passes the driver.
 With ``within`` set (kNN inside a class), the reference table is partitioned
-by that column and a task only reads its own partition.
+by that column; queries of all classes are dealt by id, and a task reads the
+partitions of the classes it has.
 """
 
 from __future__ import annotations
@@ -78,24 +79,36 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
 
     def top_block(qv, qid, rv, rid, rl, best):
         """Merge one reference block into the running top-k.  Candidates come
-        from the BLAS form |q|^2 + |r|^2 - 2 q.r; the k + 8 best are then
-        re-measured with the direct formula, so ranks and distances are exact."""
+        from the BLAS form |q|^2 + |r|^2 - 2 q.r on centred vectors: every row
+        whose rounded distance is within the rounding bound of the k-th one is
+        kept, ties included, and measured again by direct differences, so
+        ranks and distances are exact."""
         best_d, best_i, best_l = best
-        d2 = (qv * qv).sum(1)[:, None] + (rv * rv).sum(1)[None, :] - 2.0 * qv @ rv.T
+        mid = rv.mean(0)
+        qc, rc = qv - mid, rv - mid
+        qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
+        d2 = qn[:, None] + rn[None, :] - 2.0 * qc @ rc.T
         if exclude_self:
             d2[qid[:, None] == rid[None, :]] = np.inf
-        m = min(k + 8, d2.shape[1])
-        cand = np.argpartition(d2, m - 1, axis=1)[:, :m] if m < d2.shape[1] else \
-            np.broadcast_to(np.arange(d2.shape[1]), (len(qv), d2.shape[1]))
-        diff = qv[:, None, :] - rv[cand]
-        exact = np.sqrt((diff * diff).sum(-1))
-        exact[~np.isfinite(np.take_along_axis(d2, cand, 1))] = np.inf
-        cd = np.concatenate([best_d, exact], 1)
-        ci = np.concatenate([best_i, rid[cand]], 1)
-        cl = np.concatenate([best_l, rl[cand]], 1)
-        order = np.lexsort((ci, cd), axis=1)[:, :k]
-        return (np.take_along_axis(cd, order, 1), np.take_along_axis(ci, order, 1),
-                np.take_along_axis(cl, order, 1))
+        m = min(k, d2.shape[1])
+        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
+        slack = 8 * (qv.shape[1] + 4) * np.finfo(np.float64).eps * (qn + rn.max() + (qv * qv).sum(1) + (rv * rv).sum(1).max())
+        row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
+        exact = np.concatenate([np.sqrt(((qv[row[i:i + 65536]] - rv[col[i:i + 65536]]) ** 2).sum(-1))
+                                for i in range(0, len(row), 65536)] or [np.zeros(0)])
+        old = np.isfinite(best_d)
+        row = np.concatenate([np.nonzero(old)[0], row])
+        cd, ci = np.concatenate([best_d[old], exact]), np.concatenate([best_i[old], rid[col]])
+        cl = np.concatenate([best_l[old], rl[col]])
+        order = np.lexsort((ci, cd, row))
+        row, cd, ci, cl = row[order], cd[order], ci[order], cl[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        out = (np.full((len(qv), k), np.inf), np.full((len(qv), k), np.iinfo(np.int64).max, dtype=np.int64),
+               np.full((len(qv), k), -1, dtype=np.int64))
+        for a, v in zip(out, (cd, ci, cl)):
+            a[row[keep], rank[keep]] = v[keep]
+        return out
 
     def run(batches):
         tile = 512
@@ -129,10 +142,8 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
 
     q = queries.select(*qcols)
     spark = queries.sparkSession
-    if within:
-        q = q.repartition(within)
-    else:
-        q = q.repartition(spark.sparkContext.defaultParallelism, F.col(id_col))
+    # by the query's id: a class that holds most rows is spread over all tasks
+    q = q.repartition(spark.sparkContext.defaultParallelism, F.col(id_col))
     return q.mapInPandas(run, schema)
 
 
@@ -165,8 +176,9 @@ def smote(df: DataFrame, id_col: str, vec_col: str, label: str, targets: dict, k
         return base
     minority = df.filter(F.col(label).isin(*need.keys())).select(id_col, vec_col, label)
     nn = knn(minority, minority, k, id_col, vec_col, within=label)
-    w = Window.partitionBy(label).orderBy(id_col)
-    ranked = minority.withColumn("_rank", F.row_number().over(w) - 1).join(nn, id_col)
+    from vigil.operators.chunking import add_sequence
+    from vigil.operators.timeline import Timeline
+    ranked = add_sequence(minority, Timeline(run=label, order=(id_col,)), bucket_s=65536.0, out="_rank").join(nn, id_col)
     from vigil.functions.dims import literal_table
     plan = literal_table(spark, [(int(c), int(n), int(counts[c])) for c, n in need.items()],
                          "cls long, n_new long, n_c long")

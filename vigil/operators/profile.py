@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,8 +91,7 @@ def categorical_profile(df: DataFrame, cols: list[str]) -> DataFrame:
     vc = u.groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt"))
     nn = F.col("v").isNotNull()
     entries = F.array_sort(F.collect_list(F.when(nn, F.struct("v", "cnt"))))
-    js = F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(
-        F.lit('"'), e["v"], F.lit('":'), e["cnt"].cast("string"))), ","), F.lit("}"))
+    js = F.to_json(F.map_from_entries(entries))
     return vc.groupBy("column").agg(
         F.coalesce(F.sum(F.when(nn, F.col("cnt"))), F.lit(0)).alias("count"),
         F.count(F.when(nn, F.lit(1))).alias("nunique"), js.alias("value_counts"),
@@ -162,10 +160,10 @@ def exp_fit(df: DataFrame, group: list[str], t: str, x: str, taus=DEFAULT_TAUS,
         F.count("_x").alias("n"), F.regr_slope("_x", u).alias("b"), F.regr_intercept("_x", u).alias("a"),
         F.regr_syy("_x", u).alias("syy"), F.regr_sxx("_x", u).alias("sxx"), F.regr_sxy("_x", u).alias("sxy"))
     sse = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
-    g = g.filter(F.col("n") > min_points).withColumn("sse", F.greatest(sse, F.lit(0.0)))
+    # a tau whose exponential is flat over the data has no slope: no fit
+    g = (g.filter((F.col("n") > min_points) & F.col("b").isNotNull() & sse.isNotNull())
+         .withColumn("sse", F.greatest(sse, F.lit(0.0))))
     best = g.groupBy(*group).agg(F.min_by(F.struct("tau", "a", "b", "sse"), F.struct("sse", "tau")).alias("_b"))
     return best.select(*group, F.col("_b.tau").alias("tau"), (F.col("_b.a") + F.col("_b.b")).alias("start"),
                        F.col("_b.a").alias("target"), F.col("_b.sse").alias("sse"))
 
-
-_ = math

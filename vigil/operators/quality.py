@@ -11,12 +11,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def coverage(df: DataFrame, label: str, run: str, label_name: Column | None = None) -> DataFrame:
+    """Row counts per label and run in long form (A2): one map-side combined
+    aggregation, any number of runs."""
+    out = df.groupBy(label, run).agg(F.count(F.lit(1)).alias("n"))
+    return out if label_name is None else out.withColumn("label_name", label_name)
+
+
 def coverage_matrix(df: DataFrame, label: str, run: str, runs: list, label_name: Column | None = None,
                     fmt: str = "run_{:02d}") -> DataFrame:
     """Rows = labels, columns = runs, cells = row counts, 0 filled (A2).
 
-    ``runs`` is the (small, known) list of run ids, so the pivot is a single
-    aggregation with one conditional count per run.
+    ``runs`` names the columns wanted; :func:`coverage` is the form that needs
+    no list.  The pivot is a single aggregation with one conditional count per run.
     """
     out = (df.groupBy(label).pivot(run, runs).count().na.fill(0, subset=[str(r) for r in runs]))
     for r in runs:

@@ -1,7 +1,7 @@
 """Flagship query: the minimum end-to-end slice of the merge job.
 
 events -> elapsed seconds per run -> boundary-leakage removal (3600 s)
--> label x run coverage matrix of the rows kept.
+-> label x run coverage of the rows kept.
 """
 
 from __future__ import annotations
@@ -21,5 +21,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     tl = EVENTS_TL.with_(t="elapsed_seconds")
     kept = L.remove_boundary_leakage(ev, tl, 3600.0)
     kept = kept.withColumn("week", F.weekofyear("ts"))
-    return Q.coverage_matrix(kept, "label", "week", [1, 2, 3, 4, 5],
-                             map_lookup(EVENT_LABEL_NAMES, "label"))
+    return Q.coverage(kept, "label", "week", map_lookup(EVENT_LABEL_NAMES, "label"))

@@ -10,7 +10,6 @@ from vigil.operators import metrics as M
 from vigil.operators import profile as PR
 from vigil.operators import scoring as S
 from vigil.operators import splits as SP
-from vigil.operators.quality import _unpivot_row
 from vigil.operators.timeline import Timeline
 from vigil.plans.registry import EV, register
 from vigil.sources.tables import EVENTS_TL as TL, events, lineitem, table
@@ -106,7 +105,7 @@ def _exp_sql():
 e AS (SELECT l_suppkey, tau, x, exp(-t / tau) AS u FROM x, (SELECT unnest([{taus}]) AS tau)),
 g AS (SELECT l_suppkey, tau, count(x) AS n, regr_slope(x, u) AS b, regr_intercept(x, u) AS a,
         greatest(regr_syy(x, u) - regr_sxy(x, u) * regr_sxy(x, u) / nullif(regr_sxx(x, u), 0), 0.0) AS sse
-      FROM e GROUP BY l_suppkey, tau HAVING count(x) > 30),
+      FROM e GROUP BY l_suppkey, tau HAVING count(x) > 30 AND regr_slope(x, u) IS NOT NULL),
 r AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY sse, tau) AS rk FROM g)
 SELECT l_suppkey, tau, round(a + b, 6) AS start, round(a, 6) AS target, round(sse, 4) AS sse FROM r WHERE rk = 1"""
 
@@ -349,6 +348,3 @@ def q_robust_scale(spark, sf):
     model = RobustScalerExact(inputCols=["value", "k"], outputCols=["value_scaled", "k_scaled"]).fit(ev)
     out = model.transform(ev).select("event_id", "value_scaled", "k_scaled")
     return _round(out, ["value_scaled", "k_scaled"], 9)
-
-
-_ = _unpivot_row

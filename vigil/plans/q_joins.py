@@ -30,7 +30,6 @@ def q_alert_dedup(spark, sf):
     return out.select("event_id", "user_id", "label", "fired")
 
 
-_ = rnd
 
 
 # --- dimension joins (J1, J7, P7, P11) and splits / reports (K8, K9) ----------------------

@@ -93,18 +93,13 @@ def q_interval_label(spark, sf):
         "event_id", "user_id", "interval_id")
 
 
-COVERAGE_RUNS = [1, 2, 3, 4, 5]
-
-
 @register("coverage_matrix", f"""WITH {EV}
-SELECT label, {LABEL_NAME_SQL} AS label_name,
-{",".join(f"  count(*) FILTER (WHERE weekofyear(ts) = {r}) AS run_{r:02d}" for r in COVERAGE_RUNS)}
-FROM ev GROUP BY label""")
+SELECT label, {LABEL_NAME_SQL} AS label_name, CAST(weekofyear(ts) AS INTEGER) AS run, count(*) AS n
+FROM ev GROUP BY label, weekofyear(ts)""")
 def q_coverage_matrix(spark, sf):
-    ev = events(spark, sf).select("label", F.weekofyear("ts").alias("week"))
-    names = map_lookup(EVENT_LABEL_NAMES, "label")
-    return Q.coverage_matrix(ev, "label", "week", COVERAGE_RUNS, names).select(
-        "label", "label_name", *[f"run_{r:02d}" for r in COVERAGE_RUNS])
+    """Rows per label and run, one row a pair: no list of runs, so none is lost."""
+    ev = events(spark, sf).select("label", F.weekofyear("ts").alias("run"))
+    return Q.coverage(ev, "label", "run", map_lookup(EVENT_LABEL_NAMES, "label"))
 
 
 @register("episode_delta", f"""WITH {EV}, x AS (

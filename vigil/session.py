@@ -41,18 +41,24 @@ def get_session(master: str | None = None, app: str = "vigil",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there; we only pick our own (a fresh temp
-    folder) when the setting is unset, which happens in local tests.
+    A cluster names a shared folder there.  Where the setting is unset, as in
+    local tests, a fresh temporary folder serves for the application; on a
+    cluster that is an error, since executors could not read it.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(sc.applicationId)
     if not d:
-        d = tempfile.mkdtemp(prefix="vigil-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        d = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="vigil-ckpt-")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
+_OWN: dict[str, str] = {}      # application -> the folder made for it
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     return os.path.join(ensure_checkpoint_dir(spark), name)
