@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from vigil.llm import ann, html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
 from vigil.llm.common import table
+from vigil.llm.oracles import ORACLES  # noqa: F401
 
 TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
 
 QUERIES = {}
-ORACLES = {}
 
 
 def _query(fn):
