@@ -418,5 +418,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     smallest id stays; repeated rows of that id stay as they are, and so do
     rows without an id."""
     kept = cluster(docs, id_col, text)
-    gone = kept.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(docs.columns)
+    gone = materialize(kept.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "jaccard-gone")
+    gone = F.broadcast(gone) if gone.count() <= SMALL else gone.hint("shuffle_hash")
+    return docs.join(gone, id_col, "left_anti").select(docs.columns)
