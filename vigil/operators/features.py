@@ -60,14 +60,22 @@ def expanding_prior_z(x: str, tl: Timeline, min_periods: int = 5, eps: float = 1
 
 def prior_iqr_distance(x: str, tl: Timeline, n: int = 30, min_periods: int = 5) -> Feats:
     """Distance outside the Tukey fences of the previous ``n`` rows."""
-    fr = tl.rows(-n, -1)
-    q = F.percentile(F.col(x), F.array(F.lit(0.25), F.lit(0.75))).over(fr)
-    q25, q75 = q[0], q[1]
-    iqr = q75 - q25
-    lo, hi = q25 - 1.5 * iqr, q75 + 1.5 * iqr
-    d = F.greatest(F.lit(0.0), lo - F.col(x), F.col(x) - hi)
-    ok = (F.count(x).over(fr) >= min_periods) & F.col(x).isNotNull()
-    return {f"{x}_outlier_dist": F.when(ok, d)}
+    # the frame as one sorted array: quartiles are lookups in it
+    seen = F.array_sort(F.collect_list(F.col(x).cast("double")).over(tl.rows(-n, -1)))
+
+    def quartile(a: Column, p: float) -> Column:
+        at = p * (F.size(a) - 1)
+        low = F.floor(at).cast("int")
+        left, right = F.get(a, low), F.get(a, F.least(low + 1, F.size(a) - 1))
+        return left + (at - low) * (right - left)
+
+    def beyond(a: Column) -> Column:
+        q25, q75 = quartile(a, 0.25), quartile(a, 0.75)
+        lo, hi = q25 - 1.5 * (q75 - q25), q75 + 1.5 * (q75 - q25)
+        return F.when((F.size(a) >= min_periods) & F.col(x).isNotNull(),
+                      F.greatest(F.lit(0.0), lo - F.col(x), F.col(x) - hi))
+
+    return {f"{x}_outlier_dist": F.element_at(F.transform(F.array(seen), beyond), 1)}
 
 
 def pct_change(x: str, tl: Timeline, spike: float = 0.05, name: str | None = None) -> Feats:

@@ -81,15 +81,24 @@ def class_report(cm: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
 
 def score_table(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Positives and negatives per distinct score, with cumulative counts
-    walking thresholds from high to low.  Scores are expected to be quantised
-    (e.g. rounded to 6 digits), which bounds the distinct-score table that
-    the single ordered window sees."""
+    walking thresholds from high to low.
+
+    Running sums in two steps: scores fall into buckets of 1/1024, the small
+    table of bucket totals gives each bucket its offset, and the scores of a
+    bucket are summed in their own window, so no task sees all scores."""
+    from vigil.operators.chunking import join_on
     g = df.groupBy(F.col(score).alias("thr")).agg(
         F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    w = Window.orderBy(F.col("thr").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return (g.withColumn("tp", F.sum("pos").over(w)).withColumn("fp", F.sum("neg").over(w))
-             .withColumn("P", F.sum("pos").over(tot)).withColumn("N", F.sum("neg").over(tot)))
+    g = g.withColumn("_b", F.floor(F.col("thr").cast("double") * 1024).cast("long"))
+    before = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy()
+    off = g.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(
+        "_b", F.coalesce(F.sum("_p").over(before), F.lit(0)).alias("_op"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_on"),
+        F.sum("_p").over(whole).alias("P"), F.sum("_n").over(whole).alias("N"))
+    w = Window.partitionBy("_b").orderBy(F.col("thr").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return (join_on(g, off, ["_b"]).withColumn("tp", F.col("_op") + F.sum("pos").over(w))
+            .withColumn("fp", F.col("_on") + F.sum("neg").over(w)).drop("_b", "_op", "_on"))
 
 
 def roc_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
@@ -101,10 +110,10 @@ def roc_curve(df: DataFrame, score: str, truth: str) -> DataFrame:
 def roc_summary(df: DataFrame, score: str, truth: str) -> DataFrame:
     """AUC by the trapezoid rule over the ROC points (from (0,0)) and the
     Youden-best threshold (max tpr - fpr, highest threshold on ties) (A25)."""
-    r = roc_curve(df, score, truth)
-    w = Window.orderBy(F.col("thr").desc())
-    r = r.withColumn("pf", F.coalesce(F.lag("fpr").over(w), F.lit(0.0))).withColumn(
-        "pt", F.coalesce(F.lag("tpr").over(w), F.lit(0.0)))
+    # the point before a threshold is its own count taken off again
+    r = score_table(df, score, truth).select(
+        "thr", (F.col("tp") / F.col("P")).alias("tpr"), (F.col("fp") / F.col("N")).alias("fpr"),
+        ((F.col("tp") - F.col("pos")) / F.col("P")).alias("pt"), ((F.col("fp") - F.col("neg")) / F.col("N")).alias("pf"))
     area = (F.col("fpr") - F.col("pf")) * (F.col("tpr") + F.col("pt")) / 2
     return r.agg(F.sum(area).alias("auc"),
                  F.max_by("thr", F.struct(F.col("tpr") - F.col("fpr"), F.col("thr"))).alias("best_threshold"),
@@ -115,10 +124,8 @@ def pr_summary(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Average precision = sum over thresholds of (R_i - R_{i-1}) * P_i, and
     the positive base rate (A26)."""
     t = score_table(df, score, truth)
-    w = Window.orderBy(F.col("thr").desc())
-    rec = F.col("tp") / F.col("P")
-    t = t.withColumn("rec", rec).withColumn("prec", F.col("tp") / (F.col("tp") + F.col("fp")))
-    t = t.withColumn("prev_rec", F.coalesce(F.lag("rec").over(w), F.lit(0.0)))
+    t = t.withColumn("rec", F.col("tp") / F.col("P")).withColumn("prec", F.col("tp") / (F.col("tp") + F.col("fp")))
+    t = t.withColumn("prev_rec", (F.col("tp") - F.col("pos")) / F.col("P"))
     return t.agg(F.sum((F.col("rec") - F.col("prev_rec")) * F.col("prec")).alias("average_precision"),
                  (F.first("P") / (F.first("P") + F.first("N"))).alias("base_rate"))
 
