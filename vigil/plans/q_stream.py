@@ -77,7 +77,7 @@ def q_stream_alerts(spark, sf):
     cand2, closing = D.replay_source(spark, folder, last)
     fired = D.dedup_alerts(cand2, ["user_id", "class_id"], ["event_id"], "t", 3600.0,
                            keep=["event_id", "user_id", "ts", "class_id", "confidence"], late=LATE)
-    return D.run_to_table(fired, "alerts", closing=closing)
+    return D.run_to_table(D.alert_record(fired), "alerts", closing=closing)
 
 
 @register("stream_carry_forward", f"""WITH {EV}, x AS (SELECT *, CASE WHEN label = 3 THEN NULL ELSE value END AS v FROM ev)

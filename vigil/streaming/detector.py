@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from vigil.functions.dims import ALERT_LEVELS, CLASS_NAMES, map_lookup
 from vigil.session import ensure_checkpoint_dir
 
 CLOSING = "2900-01-01 00:00:00"      # rows from here on only move the watermark
@@ -229,6 +230,13 @@ def dedup_alerts(stream: DataFrame, keys: list[str], order: list[str], t: str, c
     return in_event_time(stream, keys, order, late, [*keep, t], fold, out_schema)
 
 
+def alert_record(alerts: DataFrame, class_id: str = "class_id") -> DataFrame:
+    """The alert log's record (K5, T7): the fired row with the name and the
+    alert level of its class."""
+    return (alerts.withColumn("class_name", map_lookup(CLASS_NAMES, class_id, "Unknown"))
+            .withColumn("alert_level", map_lookup(ALERT_LEVELS, class_id, "INFO")))
+
+
 def alert_counts(alerts: DataFrame, ts: str, window: str = "1 hour", watermark: str = "2 hours",
                  by: list[str] = ()) -> DataFrame:
     """Tumbling-window alert counts with a watermark; rows later than the
