@@ -12,17 +12,20 @@ or more.  Two linked sets of a and b shingles differ in at most (a + b) / 7.
   m is half the largest set (all of it in small bands), and each set emits its H + 1 first
   segments in one global order (those with the most rare shingles first, those
   made of frequent shingles only after them, empty ones last): two sets with
-  distance <= H agree on at least m - H segments, so these prefixes meet.
+  distance <= H agree on at least m - H segments, so these prefixes meet.  A set
+  with few rare segments emits their one-deletion neighbourhoods instead of
+  frequent segments, which many unrelated texts share.
   Plan B indexes m = H / 2 + 1 segments with their one-deletion
   neighbourhoods (threshold 1 each): less than one segment could differ by two
   or more everywhere.  Empty signatures are emitted only by sets whose other
   segments can't prove the match.  Zones of many frequent shingles take B.
-* Members of equal signatures are chained within sorted runs.  Candidate pairs
+* Members of equal signatures are starred within sorted runs.  Candidate pairs
   pass a bound from binned set sketches and are verified exactly on the texts;
   verified links form components.
-  Signatures whose members are then still in different components give all
-  pairs between their components, verified too, so no link is lost while a
-  group of copies never expands into all its pairs.
+  Where a signature's members are then still in different components, those
+  outside the largest meet a few drawn members, and what is still apart all
+  members of other components, verified too: no link is lost while a group of
+  copies never expands into all its pairs.
 
 Defined results: null, empty and blank texts have no shingles, link with
 nothing and are their own component; rows without an id have a null
@@ -42,6 +45,7 @@ from vigil.llm.common import MULT, components, materialize, mix, release, shingl
 K = 5
 EDGES = (1, 4, 8, 16, 32, 64, 512, 4096, 32768, 1 << 18, 1 << 24, 1 << 31)   # lower ends of the size bands
 FREQUENT = 0.001      # share of nodes from which a shingle is frequent
+LEADS = 8             # members of a mixed signature that those outside its largest component meet first
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
 SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
 SMALL = 1_000_000     # node ids (16 bytes each) that may be broadcast; more are shuffled
@@ -174,22 +178,34 @@ def _emit(doc, h, n, hot, zone, limit, zones):
     sdoc, sz = doc[first], z[first]
     place = mix(seed[sz] + seg[first].astype(np.uint64) * MULT[4])
     wide = zones.deletions[sz]
-    rare = np.minimum(np.add.reduceat(~hot_of(h, hot), first), 4) if len(hot) else np.minimum(size, 4)
+    often = hot_of(h, hot) if len(hot) else np.zeros(len(h), bool)
+    n_rare = np.add.reduceat((~often).astype(np.int64), first)
+    rare = np.minimum(n_rare, 4)
     out_s, out_d = [], []
 
-    # plan A: the first H + 1 segments of the global order
+    # plan A: the first H + 1 segments of the global order.  A set with fewer
+    # segments that hold a rare shingle adds their one-deletion neighbourhoods,
+    # as far as something rare remains: where neither finds a match, a segment
+    # with two rare shingles or more differs by two, one with one by one, so
+    # frequent segments are needed only where that sums up to H or less.
     a = np.flatnonzero(~wide)
     if len(a):
+        with_rare, with_two = (np.bincount(sdoc[a], weights=n_rare[a] >= k, minlength=len(n)) for k in (1, 2))
+        poor = with_rare <= limit
+        covered = poor & (with_rare + with_two >= limit + 1)
+        e = np.flatnonzero(poor[doc] & ~wide[of] & (n_rare[of] >= np.where(often, 1, 2)))
+        out_s.append(mix(total[of[e]] - val[e] + place[of[e]]))
+        out_d.append(doc[e])
         sig = mix(total[a] + place[a])
         o = np.lexsort((sig, -rare[a], sdoc[a]))
         sig, d = sig[o], sdoc[a][o]
         start = np.flatnonzero(np.diff(d, prepend=-1))
         have = np.diff(np.append(start, len(d)))
         rank = np.arange(len(d)) - np.repeat(start, have)
-        keep = rank <= limit[d]
+        keep = (rank <= limit[d]) & ((rare[a][o] > 0) | ~covered[d])
         out_s.append(sig[keep])
         out_d.append(d[keep])
-        for i in np.flatnonzero(have <= limit[d[start]]):          # the order goes on with empty segments
+        for i in np.flatnonzero((have <= limit[d[start]]) & ~covered[d[start]]):     # the order goes on with empty segments
             t = d[start[i]]
             zt = zone[t]
             empty = np.setdiff1d(np.arange(zones.m[zt]), seg[slice(*np.searchsorted(doc, [t, t + 1]))])
@@ -255,32 +271,36 @@ def index_entries(docs: DataFrame, text: str, hot: np.ndarray, zones: Zones) ->
 
 
 def runs(entries: DataFrame) -> DataFrame:
-    """Entries whose signature has two nodes or more: (sig, node, prev), prev
-    the node before in the signature's sorted run (null: the first)."""
-    def chain(batches):
-        last_s = last_x = None
-        last_first = False
+    """Entries whose signature has two nodes or more: (sig, node, lead), lead
+    the first node of the signature's sorted run (null: the node itself).
+    Streams over sorted rows, so a run of any length takes no memory."""
+    def star(batches):
+        last_s = last_x = lead = None
+        alone = False                                   # the run carried over has one node so far
         for b in batches:
             s, x = b.column(0).to_numpy(), b.column(1).to_numpy()
-            if last_s is not None:
-                s, x = np.concatenate([[last_s], s]), np.concatenate([[last_x], x])
-            keep = np.concatenate([[True], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
+            if not len(s):
+                continue
+            keep = np.concatenate([[last_s is None or s[0] != last_s or x[0] != last_x], (s[1:] != s[:-1]) | (x[1:] != x[:-1])])
             s, x = s[keep], x[keep]
             if not len(s):
                 continue
-            new = np.concatenate([[True if last_s is None else last_first], s[1:] != s[:-1]])
-            i = np.flatnonzero(s[1:] == s[:-1]) + 1
-            j = i[new[i - 1]] - 1
-            last_s, last_x, last_first = s[-1], x[-1], bool(new[-1])
-            out = pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([s[j], s[i]])), pa.array(np.concatenate([x[j], x[i]])),
-                pa.array(np.concatenate([np.zeros(len(j), np.int64), x[i - 1]]),
-                         mask=np.concatenate([np.ones(len(j), bool), np.zeros(len(i), bool)]))],
-                names=["sig", "node", "prev"])
+            new = np.concatenate([[last_s is None or s[0] != last_s], s[1:] != s[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+            leads = np.where(at >= 0, x[at], 0 if lead is None else lead)
+            i = np.flatnonzero(~new)
+            j = i[(i > 0) & new[np.maximum(i - 1, 0)]] - 1          # first nodes whose run goes on
+            carried = not new[0] and alone
+            sig = np.concatenate([s[:1] if carried else s[:0], s[j], s[i]])
+            node = np.concatenate([leads[:1] if carried else x[:0], x[j], x[i]])
+            own = np.arange(len(sig)) < len(sig) - len(i)
+            out = pa.RecordBatch.from_arrays([pa.array(sig), pa.array(node), pa.array(
+                np.concatenate([np.zeros(len(sig) - len(i), np.int64), leads[i]]), mask=own)], names=["sig", "node", "lead"])
+            last_s, last_x, lead, alone = s[-1], x[-1], leads[-1], bool(new[-1])
             yield out
 
     return (entries.repartition("sig").sortWithinPartitions("sig", "node")
-            .mapInArrow(chain, "sig long, node long, prev long"))
+            .mapInArrow(star, "sig long, node long, lead long"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -346,6 +366,36 @@ def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(verified(left, texts), "jaccard-links")
 
 
+def apart(members: DataFrame, comp: DataFrame, few: bool) -> DataFrame:
+    """Pairs (a, b) of nodes that share a signature but no component: one of
+    them outside the signature's largest component, the other any member or
+    (``few``) one of about LEADS drawn by hash."""
+    tagged = materialize(members.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c")),
+                         "jaccard-tagged")
+    per = tagged.groupBy("sig", "c").agg(F.count("*").alias("k"))
+    main = (per.groupBy("sig").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("n_c"), F.sum("k").alias("n"))
+            .where("n_c > 1").select("sig", "main", "n"))
+    mixed = tagged.join(main, "sig")
+    outside = mixed.where("c != main").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"))
+    drawn = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53) < F.lit(LEADS) / F.col("n")
+    others = (mixed.where(drawn) if few else mixed).select("sig", F.col("node").alias("y"), F.col("c").alias("cy"))
+    return (outside.join(others, "sig").where("cx != cy")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after further links: components of the graph whose
+    nodes are the components so far."""
+    over = {k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"}
+    joined = links.join(over["a"], "a", "left").join(over["b"], "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    new = components(joined, "jaccard-cc").select(F.col("node").alias("c"), F.col("component").alias("c2"))
+    nodes = comp.unionByName(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                             .join(comp.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return (nodes.withColumnRenamed("component", "c").join(new, "c", "left")
+            .select("node", F.coalesce("c2", "c").alias("component")))
+
+
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -363,32 +413,23 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
 
     live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs")
     release(docs.sparkSession)
-    chained = live.where("prev IS NOT NULL").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
-    comp = materialize(components(links_of(chained, nodes, rows), "jaccard-cc"), "jaccard-comp")
+    starred = live.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    comp = materialize(components(links_of(starred, nodes, rows), "jaccard-cc"), "jaccard-comp")
     release(docs.sparkSession)
 
-    # signatures whose members are still in different components: every pair
-    # between a member outside the largest component and one of another
-    tagged = materialize(live.select("sig", "node").join(comp, "node", "left")
-                         .select("sig", "node", F.coalesce("component", "node").alias("c")), "jaccard-tagged")
-    per = tagged.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = (per.groupBy("sig").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("n_c"))
-            .where("n_c > 1").select("sig", "main"))
-    open_ = tagged.join(main, "sig")
-    outside = open_.where("c != main").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"))
-    others = open_.select("sig", F.col("node").alias("y"), F.col("c").alias("cy"))
-    between = materialize(outside.join(others, "sig").where("cx != cy")
-               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-               .join(chained, ["a", "b"], "left_anti"), "jaccard-between")
-    release(docs.sparkSession)
-    more = links_of(between, nodes, rows)
-    over = {k: comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in "ab"}
-    more = more.join(over["a"], "a", "left").join(over["b"], "b", "left").select(
-        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(more, "jaccard-cc2").select(F.col("node").alias("c"), F.col("component").alias("c2"))
-
-    named = (nodes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
-             .join(joined, "c", "left").withColumn("c", F.coalesce("c2", "c")))
+    # signatures whose members are still in different components: those outside
+    # the largest component meet a few members drawn by hash first, which joins
+    # nearly all that link at all; what is still apart then meets every member
+    # of another component
+    members = live.select("sig", "node")
+    done = starred
+    for few in (True, False):
+        pairs = materialize(apart(members, comp, few).join(done, ["a", "b"], "left_anti"), "jaccard-apart")
+        release(docs.sparkSession)
+        comp = materialize(merged(comp, links_of(pairs, nodes, rows)), "jaccard-comp")
+        done = done.unionByName(pairs)
+
+    named = nodes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = named.select("node", "c").join(least, "c").select(F.col("node").alias("k1"), "component_id")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"),
