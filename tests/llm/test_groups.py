@@ -247,6 +247,27 @@ def test_toxicity_edge_rows(spark):
         "doc_id", F.col("doc_id") % 7)).collect()} == {1.0}
 
 
+def test_lexicon_does_not_depend_on_slices(spark):
+    rows = [(f"zzork plain filler{i}", 1) for i in range(60)]
+    rows += [(f"plain seldom{i % 40} filler{i}", 0) for i in range(800)] + [("common zzork", 0)] * 20
+    rows += [("common " + "x" * 4_000_000, 0) for _ in range(3)]          # a slice each
+    rows += [("common zebra", 1)] * 3
+
+    def counts(parts):
+        df = spark.createDataFrame(rows, "text string, toxic int").repartition(parts)
+        assert df.rdd.getNumPartitions() == parts
+        return {r["f"]: (r["p"], r["n"]) for r in toxicity._mine(df).collect()}, toxicity._lexicon(df, 63, 823).to_dict()
+
+    one, many = counts(1), counts(100)
+    assert one == many
+    h, doc, _ = toxicity.features_of([t for t, _ in rows])
+    pairs = np.unique(np.stack([h, doc.astype(np.uint64)]), axis=1)
+    y = np.array([t for _, t in rows])
+    f, at = np.unique(pairs[0], return_inverse=True)
+    p, n = (np.bincount(at[y[pairs[1].astype(int)] == c], minlength=len(f)) for c in (1, 0))
+    assert one[0] == {int(k): (a, b) for k, a, b in zip(f.view(np.int64), p, n, strict=True)}
+
+
 def test_label_model_finds_the_reliable_voters():
     rng = np.random.default_rng(3)
     y = rng.random(4000) < 0.3

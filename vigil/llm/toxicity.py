@@ -154,8 +154,8 @@ def _teachers(sample: DataFrame) -> DataFrame:
 
 
 def _mine(sample: DataFrame) -> DataFrame:
-    """(feature, in toxic texts, in other texts) counted over the sample; a
-    feature seen once in one slice, and there in no toxic text, is left out."""
+    """(feature, in toxic texts, in other texts) counted over the whole sample,
+    however it is cut into slices."""
     def run(batches):
         for pdf in batches:
             texts, y = pdf["text"].tolist(), pdf["toxic"].to_numpy()
@@ -172,8 +172,7 @@ def _mine(sample: DataFrame) -> DataFrame:
                 ids, inv = np.unique(np.concatenate([pos, neg]), return_inverse=True)
                 n_pos = np.bincount(inv[:len(pos)], minlength=len(ids))
                 n_neg = np.bincount(inv[len(pos):], minlength=len(ids))
-                keep = (n_pos > 0) | (n_neg > 1)
-                yield pd.DataFrame({"f": ids[keep].view(np.int64), "p": n_pos[keep], "n": n_neg[keep]})
+                yield pd.DataFrame({"f": ids.view(np.int64), "p": n_pos, "n": n_neg})
 
     return sample.mapInPandas(run, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
 
