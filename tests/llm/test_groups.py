@@ -153,6 +153,33 @@ def test_search_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0, 20).count() == 0
 
 
+def test_search_in_groups_of_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1400, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:400] = x[100]                                                   # a large group of copies
+    x[400:440] = x[400]
+    x[440:800] = x[440] + 1e-5 * rng.normal(size=(360, 16))               # near copies, equal in half precision
+    x = x[rng.permutation(len(x))].astype(np.float32)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.nearest(df, lambda i: i % 5 == 0, 20).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    x = x.astype(np.float64)
+    alike = np.unique(x, axis=0, return_inverse=True)[1].ravel()
+    hit = wrong = 0
+    for q in range(0, len(x), 5):
+        s = np.einsum("ij,ij->i", x, np.tile(x[q], (len(x), 1)))
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(len(x)), -s))[:20]
+        mine = [got[q][k + 1] for k in range(20)]
+        hit += len(set(mine) & set(want.tolist()))
+        if (alike == alike[q]).sum() > 20:
+            wrong += mine != want.tolist()
+    assert len(got) == 280 and wrong == 0
+    assert hit >= 0.98 * 20 * 280
+
+
 # ------------------------------------------------------------------- packing
 
 def _best_fit(sizes, sources, clusters, capacity):

@@ -8,15 +8,18 @@ the candidate's vector, lets each pair improve both its ends, and keeps the
 
 Queries run a greedy beam search over the graph, also as joins: every round
 expands the ``EXPAND`` best unexpanded nodes of each beam until the beam holds
-none; the best of the beam are scored again in double precision on the
-original vectors.
+none.
 
-Nodes are dealt to blocks by a hash, so a cluster or a group of copies spreads
-over all blocks; vectors travel in half precision during descent and search.
+Equal vectors are one node, named by their smallest id, with the k + 1
+smallest ids of the group: no result needs more.  Nodes are dealt to blocks by
+a hash, so a cluster spreads over all blocks; vectors travel as the single
+precision values they are and every score is their inner product in double
+precision.  All lists are ordered by score descending, then id ascending.
 
 Defined results: vectors that are null, empty, zero or hold null or
 non-finite values, and rows without an id, take no part; only vectors of
-equal length are compared; a repeated id counts once (its least vector); with
+equal length are compared; a repeated id counts once (its least vector); equal
+scores go to the smaller id; with
 few rows every row is a start of every search, so all candidates are found; an
 empty table gives an empty result; extra columns are ignored.
 """
@@ -40,34 +43,31 @@ CHANGED = 0.02        # share of new list entries below which descent ends
 BLOCK = 4096          # nodes of a block, about
 BEAM, EXPAND = 256, 48
 STARTS = 1024         # start nodes, at most
-RESCORE = 3           # beam entries scored exactly, times the neighbours asked for
 
-LIST = "array<struct<s:double,v:bigint>>"
+LIST = "array<struct<d:double,v:bigint>>"     # d = -score, so that ascending order is the best first
 
 
 def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
     return (mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
 
 
-def _half(x: np.ndarray) -> tuple[list, np.ndarray]:
-    """Half-precision bytes of every vector and the scale to multiply by."""
-    scale = np.abs(x).max(1)
-    return [v.tobytes() for v in (x / scale[:, None]).astype(np.float16)], scale
+def _bytes(x: np.ndarray) -> list:
+    return [v.tobytes() for v in x.astype(np.float32)]
 
 
-def _full(column) -> np.ndarray:
-    return np.stack([np.frombuffer(b, np.float16) for b in column]).astype(np.float64)
+def _vectors(column) -> np.ndarray:
+    return np.stack([np.frombuffer(b, np.float32) for b in column]).astype(np.float64)
 
 
 def packed(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(node, block, h binary, scale) of (node, embedding)."""
+    """(node, block, h binary) of (node, embedding)."""
     def run(batches):
         for pdf in batches:
             if len(pdf):
-                h, scale = _half(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]))
-                yield pd.DataFrame({"node": pdf["node"], "block": block_of(pdf["node"].to_numpy(), blocks), "h": h, "scale": scale})
+                h = _bytes(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]))
+                yield pd.DataFrame({"node": pdf["node"], "block": block_of(pdf["node"].to_numpy(), blocks), "h": h})
 
-    return vectors.select("node", "embedding").mapInPandas(run, "node long, block int, h binary, scale double")
+    return vectors.select("node", "embedding").mapInPandas(run, "node long, block int, h binary")
 
 
 def _top(target: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, list]:
@@ -82,17 +82,17 @@ def _top(target: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> tuple[
     target, other, s = target[keep], other[keep], s[keep]
     first = np.flatnonzero(np.diff(target, prepend=target[0] - 1))
     ends = np.append(first[1:], len(target))
-    return target[first], [[{"s": float(a), "v": int(b)} for a, b in zip(s[i:j], other[i:j], strict=True)]
+    return target[first], [[{"d": 0.0 - float(a), "v": int(b)} for a, b in zip(s[i:j], other[i:j], strict=True)]
                            for i, j in zip(first, ends, strict=True)]
 
 
 def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool) -> DataFrame:
     """Scores of the pairs (u, each of cand), each computed in the block of the
     candidate: (t, near) lists of the k best per block.  ``asked`` has (u, h,
-    scale, cand); with ``both`` the pairs count for their candidates, too."""
+    cand); with ``both`` the pairs count for their candidates, too."""
     def split(batches):
         for b in batches:
-            cand = b.column(3)
+            cand = b.column(2)
             flat = cand.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             of = np.repeat(np.arange(b.num_rows), np.diff(cand.offsets.to_numpy()))
             to = block_of(flat, blocks)
@@ -103,17 +103,16 @@ def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool
             first = np.flatnonzero(np.diff(of.astype(np.int64) + to.astype(np.int64) * b.num_rows, prepend=-1))
             rows = pa.array(of[first])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to[first]), b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows),
+                [pa.array(to[first]), b.column(0).take(rows), b.column(1).take(rows),
                  pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(flat))],
-                names=["block", "u", "h", "scale", "cand"])
+                names=["block", "u", "h", "cand"])
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"t": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
         right = right.sort_values("node")
-        ids, vec = right["node"].to_numpy(), _full(right["h"])
-        vscale = right["scale"].to_numpy()
-        u, uvec, uscale = left["u"].to_numpy(), _full(left["h"]), left["scale"].to_numpy()
+        ids, vec = right["node"].to_numpy(), _vectors(right["h"])
+        u, uvec = left["u"].to_numpy(), _vectors(left["h"])
         size = np.array([len(c) for c in left["cand"]])
         cand = np.concatenate(left["cand"].to_list())
         row = np.repeat(np.arange(len(u)), size)
@@ -124,22 +123,22 @@ def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool
         s = np.empty(len(row))
         for i in range(0, len(row), 1 << 16):
             r, a = row[i:i + (1 << 16)], at[i:i + (1 << 16)]
-            s[i:i + (1 << 16)] = np.einsum("ij,ij->i", uvec[r], vec[a]) * uscale[r] * vscale[a]
+            s[i:i + (1 << 16)] = np.einsum("ij,ij->i", uvec[r], vec[a])
         t, near = _top(u[row], ids[at], s, k)
         if both:
             t2, near2 = _top(ids[at], u[row], s, k)
             t, near = np.concatenate([t, t2]), near + near2
         return pd.DataFrame({"t": t, "near": pd.Series(near, dtype=object)})
 
-    rows = asked.select("u", "h", "scale", "cand").mapInArrow(
-        split, "block int, u long, h binary, scale double, cand array<long>")
+    rows = asked.select("u", "h", "cand").mapInArrow(
+        split, "block int, u long, h binary, cand array<long>")
     return rows.groupBy("block").cogroup(store.groupBy("block")).applyInPandas(score, f"t long, near {LIST}")
 
 
 def best(lists: DataFrame, k: int) -> DataFrame:
     """The k best entries of every t over all its lists."""
     near = F.array_distinct(F.flatten(F.collect_list("near")))
-    return lists.groupBy("t").agg(F.slice(F.sort_array(near, asc=False), 1, k).alias("near"))
+    return lists.groupBy("t").agg(F.slice(F.sort_array(near), 1, k).alias("near"))
 
 
 def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
@@ -149,9 +148,8 @@ def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         ids = pdf["node"].to_numpy()
-        h, scale = _half(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]))
-        x = _full(h)
-        s = x @ x.T * scale[:, None] * scale[None, :]
+        x = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]])
+        s = x @ x.T
         np.fill_diagonal(s, -np.inf)
         k = min(degree, len(ids) - 1)
         if k <= 0:
@@ -159,7 +157,7 @@ def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
         top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         row = np.repeat(np.arange(len(ids)), k)
         # the same sum as in evaluate(): equal pairs get equal scores
-        val = np.einsum("ij,ij->i", x[row], x[top.ravel()]) * scale[row] * scale[top.ravel()]
+        val = np.einsum("ij,ij->i", x[row], x[top.ravel()])
         t, near = _top(ids[row], ids[top.ravel()], val, k)
         return pd.DataFrame({"t": t, "near": pd.Series(near, dtype=object)})
 
@@ -178,7 +176,7 @@ def descend(nodes: DataFrame, store: DataFrame, blocks: int, degree: int = DEGRE
         asked = (far.join(graph.select(F.col("t").alias("u"), "near"), "u")
                  .select("u", F.array_except(F.array_except("far", F.transform("near", lambda x: x["v"])),
                                              F.array("u")).alias("cand"))
-                 .join(store.select(F.col("node").alias("u"), "h", "scale"), "u"))
+                 .join(store.select(F.col("node").alias("u"), "h"), "u"))
         found = evaluate(asked, store, blocks, degree, both=True)
         old = graph.select("t", "near")
         new = materialize(best(old.unionByName(found), degree), "ann-graph")
@@ -197,7 +195,8 @@ def start_nodes(nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     x = np.stack([np.asarray(v, np.float64) for v in sample["embedding"]])
     ids = sample["node"].to_numpy()
     if len(ids) <= STARTS:
-        return ids, x
+        o = np.argsort(ids)                    # equal scores go to the smaller id
+        return ids[o], x[o]
     u = unit(sample["embedding"])
     c = centres_of(u, STARTS // 4, 6)
     near = np.unique(np.concatenate([np.argmax(u @ c.T, 0), np.argsort(-np.linalg.norm(x, axis=1), kind="stable")[:32]]))
@@ -206,36 +205,35 @@ def start_nodes(nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFrame, blocks: int, k: int,
            beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
-    """(q, near) with the best ``beam`` nodes found for every query (node,
-    embedding); a query row that is itself a node is no result of its own."""
-    ids, x = start_nodes(nodes, 0)
-    x_half = _half(x)
-    base, scale = _full(x_half[0]), x_half[1]
+    """(q, near) with the k best nodes found for every query (node, embedding),
+    itself among them."""
+    beam = max(beam, k)
+    ids, base = start_nodes(nodes, 0)
 
     def begin(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            h, qs = _half(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]))
-            q, node = _full(h), pdf["node"].to_numpy()
-            s = q @ base.T
-            top = np.argsort(-s * scale, 1, kind="stable")[:, :beam]
+            q, node = np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]), pdf["node"].to_numpy()
+            top = np.argsort(-(q @ base.T), 1, kind="stable")[:, :beam]
             near = []
             for r in range(len(q)):
                 t = top[r][ids[top[r]] != node[r]]
-                v = np.einsum("ij,ij->i", np.broadcast_to(q[r], (len(t), q.shape[1])), base[t]) * qs[r] * scale[t]
-                near.append([{"s": float(a), "v": int(b)} for a, b in zip(v, ids[t], strict=True)])
-            yield pd.DataFrame({"q": node, "h": h, "scale": qs, "near": pd.Series(near, dtype=object)})
+                v = np.einsum("ij,ij->i", np.tile(q[r], (len(t) + 1, 1)), np.concatenate([base[t], q[r:r + 1]]))
+                near.append([{"d": 0.0 - float(a), "v": int(b)} for a, b in zip(v, [*ids[t], node[r]], strict=True)])
+            yield pd.DataFrame({"q": node, "h": _bytes(q), "near": pd.Series(near, dtype=object)})
 
-    first = queries.mapInPandas(begin, f"q long, h binary, scale double, near {LIST}")
+    first = queries.mapInPandas(begin, f"q long, h binary, near {LIST}")
     own = first.join(graph.select(F.col("t").alias("q"), F.col("near").alias("mine")), "q", "left")
     no = F.expr(f"CAST(array() AS {LIST})")
 
     def opened(near):
         return F.slice(F.sort_array(F.transform(F.array_distinct(near), lambda e: F.struct(
-            e["s"].alias("s"), e["v"].alias("v"), F.lit(False).alias("done"))), asc=False), 1, beam)
+            e["d"].alias("d"), e["v"].alias("v"), F.lit(False).alias("done")))), 1, beam)
 
-    state = materialize(own.select("q", "h", "scale", opened(F.concat("near", F.coalesce("mine", no))).alias("beam")), "ann-beam")
+    # a start that is a neighbour, too, stands once
+    mine = F.filter(F.coalesce("mine", no), lambda e: ~F.array_contains(F.transform("near", lambda x: x["v"]), e["v"]))
+    state = materialize(own.select("q", "h", opened(F.concat("near", mine)).alias("beam")), "ann-beam")
     ids_of = graph.select(F.col("t").alias("w"), F.transform("near", lambda e: e["v"]).alias("far"))
     while True:
         front = F.slice(F.filter("beam", lambda e: ~e["done"]), 1, expand)
@@ -243,52 +241,61 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFr
         hops = step.select("q", F.explode("front").alias("w")).join(ids_of, "w")
         far = hops.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
         asked = step.join(far, "q").select(
-            F.col("q").alias("u"), "h", "scale",
+            F.col("q").alias("u"), "h",
             F.array_except(F.array_except("far", F.transform("beam", lambda e: e["v"])), F.array("q")).alias("cand"))
         found = best(evaluate(asked, store, blocks, beam, both=False), beam).select(F.col("t").alias("q"), F.col("near").alias("new"))
         marked = F.transform("beam", lambda e: F.struct(
-            e["s"].alias("s"), e["v"].alias("v"), (e["done"] | F.array_contains("front", e["v"])).alias("done")))
+            e["d"].alias("d"), e["v"].alias("v"), (e["done"] | F.array_contains("front", e["v"])).alias("done")))
         fresh = F.transform(F.coalesce("new", no), lambda e: F.struct(
-            e["s"].alias("s"), e["v"].alias("v"), F.lit(False).alias("done")))
+            e["d"].alias("d"), e["v"].alias("v"), F.lit(False).alias("done")))
         state = materialize(step.join(found, "q", "left").select(
-            "q", "h", "scale", F.slice(F.sort_array(F.concat(marked, fresh), asc=False), 1, beam).alias("beam")), "ann-beam")
+            "q", "h", F.slice(F.sort_array(F.concat(marked, fresh)), 1, beam).alias("beam")), "ann-beam")
         if not state.where(F.exists("beam", lambda e: ~e["done"])).limit(1).count():
-            return state.select("q", F.transform(F.slice("beam", 1, RESCORE * k), lambda e: e["v"]).alias("near"))
+            return state.select("q", F.transform(F.slice("beam", 1, k), lambda e: F.struct(
+                e["d"].alias("d"), e["v"].alias("v"))).alias("near"))
 
 
-def exact(found: DataFrame, queries: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of the nodes found, by the
-    inner product in double precision, ties to the smaller id."""
-    pairs = (found.select("q", F.explode("near").alias("node"))
-             .join(nodes.select("node", F.col("embedding").alias("x")), "node")
-             .join(queries.select(F.col("node").alias("q"), F.col("embedding").alias("y")), "q"))
+def expanded(found: DataFrame, groups: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best ids, but for itself, of every
+    query ``asked`` (query_id, q), from the nodes found and the ids of each
+    node (node, ids); ties to the smaller id."""
+    each = found.select("q", F.explode("near").alias("e")).select("q", "e.d", F.col("e.v").alias("node"))
+    # at most k + 1 nodes of k + 1 ids
+    near = (each.join(groups.select("node", "ids"), "node").select("q", "d", F.explode("ids").alias("id"))
+            .groupBy("q").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", "id"))), 1, k + 1).alias("near")))
+    mine = F.slice(F.filter("near", lambda e: e["id"] != F.col("query_id")), 1, k)
+    return (asked.join(near, "q").select("query_id", F.posexplode(mine).alias("at", "e"))
+            .select("query_id", (F.col("at") + 1).alias("rank"), F.col("e.id").alias("vec_id"),
+                    (F.lit(0.0) - F.col("e.d")).alias("score")))
 
-    def run(batches):
-        for pdf in batches:
-            s = np.array([np.dot(np.asarray(a, np.float64), np.asarray(b, np.float64))
-                          for a, b in zip(pdf["x"], pdf["y"], strict=True)], np.float64)
-            yield pd.DataFrame({"query_id": pdf["q"], "vec_id": pdf["node"], "score": s})
 
-    scored = pairs.mapInPandas(run, "query_id long, vec_id long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score")
+def grouped(rows: DataFrame, k: int) -> DataFrame:
+    """(node, embedding, ids) of the distinct vectors of (id, embedding): the
+    smallest id and the k + 1 smallest.  The rank is limited before the shuffle,
+    so a vector that very many rows share is not gathered."""
+    w = Window.partitionBy("embedding").orderBy("id")
+    few = rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    return few.groupBy("embedding").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids"))
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """The k nearest other rows by inner product of every row that ``is_query``
     (a column expression over ``id``) holds for."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("node"), F.col(vec).cast("array<float>").alias("embedding"))
-    rows = rows.where(usable(F.col("embedding")) & F.col("node").isNotNull())
-    rows = materialize(rows.groupBy("node").agg(F.min("embedding").alias("embedding")), "ann-nodes")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("embedding"))
+    rows = rows.where(usable(F.col("embedding")) & F.col("id").isNotNull())
+    rows = materialize(rows.groupBy("id").agg(F.min("embedding").alias("embedding")), "ann-rows")
+    groups = materialize(grouped(rows, k), "ann-nodes")
     out = None
-    for r in rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():
-        nodes = rows.where(F.size("embedding") == r["d"])              # one run for each vector length
+    for r in groups.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():
+        here = groups.where(F.size("embedding") == r["d"])             # one run for each vector length
+        nodes = here.select("node", "embedding")
         blocks = max(1, -(-r["n"] // BLOCK))
         store = materialize(packed(nodes, blocks), "ann-store")
         graph = descend(nodes, store, blocks)
-        queries = nodes.where(is_query(F.col("node")))
-        part = exact(search(queries, nodes, graph, store, blocks, k), queries, nodes, k)
+        asked = materialize(rows.where(is_query(F.col("id"))).join(nodes, "embedding")
+                            .select(F.col("id").alias("query_id"), F.col("node").alias("q")), "ann-asked")
+        queries = nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
+        part = expanded(search(queries, nodes, graph, store, blocks, k + 1), here, asked, k)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
