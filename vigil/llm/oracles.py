@@ -67,4 +67,30 @@ c AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id),
 d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN d USING (vec_id)"""
 
-ORACLES = {"op3_embedding_near_dedup": OP3, "op5_secret_scan": OP5, "op10_ngram_jaccard_join": OP10}
+OP13 = r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, doc_id, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+        100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t),
+        regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] AS fails FROM w),
+c AS (SELECT part, fails, count(*) AS n,
+        count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+        count(*) FILTER (WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL
+      SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+s AS (SELECT filter_order, step, filter_order[step] AS here,
+             list_transform(range(1, step), lambda i: instr('ABCDE', filter_order[i])) AS past, instr('ABCDE', filter_order[step]) AS k
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+x AS (SELECT *, len(list_filter(past, lambda i: fails[i])) = 0 AS there FROM c, s),
+r AS (SELECT part, filter_order, step, here, sum(n) FILTER (WHERE there AND NOT fails[k]) AS kept,
+        sum(n) FILTER (WHERE there AND fails[k]) AS removed, sum(n) FILTER (WHERE NOT there AND fails[k]) AS redundant,
+        sum(n) FILTER (WHERE fails[k] AND len(list_filter(fails, lambda b: b)) = 1) AS unique_fails,
+        sum(good) FILTER (WHERE there AND fails[k]) AS good_lost, sum(toxic) FILTER (WHERE there AND fails[k]) AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, here)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+       CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+       CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, here) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op3_embedding_near_dedup": OP3, "op5_secret_scan": OP5, "op10_ngram_jaccard_join": OP10,
+           "op13_filter_audit": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
+from vigil.llm import ann, audit, html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
 from vigil.llm.common import table
 from vigil.llm.oracles import ORACLES  # noqa: F401
 
@@ -82,3 +82,9 @@ def op7_token_counts(spark, sf_dir):
 def op10_ngram_jaccard_join(spark, sf_dir):
     """Every document with its near-duplicate component."""
     return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_filter_audit(spark, sf_dir):
+    """The interaction of the five filters in every order, by language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
