@@ -5,7 +5,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, audit, html, jaccard, neardup, packing, pii, secrets, spm, tokens, toxicity
+from vigil.llm import (
+    ann,
+    audit,
+    html,
+    jaccard,
+    neardup,
+    negatives,
+    packing,
+    pii,
+    secrets,
+    spm,
+    suffixes,
+    tokens,
+    toxicity,
+)
 from vigil.llm.common import table
 from vigil.llm.oracles import ORACLES  # noqa: F401
 
@@ -84,6 +98,22 @@ def op10_ngram_jaccard_join(spark, sf_dir):
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_suffix_array_dedup(spark, sf_dir):
+    """What is left of every document without the passages of earlier ones."""
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    lengths = F.zip_with("starts", "ends", lambda a, b: b - a)
+    return done.select("doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
+                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@_query
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=moved)
+
+
 @_query
 def op13_filter_audit(spark, sf_dir):
     """The interaction of the five filters in every order, by language."""
