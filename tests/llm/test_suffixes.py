@@ -73,16 +73,17 @@ def test_empty_table(spark):
 
 
 def test_levels_merge_geometrically(spark):
-    rows = spark.createDataFrame([(0, 0, 0, np.int64([7]).tobytes(), np.int64([i]).tobytes(), np.int64([0]).tobytes(),
-                                   np.uint8([3]).tobytes(), bytes(range(i, i + 52))) for i in range(1)],
-                                 "batch int, bucket int, slice long, uid binary, doc_id binary, start binary, count binary, heap binary")
-    levels, sizes = [], []
-    for _ in range(4):
-        spans, levels = suffixes.add_batch(rows, levels)
-        sizes.append(sorted(s for s, _ in levels))
+    rows = spark.createDataFrame([(0, 0, 0, np.uint32([7]).tobytes(), np.int64([1]).tobytes(), np.uint32([0]).tobytes(),
+                                   np.uint8([3]).tobytes(), bytes(range(52)))], suffixes._SEGMENTS)
+    tables = suffixes.Tables(spark)
+    family, sizes = suffixes.Family(tables, 2), []
+    for b in range(4):
+        family.add(b, rows)
+        sizes.append(sorted(s for s, _ in family.levels))
     assert sizes == [[1], [2], [1, 2], [4]]
-    (_, level), = levels
-    (row,) = level.collect()
-    assert len(row["order"]) == 3 * 4                  # the same three strings, once
-    (span,) = spans.collect()
-    assert (np.frombuffer(span["start"], np.int64).tolist(), np.frombuffer(span["stop"], np.int64).tolist()) == ([0], [52])
+    (row,) = family.rows().where(f"level AND batch = {family.levels[0][1]}").collect()
+    assert len(row["b"]) == 3 * 4                      # the same three strings, once
+    spans = family.spans().collect()
+    assert len(spans) == 3                             # the batches after the first
+    assert {(np.frombuffer(s["start"], np.uint32)[0], np.frombuffer(s["stop"], np.uint32)[0]) for s in spans} == {(0, 52)}
+    tables.close()

@@ -101,10 +101,12 @@ def op10_ngram_jaccard_join(spark, sf_dir):
 @_query
 def op11_suffix_array_dedup(spark, sf_dir):
     """What is left of every document without the passages of earlier ones."""
-    done = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
-    lengths = F.zip_with("starts", "ends", lambda a, b: b - a)
-    return done.select("doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
-                       F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    def digest(rows):
+        lengths = F.zip_with("starts", "ends", lambda a, b: b - a)
+        return rows.select("doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda s, x: s + x).alias("n_removed"),
+                           F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), shape=digest)
 
 
 @_query

@@ -19,7 +19,8 @@ their segments take part in what follows.  Fingerprints only deal out; strings
 are compared by their bytes.
 
 The documents are written once, bucketed by slice (some 4 MB of texts), so the
-passes over the texts move no text.
+passes over the texts move no text; the segments and the family are bucketed by
+their bucket, so a batch meets the levels where they lie.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import materialize, mix, release
@@ -39,9 +40,9 @@ LENGTH = 50                     # bytes of a repeated string
 GRAM = 20                       # bytes of a run whose fingerprint may be the minimiser
 SLICE = 4_000_000               # bytes of the texts handled together
 BUCKET = 8_000_000              # bytes of all texts for each bucket of the suffix arrays
-BATCHES = 8
+BATCHES = 4
 LONGEST = 64                    # strings of a segment at most
-PIECE = 1 << 21                 # bytes whose fingerprints are held at once (a long text has many pieces)
+PIECE = 1 << 16                 # bytes whose fingerprints are held at once (they fit the cache; a long text has many pieces)
 
 _U = np.uint64
 _BITS = 40                      # of a fingerprint beside its bucket
@@ -196,23 +197,37 @@ def _trimmed(a: Suffixes, count: np.ndarray) -> Suffixes:
 
 # ------------------------------------------------------------------- the passes
 
-def _sizes(docs: DataFrame, text: str) -> tuple[int, int, int]:
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
-    slices = max(1, math.ceil(size / SLICE))
-    return size, slices, max(1, math.ceil(size / BUCKET))
+class Tables:
+    """Tables in the shared folder, each bucketed by one column, so that what is grouped by it stays where it lies."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.names, self.paths = spark, [], {}
 
-def _write_slices(docs: DataFrame, doc_id: str, text: str, slices: int) -> str:
-    """Name of a table of the documents (uid, doc_id, has_id, raw, slice) in the shared folder, bucketed by slice."""
-    spark = docs.sparkSession
-    files = min(slices, max(math.ceil(slices / 4), int(spark.conf.get("spark.sql.shuffle.partitions"))), 50_000)
-    name = f"slices_{uuid.uuid4().hex}"
-    rows = (docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"),
-                        F.col(doc_id).isNotNull().alias("has_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
-            .withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(slices))))
-    (rows.repartition(files, "slice").write.bucketBy(files, "slice").option("path", scratch_path(spark, name))
-     .option("compression", "zstd").saveAsTable(name))
-    return name
+    def write(self, df: DataFrame, kind: str, key: str, files: int, parts: tuple[str, ...] = (), name: str | None = None) -> str:
+        """Make a table, or append to the table ``name``."""
+        if name is None:
+            name = f"{kind}_{uuid.uuid4().hex}"
+            self.names.append(name)
+            self.paths[name] = scratch_path(self.spark, name)
+        w = df.write.mode("append").option("path", self.paths[name]).option("compression", "zstd").bucketBy(files, key)
+        (w.partitionBy(*parts) if parts else w).saveAsTable(name)
+        return name
+
+    def close(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _files(spark: SparkSession, groups: int) -> int:
+    """Files of a table whose groups are some 4 MB each."""
+    return min(groups, max(math.ceil(groups / 4), int(spark.conf.get("spark.sql.shuffle.partitions"))), 50_000)
+
+
+def sliced(docs: DataFrame, doc_id: str, text: str, slices: int) -> DataFrame:
+    """uid, doc_id, has_id, raw, slice of every row."""
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"),
+                       F.col(doc_id).isNotNull().alias("has_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    return rows.withColumn("slice", F.pmod(F.xxhash64("uid"), F.lit(slices)))
 
 
 def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
@@ -249,19 +264,23 @@ def shared_minimisers(docs: DataFrame, buckets: int) -> DataFrame:
     return found.groupBy("bucket").applyInPandas(common, "slice long, bucket int, vals binary")
 
 
+_SEGMENTS = "batch int, bucket int, slice long, doc binary, doc_id binary, start binary, count binary, heap binary"
+
+
 def suspects(docs: DataFrame, shared: DataFrame, buckets: int, bounds: list[int]) -> DataFrame:
-    """Segments with a shared minimiser, packed by (batch, bucket, slice); a batch holds the ids up to its bound."""
+    """Segments with a shared minimiser, packed by (batch, bucket, slice); a batch
+    holds the ids up to its bound, ``doc`` is the place of a document in its slice by uid."""
     def cut(_, pdf: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["has_id"]]
         out = []
         if len(pdf) and len(mine):
-            texts = list(pdf["raw"])
+            pdf = pdf.sort_values("uid")
+            texts = [raw if known else b"" for raw, known in zip(pdf["raw"], pdf["has_id"], strict=True)]
             doc, start, count, key = segments(texts, buckets)
             wanted = np.sort(np.concatenate([_from_five(v) | _U(b) << _U(_BITS)
                                              for v, b in zip(mine["vals"], mine["bucket"], strict=True)]))
             here = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key
             doc, start, count, key = doc[here], start[here], count[here], key[here]
-            uid, ids = pdf["uid"].to_numpy(np.int64), pdf["doc_id"].to_numpy(np.int64)
+            ids = pdf["doc_id"].to_numpy(np.int64)
             batch = np.searchsorted(np.array(bounds, np.int64), ids, "left")[doc]
             order = np.lexsort((start, doc, key >> _U(_BITS), batch))
             part = (batch.astype(np.uint64) << _U(32) | key >> _U(_BITS))[order]
@@ -270,72 +289,84 @@ def suspects(docs: DataFrame, shared: DataFrame, buckets: int, bounds: list[int]
                 o = order[a:b]
                 heap = b"".join([texts[d][s:s + c + LENGTH - 1] for d, s, c in
                                  zip(doc[o].tolist(), start[o].tolist(), count[o].tolist(), strict=True)])
-                out.append((int(batch[o[0]]), int(key[o[0]] >> _U(_BITS)), pdf["slice"].iloc[0], uid[doc[o]].tobytes(),
-                            ids[doc[o]].tobytes(), start[o].astype(np.int64).tobytes(), count[o].astype(np.uint8).tobytes(), heap))
-        return pd.DataFrame(out, columns=["batch", "bucket", "slice", "uid", "doc_id", "start", "count", "heap"])
-
-    return docs.groupBy("slice").cogroup(shared.groupBy("slice")).applyInPandas(
-        cut, "batch int, bucket int, slice long, uid binary, doc_id binary, start binary, count binary, heap binary")
-
-
-_OUT = "level boolean, bucket int, slice long, a binary, b binary, c binary"
-
-
-def add_batch(batch: DataFrame, levels: list[tuple[int, DataFrame]], keep: bool = True) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
-    """Scan one batch against the family: (repeated spans packed by slice, family with the batch).
-
-    Levels are (size in batches, rows (bucket, heap, order)); those of equal size
-    merge as the batch goes in.  ``keep`` False leaves the batch out (the last one).
-    """
-    size, merge = 1, []
-    while keep and (same := [n for n, (s, _) in enumerate(levels) if s == size]):
-        merge.append(same[0])
-        size *= 2
-
-    def step(_, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        arrays = {int(n): Suffixes(np.frombuffer(h, np.uint8), np.frombuffer(o, np.uint32).astype(np.int64))
-                  for n, h, o in zip(old["n"], old["heap"], old["order"], strict=True)}
-        bucket = int((new if len(new) else old)["bucket"].iloc[0])
-        out, own = [], []
-        if len(new):
-            blobs = lambda c, t: [np.frombuffer(x, t) for x in new[c]]
-            counts = blobs("count", np.uint8)
-            row = np.repeat(np.arange(len(new)), [len(c) for c in counts])
-            count = np.concatenate(counts).astype(np.int64)
-            uid, ids, first = (np.concatenate(blobs(c, np.int64)) for c in ("uid", "doc_id", "start"))
-            seg, off, fresh = scan(np.frombuffer(b"".join(new["heap"]), np.uint8), count, ids, list(arrays.values()))
-            at = first[seg] + off
-            order = np.lexsort((at, uid[seg], row[seg]))
-            seg, at = seg[order], at[order]
-            u, r = uid[seg], row[seg]
-            begin = np.append(True, (u[1:] != u[:-1]) | (r[1:] != r[:-1]) | (at[1:] > at[:-1] + 1))[:len(at)]
-            a = np.flatnonzero(begin)
-            stop = at[np.append(a[1:], len(at)) - 1] + LENGTH if len(a) else at
-            cut = np.searchsorted(r[a], np.arange(len(new) + 1))
-            out = [(False, bucket, s, u[a[i:j]].tobytes(), at[a[i:j]].tobytes(), stop[i:j].tobytes())
-                   for s, i, j in zip(new["slice"], cut[:-1], cut[1:], strict=True) if i < j]
-            own = [_trimmed(fresh, count)]
-        own += [arrays[n] for n in merge if n in arrays]
-        if keep and own:
-            whole = Suffixes.merged(own)
-            out.append((True, bucket, -1, whole.heap.tobytes(), whole.order.astype(np.uint32).tobytes(), b""))
-        return pd.DataFrame(out, columns=["level", "bucket", "slice", "a", "b", "c"])
-
-    none = batch.sparkSession.createDataFrame([], "bucket int, heap binary, order binary, n int")
-    old = none
-    for n, (_, level) in enumerate(levels):
-        old = old.unionByName(level.withColumn("n", F.lit(n)))
-    done = materialize(batch.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(step, _OUT), "suffix-batch")
-    spans = done.where(~F.col("level")).select("slice", F.col("a").alias("uid"), F.col("b").alias("start"), F.col("c").alias("stop"))
-    if keep:
-        fresh = done.where("level").select("bucket", F.col("a").alias("heap"), F.col("b").alias("order"))
-        levels = [x for n, x in enumerate(levels) if n not in merge] + [(size, fresh)]
-    return spans, levels
-
-
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
+                out.append((int(batch[o[0]]), int(key[o[0]] >> _U(_BITS)), pdf["slice"].iloc[0], doc[o].astype(np.uint32).tobytes(),
+                            ids[doc[o]].tobytes(), start[o].astype(np.uint32).tobytes(), count[o].astype(np.uint8).tobytes(), heap))
+        return pd.DataFrame(out, columns=["batch", "bucket", "slice", "doc", "doc_id", "start", "count", "heap"])
+
+    return docs.groupBy("slice").cogroup(shared.groupBy("slice")).applyInPandas(cut, _SEGMENTS)
+
+
+class Family:
+    """The levels, and the repeated spans found so far, as one table bucketed by bucket.
+
+    Rows are (batch that wrote them, level or not, bucket): a level's row has its heap
+    (a) and order (b), a span row, of one slice, the documents (a), starts (b) and ends (c)."""
+
+    _ROWS = "batch int, level boolean, bucket int, slice long, a binary, b binary, c binary"
+
+    def __init__(self, tables: Tables, files: int):
+        self.tables, self.files, self.levels = tables, files, []      # levels: (size in batches, batch that wrote it)
+        self.name = tables.write(tables.spark.createDataFrame([], self._ROWS), "family", "bucket", files, ("batch", "level"))
+
+    def rows(self) -> DataFrame:
+        return self.tables.spark.table(self.name)
+
+    def add(self, number: int, batch: DataFrame, keep: bool = True) -> None:
+        """Scan a batch of segments against the levels and itself, write its
+        repeated spans and, unless ``keep`` is False, its level: merged with the
+        levels of its size as long as there is one."""
+        size, merge = 1, []
+        while keep and (same := [b for s, b in self.levels if s == size]):
+            merge.append(same[0])
+            size *= 2
+
+        def step(_, new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+            arrays = {int(n): Suffixes(np.frombuffer(h, np.uint8), np.frombuffer(o, np.uint32).astype(np.int64))
+                      for n, h, o in zip(old["batch"], old["a"], old["b"], strict=True)}
+            bucket = int((new if len(new) else old)["bucket"].iloc[0])
+            out, own = [], []
+            if len(new):
+                blobs = lambda c, t: [np.frombuffer(x, t) for x in new[c]]
+                counts = blobs("count", np.uint8)
+                row = np.repeat(np.arange(len(new)), [len(c) for c in counts])
+                count = np.concatenate(counts).astype(np.int64)
+                doc, first = (np.concatenate(blobs(c, np.uint32)).astype(np.int64) for c in ("doc", "start"))
+                seg, off, fresh = scan(np.frombuffer(b"".join(new["heap"]), np.uint8), count,
+                                       np.concatenate(blobs("doc_id", np.int64)), list(arrays.values()))
+                at = first[seg] + off
+                order = np.lexsort((at, doc[seg], row[seg]))
+                seg, at = seg[order], at[order]
+                d, r = doc[seg], row[seg]
+                begin = np.append(True, (d[1:] != d[:-1]) | (r[1:] != r[:-1]) | (at[1:] > at[:-1] + 1))[:len(at)]
+                a = np.flatnonzero(begin)
+                stop = at[np.append(a[1:], len(at)) - 1] + LENGTH if len(a) else at
+                cut = np.searchsorted(r[a], np.arange(len(new) + 1))
+                pack = lambda x: x.astype(np.uint32).tobytes()
+                out = [(number, False, bucket, s, pack(d[a[i:j]]), pack(at[a[i:j]]), pack(stop[i:j]))
+                       for s, i, j in zip(new["slice"], cut[:-1], cut[1:], strict=True) if i < j]
+                own = [_trimmed(fresh, count)]
+            own += [arrays[n] for n in merge if n in arrays]
+            if keep and own:
+                whole = Suffixes.merged(own)
+                out.append((number, True, bucket, -1, whole.heap.tobytes(), whole.order.astype(np.uint32).tobytes(), b""))
+            return pd.DataFrame(out, columns=["batch", "level", "bucket", "slice", "a", "b", "c"])
+
+        old = self.rows().where(F.col("level") & F.col("batch").isin([b for _, b in self.levels]))
+        done = batch.groupBy("bucket").cogroup(old.groupBy("bucket")).applyInPandas(step, self._ROWS)
+        self.tables.write(done, "family", "bucket", self.files, ("batch", "level"), self.name)
+        if keep:
+            self.levels = [x for x in self.levels if x[1] not in merge] + [(size, number)]
+
+    def spans(self) -> DataFrame:
+        """slice, doc, start, stop: packed, overlapping where minimisers change."""
+        return self.rows().where(~F.col("level")).select("slice", F.col("a").alias("doc"), F.col("b").alias("start"), F.col("c").alias("stop"))
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: int = BATCHES,
+                   shape=lambda rows: rows) -> DataFrame:
     """Every row of ``docs`` with what is left of it: doc_id, n_bytes, starts and
     ends (arrays: the removed runs of bytes, in order), kept (binary: the rest, joined).
+    The result is written once; ``shape`` chooses what of it.
 
     Strings are judged on the input.  A null or short text loses nothing; rows
     that share an id do not count against each other; rows without an id lose
@@ -343,41 +374,44 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     begin or end within a character.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    size, slices, buckets = _sizes(docs, text)
-    name = _write_slices(docs, doc_id, text, slices)
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    slices, buckets = (max(1, math.ceil(size / s)) for s in (SLICE, BUCKET))
+    tables = Tables(spark)
     try:
-        rows = spark.table(name)
+        files = _files(spark, slices)
+        rows = spark.table(tables.write(sliced(docs, doc_id, text, slices).repartition(files, "slice"), "slices", "slice", files))
         release(spark)
         bounds = sorted({int(x) for x in rows.where("has_id").approxQuantile(
             "doc_id", [i / batches for i in range(1, batches)], 0.001)}) if batches > 1 and size else []
         shared = materialize(shared_minimisers(rows, buckets), "shared-minimisers")
         release(spark)
-        found = materialize(suspects(rows, shared, buckets, bounds), "suspect-segments")
+        files = _files(spark, buckets)
+        found = spark.table(tables.write(suspects(rows, shared, buckets, bounds).repartition(files, "bucket"), "segments",
+                                         "bucket", files, ("batch",)))
         release(spark)
-        spans, levels = None, []
+        family = Family(tables, files)
         for b in range(len(bounds) + 1):
-            part, levels = add_batch(found.where(F.col("batch") == b), levels, keep=b < len(bounds))
-            spans = part if spans is None else spans.unionByName(part)
-            release(spark)
+            family.add(b, found.where(F.col("batch") == b), keep=b < len(bounds))
 
         def rest(_, pdf: pd.DataFrame, gone: pd.DataFrame) -> pd.DataFrame:
-            uid, a, b = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in gone[c])])
-                         for c in ("uid", "start", "stop"))
-            order = np.lexsort((a, uid))
-            uid, a, b = uid[order], a[order], b[order]
+            doc, a, b = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.uint32) for x in gone[c])]).astype(np.int64)
+                         for c in ("doc", "start", "stop"))
+            order = np.lexsort((a, doc))
+            doc, a, b = doc[order], a[order], b[order]
+            pdf = pdf.sort_values("uid")
+            cut = np.searchsorted(doc, np.arange(len(pdf) + 1))
             out = []
-            for u, i, known, raw in zip(pdf["uid"], pdf["doc_id"], pdf["has_id"], pdf["raw"], strict=True):
-                x, y = np.searchsorted(uid, u), np.searchsorted(uid, u, "right")
-                s, e = a[x:y], np.maximum.accumulate(b[x:y])
+            for n, (i, known, raw) in enumerate(zip(pdf["doc_id"], pdf["has_id"], pdf["raw"], strict=True)):
+                s, e = a[cut[n]:cut[n + 1]], np.maximum.accumulate(b[cut[n]:cut[n + 1]])
                 new = np.append(True, s[1:] > e[:-1])[:len(s)]
                 s, e = s[new], e[np.append(np.flatnonzero(new)[1:], len(e)) - 1] if len(e) else e
                 kept = raw if not len(s) else b"".join(raw[p:q] for p, q in zip([0, *e.tolist()], [*s.tolist(), len(raw)], strict=True))
                 out.append((i, known, len(raw), s, e, kept))
             return pd.DataFrame(out, columns=["doc_id", "has_id", "n_bytes", "starts", "ends", "kept"])
 
-        done = rows.groupBy("slice").cogroup(spans.groupBy("slice")).applyInPandas(
+        done = rows.groupBy("slice").cogroup(family.spans().groupBy("slice")).applyInPandas(
             rest, "doc_id long, has_id boolean, n_bytes long, starts array<long>, ends array<long>, kept binary")
         done = done.select(F.when(F.col("has_id"), F.col("doc_id")).alias("doc_id"), "n_bytes", "starts", "ends", "kept")
-        return materialize(done, "without-repeats")
+        return materialize(shape(done), "without-repeats")
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        tables.close()
