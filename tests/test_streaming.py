@@ -34,9 +34,9 @@ def test_window_counts(spark, sf):
 
 def test_online_features_match_batch(spark, sf):
     keep = ["event_id", "user_id", "ts", "t", "label"]
-    ev, closing = event_stream(spark, sf)
+    ev = event_stream(spark, sf)
     online = D.run_to_table(D.online_features(ev, "user_id", ["event_id"], "t", ["value"], keep=keep, late=LATE),
-                            "t-online", closing=closing)
+                            "t-online")
     batch = X.family_b(events(spark, SF).select(*keep, "value"), EVENTS_TL, ["value"], keep=["event_id", "user_id"])
     n = events(spark, SF).groupBy("user_id").agg(F.count("*").alias("n"))
     cols = [c for c in batch.columns if c.startswith(("d_", "value_"))]
@@ -52,19 +52,19 @@ def test_online_features_match_batch(spark, sf):
 
 
 def test_stream_dedup_matches_batch(spark, sf):
-    ev, closing = event_stream(spark, sf)
+    ev = event_stream(spark, sf)
     s = D.run_to_table(D.dedup_alerts(ev.filter(F.col("label") != 0), ["user_id", "label"], ["event_id"], "t", 3600.0,
-                                      keep=["event_id", "user_id", "label"], late=LATE), "t-dedup", closing=closing)
+                                      keep=["event_id", "user_id", "label"], late=LATE), "t-dedup")
     b = FD.alert_dedup(events(spark, SF).filter(F.col("label") != 0), ["user_id", "label"], ["ts", "event_id"],
                        "t", 3600.0).filter("fired")
     assert sorted(r.event_id for r in s.collect()) == sorted(r.event_id for r in b.collect())
 
 
 def test_carry_forward_matches_batch(spark, sf):
-    ev, closing = event_stream(spark, sf)
+    ev = event_stream(spark, sf)
     ev = ev.withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
     s = D.run_to_table(D.carry_forward(ev, "user_id", ["event_id"], ["v"], {"v": -1.0},
-                                       keep=["event_id", "user_id"], late=LATE), "t-carry", closing=closing)
+                                       keep=["event_id", "user_id"], late=LATE), "t-carry")
     b = events(spark, SF).withColumn("v", F.when(F.col("label") == 3, None).otherwise(F.col("value")))
     b = b.select("event_id", F.coalesce(EVENTS_TL.prev_non_null("v"), F.lit(-1.0)).alias("v"))
     got = {r.event_id: r.v for r in s.collect()}
@@ -74,6 +74,6 @@ def test_carry_forward_matches_batch(spark, sf):
 
 def test_counters(spark):
     c = {}
-    ev, _ = event_stream(spark, "/root/testdata/sf0.001")
+    ev = event_stream(spark, "/root/testdata/sf0.001")
     D.run_to_table(ev.select("event_id"), "t-count", counters=c)
-    assert c["input_rows"] == 1000 and c["batches"] >= 1
+    assert c["input_rows"] == 1001 and c["batches"] >= 4

@@ -15,6 +15,7 @@ per-run ffill->bfill->0, tank depletion against the run baseline.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,6 +120,54 @@ def pumps_on(df: DataFrame, name: str = "total_pumps_on", pattern=PUMP_RE) -> Fe
     return {name: sum((F.coalesce(F.col(c).cast("int"), F.lit(0)) for c in cols), F.lit(0))}
 
 
+@dataclass(frozen=True)
+class FamilyA:
+    """Which family-A columns to build; the batch plan (:func:`family_a`) and the
+    online operator take the same one."""
+    sensors: tuple[str, ...]
+    windows: tuple[int, ...] = (5, 10, 30)
+    prior: int = 30                     # rows of the prior quartiles
+    least: int = 5                      # values before the prior statistics count
+    spike: float = 0.05
+    eps: float = 1e-6
+    balance: tuple[str, str] | None = None          # (inflow, level)
+    factor: float = 100 / 3600
+    ratio: tuple[str, str] | None = None            # a / (b + 1)
+
+    @property
+    def back(self) -> int:
+        return max(*self.windows, self.prior, 2)
+
+    def names(self) -> list[str]:
+        out = []
+        for s in self.sensors:
+            out += [f"{s}_rate", f"{s}_accel", *(f"{s}_{k}_{n}s" for n in self.windows for k in ("mean", "std", "max", "min")),
+                    f"{s}_zscore", f"{s}_outlier_dist", f"{s}_pct_change", f"{s}_spike"]
+        return out + ["mass_balance_violation"] * bool(self.balance) + ["ratio"] * bool(self.ratio)
+
+
+def family_a(df: DataFrame, tl: Timeline, spec: FamilyA, keep: list[str]) -> DataFrame:
+    """All columns of ``spec`` (W1-W5, F1, F3): bounded frames over chunks of long
+    runs, the prior z-score with moments carried across them."""
+    from vigil.operators import chunking as CH
+    seen = add_expanding_prior_z(df, tl, list(spec.sensors), spec.least, spec.eps)
+
+    def bounded(d, t):
+        feats: list[Feats] = []
+        for s in spec.sensors:
+            feats += [rate_accel(s, t), *(rolling_full(s, t, n) for n in spec.windows),
+                      prior_iqr_distance(s, t, spec.prior, spec.least),
+                      {n: c.cast("double") for n, c in pct_change(s, t, spec.spike).items()}]
+        if spec.balance:
+            feats.append(mass_balance(*spec.balance, t, spec.factor))
+        if spec.ratio:
+            feats.append(ratio_plus_one(*spec.ratio, "ratio"))
+        zs = [f"{s}_zscore" for s in spec.sensors]
+        return build(d, list(dict.fromkeys([*keep, *zs, *CH.ctx(d)])), *feats)
+
+    return CH.chunked(seen, tl, bounded, back=spec.back).select(*keep, *spec.names())
+
+
 def ffill_zero(x, tl: Timeline) -> Column:
     """Forward fill within the run, then 0 (family A fill, W11)."""
     return F.coalesce(tl.prev_non_null(x), F.lit(0.0))
