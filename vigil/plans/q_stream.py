@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import epoch_seconds, event_time, from_micros_ntz, rnd
+from vigil.operators import chunking as CH
+from vigil.operators import closed_form as M
 from vigil.operators import features as X
+from vigil.operators import scoring as S
 from vigil.plans.registry import EV, register
-from vigil.sources.tables import event_label, table
+from vigil.functions.dims import ALERT_LEVELS, CLASS_NAMES
+from vigil.sources.tables import EVENTS_TL, event_label, events, table
 from vigil.streaming import detector as D
 
 LATE = "6 hours"        # how much later than a newer one a reading may come
@@ -43,7 +47,7 @@ def _b_sql():
            "greatest(coalesce(t - lag(t) OVER w, 0.2), 0.01) AS d_{c}_dt"]
     for n in (10, 25, 50):
         fr = f"(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-        out += [f"round(avg({{c}}) OVER {fr}, 6) AS {{c}}_rmean{n}", f"round(coalesce(stddev_samp({{c}}) OVER {fr}, 0), 6) AS {{c}}_rstd{n}"]
+        out += [f"round(avg({{c}}) OVER {fr}, 9) AS {{c}}_rmean{n}", f"round(coalesce(stddev_samp({{c}}) OVER {fr}, 0), 6) AS {{c}}_rstd{n}"]
     out += [f"round(coalesce(CASE WHEN count({{c}}) OVER {fr} >= 10 THEN ({{c}} - avg({{c}}) OVER {fr}) / "
             f"greatest(stddev_samp({{c}}) OVER {fr}, 0.001) END, 0), 6) AS {{c}}_zscore50",
             "round(coalesce(({c} - coalesce(lag({c}, 50) OVER w, first_value({c}) OVER w)) / 50, 0), 9) AS {c}_roc50"]
@@ -61,7 +65,7 @@ def q_stream_features(spark, sf):
     f = D.online_features(event_stream(spark, sf), "user_id", ["event_id"], "t", ["value", "k"],
                           keep=["event_id", "user_id", "ts", "t", "label"], late=LATE)
     out = D.run_to_table(f, "online-features")
-    digits = {c: 9 if c.endswith("roc50") else 6 for c in out.columns if any(x in c for x in ("_rmean", "_rstd", "_roc", "zscore"))}
+    digits = {c: 9 if "_rmean" in c or c.endswith("roc50") else 6 for c in out.columns if any(x in c for x in ("_rmean", "_rstd", "_roc", "zscore"))}
     return out.select(*[rnd(c, digits[c]).alias(c) if c in digits else c for c in out.columns])
 
 
@@ -112,6 +116,77 @@ def q_stream_carry_forward(spark, sf):
     return D.run_to_table(out, "carry-forward")
 
 
+HISTORY = "2024-01-16"      # the models are fitted on the readings before this day
+BINS = [10.0, 25.0, 50.0, 75.0, 90.0]
+SURE = 0.27                 # least confidence of an alert: four classes of equal weight, a quarter each by chance
+CLASSES = 4
+
+
+def _alerts_sql():
+    fr = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+    z, rm = fr.format(49), fr.format(9)
+    like = " + ".join(f"-0.5 * (ln(2 * pi() * v{i}) + (x{i} - m{i}) * (x{i} - m{i}) / v{i})" for i in (1, 2, 3))
+    far = " + ".join(f"(x{i} - m{i}) / s{i} * ((x{i} - m{i}) / s{i})" for i in (2, 3))
+    case = lambda d, other: "CASE a.class_id " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in d.items()) + f" ELSE '{other}' END"
+    return f"""WITH RECURSIVE {EV},
+x AS (SELECT event_id, user_id, ts, t, label, value AS x1,
+        (value - avg(value) OVER {z}) / greatest(stddev_samp(value) OVER {z}, 0.001) AS x2, avg(k) OVER {rm} AS x3,
+        {" + ".join(f"CAST(k >= {e} AS INT)" for e in BINS)} AS bin
+      FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) >= 25),
+h AS (FROM x WHERE ts < TIMESTAMP '{HISTORY}'),
+c AS (SELECT label AS class, {", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) + 1e-6 AS v{i}" for i in (1, 2, 3))} FROM h GROUP BY label),
+s AS (SELECT stddev_pop(x2) AS s2, stddev_pop(x3) AS s3 FROM h),
+b AS (SELECT class, q.bin AS bin, (count(h.label) + 1) / (sum(count(h.label)) OVER (PARTITION BY class) + {len(BINS) + 1}) AS share
+      FROM (SELECT unnest(range({CLASSES})) AS class), (SELECT unnest(range({len(BINS) + 1})) AS bin) q LEFT JOIN h ON h.label = class AND h.bin = q.bin
+      GROUP BY class, q.bin),
+e AS (SELECT event_id, user_id, ts, t, c.class, exp({like}) AS e1, exp(-({far})) AS e2, share AS e3
+      FROM x CROSS JOIN s CROSS JOIN c JOIN b ON b.class = c.class AND b.bin = x.bin),
+p AS (SELECT *, e1 / sum(e1) OVER w * 0.40 + e2 / sum(e2) OVER w * 0.35 + e3 / sum(e3) OVER w * 0.25 AS p FROM e WINDOW w AS (PARTITION BY event_id)),
+v AS (SELECT event_id, user_id, ts, t, class AS class_id, p AS confidence FROM p
+      QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY p DESC, class) = 1),
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, class_id ORDER BY ts, event_id) AS rn FROM v WHERE class_id > 0 AND confidence >= {SURE}),
+nx AS (SELECT a.user_id, a.class_id, a.rn, min(d.rn) AS nrn FROM a LEFT JOIN a d
+         ON d.user_id = a.user_id AND d.class_id = a.class_id AND d.t >= a.t + {WAIT} GROUP BY ALL),
+f AS (SELECT user_id, class_id, rn FROM a WHERE rn = 1
+      UNION ALL
+      SELECT f.user_id, f.class_id, nx.nrn FROM f JOIN nx ON nx.user_id = f.user_id AND nx.class_id = f.class_id
+        AND nx.rn = f.rn WHERE nx.nrn IS NOT NULL)
+SELECT event_id, a.user_id, ts, CAST(a.class_id AS INTEGER) AS class_id, round(confidence, 9) AS confidence,
+       {case(CLASS_NAMES, 'Unknown')} AS class_name, {case(ALERT_LEVELS, 'INFO')} AS alert_level
+FROM a JOIN f ON f.user_id = a.user_id AND f.class_id = a.class_id AND f.rn = a.rn"""
+
+
+def fitted_models(spark, sf):
+    """Three models fitted on the history of every run from its 25th reading on, by
+    way of their bundle in the shared folder."""
+    keep = ["event_id", "user_id", "ts", "t", "label", "value", "k"]
+    seen = CH.add_sequence(events(spark, sf).select(*keep), EVENTS_TL, CH._conf(spark, CH.BUCKET_S_CONF, CH.DEFAULT_BUCKET_S))
+    f = X.family_b(seen, EVENTS_TL, ["value", "k"], windows=(10,), keep=[*keep, "_seq"])
+    f = f.filter((F.col("_seq") >= 24) & (F.col("ts") < F.lit(HISTORY).cast(f.schema["ts"].dataType)))
+    models = [M.GaussianBayes.fit(f, ["value", "value_zscore50", "k_rmean10"], "label", CLASSES),
+              M.Centroids.fit(f, ["value_zscore50", "k_rmean10"], "label", CLASSES),
+              M.BinnedBayes.fit(f, "k", BINS, "label", CLASSES)]
+    path = D.stream_folder(spark, "bundle")
+    M.save(spark, path, models)
+    return M.load(spark, path)
+
+
+@register("stream_alerts", _alerts_sql())
+def q_stream_alerts(spark, sf):
+    """T1-T7 as one streaming query: readings -> online features -> vote of three
+    fitted models -> confidence filter -> per (run, class) cooldown -> alert log."""
+    p1, p2, p3 = (m.probabilities() for m in fitted_models(spark, sf))
+    f = D.online_features(event_stream(spark, sf), "user_id", ["event_id"], "t", ["value", "k"],
+                          keep=["event_id", "user_id", "ts", "t", "value", "k", D.EVENT_TS], late=LATE)
+    f = f.withColumns({"p1": p1, "p2": p2, "p3": F.when(F.col("seq_ready"), p3)})
+    scored = f.withColumn("r", S.ensemble_vote(F.col("p1"), F.col("p2"), F.col("p3")))
+    scored = scored.select("event_id", "user_id", "ts", "t", D.EVENT_TS, "r.class_id", "r.confidence")
+    cand = scored.filter((F.col("class_id") > 0) & S.passes_confidence(F.col("class_id"), F.col("confidence"), SURE))
+    fired = D.dedup_alerts(cand, ["user_id", "class_id"], ["event_id"], "t", WAIT,
+                           keep=["event_id", "user_id", "ts", "class_id", "confidence"], late=None)
+    return D.run_to_table(D.alert_record(fired), "alerts").withColumn("confidence", rnd("confidence", 9))
+
+
 _FIRED = f"""a AS (SELECT user_id, label, event_id, ts, t, k,
              row_number() OVER (PARTITION BY user_id, label ORDER BY ts, event_id) AS rn FROM ev WHERE label <> 0),
 nx AS (SELECT a.user_id, a.label, a.rn, min(b.rn) AS nrn FROM a LEFT JOIN a b

@@ -21,7 +21,6 @@ import os
 import uuid
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +34,13 @@ FILE_ROWS = 1_000_000                # rows of a replayed file, about
 
 # --- sources (S8, S9) --------------------------------------------------------------------
 
-def replay_source(spark: SparkSession, path: str, ts: str, closing: DataFrame | None = None, slices: int = 4) -> DataFrame:
+def replay_source(spark: SparkSession, path: str, ts: str, closing: DataFrame | None = None, slices: int = 3) -> DataFrame:
     """Replay a recorded table as a stream in slices of ascending ``ts``.
 
     The slices hold about as many rows each and are written one after the other;
     the file source reads the oldest files first, one slice a batch, so no row
     comes later than a newer one of an earlier slice.  ``closing`` rows (same
-    columns) are written last.  Rows without a time come first.
+    columns) come with the last slice.  Rows without a time come first.
     """
     tab = spark.read.parquet(path)
     at = tab.schema[ts].dataType
@@ -57,9 +56,9 @@ def replay_source(spark: SparkSession, path: str, ts: str, closing: DataFrame |
             part = part.where(F.col(ts) > moment(lo))
         if hi is not None:
             part = part.where((F.col(ts) <= moment(hi)) | (F.col(ts).isNull() if lo is None else F.lit(False)))
+        if closing is not None and hi is None:
+            part = part.unionByName(closing.select(*tab.columns))
         part.repartition(files).write.mode("append").parquet(folder)
-    if closing is not None:
-        closing.select(*tab.columns).coalesce(1).write.mode("append").parquet(folder)
     return spark.readStream.schema(tab.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
@@ -113,13 +112,13 @@ def online_features(stream: DataFrame, run: str, order: list[str], t: str, senso
     def fold(memory, rows):
         past = memory or {"n": 0, "tail": [], "first": None}
         old, n = np.array(past["tail"], float).reshape(-1, 1 + len(sensors)), past["n"]
-        new = rows[[t, *sensors]].to_numpy(dtype=float)
+        new = np.stack([rows[c].astype(float) for c in (t, *sensors)], 1)
         first = past["first"] or [None if np.isnan(v) else v for v in new[0, 1:]]
         both, k = np.concatenate([old, new]), len(old)
         index = np.arange(n - k, n + len(new))
         dt = np.diff(both[:, 0], prepend=np.nan)
         dt = np.maximum(_filled(dt, 0.2), 0.01)
-        out = rows[keep].copy()
+        out = {c: rows[c] for c in keep}
         for i, s in enumerate(sensors):
             x = both[:, 1 + i]
             start = np.nan if first[i] is None else first[i]
@@ -129,7 +128,8 @@ def online_features(stream: DataFrame, run: str, order: list[str], t: str, senso
         out["row_index"] = index[k:]
         out["seq_ready"] = out["row_index"] + 1 >= seq_len
         tail = [[None if np.isnan(v) else float(v) for v in r] for r in both[-buffer_rows:]]
-        return out[out["row_index"] + 1 >= warmup], {"n": int(n + len(new)), "tail": tail, "first": first}
+        warm = out["row_index"] + 1 >= warmup
+        return {c: v[warm] for c, v in out.items()}, {"n": int(n + len(new)), "tail": tail, "first": first}
 
     return in_event_time(stream, [run], order, late, [*keep, t, *sensors], fold, out_schema)
 
@@ -168,13 +168,13 @@ def online_family_a(stream: DataFrame, run: str, order: list[str], spec: FamilyA
     out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(n, T.DoubleType()) for n in spec.names()])
 
     def fold(memory, rows):
-        out, kept = rows[keep].copy(), {}
+        out, kept = {c: rows[c] for c in keep}, {}
         made: dict[str, np.ndarray] = {}
         x_of = {}
         for s in spec.sensors:
             past = (memory or {}).get(s, {"tail": [], "n": 0, "mean": 0.0, "dev": 0.0})
             tail = np.array(past["tail"], float)
-            x = np.concatenate([tail, rows[s].to_numpy(dtype=float)])
+            x = np.concatenate([tail, rows[s].astype(float)])
             new = slice(len(tail), len(x))
             step = np.diff(x, prepend=np.nan)
             made[f"{s}_rate"], made[f"{s}_accel"] = step[new], (step - np.concatenate([[np.nan], step[:-1]]))[new]
@@ -227,11 +227,12 @@ def carry_forward(stream: DataFrame, run: str, order: list[str], sensors: list[s
     out_schema = T.StructType([fields[c] for c in keep] + [T.StructField(s, T.DoubleType()) for s in sensors])
 
     def fold(memory, rows):
-        last, out = memory or {}, rows[keep].copy()
+        last, out = memory or {}, {c: rows[c] for c in keep}
         for s in sensors:
-            x = pd.concat([pd.Series([last.get(s)], dtype=float), rows[s].astype(float)]).ffill()
-            last[s] = None if pd.isna(x.iloc[-1]) else float(x.iloc[-1])
-            out[s] = x.iloc[1:].fillna(defaults.get(s, np.nan)).to_numpy()
+            x = np.concatenate([np.array([last.get(s)], float), rows[s].astype(float)])
+            x = x[np.maximum.accumulate(np.where(np.isnan(x), 0, np.arange(len(x))))]
+            last[s] = None if np.isnan(x[-1]) else float(x[-1])
+            out[s] = np.where(np.isnan(x[1:]), defaults.get(s, np.nan), x[1:])
         return out, last
 
     return in_event_time(stream, [run], order, late, [*keep, *sensors], fold, out_schema)
@@ -249,15 +250,15 @@ def dedup_alerts(stream: DataFrame, keys: list[str], order: list[str], t: str, c
     wait = round(cooldown * 1e6)
 
     def fold(memory, rows):
-        us = np.rint(rows[t].to_numpy(dtype=float) * 1e6).astype(np.int64)
+        us = np.rint(rows[t].astype(float) * 1e6).astype(np.int64)
         fired, i = [], 0 if memory is None else int(np.searchsorted(us, memory + wait))
         while i < len(us):
             fired.append(i)
             memory = int(us[i])
             i = max(i + 1, int(np.searchsorted(us, memory + wait)))
         if suppressed:
-            return rows[keep].assign(fired=np.isin(np.arange(len(us)), fired)), memory
-        return rows.iloc[fired][keep], memory
+            return {c: rows[c] for c in keep} | {"fired": np.isin(np.arange(len(us)), fired)}, memory
+        return {c: rows[c][np.array(fired, int)] for c in keep}, memory
 
     return in_event_time(stream, keys, order, late, [*keep, t], fold, out_schema)
 

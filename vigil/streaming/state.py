@@ -1,18 +1,23 @@
 """Rows of a stream in event time, with bounded state.
 
-A key keeps the rows that wait for the watermark as a list of chunks, one for
-each micro-batch that brought some, and a timer at the earliest of them.  When
-the watermark passes a timer, the rows before it are folded in event time and
-leave the state; later ones stay.  So a key holds the rows of its last ``late``
-(and of the batch that moves the watermark), and its operator's memory, which
-every operator here bounds; nothing is rewritten by a batch that brings nothing
-due.  A key that has been silent for ``idle`` is removed.
+Keys are dealt to groups by hash, so that one state call serves all keys of a
+group in a batch.  A group keeps the rows that wait for the watermark as a list
+of chunks, one for each micro-batch that brought some, and a timer at the
+earliest of them.  When the watermark passes a timer, the rows before it are
+folded key by key in event time and leave the state; later ones stay.  So a group
+holds the rows of its last ``late`` (and of the batch that moves the watermark)
+and the memory of its keys, which every operator here bounds; rows that wait are
+not rewritten by batches that bring nothing due.  The memory of a key that has
+been silent for ``idle`` is removed.  ``vigil.stream.groups`` sets the number of
+groups (default four for each shuffle partition); some dozens of live keys a
+group are a good size.
 """
 
 from __future__ import annotations
 
 import json
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -43,15 +48,16 @@ def _ms(rows: pd.DataFrame) -> pd.Series:
 
 
 class EventTimeFold(StatefulProcessor):
-    """``fold(memory, rows) -> (output rows, memory)`` over the rows of a key in event time."""
+    """``fold(memory, rows) -> (output rows, memory)`` over the rows of each key in
+    event time; rows are given and returned as columns (name -> numpy array)."""
 
-    def __init__(self, cols: list[str], order: list[str], fold, out: list[str], idle_ms: int):
-        self.cols, self.order, self.fold, self.out, self.idle_ms = cols, order, fold, out, idle_ms
+    def __init__(self, keys: list[str], cols: list[str], order: list[str], fold, out: list[str], idle_ms: int):
+        self.keys, self.cols, self.order, self.fold, self.out, self.idle_ms = keys, cols, order, fold, out, idle_ms
 
     def init(self, handle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", "first long, rows binary")
-        self.memory = handle.getValueState("memory", "value string, seen long")
+        self.memory = handle.getValueState("memory", "value string")      # {key: [memory, last event time]}
 
     def handleInputRows(self, key, rows, timerValues):
         rows = [r[self.cols] for r in rows if len(r)]
@@ -64,30 +70,44 @@ class EventTimeFold(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         mark = timerValues.getCurrentWatermarkInMs()
-        chunks = list(self.waiting.get()) if self.waiting.exists() else []
-        ready = [c for c in chunks if c[0] < mark]
-        memory, seen = self.memory.get() if self.memory.exists() else (None, 0)
-        if ready:
-            rows = pd.concat([_unpacked(c[1]) for c in ready], ignore_index=True)
-            ms = _ms(rows)
-            seen = max(seen, int(ms.max()))
-            due, later = rows[ms < mark], rows[ms >= mark]
-            left = [tuple(c) for c in chunks if c[0] >= mark]
-            if len(later):
-                first = int(_ms(later).min())
-                left.append((first, _packed(later)))
-                self.handle.registerTimer(first + 1)
-            if left:
-                self.waiting.put(left)
-            else:
-                self.waiting.clear()
-                self.handle.registerTimer(max(seen + self.idle_ms, mark) + 1)
-            due = due.sort_values([EVENT_TS, *self.order], kind="stable").reset_index(drop=True)
-            out, value = self.fold(None if memory is None else json.loads(memory), due)
-            self.memory.update((json.dumps(value), seen))
-            if len(out):
-                yield out[self.out]
-        elif not chunks and mark > seen + self.idle_ms:
+        chunks = [tuple(c) for c in self.waiting.get()]
+        ready, left = [c for c in chunks if c[0] < mark], [c for c in chunks if c[0] >= mark]
+        if not ready:                                  # an earlier timer took them, or only an idle group's memory is left
+            if not left and self.memory.exists():
+                self._remember(json.loads(self.memory.get()[0]), mark)
+            return
+        rows = pd.concat([_unpacked(c[1]) for c in ready], ignore_index=True)
+        ms = _ms(rows)
+        due, later = rows[ms < mark], rows[ms >= mark]
+        if len(later):
+            first = int(_ms(later).min())
+            left.append((first, _packed(later)))
+            self.handle.registerTimer(first + 1)
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        known = json.loads(self.memory.get()[0]) if self.memory.exists() else {}
+        due = due.assign(_key=due.groupby(self.keys, dropna=False, sort=False).ngroup())
+        due = due.sort_values(["_key", EVENT_TS, *self.order], kind="stable")
+        starts = np.flatnonzero(np.diff(due["_key"].to_numpy(), prepend=-1))
+        heads = due[self.keys].iloc[starts].astype(object)
+        names = [json.dumps(v, default=str) for v in heads.where(heads.notna(), None).values.tolist()]
+        last, cols = _ms(due).to_numpy(), {c: due[c].to_numpy() for c in self.cols}
+        parts: list[dict] = []
+        for name, a, b in zip(names, starts, [*starts[1:], len(due)], strict=True):
+            part, value = self.fold(known.get(name, [None])[0], {c: x[a:b] for c, x in cols.items()})
+            known[name] = [value, int(last[b - 1])]
+            parts.append(part)
+        self._remember(known, mark)
+        yield pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in self.out})
+
+    def _remember(self, known: dict, mark: int) -> None:
+        known = {k: v for k, v in known.items() if v[1] + self.idle_ms >= mark}
+        if known:
+            self.memory.update((json.dumps(known),))
+            self.handle.registerTimer(max(min(v[1] for v in known.values()) + self.idle_ms, mark) + 1)
+        else:
             self.memory.clear()
 
     def close(self) -> None:
@@ -97,17 +117,20 @@ class EventTimeFold(StatefulProcessor):
 def in_event_time(stream: DataFrame, keys: list[str], order: list[str], late: str | None, cols: list[str],
                   fold, out_schema: T.StructType, idle: str = "30 days") -> DataFrame:
     """``fold(memory, rows) -> (output rows, memory)`` over the rows of every
-    key in event time.  ``rows`` is a frame of ``cols`` sorted by event time and
-    ``order``; ``memory`` a JSON value, None at first.  ``late`` None takes the
+    key in event time.  ``rows`` are the columns ``cols`` (name -> numpy array)
+    sorted by event time and ``order``; ``memory`` a JSON value, None at first.  ``late`` None takes the
     watermark the stream has already (a second operator of one query).  Where
     the output has the event time, a further operator can use its watermark."""
-    cols = list(dict.fromkeys([*cols, *order, EVENT_TS]))
+    spark = stream.sparkSession
+    cols = list(dict.fromkeys([*keys, *cols, *order, EVENT_TS]))
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     names = [f.name for f in out_schema.fields]
     # the test on the event time stays behind the watermark, which must see the closing rows
     rows = stream.withWatermark(EVENT_TS, late) if late else stream
     rows = rows.filter(F.col(EVENT_TS) < F.lit(CLOSING).cast("timestamp"))
-    stream.sparkSession.conf.set(STORE, ROCKSDB)          # list state and timers need it
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        EventTimeFold(cols, order, fold, names, idle_ms), out_schema, "append", "eventTime",
+    spark.conf.set(STORE, ROCKSDB)                        # list state and timers need it
+    groups = int(spark.conf.get("vigil.stream.groups", None) or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select(*cols, F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("_group"))
+    return rows.groupBy("_group").transformWithStateInPandas(
+        EventTimeFold(keys, cols, order, fold, names, idle_ms), out_schema, "append", "eventTime",
         eventTimeColumnName=EVENT_TS if EVENT_TS in names else "")
