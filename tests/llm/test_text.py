@@ -6,15 +6,15 @@ import itertools
 import random
 import re
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.edge import LONG, edge_docs
 from vigil.llm import html, pii, secrets, spm, tokens
-from vigil.llm.queries import TOKENIZERS
 
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SF = "/root/testdata/sf0.001"
 
 
@@ -212,3 +212,19 @@ def test_pseudonyms_keep_format_and_links(spark):
         assert got[i]["new"] == want + t[at:]
     assert got[0]["new"] is None and got[1]["new"] == "" and got[5]["new"] == LONG
     assert list(itertools.chain.from_iterable(got[i]["pii"] for i in (0, 1, 2))) == []
+
+
+def test_main_text_of_malformed_and_deep_pages():
+    import time
+
+    from vigil.llm.html import main_text
+    assert main_text("<body><p>aaaa</p><![foo[x]]><p>b</p></body>")[0] == "aaaa b"
+    assert main_text("<body><p>one</p><![CDATA[hidden]]><!x><p>two")[0] == "one two"
+    assert main_text("<body>x<![")[0].startswith("x")
+    took = []
+    for n in (2_000, 16_000):
+        t = time.perf_counter()
+        text, _, _ = main_text("<div><p>word " * n + "</i>" * n)
+        took.append(time.perf_counter() - t)
+        assert text.endswith("word")
+    assert took[1] < 40 * took[0]

@@ -13,13 +13,16 @@ text, short paragraphs between long ones included.
 
 Defined results: null, empty and text-free pages give an empty text; repeated
 rows one row each; an empty table an empty result; extra columns are ignored.
-Unclosed and truncated markup is read as far as it goes.
+Unclosed and truncated markup is read as far as it goes, a marked section with an
+unknown keyword is a comment; time grows with the length of a page however deep
+it is.  Of equal holders the deepest counts, then the one with more region text.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -50,31 +53,39 @@ NOISE = re.compile(
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, weighted, path of open holder elements)."""
+    """Collects lines: (text, tags, weighted, innermost open holder).  Holders are
+    (name, place of the holder around it, or -1) in the order they open, so a line costs no more on a deep page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, tuple]] = []
-        self.open: list[tuple[str, bool, int]] = []     # name, noise, element number
+        self.lines: list[tuple[str, int, bool, int]] = []
+        self.holders: list[tuple[str, int]] = []
+        self.open: list[tuple[str, bool, int]] = []     # name, noise, innermost holder outside it
+        self.count: Counter = Counter()                 # open elements by name
+        self.holder = -1
         self.text: list[str] = []
         self.beside = False                             # the line has text outside the article
         self.tags = 0
-        self.seen = 0
         self.noise = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text or self.beside:
-            path = tuple((name, k) for name, _, k in self.open if name in HOLDERS)
-            self.lines.append((text, self.tags, bool(text), path))
+            self.lines.append((text, self.tags, bool(text), self.holder))
             self.tags = 0
         self.text, self.beside = [], False
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` with an unknown keyword is a comment, as browsers read it."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK or tag in NEVER:
             self.end_line()
         self.tags += 1
-        self.seen += 1
         if tag in VOID:
             return
         if tag in CLOSES:
@@ -84,14 +95,18 @@ class Lines(HTMLParser):
                     break
                 if self.open[i][0] in HOLDERS or self.open[i][0] in ("ul", "ol", "dl", "table"):
                     break
-        self.open.append((tag, self.is_noise(tag, attrs), self.seen))
+        self.open.append((tag, self.is_noise(tag, attrs), self.holder))
+        self.count[tag] += 1
         self.noise += self.open[-1][1]
+        if tag in HOLDERS:
+            self.holders.append((tag, self.holder))
+            self.holder = len(self.holders) - 1
 
     def is_noise(self, tag, attrs) -> bool:
         if tag in NEVER:
             return True
         if tag == "header":
-            return not any(name in ("article", "main") for name, _, _ in self.open)
+            return not self.count["article"] and not self.count["main"]
         if not attrs or tag in ("html", "body", "article", "main") or tag in ("h1", "h2", "h3"):
             return False
         for key, value in attrs:
@@ -109,18 +124,21 @@ class Lines(HTMLParser):
 
     def close(self, i: int) -> None:
         """Close the open elements from number ``i`` up."""
-        for _, noise, _ in self.open[i:]:
+        for name, noise, _ in self.open[i:]:
             self.noise -= noise
+            self.count[name] -= 1
+        self.holder = self.open[i][2]
         del self.open[i:]
 
     def handle_endtag(self, tag):
         if tag in BLOCK or tag in NEVER:
             self.end_line()
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.close(i)
-                return
+        if self.count[tag]:
+            i = len(self.open) - 1
+            while self.open[i][0] != tag:
+                i -= 1
+            self.close(i)
 
     def handle_data(self, data):
         if not self.noise:
@@ -152,7 +170,7 @@ def _threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def content_lines(lines: list, sigma: float = SIGMA) -> list[int]:
+def content_lines(lines: list, holders: list, sigma: float = SIGMA) -> list[int]:
     """Indices of the lines of the main text."""
     weighted = [i for i, x in enumerate(lines) if x[2]]
     if not weighted:
@@ -163,20 +181,28 @@ def content_lines(lines: list, sigma: float = SIGMA) -> list[int]:
     region = [i for i in weighted if smooth[i] > cut or smooth[i] == smooth.max()] or weighted
     # the element of the article: an article or main holding most region text,
     # else the deepest holder that has most of it
-    votes: dict = {}
     total = sum(len(lines[i][0]) for i in region)
+    votes, depth = [0] * len(holders), [0] * len(holders)
     for i in region:
-        for depth, element in enumerate(lines[i][3]):
-            votes.setdefault(element, [0, depth])[0] += len(lines[i][0])
-    named = [(v[0], v[1], e) for e, v in votes.items() if e[0] in ("article", "main") and v[0] >= total / 2]
-    deep = [(v[1], v[0], e) for e, v in votes.items() if v[0] >= 0.6 * total]
+        if lines[i][3] >= 0:
+            votes[lines[i][3]] += len(lines[i][0])
+    for k in range(len(holders) - 1, -1, -1):              # a holder opens after the one around it
+        if holders[k][1] >= 0:
+            votes[holders[k][1]] += votes[k]
+    for k, (_, outer) in enumerate(holders):
+        depth[k] = depth[outer] + 1 if outer >= 0 else 0
+    named = [k for k, (name, _) in enumerate(holders) if name in ("article", "main") and votes[k] and votes[k] >= total / 2]
+    deep = [k for k in range(len(holders)) if votes[k] and votes[k] >= 0.6 * total]
     if named:
-        chosen = max(named, key=lambda x: (x[2][0] == "article", x[1]))[2]
+        chosen = max(named, key=lambda k: (holders[k][0] == "article", depth[k], -k))
     elif deep:
-        chosen = max(deep)[2]
+        chosen = max(deep, key=lambda k: (depth[k], votes[k], holders[k][0], k))
     else:
         return region
-    return [i for i in weighted if chosen in lines[i][3]]
+    inside = [False] * len(holders)
+    for k in range(chosen, len(holders)):
+        inside[k] = k == chosen or holders[k][1] >= 0 and inside[holders[k][1]]
+    return [i for i in weighted if lines[i][3] >= 0 and inside[lines[i][3]]]
 
 
 def main_text(html: str | None) -> tuple[str, int, int]:
@@ -187,7 +213,7 @@ def main_text(html: str | None) -> tuple[str, int, int]:
     parser.feed(html)
     HTMLParser.close(parser)
     parser.end_line()
-    keep = content_lines(parser.lines)
+    keep = content_lines(parser.lines, parser.holders)
     return " ".join(parser.lines[i][0] for i in keep), len(keep), len(parser.lines)
 
 

@@ -3,6 +3,7 @@ its whole table with production parameters."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from vigil.llm import (
@@ -23,7 +24,6 @@ from vigil.llm import (
 from vigil.llm.common import table
 from vigil.llm.oracles import ORACLES  # noqa: F401
 
-TOKENIZERS = "/opt/tokenizers"      # folder of the public vocabulary files, the same on every worker
 
 QUERIES = {}
 
@@ -42,7 +42,7 @@ def op1_main_text(spark, sf_dir):
 @_query
 def op2_sentencepiece_nbest(spark, sf_dir):
     """N best segmentations of every document, with the round trip."""
-    return spm.encode(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return spm.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 @_query
@@ -89,7 +89,7 @@ def op6_best_fit_packing(spark, sf_dir):
 @_query
 def op7_token_counts(spark, sf_dir):
     """Tokens of every document."""
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @_query

@@ -38,7 +38,8 @@ from pyspark.sql import types as T
 from vigil.llm.common import BYTE, MULT, _powers, map_texts, materialize, mix, shingle_sets, slices, words_of
 
 FIT_ROWS = 24_000     # labelled rows the model is fitted on, at most
-FEATURES = 4_000      # mined lexicon entries, at most
+SLICE = 250_000       # characters whose features are held at once
+TASK = 4_000_000      # characters of a partition of the sample
 LEAST_G2 = 20.0       # likelihood ratio an entry needs
 LEAST_ODDS = 4.0      # log odds an entry needs
 VOTERS = 12           # lexicon voters
@@ -93,7 +94,7 @@ class Model:
         """(classifier inputs, lexicon voters' hits) of every text."""
         n = len(texts)
         x, hits = np.zeros((n, BUCKETS + 4)), np.zeros((n, VOTERS), np.int32)
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             h, doc, word = features_of(texts[part])
             if not len(h):
                 continue
@@ -132,11 +133,12 @@ class Model:
 
 
 def _teachers(sample: DataFrame) -> DataFrame:
-    """Ids of the sample without copies and near copies (at most FIT_ROWS rows
-    of four numbers reach the driver)."""
+    """Ids of the sample, one of each group of copies and near copies of one label:
+    texts whose minimal shingles agree in three orders (at most FIT_ROWS rows of
+    five numbers reach the driver).  Texts that only share a passage seldom do."""
     def run(texts):
         low = [[0] * len(texts) for _ in range(3)]
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             doc, h = shingle_sets(texts[part])
             if len(doc):
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -146,53 +148,67 @@ def _teachers(sample: DataFrame) -> DataFrame:
         return low
 
     kind = sample.schema["_id"].dataType
-    rows = map_texts(sample, ["_id"], "text", run, {"m0": "long", "m1": "long", "m2": "long"}).toPandas()
+    rows = map_texts(sample, ["_id", "toxic"], "text", run, {"m0": "long", "m1": "long", "m2": "long"}).toPandas()
     rows = rows.sort_values(["_id", "m0"]).drop_duplicates("_id")
-    for m in ("m0", "m1", "m2"):
-        rows = rows[(rows[m] == 0) | ~rows.duplicated(m)]
+    rows = rows[(rows["m0"] == 0) | ~rows.duplicated(["m0", "m1", "m2", "toxic"])]
     return sample.sparkSession.createDataFrame([(v,) for v in rows["_id"].tolist()], T.StructType([T.StructField("_id", kind)]))
 
 
-def _mine(sample: DataFrame) -> DataFrame:
-    """(feature, in toxic texts, in other texts) counted over the whole sample,
-    however it is cut into slices."""
-    def run(batches):
-        for pdf in batches:
-            texts, y = pdf["text"].tolist(), pdf["toxic"].to_numpy()
-            for part in slices(texts, 4_000_000):
-                cols = [[], []]
-                for small in slices(texts[part]):
-                    h, doc, _ = features_of(texts[part][small])
-                    _, once = np.unique(mix(h + mix(doc.astype(np.uint64))), return_index=True)   # once a text
-                    h, doc = h[once], doc[once]
-                    toxic = y[part][small][doc] == 1
-                    cols[0].append(h[toxic])
-                    cols[1].append(h[~toxic])
-                pos, neg = (np.concatenate(c) if c else np.zeros(0, np.uint64) for c in cols)
-                ids, inv = np.unique(np.concatenate([pos, neg]), return_inverse=True)
-                n_pos = np.bincount(inv[:len(pos)], minlength=len(ids))
-                n_neg = np.bincount(inv[len(pos):], minlength=len(ids))
-                yield pd.DataFrame({"f": ids.view(np.int64), "p": n_pos, "n": n_neg})
-
-    return sample.mapInPandas(run, "f long, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+def _once_a_text(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """(feature hash, text index) of every different feature of every text."""
+    h, doc, _ = features_of(texts)
+    _, first = np.unique(mix(h + mix(doc.astype(np.uint64))), return_index=True)
+    return h[first], doc[first]
 
 
-def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
-    """The strongest entries (at most FEATURES): feature, log odds."""
+def _ratios(p: Column, n: Column, n_pos: int, n_neg: int) -> tuple[Column, Column]:
+    """(likelihood ratio, log odds) of a feature in p of n_pos toxic and n of n_neg other texts."""
     def part(o, e):
         return F.when(o > 0, 2 * o * F.log(o / e)).otherwise(F.lit(0.0))
 
-    n = n_pos + n_neg
-    c = _mine(sample).where("p >= 3")
-    all_ = F.col("p") + F.col("n")
-    cells = [(F.col("p"), all_ * n_pos / n), (F.col("n"), all_ * n_neg / n),
-             (n_pos - F.col("p"), (n - all_) * n_pos / n), (n_neg - F.col("n"), (n - all_) * n_neg / n)]
+    whole, both = n_pos + n_neg, p + n
+    cells = [(p, both * n_pos / whole), (n, both * n_neg / whole),
+             (n_pos - p, (whole - both) * n_pos / whole), (n_neg - n, (whole - both) * n_neg / whole)]
     g2 = part(*cells[0])
     for o, e in cells[1:]:
         g2 = g2 + part(o, e)
-    odds = F.log((F.col("p") + 0.5) / (n_pos + 1.0)) - F.log((F.col("n") + 0.5) / (n_neg + 1.0))
-    return (c.select("f", g2.alias("g2"), odds.alias("odds")).where((F.col("odds") > LEAST_ODDS) & (F.col("g2") > LEAST_G2))
-            .orderBy(F.desc("g2"), "f").limit(FEATURES).select("f", "odds").toPandas())
+    return g2, F.log((p + 0.5) / (n_pos + 1.0)) - F.log((n + 0.5) / (n_neg + 1.0))
+
+
+def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
+    """Every entry that passes both tests: feature, log odds.
+
+    Toxic texts are counted first.  Only what would pass if no other text had it
+    is then counted in the others, so every count is over the whole sample,
+    however it is cut, and what moves is small."""
+    def in_toxic(batches):
+        for pdf in batches:
+            texts = pdf["text"].tolist()
+            for part in slices(texts, SLICE):
+                ids, n = np.unique(_once_a_text(texts[part])[0], return_counts=True)
+                yield pd.DataFrame({"f": ids.view(np.int64), "p": n})
+
+    p, none = F.col("p"), F.lit(0)
+    toxic = sample.where("toxic = 1").mapInPandas(in_toxic, "f long, p long").groupBy("f").agg(F.sum("p").alias("p"))
+    g2, odds = _ratios(p, none, n_pos, n_neg)
+    found = toxic.where((p >= 3) & (g2 > LEAST_G2) & (odds > LEAST_ODDS)).toPandas()   # of at most fit_rows texts
+    known = np.sort(found["f"].to_numpy(np.int64).view(np.uint64))
+
+    def in_others(batches):
+        for pdf in batches:
+            texts, n = pdf["text"].tolist(), np.zeros(len(known), np.int64)
+            for part in slices(texts, SLICE):
+                h = _once_a_text(texts[part])[0]
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                n += np.bincount(at[known[at] == h], minlength=len(known)) if len(known) else 0
+            seen = np.flatnonzero(n)
+            yield pd.DataFrame({"f": known[seen].view(np.int64), "n": n[seen]})
+
+    spark = sample.sparkSession
+    others = sample.where("toxic IS NULL OR toxic <> 1").mapInPandas(in_others, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    both = spark.createDataFrame(found, "f long, p long").join(others, "f", "left").withColumn("n", F.coalesce("n", none))
+    g2, odds = _ratios(p, F.col("n"), n_pos, n_neg)
+    return both.where((odds > LEAST_ODDS) & (g2 > LEAST_G2)).select("f", odds.alias("odds")).toPandas()
 
 
 def label_model(votes: np.ndarray, counts: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     # at most fit_rows ids of 8 bytes: a bounded broadcast, so texts are not shuffled
     sample = (docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
               .join(F.broadcast(gold), "_id").where("text IS NOT NULL"))
-    sample = materialize(sample.repartition(8), "toxicity-sample")
+    size = sample.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    sample = materialize(sample.repartition(max(8, -(-size // TASK))), "toxicity-sample")
     sample = sample.join(F.broadcast(_teachers(sample)), "_id").select("text", "toxic")
     n = {r["toxic"]: r["n"] for r in sample.groupBy((F.col("toxic") == 1).alias("toxic")).agg(F.count("*").alias("n")).collect()}
     n_pos, n_neg = n.get(True, 0), n.get(False, 0)
