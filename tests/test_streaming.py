@@ -77,3 +77,59 @@ def test_counters(spark):
     ev = event_stream(spark, "/root/testdata/sf0.001")
     D.run_to_table(ev.select("event_id"), "t-count", counters=c)
     assert c["input_rows"] == 1001 and c["batches"] >= 3
+
+
+def test_polls_are_tried_again_and_gaps_are_null():
+    import sys
+    import types
+
+    from vigil.sources.poll import Poll, PollReader
+    calls = []
+
+    def endpoint(n, argument):
+        calls.append(n)
+        if n == 1 or n == 2 and calls.count(2) < 3:
+            raise ConnectionError
+        return [(n, argument), (n + 10, argument)]
+
+    sys.modules["_endpoint"] = types.SimpleNamespace(poll=endpoint)
+    r = PollReader({"reader": "_endpoint:poll", "argument": "x", "polls": "5", "batch": "2", "wait": "0"}, 2)
+    assert [r.initialOffset(), r.latestOffset(), r.latestOffset(), r.latestOffset(), r.latestOffset()] == [
+        {"poll": n} for n in (0, 2, 4, 5, 5)]
+    parts = r.partitions({"poll": 0}, {"poll": 3})
+    assert [p.number for p in parts] == [0, 1, 2]
+    rows = [list(r.read(p)) for p in parts]
+    assert rows == [[(0, 0, "x"), (0, 10, "x")], [(1, None, None)], [(2, 2, "x"), (2, 12, "x")]]
+    assert calls == [0, 1, 1, 1, 2, 2, 2]
+    again = PollReader({"reader": "_endpoint:poll", "polls": "9", "batch": "2"}, 2)      # a restart from the checkpoint
+    again.partitions({"poll": 4}, {"poll": 6})
+    assert again.latestOffset() == {"poll": 8} and list(r.read(Poll(0)))
+
+
+def test_state_stays_small(spark):
+    """The rows that wait are those of the late limit, not of the table."""
+    c = {}
+    seen = []
+    import vigil.streaming.detector as DT
+    real = DT.progress_counters
+
+    def watched(q):
+        seen.extend(s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"])
+        return real(q)
+    DT.progress_counters = watched
+    try:
+        ev = event_stream(spark, "/root/testdata/sf0.001")
+        out = D.run_to_table(D.carry_forward(ev, "user_id", ["event_id"], ["value"], {}, keep=["event_id", "user_id"], late=LATE),
+                             "t-small", counters=c)
+    finally:
+        DT.progress_counters = real
+    groups = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.count() == 1000 and c["late_rows"] == 0
+    assert max(seen) <= 4 * groups                     # a memory, a chunk or two and no more for each group
+    assert seen[-1] == 0
+
+
+def test_run_for_a_time(spark):
+    rate = spark.readStream.format("rate").option("rowsPerSecond", 5).load()
+    assert D.run_to_table(rate, "t-rate", duration_s=6).count() >= 0
+    assert not spark.streams.active

@@ -208,17 +208,151 @@ def _dedup_with_long_bursts(x: DataFrame, keys, order, t, cooldown, out, seg_row
     return short_out.unionByName(long_out).drop("_start", "_burst")
 
 
+RULE_SEGMENT = 100_000          # readings of a segment of a long run
+
+
+def _next_near(val: np.ndarray, at: int, ref: float, limit: float) -> int:
+    """The first place from ``at`` on whose value is within ``limit`` of ``ref`` (or the end)."""
+    width = 64
+    while at < len(val):
+        near = np.abs(val[at:at + width] - ref) <= limit
+        if near.any():
+            return at + int(np.argmax(near))
+        at, width = at + width, 2 * width
+    return len(val)
+
+
+def _valid_places(val: np.ndarray, limit: float, first: int, stop: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """The runs [a, b) of places the rule accepts once it has accepted ``first``,
+    leaping from jump to jump; up to a place that ``stop`` marks."""
+    calm = np.append(np.abs(np.diff(val)) <= limit, False)
+    out, i = [], first
+    while i < len(val):
+        end, width = i, 64
+        while calm[end]:                                     # the end of the calm run from i
+            part = calm[end:end + width]
+            end += len(part) if part.all() else int(np.argmin(part))
+            width *= 2
+        if stop is not None and (seen := stop[i:end + 1]).any():
+            out.append((i, i + int(np.argmax(seen)) + 1))
+            break
+        out.append((i, end + 1))
+        i = _next_near(val, end + 1, val[end], limit)
+    return out
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """Doubles as whole numbers in the same order."""
+    i = x.view(np.int64)
+    return np.where(i >= 0, i, -(i & np.int64((1 << 63) - 1)))
+
+
+def _unordered(k: np.ndarray) -> np.ndarray:
+    return np.where(k >= 0, k, -k | np.int64(-1 << 63)).view(np.float64)
+
+
+def neighbourhoods(val: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest double L with abs(value - L) <= limit, as the
+    scan tests it: found by halving between doubles, so no rounding is left out."""
+    ends = []
+    for sign in (-1.0, 1.0):
+        far, near = _ordered(val + sign * (2 * limit + np.abs(val) + 1)), _ordered(val.copy())
+        while (np.abs(far // 2 - near // 2) > 1).any() or (np.abs(far - near) > 1).any():
+            mid = far // 2 + near // 2 + (far % 2 + near % 2) // 2
+            ok = np.abs(val - _unordered(mid)) <= limit
+            moved = (mid != far) & (mid != near)
+            near, far = np.where(moved & ok, mid, near), np.where(moved & ~ok, mid, far)
+            if not moved.any():
+                break
+        ends.append(_unordered(near))
+    return ends[0], ends[1]
+
+
+def rule_summary(val: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float | None]:
+    """What a segment of readings makes of the last valid value L before it:
+    (low, high, exit): an L within [low, high] leaves as ``exit``, any other
+    unchanged; and the exit where nothing was valid before.
+
+    The first reading near L is accepted and what follows depends on it alone.
+    Only readings whose neighbourhood holds an L that no earlier one is near
+    start a piece, and chains that meet go on together, so each place is walked once."""
+    exit_of, done = np.full(len(val), np.nan), np.zeros(len(val), bool)
+
+    def leave(i: int) -> float:
+        if not done[i]:
+            runs = _valid_places(val, limit, i, done)
+            last = runs[-1][1] - 1
+            value = exit_of[last] if done[last] else val[last]
+            for a, b in runs:
+                exit_of[a:b], done[a:b] = value, True
+        return float(exit_of[i])
+
+    below, above = neighbourhoods(val, limit)
+    low, high = np.zeros(0), np.zeros(0)                     # the union of the neighbourhoods so far, as parts
+    pieces: list[tuple[float, float, float]] = []
+    for at in range(0, len(val), 256):
+        a, b = below[at:at + 256], above[at:at + 256]
+        k = np.searchsorted(low, a, "right") - 1
+        inside = (k >= 0) & (high[np.maximum(k, 0)] >= b) if len(low) else np.zeros(len(a), bool)
+        for i in at + np.flatnonzero(~inside):
+            a, b = below[i], above[i]
+            k, m = int(np.searchsorted(high, a, "left")), int(np.searchsorted(low, b, "right"))      # parts k .. m - 1 meet [a, b]
+            if k < m and low[k] <= a and high[k] >= b:
+                continue
+            begin = a
+            for x, y in [*zip(low[k:m], high[k:m], strict=True), (np.inf, np.inf)]:
+                end = min(np.nextafter(x, -np.inf), b)
+                if begin <= end:
+                    pieces.append((float(begin), float(end), leave(int(i))))
+                begin = np.nextafter(y, np.inf)
+            first, last = (min(a, low[k]), max(b, high[m - 1])) if k < m else (a, b)
+            low, high = np.concatenate([low[:k], [first], low[m:]]), np.concatenate([high[:k], [last], high[m:]])
+    out: list[list[float]] = []
+    for x, y, v in sorted(pieces):
+        if out and out[-1][2] == v and np.nextafter(out[-1][1], np.inf) == x:
+            out[-1][1] = y
+        else:
+            out.append([x, y, v])
+    cols = np.array(out).reshape(-1, 3)
+    return cols[:, 0], cols[:, 1], cols[:, 2], leave(0) if len(val) else None
+
+
+def _through(entry: float | None, low, high, leave, fresh: float | None) -> float | None:
+    """The last valid value after a segment that ``entry`` comes into."""
+    if entry is None or entry != entry:
+        return fresh
+    k = int(np.searchsorted(low, entry, "right")) - 1
+    return float(leave[k]) if k >= 0 and high[k] >= entry else entry
+
+
+def _rule_scan(pdf: pd.DataFrame, x: str, limit: float, entry: float | None) -> pd.DataFrame:
+    """Rows in order with ``reason``; ``entry`` is the last valid value before them."""
+    reason = pdf["reason"].to_numpy(dtype=object)
+    at = np.flatnonzero(pdf["reason"].isna().to_numpy())
+    val = pdf[x].to_numpy(dtype=float)[at]
+    if len(val):
+        first = 0 if entry is None or entry != entry else _next_near(val, 0, entry, limit)
+        jump = np.ones(len(val), bool)
+        for a, b in _valid_places(val, limit, first):
+            jump[a:b] = False
+        reason[at[jump]] = "jump"
+    return pdf.assign(reason=reason, valid=pd.isna(reason))
+
+
 def last_valid_rule_check(df: DataFrame, keys: list[str], order: list[str], x: str,
                           lo: float | None = None, hi: float | None = None,
-                          max_change: float | None = None) -> DataFrame:
+                          max_change: float | None = None, segment: int | None = None) -> DataFrame:
     """Range and rate-of-change check against the last *valid* value.
 
     Adds ``valid`` and ``reason`` ("null", "low", "high", "jump" or null).
     Null and range are columns; only the jump rule is a fold, since a value that
-    jumped is no reference for the next.  A value that differs by at most
-    ``max_change`` from the one before it is valid whenever that one is, so the
-    fold restarts only after a jump: the scan leaps from jump to jump.
+    jumped is no reference for the next.  A run of more than ``segment`` readings
+    is cut: each segment is summed up as what it makes of any last valid value
+    (:func:`rule_summary`), the summaries of a run are chained, and each segment
+    is scanned from its own entry, so no task holds a run.
     """
+    from vigil.operators import chunking as CH
+    from vigil.operators.timeline import Timeline
     v = F.col(x).cast("double")
     early = (F.when(v.isNull() | F.isnan(v), "null").when(F.lit(lo is not None) & (v < F.lit(lo)), "low")
              .when(F.lit(hi is not None) & (v > F.lit(hi)), "high"))
@@ -227,24 +361,31 @@ def last_valid_rule_check(df: DataFrame, keys: list[str], order: list[str], x: s
         return rows.withColumn("valid", F.col("reason").isNull()).select(*df.columns, "valid", "reason")
     schema = T.StructType(df.schema.fields + [T.StructField("valid", T.BooleanType(), False),
                                               T.StructField("reason", T.StringType(), True)])
+    names = [f.name for f in schema.fields]
+    tl = Timeline(run=tuple(keys), order=tuple(order))
+    segment = segment or CH._conf(df.sparkSession, CH.CHUNK_ROWS_CONF, RULE_SEGMENT)
+    if not CH.needs_chunking(rows, tl, segment):
+        return rows.groupBy(*keys).applyInPandas(
+            lambda pdf: _rule_scan(pdf.sort_values(order, kind="mergesort"), x, max_change, None)[names], schema)
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort")
-        reason = pdf["reason"].to_numpy(dtype=object)
-        at = np.flatnonzero(pdf["reason"].isna().to_numpy())
-        val = pdf[x].to_numpy(dtype=float)[at]
-        calm = np.abs(np.diff(val)) <= max_change
-        i, n = 0, len(val)
-        while i < n - 1:
-            stop = i + int(np.argmin(calm[i:])) if not calm[i:].all() else n - 1
-            if stop == n - 1:
-                break
-            far = np.abs(val[stop + 1:] - val[stop]) > max_change      # jumps until one is near the last valid value
-            back = int(np.argmin(far)) if not far.all() else len(far)
-            reason[at[stop + 1:stop + 1 + back]] = "jump"
-            i = stop + 1 + back
-        pdf["reason"] = reason
-        pdf["valid"] = pdf["reason"].isna()
-        return pdf[[f.name for f in schema.fields]]
-
-    return rows.groupBy(*keys).applyInPandas(scan, schema)
+    cut = CH.add_sequence(rows, tl).withColumn("_seg", F.floor(F.col("_seq") / segment).cast("long"))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        val = pdf.sort_values("_seq").loc[lambda d: d["reason"].isna(), x].to_numpy(dtype=float)
+        low, high, leave, fresh = rule_summary(val, max_change)
+        return pdf[[*keys, "_seg"]].iloc[:1].assign(low=[low], high=[high], leave=[leave], fresh=fresh)
+
+    def chained(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, entry, out = pdf.sort_values("_seg"), None, []
+        for r in pdf.itertuples():
+            out.append(entry)
+            entry = _through(entry, r.low, r.high, r.leave, None if r.fresh is None or r.fresh != r.fresh else r.fresh)
+        return pdf[[*keys, "_seg"]].assign(_entry=np.array(out, float))
+
+    sums = cut.groupBy(*keys, "_seg").applyInPandas(
+        summed, f"{kinds}, _seg long, low array<double>, high array<double>, leave array<double>, fresh double")
+    entries = sums.groupBy(*keys).applyInPandas(chained, f"{kinds}, _seg long, _entry double")
+    both = CH.join_on(cut, entries, [*keys, "_seg"])
+    return both.groupBy(*keys, "_seg").applyInPandas(
+        lambda pdf: _rule_scan(pdf.sort_values("_seq"), x, max_change, pdf["_entry"].iloc[0])[names], schema)

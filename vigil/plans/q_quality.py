@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vigil.functions.columns import rnd
 from vigil.functions.dims import map_lookup
+from vigil.operators import folds as FD
 from vigil.operators import quality as Q
 from vigil.operators.labels import union_runs
 from vigil.plans.registry import EV, LABEL_NAME_SQL, W_EV, register
@@ -280,3 +281,19 @@ def q_union_runs(spark, sf):
     parts = [o.filter(F.col("o_orderstatus") == "F").drop("o_orderpriority"),
              o.filter(F.col("o_orderstatus") != "F")]
     return union_runs(parts)
+
+
+@register("last_valid", f"""WITH RECURSIVE {EV},
+e AS (SELECT *, CASE WHEN value IS NULL THEN 'null' WHEN value < 1 THEN 'low' WHEN value > 60 THEN 'high' END AS early FROM ev),
+n AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM e WHERE early IS NULL),
+s AS (SELECT user_id, event_id, rn, value AS last, true AS ok FROM n WHERE rn = 1
+      UNION ALL
+      SELECT n.user_id, n.event_id, n.rn, CASE WHEN abs(n.value - s.last) <= 15 THEN n.value ELSE s.last END, abs(n.value - s.last) <= 15
+      FROM s JOIN n ON n.user_id = s.user_id AND n.rn = s.rn + 1)
+SELECT e.event_id, e.user_id, coalesce(s.ok, false) AS valid, coalesce(early, CASE WHEN NOT s.ok THEN 'jump' END) AS reason
+FROM e LEFT JOIN s ON s.event_id = e.event_id""")
+def q_last_valid(spark, sf):
+    """Range and jump rule against the last valid reading of the run."""
+    ev = events(spark, sf).select("event_id", "user_id", "ts", "value")
+    return FD.last_valid_rule_check(ev, ["user_id"], ["ts", "event_id"], "value", 1.0, 60.0, 15.0).select(
+        "event_id", "user_id", "valid", "reason")

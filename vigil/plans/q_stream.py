@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.functions.columns import epoch_seconds, event_time, from_micros_ntz, rnd
+from vigil.functions.dims import ALERT_LEVELS, CLASS_NAMES
 from vigil.operators import chunking as CH
 from vigil.operators import closed_form as M
 from vigil.operators import features as X
 from vigil.operators import scoring as S
 from vigil.plans.registry import EV, register
-from vigil.functions.dims import ALERT_LEVELS, CLASS_NAMES
+from vigil.sources.poll import polled
 from vigil.sources.tables import EVENTS_TL, event_label, events, table
 from vigil.streaming import detector as D
 
@@ -277,3 +278,21 @@ def q_stream_truth(spark, sf):
         F.timestamp_micros(F.unix_micros(D.EVENT_TS) + (F.col("k") * 60_000_000).cast("long")).alias("truth_ts"))
     j = D.with_truth(p, told, ["user_id", "event_id"], "1 HOUR", LATE)
     return D.run_to_table(j.select("event_id", "user_id", "predicted", "truth", (F.col("predicted") == F.col("truth")).alias("correct")), "truth")
+
+
+POLLS = 32                  # daily snapshots asked for; the days there are none of give null readings
+
+
+@register("stream_poll", f"""WITH {EV},
+p AS (SELECT unnest(range({POLLS})) AS poll)
+SELECT poll, event_id, user_id, value FROM p LEFT JOIN ev ON date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) = poll""")
+def q_stream_poll(spark, sf):
+    """The events as daily snapshots of an endpoint, polled one after the other."""
+    folder = D.stream_folder(spark, "snapshots")
+    day = F.date_diff(F.col("ts"), F.lit("2024-01-01").cast("date"))
+    ev = table(spark, sf, "events").select("event_id", "user_id", "value", day.alias("poll"))
+    ev.repartition("poll").write.partitionBy("poll").json(folder)
+    uri = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+    s = polled(spark, "vigil.sources.poll:snapshot", "event_id long, user_id long, value double", uri,
+               polls=POLLS, batch=8, wait=0.01)
+    return D.run_to_table(s, "polled", until_idle=True)

@@ -321,10 +321,11 @@ def observed(df: DataFrame, name: str, **counts: Column) -> DataFrame:
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str] | None = None,
-                 counters: dict | None = None, duration_s: float | None = None) -> DataFrame:
+                 counters: dict | None = None, duration_s: float | None = None, until_idle: bool = False) -> DataFrame:
     """Run a streaming frame into a table in the shared checkpoint folder and
     return it as a batch frame (T7, T8): over everything there is
-    (``availableNow``), or for ``duration_s`` seconds of a source that goes on.
+    (``availableNow``), for ``duration_s`` seconds of a source that goes on, or
+    ``until_idle``: until a source without an end of its own brings nothing new.
     ``counters`` receives the detector's counters (A31).
 
     ``update`` mode upserts: every micro-batch is appended with its batch id
@@ -338,9 +339,12 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append", key: list[str]
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(out)
 
     w = df.writeStream.option("checkpointLocation", ck).outputMode(mode)
-    w = w.trigger(availableNow=True) if duration_s is None else w.trigger(processingTime="0 seconds")
+    w = w.trigger(processingTime="0 seconds") if duration_s is not None or until_idle else w.trigger(availableNow=True)
     q = w.format("parquet").start(out) if mode == "append" else w.foreachBatch(upsert).start()
-    if duration_s is None:
+    if until_idle:
+        q.processAllAvailable()
+        q.stop()
+    elif duration_s is None:
         q.awaitTermination()                      # raises what the query raised
     elif not q.awaitTermination(duration_s):
         q.stop()                                  # the table holds whole batches only
