@@ -46,39 +46,55 @@ def alert_dedup(df: DataFrame, keys: list[str], order: list[str], t: str, cooldo
         x = x.withColumn("_burst", F.sum("_start").over(t2.prefix()))
     x = CH.finish(x, ch)
     long_rows = long_burst_rows or int(CH._conf(df.sparkSession, CH.CHUNK_ROWS_CONF, CH.DEFAULT_CHUNK_ROWS))
-    biggest = x.groupBy(*keys, "_burst").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
-    if biggest > long_rows:
-        return _dedup_with_long_bursts(x, keys, order, t, cooldown, out, long_rows).drop("_us")
+    if ch or long_burst_rows:      # else no key, so no burst, is longer than a chunk
+        biggest = x.groupBy(*keys, "_burst").agg(F.count(F.lit(1)).alias("_c")).agg(F.max("_c")).first()[0] or 0
+        if biggest > long_rows:
+            return _dedup_with_long_bursts(x, keys, order, t, cooldown, out, long_rows).drop("_us")
     return _scan_bursts(x, keys, order, t, cooldown, out).drop("_start", "_burst", "_us")
 
 
+def _fires(tv: np.ndarray, start: np.ndarray, wait: int, last: int | None) -> tuple[np.ndarray, int]:
+    """Which of the rows fire, and the time of the last that did.  ``start`` marks
+    the first row of a burst; rows before the first mark go on with the burst
+    whose last alert fired at ``last``.
+
+    All bursts step on together: their times are laid end to end on one line, so
+    one search finds the next alert of each."""
+    if wait <= 0:
+        return np.ones(len(tv), bool), int(tv[-1])
+    fired = start.copy()
+    heads = np.flatnonzero(start)
+    if not start[0]:
+        heads = np.concatenate([[0], heads])
+    origin = tv[heads]
+    if not start[0]:
+        origin[0] = last
+    burst = np.searchsorted(heads, np.arange(len(tv)), "right") - 1
+    since = tv - origin[burst]
+    base = np.cumsum(np.maximum.reduceat(since, heads) + wait + 1)
+    base = np.concatenate([[0], base[:-1]])
+    line, ends = base[burst] + since, np.append(heads[1:], len(tv))
+    now, live = np.zeros(len(heads), np.int64), np.arange(len(heads))
+    while len(live):
+        at = np.searchsorted(line, base[live] + now[live] + wait)
+        ok = at < ends[live]
+        live, at = live[ok], at[ok]
+        fired[at] = True
+        now[live] = since[at]
+    return fired, int(origin[-1] + now[-1])
+
+
 def _scan_bursts(x: DataFrame, keys, order, t, cooldown, out) -> DataFrame:
     """Hash bursts over partitions, sort, one sequential scan per partition."""
     x = x.repartition(*[F.col(k) for k in keys], F.col("_burst")).sortWithinPartitions(*keys, "_burst", *order)
     schema = T.StructType(x.schema.fields + [T.StructField(out, T.BooleanType(), False)])
-    group_cols = list(keys) + ["_burst"]
 
     def scan(batches):
-        prev_key, last = None, 0
+        last = None
         for pdf in batches:
-            tv = pdf[t].to_numpy(dtype=np.int64)
-            fired = np.zeros(len(pdf), dtype=bool)
-            new = np.ones(len(pdf), dtype=bool)
-            same = pdf[group_cols].iloc[1:].reset_index(drop=True)
-            prev = pdf[group_cols].iloc[:-1].reset_index(drop=True)
-            new[1:] = ~((same == prev) | (same.isna() & prev.isna())).all(axis=1).to_numpy()
-            starts = np.flatnonzero(new)
-            for a, b in zip(starts, np.append(starts[1:], len(pdf))):
-                key = tuple(None if pd.isna(v) else v for v in pdf[group_cols].iloc[a])
-                i = a if key != prev_key else a + int(np.searchsorted(tv[a:b], last + cooldown))
-                if key != prev_key:
-                    prev_key = key
-                while i < b:
-                    fired[i] = True
-                    last = int(tv[i])
-                    i = max(i + 1, a + int(np.searchsorted(tv[a:b], last + cooldown)))
-            pdf[out] = fired
-            yield pdf
+            if len(pdf):
+                fired, last = _fires(pdf[t].to_numpy(dtype=np.int64), pdf["_start"].to_numpy() == 1, cooldown, last)
+                yield pdf.assign(**{out: fired})
 
     return x.mapInPandas(scan, schema)
 
