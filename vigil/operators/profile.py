@@ -148,22 +148,25 @@ def exp_fit(df: DataFrame, group: list[str], t: str, x: str, taus=DEFAULT_TAUS,
     """Fit x ~ target + (start - target) * exp(-t / tau) per group.
 
     For a fixed tau the model is linear in u = exp(-t / tau), so every tau of
-    the grid is an ordinary least-squares fit done by ``regr_*`` aggregates;
-    the tau with the smallest residual sum of squares wins.  Groups with
-    ``min_points`` points or fewer are skipped.
+    the grid is a least-squares fit from moments of (x, u); all of them come from
+    one aggregation.  The tau with the smallest residual sum of squares wins.
+    Groups with ``min_points`` points or fewer are skipped.
     """
-    tau_arr = F.array(*[F.lit(float(v)) for v in taus])
-    e = df.select(*group, F.col(t).cast("double").alias("_t"), F.col(x).cast("double").alias("_x"),
-                  F.explode(tau_arr).alias("tau"))
-    u = F.exp(-F.col("_t") / F.col("tau"))
-    g = e.groupBy(*group, "tau").agg(
-        F.count("_x").alias("n"), F.regr_slope("_x", u).alias("b"), F.regr_intercept("_x", u).alias("a"),
-        F.regr_syy("_x", u).alias("syy"), F.regr_sxx("_x", u).alias("sxx"), F.regr_sxy("_x", u).alias("sxy"))
-    sse = F.col("syy") - F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx"))
+    x_, t_ = F.col("_x"), F.col("_t")
+    e = df.select(*group, F.col(t).cast("double").alias("_t"), F.col(x).cast("double").alias("_x")).where(
+        t_.isNotNull() & x_.isNotNull())
+    e = e.select("*", *(F.exp(-t_ / F.lit(float(v))).alias(f"_u{i}") for i, v in enumerate(taus)))
+    g = e.groupBy(*group).agg(F.count("_x").alias("n"), F.avg("_x").alias("mx"), F.var_pop("_x").alias("vx"), *(
+        c for i in range(len(taus)) for c in (F.avg(f"_u{i}").alias(f"m{i}"), F.var_pop(f"_u{i}").alias(f"v{i}"),
+                                              F.covar_pop("_x", f"_u{i}").alias(f"c{i}"))))
+    fits = F.explode(F.array(*(F.struct(F.lit(float(v)).alias("tau"), F.col(f"m{i}").alias("m"), F.col(f"v{i}").alias("v"),
+                                        F.col(f"c{i}").alias("c")) for i, v in enumerate(taus))))
+    g = g.where(F.col("n") > min_points).select(*group, "n", "mx", "vx", fits.alias("f")).select(*group, "n", "mx", "vx", "f.*")
+    b = F.try_divide(F.col("c"), F.col("v"))
+    sse = F.col("n") * (F.col("vx") - b * F.col("c"))
     # a tau whose exponential is flat over the data has no slope: no fit
-    g = (g.filter((F.col("n") > min_points) & F.col("b").isNotNull() & sse.isNotNull())
-         .withColumn("sse", F.greatest(sse, F.lit(0.0))))
+    g = g.select(*group, "tau", b.alias("b"), (F.col("mx") - b * F.col("m")).alias("a"),
+                 F.greatest(sse, F.lit(0.0)).alias("sse")).where(F.col("b").isNotNull() & F.col("sse").isNotNull())
     best = g.groupBy(*group).agg(F.min_by(F.struct("tau", "a", "b", "sse"), F.struct("sse", "tau")).alias("_b"))
     return best.select(*group, F.col("_b.tau").alias("tau"), (F.col("_b.a") + F.col("_b.b")).alias("start"),
                        F.col("_b.a").alias("target"), F.col("_b.sse").alias("sse"))
-

@@ -35,11 +35,18 @@ class Merged:
 
 
 def merge_runs(runs: dict, tl: Timeline, run: str, sensors: list[str], window_s: float, normal=0) -> Merged:
-    """Merge ``runs`` (run id -> frame).  ``tl`` is the timeline inside a run;
-    the first run is the reference of the schema check and of the drift."""
+    """Merge ``runs`` (run id -> frame), whose columns may differ.  ``tl`` is the
+    timeline inside a run; the first run is the reference of the schema check and
+    of the drift."""
     ids = list(runs)
-    schema = L.schema_diff({r: runs[r].columns for r in ids})
     rows = L.union_runs([runs[r].withColumn(run, F.lit(r)) for r in ids])
+    return merge_rows(rows, tl, run, sensors, window_s, ids[0], normal, L.schema_diff({r: runs[r].columns for r in ids}))
+
+
+def merge_rows(rows: DataFrame, tl: Timeline, run: str, sensors: list[str], window_s: float, first, normal=0,
+               schema: list[tuple] = ()) -> Merged:
+    """Merge runs that lie in one table, told apart by the column ``run``: one
+    scan, however many there are.  ``first`` is the drift's reference run."""
     kept = L.remove_boundary_leakage(rows, tl, window_s)
     before, after = Q.coverage(rows, tl.label, run), Q.coverage(kept, tl.label, run).withColumnRenamed("n", "n_kept")
     totals = (before.join(after, [tl.label, run], "left")
@@ -49,24 +56,25 @@ def merge_runs(runs: dict, tl: Timeline, run: str, sensors: list[str], window_s:
     live = [s for s in sensors if s not in dead]
     table = kept.drop(*dead)
     reports = {"coverage": totals,
-               "drift": Q.baseline_drift(rows, tl.label, run, sensors, ids[0]),
+               "drift": Q.baseline_drift(rows, tl.label, run, sensors, first),
                "dead_columns": dead_report}
     if live:
         reports["signal_quality"] = Q.signal_quality(table, tl.label, run, live, normal)
-    return Merged(table, reports, schema)
+    return Merged(table, reports, list(schema))
+
+
+WEEK = "isoyear(ts) * 100 + weekofyear(ts)"
 
 
-@register("merge_job", f"""WITH {EV}, x AS (SELECT *, lag(label) OVER (PARTITION BY user_id, weekofyear(ts) ORDER BY ts, event_id) AS pl,
-       weekofyear(ts) AS run FROM ev),
+@register("merge_job", f"""WITH {EV}, x AS (SELECT *, lag(label) OVER (PARTITION BY user_id, {WEEK} ORDER BY ts, event_id) AS pl,
+       {WEEK} AS run FROM ev),
 tr AS (SELECT user_id, run, t FROM x WHERE pl IS NOT NULL AND label <> pl)
 SELECT CAST(run AS INTEGER) AS run, label, count(*) AS n_rows, count(*) FILTER (WHERE NOT EXISTS (
          SELECT 1 FROM tr WHERE tr.user_id = x.user_id AND tr.run = x.run AND abs(x.t - tr.t) <= 3600.0)) AS n_kept
 FROM x GROUP BY run, label""")
 def q_merge_job(spark, sf):
     """The events of each week as a recorded run, merged; the coverage report."""
-    ev = events(spark, sf).select("event_id", "user_id", "ts", "t", "label", "value", "k",
-                                  F.weekofyear("ts").alias("week"))
-    weeks = [r["week"] for r in ev.select("week").distinct().orderBy("week").collect()]     # at most 53
-    runs = {w: ev.where(F.col("week") == w).drop("week") for w in weeks}
-    tl = EVENTS_TL.with_(run=("user_id", "run"))
-    return merge_runs(runs, tl, "run", ["value", "k"], 3600.0).reports["coverage"]
+    week = F.extract(F.lit("YEAROFWEEK"), F.col("ts")) * 100 + F.weekofyear("ts")
+    ev = events(spark, sf).select("event_id", "user_id", "ts", "t", "label", "value", "k", week.cast("int").alias("run"))
+    first = ev.agg(F.min("run").alias("run")).first()["run"]
+    return merge_rows(ev, EVENTS_TL.with_(run=("user_id", "run")), "run", ["value", "k"], 3600.0, first).reports["coverage"]
