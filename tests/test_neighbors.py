@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigil.operators.neighbors import knn, smote
+from vigil.operators.neighbors import knn, lsh_knn, smote
+from vigil.session import ensure_checkpoint_dir
 from vigil.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -34,3 +35,40 @@ def test_smote_counts_and_hull(spark):
     for r in out.filter("synthetic").collect():
         v = np.asarray(r.embedding)
         assert (v >= lo[r.label] - 1e-6).all() and (v <= hi[r.label] + 1e-6).all()
+
+
+def _clouds(spark, n=1500, dim=12, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(30, dim))[rng.integers(0, 30, n)] * 3 + rng.normal(size=(n, dim)) * 0.4
+    x[700:800] = x[5]                                    # a group of copies
+    return x, spark.createDataFrame([(i, [float(v) for v in x[i]], int(i % 3)) for i in range(n)] + [(n, None, 1)],
+                                    "vec_id long, embedding array<double>, label int")
+
+
+def test_blocks_and_rows_without_vector(spark, monkeypatch):
+    import vigil.operators.neighbors as N
+    x, df = _clouds(spark, 400)
+    monkeypatch.setattr(N, "QUERY_BLOCK", 90)
+    got = {r.vec_id: (r.nn_ids, r.nn_labels) for r in knn(df.where("vec_id >= 395"), df, 4, "vec_id", "embedding", ref_label="label",
+                                                          block=70).collect()}
+    assert got[400] == ([], [])
+    for q in range(395, 400):
+        order = sorted((float(np.sqrt(((x[q] - x[o]) ** 2).sum())), o) for o in range(400) if o != q)[:4]
+        assert got[q] == ([o for _, o in order], [o % 3 for _, o in order])
+
+
+def test_lsh_reaches_its_recall_or_is_exact(spark):
+    ensure_checkpoint_dir(spark)
+    x, df = _clouds(spark)
+    report = {}
+    got = {r.vec_id: r.nn_ids for r in lsh_knn(df, df, 5, "vec_id", "embedding", 12, limit=100, planes=5, audit=60, report=report).collect()}
+    assert len(got) == 1501 and report["recall"] >= 0.9 and report["tables"] >= 4
+    hits = 0
+    for q in range(0, 1500, 10):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len(set(np.lexsort((np.arange(1500), d))[:5].tolist()) & set(got[q]))
+    assert hits >= 0.85 * 5 * 150
+    exact = {r.vec_id: r.nn_ids for r in lsh_knn(df.limit(300), df, 5, "vec_id", "embedding", 12, limit=100, planes=14, tables=1,
+                                                 most_tables=1, recall=1.01, report=report).collect()}
+    assert report["tables"] == 0 and len(exact) == 300

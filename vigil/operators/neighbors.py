@@ -1,150 +1,175 @@
-"""Exact k-nearest neighbours, neighbour votes and SMOTE.
-
-Exact kNN in tens of dimensions cannot be pruned much (distances
-concentrate; a pivot bound keeps >99 % of the pairs on the embeddings
-table), so the work is all-pairs by nature.  It is organised so that no
-pair is ever a row: the reference vectors are written once to a table in the
-shared checkpoint folder; every task takes a batch of query rows
-(``mapInPandas``) and streams the reference table in bounded row blocks,
-keeping a running top-k per query in numpy.  Memory per task is
-O(batch x block); nothing is broadcast and nothing passes the driver.
-With ``within`` set (kNN inside a class), the reference table is partitioned
-by that column; queries of all classes are dealt by id, and a task reads the
-partitions of the classes it has.
+"""K-nearest neighbours, exact or by hashing, neighbour votes and SMOTE.
+
+Exact kNN in tens of dimensions cannot be pruned much (distances concentrate),
+so :func:`knn` is all-pairs work, organised so that no pair is ever a row: query
+and reference rows are dealt to blocks, each pair of blocks meets in one task
+(a cogroup), which gives the k best of its block for each query; the lists are
+merged by a window.  A task holds two blocks, whatever the tables hold.
+
+Above a size limit :func:`lsh_knn` compares only rows that share a bucket of
+random projections, and measures what that loses: a hashed sample of the queries
+is also compared with every reference row, and the number of tables grows until
+the sample's recall is reached; if it never is, the exact result is returned.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from vigil.session import ensure_checkpoint_dir
-
-
-def _write_refs(refs: DataFrame, id_col: str, vec_col: str, extra: list[str], within: str | None) -> str:
-    spark = refs.sparkSession
-    path = os.path.join(ensure_checkpoint_dir(spark), f"knn-refs-{uuid.uuid4().hex[:8]}")
-    cols = [F.col(id_col).cast("long").alias("_rid"), F.col(vec_col).alias("_rv")] + [F.col(c) for c in extra]
-    if within:
-        cols.append(F.col(within))
-    w = refs.select(*cols)
-    if within:
-        w.write.partitionBy(within).parquet(path)
-    else:
-        w.write.parquet(path)
-    return path
-
-
-def _ref_batches(path: str, part_value=None, within: str | None = None, block: int = 4096):
-    import pyarrow.dataset as ds
-    import pyarrow.fs as pafs
-    fs, root = pafs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
-    if within:
-        root = f"{root}/{within}={part_value}"
-        try:
-            info = fs.get_file_info(root)
-            if info.type == pafs.FileType.NotFound:
-                return
-        except OSError:
-            return
-    dset = ds.dataset(root, filesystem=fs, format="parquet")
-    for b in dset.to_batches(batch_size=block):
-        pdf = b.to_pandas()
-        if len(pdf):
-            yield pdf
+
+QUERY_BLOCK, REF_BLOCK = 8_192, 32_768      # rows of a block at most, about
+LEAST_BLOCK = 256                           # and at least, where that keeps all cores busy
+
+_FOUND = "qid long, dist double, rid long, rlabel long"
+
+
+def _nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool):
+    """(query place, distance, reference place) of the k nearest of a block,
+    ties by id.  Candidates come from the BLAS form |q|^2 + |r|^2 - 2 q.r on
+    centred vectors: every row whose rounded distance is within the rounding bound
+    of the k-th one is kept, ties included, and measured again by direct
+    differences, so ranks and distances are exact."""
+    mid = rv.mean(0)
+    qc, rc = qv - mid, rv - mid
+    qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
+    d2 = qn[:, None] + rn[None, :] - 2.0 * qc @ rc.T
+    if exclude_self:
+        d2[qid[:, None] == rid[None, :]] = np.inf
+    kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
+    slack = 8 * (qv.shape[1] + 4) * np.finfo(np.float64).eps * (qn + rn.max() + (qv * qv).sum(1) + (rv * rv).sum(1).max())
+    row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
+    dist = np.concatenate([np.sqrt(((qv[row[i:i + 65536]] - rv[col[i:i + 65536]]) ** 2).sum(-1))
+                           for i in range(0, len(row), 65536)] or [np.zeros(0)])
+    order = np.lexsort((rid[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], dist[keep], col[keep]
+
+
+def _meet(q: DataFrame, r: DataFrame, on: list[str], k: int, exclude_self: bool, tile: int = 512) -> DataFrame:
+    """(qid, dist, rid, rlabel): for each query its k nearest in every group of ``on``."""
+    def run(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            vec = lambda c: np.stack(c.map(lambda x: np.asarray(x, np.float64)).to_numpy())
+            qv, rv, qid, rid = vec(a["qv"]), vec(b["rv"]), a["qid"].to_numpy(np.int64), b["rid"].to_numpy(np.int64)
+            for i in range(0, len(a), tile):
+                row, dist, col = _nearest(qv[i:i + tile], qid[i:i + tile], rv, rid, k, exclude_self)
+                out.append(pd.DataFrame({"qid": qid[i + row], "dist": dist, "rid": rid[col], "rlabel": b["rlabel"].to_numpy()[col]}))
+        return pd.concat(out) if out else pd.DataFrame({"qid": [], "dist": [], "rid": [], "rlabel": []})
+
+    other = r.withColumnsRenamed({c: f"_r{c}" for c in on})
+    return q.groupBy(*on).cogroup(other.groupBy(*(f"_r{c}" for c in on))).applyInPandas(run, _FOUND)
+
+
+def _sides(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, ref_label: str | None, within: str | None):
+    group = [F.col(within).alias("_in")] if within else []
+    label = F.col(ref_label).cast("long") if ref_label else F.lit(None).cast("long")
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qv"), *group)
+    r = refs.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("rid"), F.col(vec_col).alias("rv"),
+                                                      label.alias("rlabel"), *group)
+    return q, r
+
+
+def _merged(queries: DataFrame, found: DataFrame, k: int, id_col: str, ref_label: str | None) -> DataFrame:
+    """Every query with its k best of ``found`` as arrays."""
+    w = Window.partitionBy("qid").orderBy("dist", "rid")
+    best = found.dropDuplicates(["qid", "rid"]).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    best = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_rank", "rid", "dist", "rlabel"))).alias("_nn"))
+    nn = F.coalesce("_nn", F.array().cast(best.schema["_nn"].dataType))
+    out = [nn["rid"].alias("nn_ids"), nn["dist"].alias("nn_dist")] + ([nn["rlabel"].alias("nn_labels")] if ref_label else [])
+    return queries.join(best, F.col(id_col).cast("long") == F.col("qid"), "left").select(id_col, *out)
+
+
+def _blocks(df: DataFrame, most: int, rows: int) -> int:
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(rows / most), min(cores, math.ceil(rows / LEAST_BLOCK)))
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str, ref_label: str | None = None,
-        within: str | None = None, exclude_self: bool = True, block: int = 4096) -> DataFrame:
-    """Exact Euclidean kNN: for each query row, arrays ``nn_ids``,
-    ``nn_dist`` (ascending, ties by id) and ``nn_labels`` of its k nearest
-    reference rows (J8, J9)."""
-    extra = [c for c in [ref_label] if c]
-    if within and within not in extra:
-        extra.append(within)
-    path = _write_refs(refs, id_col, vec_col, [c for c in extra if c != within] if within else extra, within)
-    qcols = [id_col, vec_col] + ([within] if within else [])
-    out_fields = [T.StructField(id_col, queries.schema[id_col].dataType),
-                  T.StructField("nn_ids", T.ArrayType(T.LongType())),
-                  T.StructField("nn_dist", T.ArrayType(T.DoubleType()))]
-    if ref_label:
-        out_fields.append(T.StructField("nn_labels", T.ArrayType(T.LongType())))
-    schema = T.StructType(out_fields)
-
-    def top_block(qv, qid, rv, rid, rl, best):
-        """Merge one reference block into the running top-k.  Candidates come
-        from the BLAS form |q|^2 + |r|^2 - 2 q.r on centred vectors: every row
-        whose rounded distance is within the rounding bound of the k-th one is
-        kept, ties included, and measured again by direct differences, so
-        ranks and distances are exact."""
-        best_d, best_i, best_l = best
-        mid = rv.mean(0)
-        qc, rc = qv - mid, rv - mid
-        qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
-        d2 = qn[:, None] + rn[None, :] - 2.0 * qc @ rc.T
-        if exclude_self:
-            d2[qid[:, None] == rid[None, :]] = np.inf
-        m = min(k, d2.shape[1])
-        kth = np.partition(d2, m - 1, axis=1)[:, m - 1]
-        slack = 8 * (qv.shape[1] + 4) * np.finfo(np.float64).eps * (qn + rn.max() + (qv * qv).sum(1) + (rv * rv).sum(1).max())
-        row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
-        exact = np.concatenate([np.sqrt(((qv[row[i:i + 65536]] - rv[col[i:i + 65536]]) ** 2).sum(-1))
-                                for i in range(0, len(row), 65536)] or [np.zeros(0)])
-        old = np.isfinite(best_d)
-        row = np.concatenate([np.nonzero(old)[0], row])
-        cd, ci = np.concatenate([best_d[old], exact]), np.concatenate([best_i[old], rid[col]])
-        cl = np.concatenate([best_l[old], rl[col]])
-        order = np.lexsort((ci, cd, row))
-        row, cd, ci, cl = row[order], cd[order], ci[order], cl[order]
-        rank = np.arange(len(row)) - np.searchsorted(row, row)
-        keep = rank < k
-        out = (np.full((len(qv), k), np.inf), np.full((len(qv), k), np.iinfo(np.int64).max, dtype=np.int64),
-               np.full((len(qv), k), -1, dtype=np.int64))
-        for a, v in zip(out, (cd, ci, cl)):
-            a[row[keep], rank[keep]] = v[keep]
-        return out
-
-    def run(batches):
-        tile = 512
-        for pdf in batches:
-            groups = [(None, pdf)] if not within else list(pdf.groupby(within))
-            for part, q in groups:
-                if not len(q):
-                    continue
-                qv_all = np.stack(q[vec_col].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                qid_all = q[id_col].to_numpy().astype(np.int64)
-                nq = len(q)
-                best = (np.full((nq, k), np.inf), np.full((nq, k), np.iinfo(np.int64).max, dtype=np.int64),
-                        np.full((nq, k), -1, dtype=np.int64))
-                for r in _ref_batches(path, part, within, block):
-                    rv = np.stack(r["_rv"].map(lambda a: np.asarray(a, dtype=np.float64)).to_numpy())
-                    rid = r["_rid"].to_numpy().astype(np.int64)
-                    rl = r[ref_label].to_numpy().astype(np.int64) if ref_label else np.zeros(len(r), np.int64)
-                    parts = []
-                    for s0 in range(0, nq, tile):
-                        sl = slice(s0, s0 + tile)
-                        parts.append(top_block(qv_all[sl], qid_all[sl], rv, rid, rl,
-                                               tuple(b[sl] for b in best)))
-                    best = tuple(np.concatenate([p_[i] for p_ in parts]) for i in range(3))
-                best_d, best_i, best_l = best
-                res = {id_col: q[id_col].to_numpy(),
-                       "nn_ids": [list(i[np.isfinite(dd)]) for i, dd in zip(best_i, best_d)],
-                       "nn_dist": [list(dd[np.isfinite(dd)]) for dd in best_d]}
-                if ref_label:
-                    res["nn_labels"] = [list(lab[np.isfinite(dd)]) for lab, dd in zip(best_l, best_d)]
-                yield pd.DataFrame(res)
-
-    q = queries.select(*qcols)
-    spark = queries.sparkSession
-    # by the query's id: a class that holds most rows is spread over all tasks
-    q = q.repartition(spark.sparkContext.defaultParallelism, F.col(id_col))
-    return q.mapInPandas(run, schema)
+        within: str | None = None, exclude_self: bool = True, block: int = REF_BLOCK) -> DataFrame:
+    """Exact Euclidean kNN: for each query row, arrays ``nn_ids``, ``nn_dist``
+    (ascending, ties by id) and ``nn_labels`` of its k nearest reference rows, of
+    its own class only with ``within`` (J8, J9).  Ids tell rows apart; rows without
+    a vector have no neighbours and are none."""
+    q, r = _sides(queries, refs, id_col, vec_col, ref_label, within)
+    q_blocks, r_blocks = _blocks(q, QUERY_BLOCK, q.count()), max(1, math.ceil(r.count() / block))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("_qb", deal("qid", q_blocks)).withColumn("_rb", every(r_blocks))
+    r = r.withColumn("_rb", deal("rid", r_blocks)).withColumn("_qb", every(q_blocks))
+    found = _meet(q, r, ["_qb", "_rb", *(["_in"] if within else [])], k, exclude_self)
+    return _merged(queries, found, k, id_col, ref_label)
+
+
+def lsh_knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str, dim: int, ref_label: str | None = None,
+            exclude_self: bool = True, limit: int = 1_000_000, recall: float = 0.9, planes: int | None = None,
+            tables: int = 4, most_tables: int = 32, audit: int = 200, seed: int = 42, report: dict | None = None) -> DataFrame:
+    """kNN by random projections where the pairs would be too many.
+
+    Below ``limit`` reference rows the result is exact.  Above it a row has one
+    bucket a table, the signs of ``planes`` random projections of the centred
+    vector, and a query also looks into the buckets of its least certain signs.
+    Large buckets are cut into blocks.  About ``audit`` hashed queries are
+    measured against every row; ``tables`` doubles until their recall is reached,
+    beyond ``most_tables`` the exact result is returned.  ``report`` receives
+    recall and tables."""
+    n = refs.count()
+    report = {} if report is None else report
+    if n <= limit:
+        report.update(recall=1.0, tables=0)
+        return knn(queries, refs, k, id_col, vec_col, ref_label, None, exclude_self)
+    planes = planes or max(4, int(math.log2(max(n / 2_000, 2))))
+    q, r = _sides(queries, refs, id_col, vec_col, ref_label, None)
+    n_queries = q.count()
+    centre = np.array(r.agg(*(F.avg(F.col("rv")[i]) for i in range(dim))).first(), float)
+    tested = F.pmod(F.xxhash64(F.col(id_col).cast("long"), F.lit(seed)), F.lit(max(1, n_queries // audit))) == 0
+    sample = queries.where(tested)
+    truth = knn(sample, refs, k, id_col, vec_col, None, None, exclude_self).select(id_col, F.col("nn_ids").alias("_true"))
+    truth = truth.checkpoint()
+    while tables <= most_tables:
+        w = np.random.default_rng(seed).normal(size=(tables, planes, dim))
+
+        def places(vecs: pd.Series, probes: int, w=w, tables=tables) -> pd.Series:
+            x = np.stack(vecs.map(lambda v: np.asarray(v, np.float64)).to_numpy()) - centre
+            out = [[] for _ in range(len(x))]
+            for t in range(tables):
+                p = x @ w[t].T
+                code = (p > 0) @ (1 << np.arange(planes))
+                weak = np.argsort(np.abs(p), axis=1)[:, :probes]
+                for i in range(len(x)):
+                    out[i] += [t << 32 | int(code[i]), *(t << 32 | int(code[i] ^ (1 << b)) for b in weak[i])]
+            return pd.Series(out)
+
+        @F.pandas_udf("array<long>")
+        def own(v: pd.Series) -> pd.Series:
+            return places(v, 0)
+
+        @F.pandas_udf("array<long>")
+        def wide(v: pd.Series) -> pd.Series:
+            return places(v, planes)
+
+        held = r.withColumn("_b", F.explode(own("rv")))
+        sizes = held.groupBy("_b").agg(F.ceil(F.count("*") / REF_BLOCK).cast("int").alias("_cuts"))
+        held = held.join(sizes, "_b").withColumn("_cut", F.pmod(F.xxhash64("rid"), F.col("_cuts")).cast("int")).drop("_cuts")
+        asked = q.withColumn("_b", F.explode(wide("qv"))).join(sizes, "_b").withColumn(
+            "_cut", F.explode(F.sequence(F.lit(0), F.col("_cuts") - 1))).drop("_cuts")
+        asked = asked.withColumn("_part", F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(n_queries / QUERY_BLOCK)))).cast("int"))
+        parts = max(1, math.ceil(n_queries / QUERY_BLOCK))
+        held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else held.withColumn("_part", F.lit(0))
+        got = _merged(queries, _meet(asked, held, ["_b", "_cut", "_part"], k, exclude_self), k, id_col, ref_label).checkpoint()
+        seen = got.join(truth, id_col).agg(
+            F.sum(F.size(F.array_intersect("nn_ids", "_true"))).alias("found"), F.sum(F.size("_true")).alias("all")).first()
+        report.update(recall=1.0 if not seen["all"] else seen["found"] / seen["all"], tables=tables)
+        if report["recall"] >= recall:
+            return got
+        tables *= 2
+    report.update(recall=1.0, tables=0)
+    return knn(queries, refs, k, id_col, vec_col, ref_label, None, exclude_self)
 
 
 def neighbour_vote(nn: DataFrame) -> DataFrame:
