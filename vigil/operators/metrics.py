@@ -7,6 +7,8 @@ scores, never the scored rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,17 +81,30 @@ def class_report(cm: DataFrame, carry: list[str] | tuple = ()) -> DataFrame:
     return tot.select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+BUCKETS = 256
+
+
 def score_table(df: DataFrame, score: str, truth: str) -> DataFrame:
     """Positives and negatives per distinct score, with cumulative counts
     walking thresholds from high to low.
 
-    Running sums in two steps: scores fall into buckets of 1/1024, the small
-    table of bucket totals gives each bucket its offset, and the scores of a
-    bucket are summed in their own window, so no task sees all scores."""
+    Running sums in two steps: scores fall into BUCKETS ranges cut at quantiles
+    of the rows, so a range holds about as many rows whatever the scores are; the
+    small table of range totals gives each its offset, and the scores of a range are summed in
+    their own window, so no task sees all scores."""
+    from pyspark.ml.feature import Bucketizer
+
     from vigil.operators.chunking import join_on
+    cuts = df.select(F.col(score).cast("double").alias("s")).approxQuantile("s", [i / BUCKETS for i in range(1, BUCKETS)], 1 / BUCKETS)
+    cuts = sorted({c for c in cuts if math.isfinite(c)})
     g = df.groupBy(F.col(score).alias("thr")).agg(
         F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    g = g.withColumn("_b", F.floor(F.col("thr").cast("double") * 1024).cast("long"))
+    if cuts:
+        place = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_s", outputCol="_b", handleInvalid="keep")
+        g = place.transform(g.withColumn("_s", F.col("thr").cast("double"))).drop("_s")
+    else:
+        g = g.withColumn("_b", F.lit(0.0))
+    g = g.withColumn("_b", F.when(F.col("thr").isNull(), -1.0).otherwise(F.col("_b")))      # last in the walk, as nulls are
     before = Window.orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
     off = g.groupBy("_b").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).select(

@@ -62,9 +62,11 @@ def holdout_verdict(f1: Column, good: float = 0.90, partial: float = 0.75) -> Co
 
 
 def uniform_sample(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` rows without replacement (O10): the n smallest seeded
-    hashes; Spark plans this as a per-partition top-n plus a merge."""
-    return df.orderBy(rank_key(keys, seed), *keys).limit(n)
+    """Exactly ``n`` rows without replacement (O10): the n smallest MD5 digests
+    of seed and keys, which any engine can repeat; Spark plans this as a
+    per-partition top-n plus a merge."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).cast("binary"))
+    return df.orderBy(digest, *keys).limit(n)
 
 
 def first_n_per_class(df: DataFrame, y: str, order: list[str], n: int = 3) -> DataFrame:

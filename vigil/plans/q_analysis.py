@@ -244,7 +244,8 @@ def q_stratified_sample(spark, sf):
     return x.groupBy("label").agg(F.count(F.lit(1)).alias("n_sampled"))
 
 
-@register("uniform_sample")
+@register("uniform_sample", f"""WITH {EV} SELECT event_id, user_id, label FROM ev
+ORDER BY md5('42|' || event_id), event_id LIMIT 300""")
 def q_uniform_sample(spark, sf):
     return SP.uniform_sample(events(spark, sf).select("event_id", "user_id", "label"), ["event_id"], 300)
 

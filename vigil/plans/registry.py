@@ -39,4 +39,4 @@ LABEL_NAME_SQL = ("CASE label WHEN 0 THEN 'normal' WHEN 1 THEN 'signup' "
 
 W_EV = "PARTITION BY user_id ORDER BY ts, event_id"
 
-from vigil.plans import merge, q_analysis, q_features, q_joins, q_labels, q_models, q_quality, q_stream  # noqa: E402,F401
+from vigil.plans import merge, q_analysis, q_features, q_joins, q_labels, q_models, q_quality, q_rows, q_stream  # noqa: E402,F401
