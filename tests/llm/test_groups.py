@@ -275,15 +275,15 @@ def test_toxicity_edge_rows(spark):
 
 
 def test_lexicon_does_not_depend_on_slices(spark):
-    rows = [(f"zzork plain filler{i}", 1) for i in range(60)]
-    rows += [(f"plain seldom{i % 40} filler{i}", 0) for i in range(800)] + [("common zzork", 0)] * 20
+    rows = [(f"zzork vvile plain filler{i}", 1) for i in range(60)]
+    rows += [(f"plain seldom{i % 40} filler{i}", 0) for i in range(800)] + [("common zzork", 0)] * 20 + [("common vvile", 0)] * 5
     rows += [("common " + "x" * 4_000_000, 0) for _ in range(3)]          # a slice each
     rows += [("common zebra", 1)] * 3
 
     def counts(parts):
         df = spark.createDataFrame(rows, "text string, toxic int").repartition(parts)
         assert df.rdd.getNumPartitions() == parts
-        return {r["f"]: (r["p"], r["n"]) for r in toxicity._mine(df).collect()}, toxicity._lexicon(df, 63, 823).to_dict()
+        return toxicity._lexicon(df, 63, 828).sort_values("f").to_dict("list")
 
     one, many = counts(1), counts(100)
     assert one == many
@@ -292,7 +292,13 @@ def test_lexicon_does_not_depend_on_slices(spark):
     y = np.array([t for _, t in rows])
     f, at = np.unique(pairs[0], return_inverse=True)
     p, n = (np.bincount(at[y[pairs[1].astype(int)] == c], minlength=len(f)) for c in (1, 0))
-    assert one[0] == {int(k): (a, b) for k, a, b in zip(f.view(np.int64), p, n, strict=True)}
+    want = {}
+    for k, a, b in zip(f.view(np.int64).tolist(), p.tolist(), n.tolist(), strict=True):
+        cells = [(a, (a + b) * 63 / 891), (b, (a + b) * 828 / 891), (63 - a, (891 - a - b) * 63 / 891), (828 - b, (891 - a - b) * 828 / 891)]
+        odds = np.log((a + 0.5) / 64) - np.log((b + 0.5) / 829)
+        if a >= 3 and odds > toxicity.LEAST_ODDS and sum(2 * o * np.log(o / e) for o, e in cells if o) > toxicity.LEAST_G2:
+            want[k] = odds
+    assert want and sorted(want) == one["f"] and np.allclose([want[k] for k in one["f"]], one["odds"])
 
 
 def test_label_model_finds_the_reliable_voters():
