@@ -106,3 +106,36 @@ def test_totals_add_up_over_many_tasks(spark, monkeypatch):
     df = spark.range(1000).repartition(23).checkpoint()
     got = passes.total(df, lambda pdf: np.array([len(pdf), pdf["id"].sum()], float), 2)
     assert got.tolist() == [1000, 499500]
+
+
+def test_a_pass_is_one_job(spark):
+    """All tasks of a pass run together, not a partition at a time."""
+    df, sc = spark.range(1000).repartition(23).checkpoint(), spark.sparkContext
+    sc.setJobGroup("one-pass", "a pass")
+    try:
+        got = passes.total(df, lambda pdf: np.array([len(pdf)], float), 1)
+        jobs = sc.statusTracker().getJobIdsForGroup("one-pass")
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got.tolist() == [1000] and len(jobs) == 1
+
+
+def test_boosting_leaves_without_a_pass(spark, rings, monkeypatch):
+    """A round takes one pass a level; its leaves hold the sums of the rows they got."""
+    calls = []
+    monkeypatch.setattr(BO, "total", lambda *a: calls.append(1) or passes.total(*a))
+    model = BO.fit(rings, ["a", "b", "c"], "label", 3, rounds=2, depth=3, keep_every=1, rate=0.3, smooth=1.5)
+    assert len(calls) == 2 * 3
+    pdf = rings.toPandas()
+    x, y = model.binned(pdf[["a", "b", "c"]].to_numpy()), pdf["label"].to_numpy()
+    margin = model.margins(x)
+    for r in (0, 1):
+        before = BO.Booster(model.features, model.cuts, 3, 3, model.base, model.feature[:r], model.bin[:r], model.value[:r]).margins(x)
+        p = BO.softmax(before)
+        node = model.places(x, model.feature[r], model.bin[r])
+        for k in range(3):
+            for leaf in np.unique(node[k]):
+                at = node[k] == leaf
+                want = -0.3 * (p[k] - (y == k))[at].sum() / ((p[k] * (1 - p[k]))[at].sum() + 1.5)
+                assert abs(model.value[r][k, leaf] - want) < 1e-9
+    assert (margin.argmax(0) == y).mean() > 0.6

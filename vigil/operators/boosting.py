@@ -1,10 +1,12 @@
 """Gradient boosted trees for several classes at once (M2).
 
-Softmax loss, second-order gains.  Features are binned once by quantiles.  A
-round grows one tree for each class, level by level: one pass over the rows
-sums gradients and curvatures of all classes, open nodes, features and bins
-inside the tasks (:func:`vigil.operators.passes.total`), the driver picks the
-splits from those sums, whose size depends on the model only.  The margins of
+Softmax loss, second-order gains.  Features are binned once by quantiles and
+the rows kept in blocks (:func:`vigil.operators.passes.blocks`).  A round grows
+one tree for each class, level by level: one pass over the blocks sums gradients
+and curvatures of all classes, open nodes, features and bins inside the tasks
+(:func:`vigil.operators.passes.total`), the driver picks the splits from those
+sums, whose size depends on the model only; the sums beside a split are those of
+its two children, so the leaves of the last level need no pass.  The margins of
 the rows are written every few rounds; in between a pass adds the trees since.
 """
 
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.operators.passes import total
+from vigil.operators.passes import blocks, total
 from vigil.session import ensure_checkpoint_dir
 
 TREES = "round int, class int, node int, feature string, threshold double, value double"
@@ -38,23 +40,24 @@ class Booster:
     value: list[np.ndarray] = field(default_factory=list)        # (class, node)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], 1)
-
-    def places(self, bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
-        """The node every row has come to, by class."""
-        node = np.zeros((len(bins), self.classes), np.int64)
-        k, row = np.arange(self.classes), np.arange(len(bins))[:, None]
-        for _ in range(self.depth):
-            f = feature[k, node]
-            right = bins[row, np.maximum(f, 0)] > cut[k, node]
-            node = np.where(f >= 0, 2 * node + 1 + right, node)
+        """The bins of the rows ``x``, by feature."""
+        return np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)])
+
+    def places(self, bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int | None = None) -> np.ndarray:
+        """The node every row has come to after ``levels`` levels, by class."""
+        node, row = np.zeros((self.classes, bins.shape[1]), np.int64), np.arange(bins.shape[1])
+        for k in range(self.classes):
+            for _ in range(self.depth if levels is None else levels):
+                f = feature[k][node[k]]
+                right = bins[np.maximum(f, 0), row] > cut[k][node[k]]
+                node[k] = np.where(f >= 0, 2 * node[k] + 1 + right, node[k])
         return node
 
     def margins(self, bins: np.ndarray, start: int = 0, margin: np.ndarray | None = None) -> np.ndarray:
-        out = np.tile(self.base, (len(bins), 1)) if margin is None else margin.copy()
-        k = np.arange(self.classes)
+        """The margins of the rows, by class."""
+        out = np.repeat(self.base[:, None], bins.shape[1], 1) if margin is None else margin.copy()
         for f, b, v in zip(self.feature[start:], self.bin[start:], self.value[start:], strict=True):
-            out += v[k, self.places(bins, f, b)]
+            out += np.take_along_axis(v, self.places(bins, f, b), 1)
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:
@@ -72,8 +75,9 @@ class Booster:
 
 
 def softmax(m: np.ndarray) -> np.ndarray:
-    e = np.exp(m - m.max(1, keepdims=True))
-    return e / e.sum(1, keepdims=True)
+    """Class probabilities of margins by class."""
+    e = np.exp(m - m.max(0))
+    return e / e.sum(0)
 
 
 def fit(df: DataFrame, features: list[str], label: str, classes: int, rounds: int = 50, depth: int = 6, rate: float = 0.1,
@@ -86,7 +90,7 @@ def fit(df: DataFrame, features: list[str], label: str, classes: int, rounds: in
     rows = df.where(F.col(label).isNotNull()).select(*(F.col(c).cast("double").alias(c) for c in features),
                                                      F.col(label).cast("int").alias("_y"),
                                                      (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"))
-    rows = rows.withColumn("_m", F.array(*[F.lit(0.0)] * classes)).checkpoint()
+    rows = rows.checkpoint()
     q = rows.approxQuantile(features, [i / bins for i in range(1, bins)], 1e-3)
     share = np.zeros(classes)
     for r in rows.groupBy("_y").agg(F.sum("_w").alias("w")).collect():
@@ -96,11 +100,16 @@ def fit(df: DataFrame, features: list[str], label: str, classes: int, rounds: in
     base = np.log(np.maximum(share, 1e-9) / share.sum())
     b = Booster(list(features), [np.unique(c) for c in q], classes, depth, base)
     wide, n_features, done = bins, len(features), 0
+    small = np.min_scalar_type(bins)
 
-    def read(pdf: pd.DataFrame, start: int):
-        x = b.binned(pdf[features].to_numpy(float))
-        past = np.stack(pdf["_m"].to_numpy()) if len(pdf) else np.zeros((0, classes))
-        return x, b.margins(x, start, past if start else None)
+    def pack(pdf: pd.DataFrame) -> dict:
+        x = b.binned(pdf[features].to_numpy(float)).astype(small)
+        return {"x": x, "y": pdf["_y"].to_numpy(np.int32), "w": pdf["_w"].to_numpy(float), "m": b.margins(x)}
+    rows = blocks(rows, pack, ["x", "y", "w", "m"]).checkpoint()
+
+    def read(block, start: int):
+        x = np.frombuffer(block.x, small).reshape(n_features, -1)
+        return x, b.margins(x, start, np.frombuffer(block.m).reshape(classes, -1))
 
     for r in range(rounds):
         if r and r % keep_every == 0:
@@ -108,28 +117,29 @@ def fit(df: DataFrame, features: list[str], label: str, classes: int, rounds: in
 
             def moved(batches, start=start):
                 for pdf in batches:
-                    yield pdf.assign(_m=list(read(pdf, start)[1]))
+                    yield pdf.assign(m=[read(block, start)[1].tobytes() for block in pdf.itertuples()])
             rows = rows.mapInPandas(moved, rows.schema).checkpoint()
             done = done_now
         feature = np.full((classes, (1 << depth + 1) - 1), -1, np.int64)
         cut, value = np.zeros_like(feature), np.zeros(feature.shape)
-        for level in range(depth + 1):
+        for level in range(max(depth, 1)):
             first, open_nodes = (1 << level) - 1, 1 << level
 
-            def sums(pdf: pd.DataFrame, first=first, open_nodes=open_nodes, feature=feature, cut=cut, start=done) -> np.ndarray:
-                x, m = read(pdf, start)
-                p, y, w = softmax(m), pdf["_y"].to_numpy(), pdf["_w"].to_numpy(float)[:, None]
-                g = (p - (y[:, None] == np.arange(classes))) * w
-                h = p * (1 - p) * w
-                node = b.places(x, feature, cut) - first
-                here = node >= 0
-                cell = np.arange(classes) * open_nodes + node                # (row, class)
-                cells = classes * open_nodes
-                out = np.zeros((2, n_features, cells, wide))
-                for j in range(n_features):
-                    at = (cell * wide + x[:, j:j + 1])[here]
-                    for s, v in enumerate((g, h)):
-                        out[s, j] = np.bincount(at, v[here], cells * wide).reshape(cells, wide)
+            def sums(pdf: pd.DataFrame, first=first, open_nodes=open_nodes, level=level, feature=feature, cut=cut, start=done) -> np.ndarray:
+                out = np.zeros((2, n_features, classes, open_nodes * wide))
+                for block in pdf.itertuples():
+                    x, m = read(block, start)
+                    p, y, w = softmax(m), np.frombuffer(block.y, np.int32), np.frombuffer(block.w)
+                    g = (p - (y == np.arange(classes)[:, None])) * w
+                    h = p * (1 - p) * w
+                    node = b.places(x, feature, cut, level) - first
+                    for k in range(classes):
+                        here = np.flatnonzero(node[k] >= 0) if level else slice(None)
+                        cell, gk, hk = node[k][here] * wide, g[k][here], h[k][here]
+                        for j in range(n_features):
+                            at = cell + x[j][here]
+                            out[0, j, k] += np.bincount(at, gk, open_nodes * wide)
+                            out[1, j, k] += np.bincount(at, hk, open_nodes * wide)
                 return out.ravel()
 
             g, h = total(rows, sums, 2 * n_features * classes * open_nodes * wide).reshape(2, n_features, classes, open_nodes, wide)
@@ -150,6 +160,11 @@ def fit(df: DataFrame, features: list[str], label: str, classes: int, rounds: in
             reached = whole_h > 0
             feature[:, first:first + open_nodes] = np.where(good & reached, best // wide, -1)
             cut[:, first:first + open_nodes] = best % wide
+            # what lies beside the cut is what the children hold
+            at, k, node = (best // wide, *np.ogrid[:classes, :open_nodes])
+            for s, (sg, sh) in enumerate(((left_g, left_h), (right_g, right_h))):
+                value[:, 2 * first + 1 + s:2 * (first + open_nodes) + s:2] = (
+                    -rate * sg[at, k, node, best % wide] / (sh[at, k, node, best % wide] + smooth))
             if not (good & reached).any():
                 break
         b.feature.append(feature)
@@ -163,6 +178,6 @@ def predict(df: DataFrame, model: Booster, out: str = "probabilities") -> DataFr
     @F.pandas_udf("array<double>")
     def probabilities(*cols: pd.Series) -> pd.Series:
         x = np.stack([c.to_numpy(float) for c in cols], 1)
-        return pd.Series(list(softmax(model.margins(model.binned(x)))))
+        return pd.Series(list(softmax(model.margins(model.binned(x))).T))
 
     return df.withColumn(out, probabilities(*(F.col(c).cast("double") for c in model.features)))
