@@ -72,3 +72,32 @@ def test_lsh_reaches_its_recall_or_is_exact(spark):
     exact = {r.vec_id: r.nn_ids for r in lsh_knn(df.limit(300), df, 5, "vec_id", "embedding", 12, limit=100, planes=14, tables=1,
                                                  most_tables=1, recall=1.01, report=report).collect()}
     assert report["tables"] == 0 and len(exact) == 300
+
+
+def test_a_task_holds_few_distances():
+    import tracemalloc
+
+    import vigil.operators.neighbors as N
+    rng = np.random.default_rng(4)
+    q, r = rng.normal(size=(600, 8)), rng.normal(size=(N.REF_BLOCK, 8))
+    ids = np.arange(N.REF_BLOCK)
+    tracemalloc.start()
+    found = list(N._block_nearest(q, ids[:600], r, ids, 3, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6                                  # the block of all distances alone would be 157 MB
+    row, col = (np.concatenate([f[i] for f in found]) for i in (0, 2))
+    assert row.tolist() == np.repeat(np.arange(600), 3).tolist()
+    for i in range(0, 600, 97):
+        assert col[row == i].tolist() == np.argsort(((r - q[i]) ** 2).sum(1))[:3].tolist()
+
+
+def test_blocks_send_rows_few_times():
+    import vigil.operators.neighbors as N
+    for n in (20_000, 120_000, 300_000):
+        q, r = N._grid(n, n, N.REF_BLOCK, 200)
+        assert q * r >= 200 and q + r <= 30              # one side cut for all cores: 200 times the other
+    assert N._grid(30_000, 30_000, N.REF_BLOCK, 20) == (5, 4)
+    assert N._grid(100, 40, N.REF_BLOCK, 200) == (1, 1)
+    q, r = N._grid(10_000_000, 50_000, N.REF_BLOCK, 200)
+    assert 10_000_000 / q <= N.QUERY_BLOCK and 50_000 / r <= N.REF_BLOCK

@@ -2,9 +2,12 @@
 
 Exact kNN in tens of dimensions cannot be pruned much (distances concentrate),
 so :func:`knn` is all-pairs work, organised so that no pair is ever a row: query
-and reference rows are dealt to blocks, each pair of blocks meets in one task
-(a cogroup), which gives the k best of its block for each query; the lists are
-merged by a window.  A task holds two blocks, whatever the tables hold.
+and reference rows are dealt to blocks (of one class, where only rows of a class
+meet), each pair of blocks meets in one task (a cogroup), which gives the k best
+of its block for each query; the lists are merged by a window.  A task holds two
+blocks and measures a bounded number of pairs at once, whatever the tables hold.
+A row is sent once for each block of the other side, so both sides are cut alike
+and no finer than size or free cores ask for.
 
 Above a size limit :func:`lsh_knn` compares only rows that share a bucket of
 random projections, and measures what that loses: a hashed sample of the queries
@@ -21,26 +24,30 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, REF_BLOCK = 8_192, 32_768      # rows of a block at most, about
+QUERY_BLOCK, REF_BLOCK = 32_768, 32_768     # rows of a block at most, about
+PAIRS = 1 << 21                             # distances a task holds at once
 LEAST_BLOCK = 256                           # and at least, where that keeps all cores busy
 
 _FOUND = "qid long, dist double, rid long, rlabel long"
 
 
-def _nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool):
+def _nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool,
+             mid: np.ndarray, rc: np.ndarray, rn: np.ndarray, r_most: float):
     """(query place, distance, reference place) of the k nearest of a block,
     ties by id.  Candidates come from the BLAS form |q|^2 + |r|^2 - 2 q.r on
-    centred vectors: every row whose rounded distance is within the rounding bound
-    of the k-th one is kept, ties included, and measured again by direct
-    differences, so ranks and distances are exact."""
-    mid = rv.mean(0)
-    qc, rc = qv - mid, rv - mid
-    qn, rn = (qc * qc).sum(1), (rc * rc).sum(1)
-    d2 = qn[:, None] + rn[None, :] - 2.0 * qc @ rc.T
+    centred vectors (``mid`` the centre, ``rc``, ``rn`` the centred references and
+    their squared lengths, ``r_most`` the largest as they came): every row whose
+    rounded distance is within the rounding bound of the k-th one is kept, ties
+    included, and measured again by direct differences, so ranks and distances are exact."""
+    qc = qv - mid
+    qn = (qc * qc).sum(1)
+    d2 = -2.0 * qc @ rc.T
+    d2 += qn[:, None]
+    d2 += rn
     if exclude_self:
         d2[qid[:, None] == rid[None, :]] = np.inf
     kth = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-    slack = 8 * (qv.shape[1] + 4) * np.finfo(np.float64).eps * (qn + rn.max() + (qv * qv).sum(1) + (rv * rv).sum(1).max())
+    slack = 8 * (qv.shape[1] + 4) * np.finfo(np.float64).eps * (qn + rn.max() + (qv * qv).sum(1) + r_most)
     row, col = np.nonzero((d2 <= (kth + slack)[:, None]) & np.isfinite(d2))
     dist = np.concatenate([np.sqrt(((qv[row[i:i + 65536]] - rv[col[i:i + 65536]]) ** 2).sum(-1))
                            for i in range(0, len(row), 65536)] or [np.zeros(0)])
@@ -50,16 +57,26 @@ def _nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k
     return row[keep], dist[keep], col[keep]
 
 
-def _meet(q: DataFrame, r: DataFrame, on: list[str], k: int, exclude_self: bool, tile: int = 512) -> DataFrame:
+def _block_nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool):
+    """:func:`_nearest` over a block of queries, about PAIRS distances at a time."""
+    mid = rv.mean(0)
+    rc = rv - mid
+    known = mid, rc, (rc * rc).sum(1), (rv * rv).sum(1).max()
+    tile = max(1, min(512, PAIRS // len(rv)))
+    for i in range(0, len(qv), tile):
+        row, dist, col = _nearest(qv[i:i + tile], qid[i:i + tile], rv, rid, k, exclude_self, *known)
+        yield i + row, dist, col
+
+
+def _meet(q: DataFrame, r: DataFrame, on: list[str], k: int, exclude_self: bool) -> DataFrame:
     """(qid, dist, rid, rlabel): for each query its k nearest in every group of ``on``."""
     def run(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
             vec = lambda c: np.stack(c.map(lambda x: np.asarray(x, np.float64)).to_numpy())
             qv, rv, qid, rid = vec(a["qv"]), vec(b["rv"]), a["qid"].to_numpy(np.int64), b["rid"].to_numpy(np.int64)
-            for i in range(0, len(a), tile):
-                row, dist, col = _nearest(qv[i:i + tile], qid[i:i + tile], rv, rid, k, exclude_self)
-                out.append(pd.DataFrame({"qid": qid[i + row], "dist": dist, "rid": rid[col], "rlabel": b["rlabel"].to_numpy()[col]}))
+            for row, dist, col in _block_nearest(qv, qid, rv, rid, k, exclude_self):
+                out.append(pd.DataFrame({"qid": qid[row], "dist": dist, "rid": rid[col], "rlabel": b["rlabel"].to_numpy()[col]}))
         return pd.concat(out) if out else pd.DataFrame({"qid": [], "dist": [], "rid": [], "rlabel": []})
 
     other = r.withColumnsRenamed({c: f"_r{c}" for c in on})
@@ -78,16 +95,32 @@ def _sides(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, ref_l
 def _merged(queries: DataFrame, found: DataFrame, k: int, id_col: str, ref_label: str | None) -> DataFrame:
     """Every query with its k best of ``found`` as arrays."""
     w = Window.partitionBy("qid").orderBy("dist", "rid")
-    best = found.dropDuplicates(["qid", "rid"]).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    # one shuffle serves the distinct pairs, the ranks and the lists
+    best = found.repartition("qid").dropDuplicates(["qid", "rid"]).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
     best = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_rank", "rid", "dist", "rlabel"))).alias("_nn"))
     nn = F.coalesce("_nn", F.array().cast(best.schema["_nn"].dataType))
     out = [nn["rid"].alias("nn_ids"), nn["dist"].alias("nn_dist")] + ([nn["rlabel"].alias("nn_labels")] if ref_label else [])
     return queries.join(best, F.col(id_col).cast("long") == F.col("qid"), "left").select(id_col, *out)
 
 
-def _blocks(df: DataFrame, most: int, rows: int) -> int:
-    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, math.ceil(rows / most), min(cores, math.ceil(rows / LEAST_BLOCK)))
+def _most(df: DataFrame, within: str | None) -> tuple[int, int]:
+    """Rows of the largest class, and the classes (one without ``within``)."""
+    if not within:
+        return df.count(), 1
+    n = df.groupBy("_in").agg(F.count("*").alias("n")).agg(F.max("n"), F.count("*")).first()
+    return n[0] or 0, n[1] or 1
+
+
+def _grid(q_rows: int, r_rows: int, block: int, wanted: int) -> tuple[int, int]:
+    """Query and reference blocks: as many as their largest sizes ask for, then
+    the larger blocks are cut on until ``wanted`` pairs of blocks meet."""
+    q, r = max(1, math.ceil(q_rows / QUERY_BLOCK)), max(1, math.ceil(r_rows / block))
+    while q * r < wanted and max(q_rows / q, r_rows / r) > LEAST_BLOCK:
+        if q_rows / q >= r_rows / r:
+            q += 1
+        else:
+            r += 1
+    return q, r
 
 
 def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str, ref_label: str | None = None,
@@ -97,7 +130,9 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
     its own class only with ``within`` (J8, J9).  Ids tell rows apart; rows without
     a vector have no neighbours and are none."""
     q, r = _sides(queries, refs, id_col, vec_col, ref_label, within)
-    q_blocks, r_blocks = _blocks(q, QUERY_BLOCK, q.count()), max(1, math.ceil(r.count() / block))
+    (q_rows, classes), (r_rows, _) = _most(q, within), _most(r, within)
+    cores = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q_blocks, r_blocks = _grid(q_rows, r_rows, block, math.ceil(cores / classes))
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = q.withColumn("_qb", deal("qid", q_blocks)).withColumn("_rb", every(r_blocks))
