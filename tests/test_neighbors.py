@@ -101,3 +101,14 @@ def test_blocks_send_rows_few_times():
     assert N._grid(100, 40, N.REF_BLOCK, 200) == (1, 1)
     q, r = N._grid(10_000_000, 50_000, N.REF_BLOCK, 200)
     assert 10_000_000 / q <= N.QUERY_BLOCK and 50_000 / r <= N.REF_BLOCK
+
+
+def test_repeated_rows_do_not_depend_on_blocks(spark):
+    """The k nearest rows count, repeated ones too, however many blocks there are."""
+    x, df = _clouds(spark, 300)
+    twice = df.unionByName(df.where("vec_id % 3 = 0"))
+    got = [{r.vec_id: r.nn_ids for r in knn(twice.where("vec_id < 40"), twice, 4, "vec_id", "embedding", block=b).collect()} for b in (1000, 30)]
+    assert got[0] == got[1] and len(got[0]) == 40
+    for q in range(40):
+        d = sorted((float(np.sqrt(((x[q] - x[o]) ** 2).sum())), o) for o in range(300) for _ in range(2 if o % 3 == 0 else 1) if o != q)[:4]
+        assert got[0][q] == list(dict.fromkeys(o for _, o in d))

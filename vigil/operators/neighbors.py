@@ -28,7 +28,7 @@ QUERY_BLOCK, REF_BLOCK = 32_768, 32_768     # rows of a block at most, about
 PAIRS = 1 << 21                             # distances a task holds at once
 LEAST_BLOCK = 256                           # and at least, where that keeps all cores busy
 
-_FOUND = "qid long, dist double, rid long, rlabel long"
+_FOUND = "qid long, qh long, dist double, rid long, rlabel long"
 
 
 def _nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndarray, k: int, exclude_self: bool,
@@ -69,15 +69,17 @@ def _block_nearest(qv: np.ndarray, qid: np.ndarray, rv: np.ndarray, rid: np.ndar
 
 
 def _meet(q: DataFrame, r: DataFrame, on: list[str], k: int, exclude_self: bool) -> DataFrame:
-    """(qid, dist, rid, rlabel): for each query its k nearest in every group of ``on``."""
+    """(qid, qh, dist, rid, rlabel): for each query its k nearest in every group
+    of ``on``.  Repeated query rows (equal qid and qh) are asked once."""
     def run(_, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
+            a = a[~a.duplicated(["qid", "qh"])]
             vec = lambda c: np.stack(c.map(lambda x: np.asarray(x, np.float64)).to_numpy())
             qv, rv, qid, rid = vec(a["qv"]), vec(b["rv"]), a["qid"].to_numpy(np.int64), b["rid"].to_numpy(np.int64)
             for row, dist, col in _block_nearest(qv, qid, rv, rid, k, exclude_self):
-                out.append(pd.DataFrame({"qid": qid[row], "dist": dist, "rid": rid[col], "rlabel": b["rlabel"].to_numpy()[col]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "dist": [], "rid": [], "rlabel": []})
+                out.append(pd.DataFrame({"qid": qid[row], "qh": a["qh"].to_numpy()[row], "dist": dist, "rid": rid[col], "rlabel": b["rlabel"].to_numpy()[col]}))
+        return pd.concat(out) if out else pd.DataFrame({c: [] for c in ("qid", "qh", "dist", "rid", "rlabel")})
 
     other = r.withColumnsRenamed({c: f"_r{c}" for c in on})
     return q.groupBy(*on).cogroup(other.groupBy(*(f"_r{c}" for c in on))).applyInPandas(run, _FOUND)
@@ -86,17 +88,24 @@ def _meet(q: DataFrame, r: DataFrame, on: list[str], k: int, exclude_self: bool)
 def _sides(queries: DataFrame, refs: DataFrame, id_col: str, vec_col: str, ref_label: str | None, within: str | None):
     group = [F.col(within).alias("_in")] if within else []
     label = F.col(ref_label).cast("long") if ref_label else F.lit(None).cast("long")
-    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qv"), *group)
+    q = queries.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("qid"), F.col(vec_col).alias("qv"),
+                                                         F.xxhash64(vec_col, *([within] if within else [])).alias("qh"), *group)
     r = refs.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("rid"), F.col(vec_col).alias("rv"),
                                                       label.alias("rlabel"), *group)
     return q, r
 
 
-def _merged(queries: DataFrame, found: DataFrame, k: int, id_col: str, ref_label: str | None) -> DataFrame:
-    """Every query with its k best of ``found`` as arrays."""
+def _merged(queries: DataFrame, found: DataFrame, k: int, id_col: str, ref_label: str | None, apart: bool) -> DataFrame:
+    """Every query with its k best of ``found`` as arrays.  ``apart``: no reference
+    row came from two blocks, so the k nearest rows of each query row are taken first,
+    repeated ones counted, whatever the number of blocks."""
     w = Window.partitionBy("qid").orderBy("dist", "rid")
     # one shuffle serves the distinct pairs, the ranks and the lists
-    best = found.repartition("qid").dropDuplicates(["qid", "rid"]).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
+    found = found.repartition("qid")
+    if apart:
+        own = Window.partitionBy("qid", "qh").orderBy("dist", "rid")
+        found = found.withColumn("_rank", F.row_number().over(own)).where(F.col("_rank") <= k)
+    best = found.dropDuplicates(["qid", "rid"]).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
     best = best.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("_rank", "rid", "dist", "rlabel"))).alias("_nn"))
     nn = F.coalesce("_nn", F.array().cast(best.schema["_nn"].dataType))
     out = [nn["rid"].alias("nn_ids"), nn["dist"].alias("nn_dist")] + ([nn["rlabel"].alias("nn_labels")] if ref_label else [])
@@ -138,7 +147,7 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str,
     q = q.withColumn("_qb", deal("qid", q_blocks)).withColumn("_rb", every(r_blocks))
     r = r.withColumn("_rb", deal("rid", r_blocks)).withColumn("_qb", every(q_blocks))
     found = _meet(q, r, ["_qb", "_rb", *(["_in"] if within else [])], k, exclude_self)
-    return _merged(queries, found, k, id_col, ref_label)
+    return _merged(queries, found, k, id_col, ref_label, apart=True)
 
 
 def lsh_knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: str, dim: int, ref_label: str | None = None,
@@ -196,7 +205,7 @@ def lsh_knn(queries: DataFrame, refs: DataFrame, k: int, id_col: str, vec_col: s
         asked = asked.withColumn("_part", F.pmod(F.xxhash64("qid"), F.lit(max(1, math.ceil(n_queries / QUERY_BLOCK)))).cast("int"))
         parts = max(1, math.ceil(n_queries / QUERY_BLOCK))
         held = held.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))) if parts > 1 else held.withColumn("_part", F.lit(0))
-        got = _merged(queries, _meet(asked, held, ["_b", "_cut", "_part"], k, exclude_self), k, id_col, ref_label).checkpoint()
+        got = _merged(queries, _meet(asked, held, ["_b", "_cut", "_part"], k, exclude_self), k, id_col, ref_label, apart=False).checkpoint()
         seen = got.join(truth, id_col).agg(
             F.sum(F.size(F.array_intersect("nn_ids", "_true"))).alias("found"), F.sum(F.size("_true")).alias("all")).first()
         report.update(recall=1.0 if not seen["all"] else seen["found"] / seen["all"], tables=tables)
