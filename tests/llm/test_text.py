@@ -228,3 +228,28 @@ def test_main_text_of_malformed_and_deep_pages():
         took.append(time.perf_counter() - t)
         assert text.endswith("word")
     assert took[1] < 40 * took[0]
+
+
+def test_new_units_are_learned_together(monkeypatch):
+    m, rng = spm.Pieces(PIECES), random.Random(5)
+    texts = [" ".join("".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 12))) for _ in range(40)) for _ in range(20)]
+    alone = []
+    best_two = m.best_two
+    monkeypatch.setattr(m, "best_two", lambda u: alone.append(u) or best_two(u))
+    got = list(m.encode_all([*texts, None, "", "漢 é\x07"], 3))
+    learned = sum(len(set(m.units(t))) for t in texts)
+    assert learned > 500 and len(alone) < 0.05 * learned       # ties and unknown characters only
+    one = spm.Pieces(PIECES)
+    for t, (best, spelled) in zip([*texts, None, "", "漢 é\x07"], got, strict=True):
+        assert spelled == (t or "")
+        assert [(s, list(memoryview(i).cast("i"))) for s, i in best] == one.encode(t, 3)
+    for u in {u for t in texts for u in m.units(t)}:
+        assert m.cache[u] == best_two(u)
+
+
+def test_texts_reach_python_a_run_at_a_time(spark):
+    from vigil.llm.common import map_texts
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', 5000) AS text").coalesce(1)
+    rows = map_texts(docs, ["doc_id"], "text", lambda texts: [[sum(map(len, texts))] * len(texts)], {"n": "long"}).collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(3000))
+    assert max(r["n"] for r in rows) <= 4_000_000 + 5000

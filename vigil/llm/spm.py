@@ -25,13 +25,17 @@ import heapq
 import itertools
 import re
 from array import array
+from bisect import bisect_right
+from operator import add
 
+import numpy as np
 from pyspark.sql import DataFrame
 
-from vigil.llm.common import map_texts
+from vigil.llm.common import map_texts, slices
 
 N_BEST = 3
 CACHE = 600_000       # distinct units kept by a worker before it starts anew
+SLICE = 1_000_000      # characters whose units are learned together
 MARK = "▁"
 UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -54,50 +58,148 @@ class Pieces:
         # pieces without a merge score (single characters) cost as much as the rarest piece
         self.score = {p: (s if s > -1e8 else min(real), i) for p, (s, i) in self.score.items()}
         self.longest = max(map(len, self.score))
-        self.prefix: dict = {p[:k]: None for p in self.score for k in range(1, len(p))} | self.score
+        # a tree over characters: (next characters, score or None, id) of every start of a piece
+        self.tree: dict = {}
+        for p in sorted(self.score):
+            at = self.tree
+            for c in p[:-1]:
+                at = at.setdefault(c, ({}, None, -1))[0]
+            at[p[-1]] = ({}, *self.score[p])
         self.pairs = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.score)
         self.value_of_byte = {i: b for b, i in enumerate(self.byte)}
-        self.cache: dict[str, tuple[float, tuple, float]] = {}
+        # the same tree as sorted numbers: node * characters + character -> next node
+        self.steps, self.cost, self.at = self._numbered()
+        self.cache: dict[str, tuple[float, bytes, float, str]] = {}
         self.alternatives: dict[tuple[str, int], list] = {}
 
-    def learn(self, unit: str) -> tuple[float, tuple, float]:
-        """(best score, its ids, loss of the second segmentation) of a unit.
-        Places whose two characters stand together in no piece cut it."""
-        pairs, at, parts = self.pairs, 0, []
-        for k in range(1, len(unit)):
-            if unit[k - 1:k + 1] not in pairs:
-                parts.append(unit[at:k])
-                at = k
-        if not parts:
-            return self.best_two(unit)
-        found = []
-        for u in (*parts, unit[at:]):
-            p = self.cache.get(u)
-            if p is None:
-                p = self.cache[u] = self.best_two(u)
-            found.append(p)
-        return (sum([p[0] for p in found]), tuple(itertools.chain.from_iterable([p[1] for p in found])),
-                min([p[2] for p in found]))
-
-    def best_two(self, unit: str) -> tuple[float, tuple, float]:
-        """Forward Viterbi with the two best scores of every place."""
-        known, size = self.prefix, len(unit)
+    def _numbered(self) -> tuple[tuple, np.ndarray, np.ndarray]:
+        """((sorted moves, their ends), score of every node or nan, its id)."""
+        chars = sorted({c for p in self.score for c in p})
+        self.letter = np.full(0x110000 + 1, len(chars), np.int32)      # no piece has the others
+        self.letter[[ord(c) for c in chars]] = np.arange(len(chars))
+        moves, ends, cost, at, todo = [], [], [np.nan], [-1], [(0, self.tree)]
+        self.letters = len(chars) + 1
+        while todo:
+            node, kids = todo.pop()
+            for c, (further, score, piece) in kids.items():
+                moves.append(node * self.letters + int(self.letter[ord(c)]))
+                ends.append(len(cost))
+                todo.append((len(cost), further))
+                cost.append(np.nan if score is None else score)
+                at.append(piece)
+        o = np.argsort(moves)
+        return (np.array(moves, np.int64)[o], np.array(ends, np.int64)[o]), np.array(cost), np.array(at, np.int64)
+
+    def prepare(self, units: set) -> None:
+        """Learn new units together: the Viterbi steps of units of like length
+        run as arrays, but for rare ones (very long, with unknown characters, with a
+        tie).  A unit is learned from the parts between its cuts."""
+        new, whole = set(), []
+        for u in units.difference(self.cache):
+            cuts = self.cuts(u)
+            if cuts:
+                whole.append((u, [u[i:j] for i, j in zip([0, *cuts], [*cuts, len(u)], strict=True)]))
+                new.update(whole[-1][1])
+            else:
+                new.add(u)
+        rest = sorted(new.difference(self.cache), key=len)
+        sizes, low = [len(u) for u in rest], 0
+        for top in (4, 8, 16, 32, 64):
+            high = bisect_right(sizes, top)
+            for i in range(low, high, 8192):
+                self._together(rest[i:min(high, i + 8192)])
+            low = high
+        for u in rest:
+            if u not in self.cache:
+                self.cache[u] = self.best_two(u)
+        for u, parts in whole:
+            self.cache[u] = self.joined(parts)
+
+    def _together(self, units: list) -> None:
+        moves, ends = self.steps
+        size = np.array([len(u) for u in units])
+        n, width = len(units), int(size.max())
+        text = np.full((n, width), self.letters - 1, np.int32)
+        text[np.arange(width) < size[:, None]] = self.letter[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        one, two = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
+        start, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
+        one[0] = 0.0
+        for i in range(width):
+            who = np.flatnonzero((size > i) & (one[i] > -np.inf))
+            node = np.zeros(len(who), np.int64)
+            for j in range(i, width):
+                move = node * self.letters + text[who, j]
+                k = np.minimum(np.searchsorted(moves, move), len(moves) - 1)
+                ok = moves[k] == move
+                who, node = who[ok], ends[k[ok]]
+                if not len(who):
+                    break
+                cost = self.cost[node]
+                hit = np.flatnonzero(cost == cost)
+                w, cost = who[hit], cost[hit]
+                v, second, best, next_best = one[i, w] + cost, two[i, w] + cost, one[j + 1, w], two[j + 1, w]
+                more = v > best
+                two[j + 1, w] = np.where(more, np.maximum(best, second), np.maximum(next_best, v))
+                one[j + 1, w] = np.maximum(best, v)
+                start[j + 1, w[more]] = i
+                piece[j + 1, w[more]] = self.at[node[hit[more]]]
+        every = np.arange(n)
+        score, other = one[size, every], two[size, every]
+        good = (score > -np.inf) & (score != other)         # no unknown character, no tie
+        here, who = np.where(good, size, 0), every
+        of, ids, where = [], [], []
+        while True:
+            who = who[here[who] > 0]
+            if not len(who):
+                break
+            of.append(who)
+            ids.append(piece[here[who], who])
+            where.append(here[who])
+            here[who] = start[here[who], who]
+        if not of:
+            return
+        of, ids, where = np.concatenate(of), np.concatenate(ids), np.concatenate(where)
+        o = np.lexsort((where, of))
+        names, raw = ids[o].tolist(), ids[o].astype(np.int32).tobytes()
+        edge = np.searchsorted(of[o], np.arange(n + 1)).tolist()
+        loss, score = (np.where(good, score, 0) - np.where(good, other, 0)).tolist(), score.tolist()
+        for t in np.flatnonzero(good).tolist():
+            a, b = edge[t], edge[t + 1]
+            self.cache[units[t]] = (score[t], raw[4 * a:4 * b], loss[t], self.spelled(names[a:b]))
+
+    def cuts(self, unit: str) -> list[int]:
+        """Places whose two characters stand together in no piece."""
+        pairs = self.pairs
+        return [k for k, c in enumerate(map(add, unit, unit[1:]), 1) if c not in pairs]
+
+    def joined(self, parts: list[str]) -> tuple[float, bytes, float, str]:
+        """What is known of the unit that the parts make up."""
+        score, ids, loss, back = zip(*[self.cache[u] for u in parts], strict=True)
+        return sum(score), b"".join(ids), min(loss), "".join(back)
+
+    def best_two(self, unit: str) -> tuple[float, bytes, float, str]:
+        """(best score, its ids, loss of the second segmentation, the ids
+        decoded) of a unit: forward Viterbi with the two best scores of every place."""
+        tree, size = self.tree, len(unit)
         low = float("-inf")
         one, two, back = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
         for i in range(size):
-            here, second = one[i], two[i]
-            for j in range(i + 1, size + 1):
-                hit = known.get(unit[i:j], 0)
-                if hit is None:                          # the start of longer pieces only
-                    continue
-                if hit == 0:
+            here, second, kids, j = one[i], two[i], tree, i
+            for c in unit[i:]:
+                node = kids.get(c)
+                if node is None:
                     break
-                v = here + hit[0]
+                j += 1
+                kids, cost, piece = node
+                if cost is None:                         # the start of longer pieces only
+                    continue
+                v = here + cost
                 if v > one[j]:
-                    two[j] = max(one[j], second + hit[0])
+                    w = second + cost
+                    two[j] = one[j] if one[j] > w else w
                     one[j] = v
-                    back[j] = (i, hit[1])
+                    back[j] = (i, piece)
                 elif v > two[j]:
                     two[j] = v
             if unit[i] not in self.score:
@@ -108,7 +210,8 @@ class Pieces:
                 elif v > two[i + 1]:
                     two[i + 1] = v
         if two[size] == one[size]:                       # a tie: the search decides
-            return one[size], self.n_best(unit, 1)[0][1], 0.0
+            ids = self.n_best(unit, 1)[0][1]
+            return one[size], array("i", ids).tobytes(), 0.0, self.spelled(ids)
         ids, j = [], size
         while j:
             i, piece = back[j]
@@ -117,7 +220,8 @@ class Pieces:
             else:
                 ids.append(piece)
             j = i
-        return one[size], tuple(ids[::-1]), one[size] - two[size]
+        ids.reverse()
+        return one[size], array("i", ids).tobytes(), one[size] - two[size], self.spelled(ids)
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple]]]:
         """Per end place: (start, score, ids) of every piece that ends there."""
@@ -154,41 +258,60 @@ class Pieces:
 
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a text: (score, ids), best first."""
-        if not text:
-            return [(0.0, [])]
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        units, parts = self.units(text), []
-        for u in units:
-            p = cache.get(u)
-            if p is None:
-                p = cache[u] = self.learn(u)
-            parts.append(p)
-        base = sum([p[0] for p in parts])
-        first = list(itertools.chain.from_iterable([p[1] for p in parts]))
-        if n == 1:
-            return [(base, first)]
-        # only the units of least loss can change within the n best
-        loss = heapq.nsmallest(n - 1, zip([p[2] for p in parts], range(len(parts)), strict=True))
-        where = sorted(k for lost, k in loss if lost < float("inf"))
-        choices = [self.choices(units[k], n) for k in where]
-        # best first over the choices of these units; each state is reached from one other only
-        heap = [(0.0, (0,) * len(where), 0)]
-        chosen = []
-        while heap and len(chosen) < n:
-            lost, pick, low = heapq.heappop(heap)
-            chosen.append((lost, pick))
-            for d in range(low, len(where)):
-                c, r = choices[d], pick[d] + 1
-                if r < len(c):
-                    heapq.heappush(heap, (lost + c[r - 1][0] - c[r][0], pick[:d] + (r,) + pick[d + 1:], d))
-        out = [(base, first)]
-        for lost, pick in chosen[1:]:
-            change = {k: choices[d][pick[d]][1] for d, k in enumerate(where)}
-            out.append((base - lost, list(itertools.chain.from_iterable(
-                [change.get(k, p[1]) for k, p in enumerate(parts)]))))
-        return out
+        return [(score, array("i", ids).tolist()) for best, _ in self.encode_all([text], n) for score, ids in best]
+
+    def encode_all(self, texts: list, n: int = N_BEST):
+        """Per text its ``n`` best segmentations, best first, as (score, ids as
+        32-bit integers), and what the first decodes to."""
+        for part in slices(texts, SLICE):
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            units = [self.units(t) if t else [] for t in texts[part]]
+            known = set().union(*units)
+            self.prepare(known)
+            yield from self._assembled(units, {u: k for k, u in enumerate(known)}, n)
+
+    def _assembled(self, units: list[list[str]], number: dict[str, int], n: int):
+        if not number:
+            yield from [([(0.0, b"")], "")] * len(units)
+            return
+        score, ids, loss, back = zip(*map(self.cache.__getitem__, number), strict=True)
+        every = list(itertools.chain.from_iterable(units))
+        at = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        score, loss = np.array(score, float)[at].tolist(), np.array(loss, float)[at]
+        ids, id_end = _laid_out(ids, at)
+        back, back_end = _laid_out([b.encode("utf-8", "surrogatepass") for b in back], at)
+        b = 0
+        for mine in units:
+            a, b = b, b + len(mine)
+            if not mine:
+                yield [(0.0, b"")], ""
+                continue
+            zero = id_end[a]
+            base, first = sum(score[a:b]), ids[zero:id_end[b]]
+            spelled = back[back_end[a]:back_end[b]].decode("utf-8", "surrogatepass").removeprefix(" ")
+            out = [(base, first)]
+            # only the units of least loss can change within the n best
+            least = np.argsort(loss[a:b], kind="stable")[:n - 1]
+            where = np.sort(least[loss[a:b][least] < np.inf]).tolist()
+            choices = [self.choices(mine[k], n) for k in where]
+            # best first over the choices of these units; each state is reached from one other only
+            heap = [(0.0, (0,) * len(where), 0)]
+            chosen = []
+            while heap and len(chosen) < n:
+                lost, pick, low = heapq.heappop(heap)
+                chosen.append((lost, pick))
+                for d in range(low, len(where)):
+                    c, r = choices[d], pick[d] + 1
+                    if r < len(c):
+                        heapq.heappush(heap, (lost + c[r - 1][0] - c[r][0], pick[:d] + (r,) + pick[d + 1:], d))
+            for lost, pick in chosen[1:]:
+                changed, done = [], 0
+                for d, k in enumerate(where):
+                    changed += [first[done:id_end[a + k] - zero], array("i", choices[d][pick[d]][1]).tobytes()]
+                    done = id_end[a + k + 1] - zero
+                out.append((base - lost, b"".join([*changed, first[done:]])))
+            yield out, spelled
 
     def choices(self, unit: str, n: int) -> list[tuple[float, tuple]]:
         key = (unit, n)
@@ -200,6 +323,12 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids."""
+        text = self.spelled(ids)
+        return text[1:] if text.startswith(" ") else text
+
+    def spelled(self, ids) -> str:
+        """The characters of a sequence of ids, marks as spaces.  The bytes of a
+        character never stand in two units, so units can be spelled one by one."""
         out, raw = [], bytearray()
         for i in ids:
             b = self.value_of_byte.get(i)
@@ -212,8 +341,16 @@ class Pieces:
             out.append(self.piece[i])
         if raw:
             out.append(raw.decode("utf-8", "replace"))
-        text = "".join(out).replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return "".join(out).replace(MARK, " ")
+
+
+def _laid_out(known: list[bytes], at: np.ndarray) -> tuple[bytes, list[int]]:
+    """``known[at]`` one after another, and where each begins and the last ends."""
+    size = np.array([len(v) for v in known], np.int64)
+    first, many = (np.cumsum(size) - size)[at], size[at]
+    end = np.cumsum(many)
+    pos = np.repeat(first - (end - many), many) + np.arange(end[-1])
+    return np.frombuffer(b"".join(known), np.uint8)[pos].tobytes(), [0, *end.tolist()]
 
 
 _MODELS: dict = {}
@@ -232,14 +369,13 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str = "tex
     def run(texts):
         m = pieces_for(model)
         ids, count, score, scores, digests, back = [], [], [], [], [], []
-        for t in texts:
-            best = m.encode(t, n)
-            ids.append(best[0][1])
-            count.append(len(best[0][1]))
+        for t, (best, spelled) in zip(texts, m.encode_all(texts, n), strict=True):
+            ids.append(np.frombuffer(best[0][1], np.int32))
+            count.append(len(ids[-1]))
             score.append(best[0][0])
             scores.append([s for s, _ in best])
-            digests.append([hashlib.sha256(array("i", i).tobytes()).hexdigest() for _, i in best])
-            back.append(m.decode(best[0][1]) == (t or ""))
+            digests.append([hashlib.sha256(i).hexdigest() for _, i in best])
+            back.append(spelled == (t or ""))
         return [ids, count, score, scores, digests, back]
 
     return map_texts(docs, [id_col], text, run, {
