@@ -342,3 +342,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(masked) == set(left)
     assert {r["doc_id"] for r in seen["packing"].collect()} == set(left)
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_frequent_values_counted_in_place():
+    rng = np.random.default_rng(4)
+    for least in (4, 5, 9):
+        for n in (0, 1, 3, 4, 500):
+            v = rng.integers(0, 60, n).astype(np.uint64)
+            ids, count = np.unique(v, return_counts=True)
+            got = jaccard.often(v, least)
+            assert got[0].tolist() == ids[count >= least].tolist() and got[1].tolist() == count[count >= least].tolist()

@@ -19,12 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch_mb: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared checkpoint folder and read it back:
-    cuts lineage, is computed once and survives the loss of executors."""
+    cuts lineage, is computed once and survives the loss of executors.
+    ``batch_mb`` bounds the Arrow batches of whole texts on their way to Python."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        if batch_mb:
+            spark.conf.set(BATCH_BYTES, str(batch_mb << 20))
+        df.write.parquet(path)
+    finally:
+        if batch_mb:
+            spark.conf.unset(BATCH_BYTES) if before is None else spark.conf.set(BATCH_BYTES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -35,10 +46,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return what Arrow's pool keeps of finished batches: an idle worker
+    holds it beside the workers of the next step otherwise."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+
+
+def cut(batch, column: int, limit: int = 4_000_000) -> list:
+    """Runs of about ``limit`` bytes of a text column of an Arrow batch (whole
+    rows; one run where the column holds no text), so that few texts are
+    Python strings at a time."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    texts = batch.column(column)
+    if not batch.num_rows or not (pa.types.is_string(texts.type) or pa.types.is_large_string(texts.type)):
+        return [batch]
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.flatnonzero(np.diff((np.cumsum(size) - size) // limit, prepend=-1))
+    return [batch.slice(i, j - i) for i, j in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True)]
+
+
 def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: dict[str, str]) -> DataFrame:
     """``keep`` columns of every row, untouched, and the columns ``added``
     (name -> type, one of those below) that ``fn(list of texts or None)``
-    returns as a list of arrays; one Arrow batch at a time, no shuffle."""
+    returns as a list of arrays; a run of an Arrow batch at a time, no shuffle."""
     import pyarrow as pa
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(),
              "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64()),
@@ -49,10 +81,12 @@ def map_texts(docs: DataFrame, keep: list[Column | str], text: str, fn, added: d
     names = [*src.columns, *added]
 
     def run(batches):
-        for b in batches:
-            new = fn(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], *(pa.array(c, kinds[k]) for c, k in zip(new, added.values(), strict=True))], names=names)
+        for batch in batches:
+            for b in cut(batch, batch.num_columns - 1):
+                new = fn(b.column(b.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:-1], *(pa.array(c, kinds[k]) for c, k in zip(new, added.values(), strict=True))], names=names)
+        give_back()
 
     # the text comes last, so a kept column of the same name does no harm
     return docs.select(*keep, F.col(text).alias("_text_")).mapInArrow(run, schema)

@@ -35,12 +35,14 @@ table an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import MULT, components, materialize, mix, release, shingle_sets, slices
+from vigil.llm.common import MULT, components, cut, give_back, materialize, mix, release, shingle_sets, slices
 
 K = 5
 EDGES = (1, 4, 8, 16, 32, 64, 512, 4096, 32768, 1 << 18, 1 << 24, 1 << 31)   # lower ends of the size bands
@@ -48,6 +50,7 @@ FREQUENT = 0.001      # share of nodes from which a shingle is frequent
 LEADS = 8             # members of a mixed signature that those outside its largest component meet first
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
 SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
+SLICE = 1_000_000     # bytes of text whose shingles are held at once
 SMALL = 1_000_000     # node ids (16 bytes each) that may be broadcast; more are shuffled
 
 
@@ -92,33 +95,43 @@ def sketch_bound(a: bytes, b: bytes) -> int:
     return int(np.minimum(x, y).sum())
 
 
+def often(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, count) of the values that stand ``least`` times or more; sorts
+    ``values`` in place."""
+    values.sort()
+    ids = np.unique(values[:max(0, len(values) - least + 1)][values[:max(0, len(values) - least + 1)] == values[least - 1:]])
+    return ids, np.searchsorted(values, ids, "right") - np.searchsorted(values, ids, "left")
+
+
 def sets_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """One row per document with its set size and key; the first row of a batch
     also carries the shingles frequent in it (counted over different sets)."""
     def run(batches):
         for b in batches:
-            texts = b.column(1).to_pylist()
-            size = np.zeros(len(texts), np.int64)
-            keys = np.zeros(len(texts), np.uint64)
+            size, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             seen: set = set()
-            parts, sketch = [], []
-            for part in slices(texts):
-                doc, h = shingle_sets(texts[part], K)
-                n, k1 = set_keys(doc, h, part.stop - part.start)
+            parts, sketch = [np.zeros(0, np.uint64)], []
+            for some in cut(b, 1, SLICE):
+                texts = some.column(1).to_pylist()
+                doc, h = shingle_sets(texts, K)
+                n, k1 = set_keys(doc, h, len(texts))
                 sketch.extend(sketches(doc, h, n))
-                size[part], keys[part] = n, k1
+                size.append(n)
+                keys.append(k1)
                 new = np.array([n[i] > 0 and k not in seen and not seen.add(k) for i, k in enumerate(k1.tolist())], bool)
                 parts.append(h[new[doc]] if len(doc) else h)
-            ids, count = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint64), return_counts=True)
-            often = count >= max(4, FREQUENT / 2 * len(seen))
-            hot = [None] * len(texts)
-            if texts:
-                hot[0] = [{"h": int(a), "c": int(c)} for a, c in zip(ids[often].view(np.int64), count[often], strict=True)]
+            every = np.concatenate(parts)
+            parts.clear()
+            ids, count = often(every, max(4, math.ceil(FREQUENT / 2 * len(seen))))
+            hot = pa.ListArray.from_arrays(
+                pa.array([0, *[len(ids)] * b.num_rows], pa.int32()),
+                pa.StructArray.from_arrays([pa.array(ids.view(np.int64)), pa.array(count)], ["h", "c"]),
+                mask=pa.array(np.arange(b.num_rows) > 0))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size), pa.array(keys.view(np.int64)),
-                 pa.array(sketch, pa.binary()),
-                 pa.array(hot, pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))],
+                [b.column(0), pa.array(np.concatenate(size)), pa.array(np.concatenate(keys).view(np.int64)),
+                 pa.array(sketch, pa.binary()), hot],
                 names=["doc_id", "n", "k1", "sketch", "hot"])
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, SCHEMA)
 
@@ -261,11 +274,12 @@ def index_entries(docs: DataFrame, text: str, hot: np.ndarray, zones: Zones) ->
     """Rows (sig, node) of all texts."""
     def run(batches):
         for b in batches:
-            texts, seen = b.column(0).to_pylist(), set()
-            for part in slices(texts):
-                sig, node = signatures(texts[part], hot, zones, seen)
+            seen: set = set()
+            for some in cut(b, 0, SLICE):
+                sig, node = signatures(some.column(0).to_pylist(), hot, zones, seen)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node.view(np.int64))],
                                                  names=["sig", "node"])
+        give_back()
 
     return docs.select(F.col(text).alias("t")).mapInArrow(run, "sig long, node long")
 
@@ -332,6 +346,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     link[r] = both > 0 and 100 * both >= 75 * (len(x) + len(y) - both)
                 i = j
             yield pa.RecordBatch.from_arrays([pa.array(a[link]), pa.array(b[link])], names=["a", "b"])
+        give_back()
 
     ta = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     tb = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
@@ -362,8 +377,8 @@ def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     # the ids are broadcast below SMALL, else hashed a partition at a time: texts are never sorted
     few = wanted.count() <= SMALL
     found = rows.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id")
-    texts = materialize(_own_text(found), "jaccard-texts")
-    return materialize(verified(left, texts), "jaccard-links")
+    texts = materialize(_own_text(found), "jaccard-texts", 8)
+    return materialize(verified(left, texts), "jaccard-links", 8)
 
 
 def apart(members: DataFrame, comp: DataFrame, few: bool) -> DataFrame:
@@ -399,7 +414,7 @@ def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = materialize(sets_of(rows, "doc_id", "text"), "jaccard-sets")
+    sets = materialize(sets_of(rows, "doc_id", "text"), "jaccard-sets", 16)
     nodes = materialize(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(F.col("k1").alias("node"))
                         .agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "jaccard-nodes")
     band = sum((F.col("n") >= e).cast("int") for e in EDGES[1:])
@@ -411,7 +426,7 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
     hot_share = min(0.95, share / shingles) if len(hot) and shingles else 0.0
     zones = Zones({b: (c, s, hot_share) for b, (c, s) in by_band.items()}, force)
 
-    live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs")
+    live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs", 8)
     release(docs.sparkSession)
     starred = live.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     comp = materialize(components(links_of(starred, nodes, rows), "jaccard-cc"), "jaccard-comp")
@@ -441,15 +456,12 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
 def _own_text(found: DataFrame) -> DataFrame:
     """Rows whose text has the node's set (an id may stand on several texts), once."""
     def run(batches):
-        for b in batches:
-            body = b.column(1).to_pylist()
-            ok = np.zeros(len(body), bool)
-            want = b.column(0).to_numpy()
-            for part in slices(body):
-                doc, h = shingle_sets(body[part], K)
-                _, k1 = set_keys(doc, h, part.stop - part.start)
-                ok[part] = k1.view(np.int64) == want[part]
-            yield b.filter(pa.array(ok))
+        for batch in batches:
+            for b in cut(batch, 1, SLICE):
+                body = b.column(1).to_pylist()
+                _, k1 = set_keys(*shingle_sets(body, K), len(body))
+                yield b.filter(pa.array(k1.view(np.int64) == b.column(0).to_numpy()))
+        give_back()
 
     return found.select("node", "text").mapInArrow(run, "node long, text string").dropDuplicates(["node"])
 
