@@ -47,13 +47,18 @@ def release(spark: SparkSession) -> None:
 
 
 def give_back() -> None:
-    """Return what Arrow's pool keeps of finished batches: an idle worker
-    holds it beside the workers of the next step otherwise."""
+    """Return what Arrow's pool and the allocator keep of finished batches: an
+    idle worker holds it beside the workers of the next step otherwise."""
+    import ctypes
+
     import pyarrow as pa
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)         # glibc only
+    if trim:
+        trim(0)
 
 
-def cut(batch, column: int, limit: int = 4_000_000) -> list:
+def cut(batch, column: int, limit: int = 1_000_000) -> list:
     """Runs of about ``limit`` bytes of a text column of an Arrow batch (whole
     rows; one run where the column holds no text), so that few texts are
     Python strings at a time."""

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import BYTE, MULT, _powers, map_texts, materialize, mix, shingle_sets, slices, words_of
+from vigil.llm.common import BYTE, MULT, _powers, give_back, map_texts, materialize, mix, shingle_sets, slices, words_of
 
 FIT_ROWS = 24_000     # labelled rows the model is fitted on, at most
 SLICE = 250_000       # characters whose features are held at once
@@ -187,6 +187,7 @@ def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
             for part in slices(texts, SLICE):
                 ids, n = np.unique(_once_a_text(texts[part])[0], return_counts=True)
                 yield pd.DataFrame({"f": ids.view(np.int64), "p": n})
+        give_back()
 
     p, none = F.col("p"), F.lit(0)
     toxic = sample.where("toxic = 1").mapInPandas(in_toxic, "f long, p long").groupBy("f").agg(F.sum("p").alias("p"))
@@ -203,6 +204,7 @@ def _lexicon(sample: DataFrame, n_pos: int, n_neg: int) -> pd.DataFrame:
                 n += np.bincount(at[known[at] == h], minlength=len(known)) if len(known) else 0
             seen = np.flatnonzero(n)
             yield pd.DataFrame({"f": known[seen].view(np.int64), "n": n[seen]})
+        give_back()
 
     spark = sample.sparkSession
     others = sample.where("toxic IS NULL OR toxic <> 1").mapInPandas(in_others, "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
@@ -295,8 +297,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
             extra[:, 4] = np.where(pdf["toxic"].to_numpy() == 1, 1, -1)       # the annotator
             both = np.concatenate([votes, extra], 1)
             yield pd.DataFrame({"votes": ["".join("-01"[v + 1] for v in r) for r in both], "x": list(x)})
+        give_back()
 
-    rows = materialize(sample.mapInPandas(voted, "votes string, x array<double>"), "toxicity-votes")
+    rows = materialize(sample.mapInPandas(voted, "votes string, x array<double>"), "toxicity-votes", 8)
     patterns = rows.groupBy("votes").agg(F.count("*").alias("n")).orderBy("votes").collect()   # at most fit_rows
     votes = np.array([[{"-": -1, "0": 0, "1": 1}[c] for c in r["votes"]] for r in patterns])
     post, theta, weight = label_model(votes, np.array([r["n"] for r in patterns], float))
