@@ -95,6 +95,31 @@ def test_join_equals_brute_force(spark, force):
         assert ids == {None} | {i for i, _ in rows if want[i] == i}
 
 
+def test_join_of_many_alike_texts_that_do_not_link(spark, monkeypatch):
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(60)]
+    texts = []
+    for i in range(400):
+        c = list(base)
+        for j, k in enumerate(rng.sample(range(60), 2)):
+            c[k] = f"r{i}_{j}"
+        texts += [" ".join(c)] + [" ".join([*c, f"e{i}"])] * (i % 40 == 0)
+    docs, asked, links_of = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [], jaccard.links_of
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return links_of(pairs, *rest)
+    monkeypatch.setattr(jaccard, "links_of", counted)
+    sets = [_shingles(t) for t in texts]
+    want = _union(len(texts), [(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets[:a]) if 100 * len(x & y) >= 75 * len(x | y)])
+    for setting in ({}, {"WIDE": 2, "BLOCK": 50}):                        # one block each, then several
+        for k, v in setting.items():
+            monkeypatch.setattr(jaccard, k, v, raising=False)
+        asked.clear()
+        assert [r["component_id"] for r in sorted(jaccard.cluster(docs).collect())] == want
+        assert sum(asked) < 30 * len(texts)                               # not the square of the group
+
+
 def test_join_of_empty_tables(spark):
     docs = edge_docs(spark)
     assert jaccard.cluster(docs.limit(0)).count() == 0

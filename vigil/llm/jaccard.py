@@ -25,7 +25,9 @@ or more.  Two linked sets of a and b shingles differ in at most (a + b) / 7.
   Where a signature's members are then still in different components, those
   outside the largest meet a few drawn members, and what is still apart all
   members of other components, verified too: no link is lost while a group of
-  copies never expands into all its pairs.
+  copies never expands into all its pairs.  Members of signatures of WIDE nodes
+  or more meet in blocks inside tasks; only pairs that their sketches leave
+  possible become rows.
 
 Defined results: null, empty and blank texts have no shingles, link with
 nothing and are their own component; rows without an id have a null
@@ -41,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vigil.llm.common import MULT, components, cut, give_back, materialize, mix, release, shingle_sets, slices
 
@@ -48,6 +51,10 @@ K = 5
 EDGES = (1, 4, 8, 16, 32, 64, 512, 4096, 32768, 1 << 18, 1 << 24, 1 << 31)   # lower ends of the size bands
 FREQUENT = 0.001      # share of nodes from which a shingle is frequent
 LEADS = 8             # members of a mixed signature that those outside its largest component meet first
+WIDE = 8              # nodes from which a mixed signature's members meet in blocks, not as rows
+BLOCK, BLOCK_MASS = 1024, 1 << 25     # members and shingles of a side of a block, about
+PAIRS = 1 << 19       # pairs of a block held at once
+CARRIED = 8           # signatures of a node that a member carries
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
 SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
 SLICE = 1_000_000     # bytes of text whose shingles are held at once
@@ -368,10 +375,8 @@ def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "sa", "nb", "sb").mapInArrow(run, "a long, b long")
 
 
-def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs of nodes that link: sketches first, then the texts."""
-    left = materialize(possible(pairs, nodes), "jaccard-possible")
-    release(pairs.sparkSession)
+def links_of(left: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of nodes among the possible ones ``left`` that link, by their texts."""
     wanted = materialize(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(
         nodes.select("node", "rep"), "node").select("node", F.col("rep").alias("doc_id")), "jaccard-wanted")
     # the ids are broadcast below SMALL, else hashed a partition at a time: texts are never sorted
@@ -381,21 +386,133 @@ def links_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return materialize(verified(left, texts), "jaccard-links", 8)
 
 
-def apart(members: DataFrame, comp: DataFrame, few: bool) -> DataFrame:
-    """Pairs (a, b) of nodes that share a signature but no component: one of
-    them outside the signature's largest component, the other any member or
-    (``few``) one of about LEADS drawn by hash."""
-    tagged = materialize(members.join(comp, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("c")),
-                         "jaccard-tagged")
-    per = tagged.groupBy("sig", "c").agg(F.count("*").alias("k"))
-    main = (per.groupBy("sig").agg(F.max(F.struct("k", "c"))["c"].alias("main"), F.count("*").alias("n_c"), F.sum("k").alias("n"))
-            .where("n_c > 1").select("sig", "main", "n"))
-    mixed = tagged.join(main, "sig")
-    outside = mixed.where("c != main").select("sig", F.col("node").alias("x"), F.col("c").alias("cx"))
-    drawn = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53) < F.lit(LEADS) / F.col("n")
-    others = (mixed.where(drawn) if few else mixed).select("sig", F.col("node").alias("y"), F.col("c").alias("cy"))
-    return (outside.join(others, "sig").where("cx != cy")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+def mixed(members: DataFrame, comp: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The members (sig, node) of signatures whose nodes are in different
+    components: with their component, whether it is not the signature's largest
+    (``out``), their set size, and the count, set sizes and ``out`` members of
+    the signature."""
+    own = nodes.select("node", F.col("n").alias("size")).join(comp, "node", "left").select(
+        "node", "size", F.coalesce("component", "node").alias("c"))
+    own = F.broadcast(own) if nodes.count() <= SMALL else own
+    sig, each = Window.partitionBy("sig"), Window.partitionBy("sig", "c")
+    # dealt by signature once, which serves both windows
+    tagged = (members.join(own, "node").repartition("sig").withColumn("k", F.count("*").over(each))
+              .withColumn("main", F.max(F.struct("k", "c")).over(sig)["c"])
+              .withColumn("out", F.col("c") != F.col("main"))
+              .withColumn("n", F.count("*").over(sig)).withColumn("mass", F.sum("size").over(sig))
+              .withColumn("n_out", F.sum(F.col("out").cast("long")).over(sig)))
+    return materialize(tagged.where("n_out > 0").select("sig", "node", "c", "out", "size", "n", "mass", "n_out"), "jaccard-mixed")
+
+
+def apart(mix: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that share a signature of fewer than WIDE nodes but
+    no component, one of them outside the signature's largest."""
+    each = mix.where(F.col("n") < WIDE).groupBy("sig").agg(F.collect_list(F.struct("node", "c", "out")).alias("m"))
+    pairs = F.flatten(F.transform(F.filter("m", lambda x: x["out"]), lambda x: F.transform(
+        F.filter("m", lambda y: y["c"] != x["c"]),
+        lambda y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b")))))
+    return each.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.a", "p.b").distinct()
+
+
+def bounded(x: np.ndarray, y: np.ndarray, size: np.ndarray, sketch: list) -> np.ndarray:
+    """Which pairs (x, y) of rows their sketches leave possible: ``possible`` for many pairs of few sets."""
+    bins = np.array([len(v) for v in sketch])
+    width, ok = np.minimum(bins[x], bins[y]), np.zeros(len(x), bool)
+    for w in np.unique(width):
+        at = np.flatnonzero(width == w)
+        step = max(1, (1 << 22) // int(w))
+        for i in range(0, len(at), step):
+            part = at[i:i + step]
+            used, inv = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
+            raw = [np.frombuffer(sketch[r], np.uint8) for r in used]
+            full = np.array([v.max() == 255 for v in raw])                    # counts that may be any number
+            m = np.stack([v.reshape(-1, w).sum(0, dtype=np.uint32) for v in raw])
+            j, k = inv[:len(part)], inv[len(part):]
+            both = np.minimum(m[j], m[k]).sum(1, dtype=np.int64)
+            ok[part] = full[j] | full[k] | (7 * both >= 3 * (size[x[part]] + size[y[part]]))
+    return ok
+
+
+def met(mix: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
+    """The possible pairs (a, b) of nodes that share a signature of WIDE nodes
+    or more but no component, one of them outside the signature's largest, the
+    other any member or (``few``) one of about LEADS drawn by hash.  Members
+    meet in blocks inside tasks, so pairs that sketches rule out are never rows;
+    a pair of several signatures is told by the first that both carry."""
+    wide = mix.where(F.col("n") >= WIDE)
+    # each node's first signatures, enough to tell most pairs once
+    first = wide.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, CARRIED).alias("sigs"))
+    none = F.expr("CAST(array() AS array<long>)")
+    many = wide.join(nodes.select("node", "sketch", none.alias("sigs")) if few else
+                     nodes.select("node", "sketch").join(first, "node"), "node")
+
+    def blocks(count):
+        return F.greatest(F.ceil(count / F.lit(BLOCK)), F.ceil(F.col("mass") / F.lit(BLOCK_MASS))).cast("int")
+
+    y_n = F.lit(1) if few else blocks(F.col("n"))
+    x_n = blocks(F.col("n_out"))
+    drawn = F.shiftrightunsigned(F.xxhash64("node"), 11) / float(1 << 53) < F.lit(LEADS) / F.col("n") if few else F.lit(True)
+    cell = {k: F.pmod(F.xxhash64("node", F.lit(k)), v).cast("int") for k, v in (("i", x_n), ("j", y_n))}
+    every = {k: F.explode(F.sequence(F.lit(0), v - 1)) for k, v in (("i", x_n), ("j", y_n))}
+    body = ["node", "c", "out", "size", "sketch", "sigs"]
+    one = (x_n == 1) & (y_n == 1)                        # the only block: a member stands on both sides at once
+    side = F.when(F.col("out") & drawn, 1).when(F.col("out"), 0).otherwise(2)
+    zero = F.lit(0)
+    alone = many.where(one & (F.col("out") | drawn)).select("sig", zero.alias("i"), zero.alias("j"), side.alias("side"), *body)
+    xs = many.where(~one & F.col("out")).select("sig", cell["i"].alias("i"), every["j"].alias("j"), F.lit(0).alias("side"), *body)
+    ys = many.where(~one & drawn).select("sig", every["i"].alias("i"), cell["j"].alias("j"), F.lit(2).alias("side"), *body)
+
+    def tell(t: pa.Table):
+        """The pairs of a table of whole blocks."""
+        sig, i, j, side, node, c, out, size = (t.column(k).to_numpy() for k in range(8))
+        start = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        total = np.diff(np.append(start, len(sig)))
+        # a block's rows: first those of side x alone, then of both, then of y alone
+        nx, alone = (np.add.reduceat((side <= k).astype(np.int64), start) for k in (1, 0))
+        ny = total - alone
+        pairs = nx * ny
+        ends, a = np.cumsum(pairs), 0
+        while a < len(start):
+            b = max(a + 1, int(np.searchsorted(ends, ends[a] - pairs[a] + PAIRS, "right")))
+            of = np.repeat(np.arange(a, b), pairs[a:b])
+            pos = np.arange(len(of)) - np.repeat(ends[a:b] - pairs[a:b] - (ends[a] - pairs[a]), pairs[a:b])
+            x = start[of] + pos // ny[of]
+            y = start[of] + alone[of] + pos % ny[of]
+            ok = (c[x] != c[y]) & (4 * np.minimum(size[x], size[y]) >= 3 * np.maximum(size[x], size[y]))
+            if not few:
+                ok &= ~out[y] | (node[x] < node[y])              # else met as (y, x)
+            x, y, a = x[ok], y[ok], b
+            if not len(x):
+                continue
+            used, inv = np.unique(np.concatenate([x, y]), return_inverse=True)
+            ok = bounded(inv[:len(x)], inv[len(x):], size[used], t.column(8).take(pa.array(used)).to_pylist())
+            x, y, inv = x[ok], y[ok], np.concatenate([inv[:len(x)][ok], inv[len(x):][ok]])
+            if not few:                                          # drawn members differ by signature
+                sigs = [frozenset(v) for v in t.column(9).take(pa.array(used)).to_pylist()]
+                new = np.array([min(sigs[p] & sigs[q], default=s) >= s for p, q, s in
+                                zip(inv[:len(x)].tolist(), inv[len(x):].tolist(), sig[x].tolist(), strict=True)], bool)
+                x, y = x[new], y[new]
+            x, y = node[x], node[y]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            key = np.stack([t.column(k).to_numpy().astype(np.int64) for k in range(3)])
+            last = int(np.flatnonzero((key != key[:, -1:]).any(0))[-1]) + 1 if (key != key[:, -1:]).any() else 0
+            if last:
+                yield from tell(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None:
+            yield from tell(rest)
+        give_back()
+
+    return (alone.unionByName(xs).unionByName(ys).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "side")
+            .mapInArrow(run, "a long, b long").distinct())
 
 
 def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -429,20 +546,26 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text: str = "text", force:
     live = materialize(runs(index_entries(rows.where("doc_id IS NOT NULL"), "text", hot, zones)), "jaccard-runs", 8)
     release(docs.sparkSession)
     starred = live.where("lead IS NOT NULL").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    comp = materialize(components(links_of(starred, nodes, rows), "jaccard-cc"), "jaccard-comp")
+    left = materialize(possible(starred, nodes), "jaccard-possible")
+    release(docs.sparkSession)
+    comp = materialize(components(links_of(left, nodes, rows), "jaccard-cc"), "jaccard-comp")
     release(docs.sparkSession)
 
-    # signatures whose members are still in different components: those outside
-    # the largest component meet a few members drawn by hash first, which joins
-    # nearly all that link at all; what is still apart then meets every member
-    # of another component
-    members = live.select("sig", "node")
-    done = starred
-    for few in (True, False):
-        pairs = materialize(apart(members, comp, few).join(done, ["a", "b"], "left_anti"), "jaccard-apart")
-        release(docs.sparkSession)
-        comp = materialize(merged(comp, links_of(pairs, nodes, rows)), "jaccard-comp")
-        done = done.unionByName(pairs)
+    # signatures whose members are still in different components: in those of
+    # few nodes all members of different components meet; in the others those
+    # outside the largest component meet a few members drawn by hash first, which
+    # joins nearly all that link at all, and then every member still apart
+    mix = mixed(live.select("sig", "node"), comp, nodes)
+    release(docs.sparkSession)
+    near = possible(apart(mix).join(starred, ["a", "b"], "left_anti"), nodes)
+    left = materialize(near.unionByName(met(mix, nodes, True)).distinct(), "jaccard-possible", 8)
+    release(docs.sparkSession)
+    comp = materialize(merged(comp, links_of(left, nodes, rows)), "jaccard-comp")
+    mix = mixed(mix.where(F.col("n") >= WIDE).select("sig", "node"), comp, nodes)
+    release(docs.sparkSession)
+    left = materialize(met(mix, nodes, False).join(left, ["a", "b"], "left_anti"), "jaccard-possible", 8)
+    comp = materialize(merged(comp, links_of(left, nodes, rows)), "jaccard-comp")
+    release(docs.sparkSession)
 
     named = nodes.select("node", "rep").join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
