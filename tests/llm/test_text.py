@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,12 @@ def test_texts_reach_python_a_run_at_a_time(spark):
     rows = map_texts(docs, ["doc_id"], "text", lambda texts: [[sum(map(len, texts))] * len(texts)], {"n": "long"}).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(3000))
     assert max(r["n"] for r in rows) <= 4_000_000 + 5000
+
+
+def test_ids_of_a_slice_are_decoded_together(monkeypatch):
+    m, other = spm.Pieces(PIECES), spm.Pieces(PIECES)
+    texts = ["plain words and words", "", None, "漢 é\x07 \U0001f600x", " two  spaces ", "a\nb\tc", "é"]
+    monkeypatch.setattr(m, "spelled", lambda ids: pytest.fail("decoded unit by unit"))
+    for t, (best, back) in zip(texts, m.encode_all(texts, 3), strict=True):
+        assert back == other.decode(np.frombuffer(best[0][1], np.int32).tolist())
+        assert back == (t or "")

@@ -70,7 +70,10 @@ class Pieces:
         self.value_of_byte = {i: b for b, i in enumerate(self.byte)}
         # the same tree as sorted numbers: node * characters + character -> next node
         self.steps, self.cost, self.at = self._numbered()
-        self.cache: dict[str, tuple[float, bytes, float, str]] = {}
+        # what every id decodes to, one after another
+        self.raw = _Laid([bytes([self.value_of_byte[i]]) if i in self.value_of_byte else p.replace(MARK, " ").encode("utf-8")
+                          for i, p in enumerate(self.piece)])
+        self.cache: dict[str, tuple[float, bytes, float]] = {}
         self.alternatives: dict[tuple[str, int], list] = {}
 
     def _numbered(self) -> tuple[tuple, np.ndarray, np.ndarray]:
@@ -161,26 +164,26 @@ class Pieces:
             return
         of, ids, where = np.concatenate(of), np.concatenate(ids), np.concatenate(where)
         o = np.lexsort((where, of))
-        names, raw = ids[o].tolist(), ids[o].astype(np.int32).tobytes()
+        raw = ids[o].astype(np.int32).tobytes()
         edge = np.searchsorted(of[o], np.arange(n + 1)).tolist()
         loss, score = (np.where(good, score, 0) - np.where(good, other, 0)).tolist(), score.tolist()
         for t in np.flatnonzero(good).tolist():
             a, b = edge[t], edge[t + 1]
-            self.cache[units[t]] = (score[t], raw[4 * a:4 * b], loss[t], self.spelled(names[a:b]))
+            self.cache[units[t]] = (score[t], raw[4 * a:4 * b], loss[t])
 
     def cuts(self, unit: str) -> list[int]:
         """Places whose two characters stand together in no piece."""
         pairs = self.pairs
         return [k for k, c in enumerate(map(add, unit, unit[1:]), 1) if c not in pairs]
 
-    def joined(self, parts: list[str]) -> tuple[float, bytes, float, str]:
+    def joined(self, parts: list[str]) -> tuple[float, bytes, float]:
         """What is known of the unit that the parts make up."""
-        score, ids, loss, back = zip(*[self.cache[u] for u in parts], strict=True)
-        return sum(score), b"".join(ids), min(loss), "".join(back)
+        score, ids, loss = zip(*[self.cache[u] for u in parts], strict=True)
+        return sum(score), b"".join(ids), min(loss)
 
-    def best_two(self, unit: str) -> tuple[float, bytes, float, str]:
-        """(best score, its ids, loss of the second segmentation, the ids
-        decoded) of a unit: forward Viterbi with the two best scores of every place."""
+    def best_two(self, unit: str) -> tuple[float, bytes, float]:
+        """(best score, its ids, loss of the second segmentation) of a unit:
+        forward Viterbi with the two best scores of every place."""
         tree, size = self.tree, len(unit)
         low = float("-inf")
         one, two, back = [0.0] + [low] * size, [low] * (size + 1), [None] * (size + 1)
@@ -211,7 +214,7 @@ class Pieces:
                     two[i + 1] = v
         if two[size] == one[size]:                       # a tie: the search decides
             ids = self.n_best(unit, 1)[0][1]
-            return one[size], array("i", ids).tobytes(), 0.0, self.spelled(ids)
+            return one[size], array("i", ids).tobytes(), 0.0
         ids, j = [], size
         while j:
             i, piece = back[j]
@@ -221,7 +224,7 @@ class Pieces:
                 ids.append(piece)
             j = i
         ids.reverse()
-        return one[size], array("i", ids).tobytes(), one[size] - two[size], self.spelled(ids)
+        return one[size], array("i", ids).tobytes(), one[size] - two[size]
 
     def edges(self, unit: str) -> list[list[tuple[int, float, tuple]]]:
         """Per end place: (start, score, ids) of every piece that ends there."""
@@ -275,21 +278,25 @@ class Pieces:
         if not number:
             yield from [([(0.0, b"")], "")] * len(units)
             return
-        score, ids, loss, back = zip(*map(self.cache.__getitem__, number), strict=True)
+        score, ids, loss = zip(*map(self.cache.__getitem__, number), strict=True)
         every = list(itertools.chain.from_iterable(units))
         at = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
         score, loss = np.array(score, float)[at].tolist(), np.array(loss, float)[at]
-        ids, id_end = _laid_out(ids, at)
-        back, back_end = _laid_out([b.encode("utf-8", "surrogatepass") for b in back], at)
+        ids, id_end = _Laid(ids).take(at)
+        # the ids of the slice are decoded together; bytes of a character never stand in two texts
+        back, back_end = self.raw.take(np.frombuffer(ids, np.int32))
+        edge = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+        back_end = back_end[id_end[edge] // 4].tolist()
+        id_end = id_end.tolist()
         b = 0
-        for mine in units:
+        for t, mine in enumerate(units):
             a, b = b, b + len(mine)
             if not mine:
                 yield [(0.0, b"")], ""
                 continue
             zero = id_end[a]
             base, first = sum(score[a:b]), ids[zero:id_end[b]]
-            spelled = back[back_end[a]:back_end[b]].decode("utf-8", "surrogatepass").removeprefix(" ")
+            spelled = back[back_end[t]:back_end[t + 1]].decode("utf-8", "replace").removeprefix(" ")
             out = [(base, first)]
             # only the units of least loss can change within the n best
             least = np.argsort(loss[a:b], kind="stable")[:n - 1]
@@ -344,13 +351,20 @@ class Pieces:
         return "".join(out).replace(MARK, " ")
 
 
-def _laid_out(known: list[bytes], at: np.ndarray) -> tuple[bytes, list[int]]:
-    """``known[at]`` one after another, and where each begins and the last ends."""
-    size = np.array([len(v) for v in known], np.int64)
-    first, many = (np.cumsum(size) - size)[at], size[at]
-    end = np.cumsum(many)
-    pos = np.repeat(first - (end - many), many) + np.arange(end[-1])
-    return np.frombuffer(b"".join(known), np.uint8)[pos].tobytes(), [0, *end.tolist()]
+class _Laid:
+    """Strings of bytes one after another, taken by number."""
+
+    def __init__(self, known):
+        self.size = np.array([len(v) for v in known], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.bytes = np.frombuffer(b"".join(known), np.uint8)
+
+    def take(self, at: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """``known[at]`` joined, and where each begins and the last ends."""
+        first, many = self.first[at], self.size[at]
+        end = np.cumsum(many)
+        pos = np.repeat(first - (end - many), many) + np.arange(end[-1] if len(end) else 0)
+        return self.bytes[pos].tobytes(), np.concatenate([[0], end])
 
 
 _MODELS: dict = {}
