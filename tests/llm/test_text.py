@@ -263,3 +263,19 @@ def test_ids_of_a_slice_are_decoded_together(monkeypatch):
     for t, (best, back) in zip(texts, m.encode_all(texts, 3), strict=True):
         assert back == other.decode(np.frombuffer(best[0][1], np.int32).tolist())
         assert back == (t or "")
+
+
+def test_units_of_a_slice_are_found_and_cut_together(monkeypatch):
+    m, other = spm.Pieces(PIECES), spm.Pieces(PIECES)
+    texts = ["plain words and words", "", None, "漢 é\x07 \U0001f600x", "▁▁a ▁b▁", "a\nb\tc", "­", "x9q#zz漢k " * 3, "qqqq"]
+    want = [other.units(t) if t else [] for t in texts]
+    best = [other.encode(t, 3) for t in texts]
+    monkeypatch.setattr(m, "units", lambda t: pytest.fail("units found text by text"))
+    known, at, edge = m._distinct_units(texts)
+    assert [[known[i] for i in at[a:b]] for a, b in zip(edge, edge[1:], strict=False)] == want
+    assert len(set(known)) == len(known)
+    got = [[(s, list(memoryview(i).cast("i"))) for s, i in b] for b, _ in m.encode_all(texts, 3)]
+    assert got == best
+    for u in {u for v in want for u in v}:
+        score, ids, loss = m.cache[u]
+        assert (score, loss) == pytest.approx(m.best_two(u)[::2]) and ids == m.best_two(u)[1]

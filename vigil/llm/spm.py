@@ -22,13 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
 import re
 from array import array
 from bisect import bisect_right
-from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from vigil.llm.common import map_texts, slices
@@ -65,7 +64,6 @@ class Pieces:
             for c in p[:-1]:
                 at = at.setdefault(c, ({}, None, -1))[0]
             at[p[-1]] = ({}, *self.score[p])
-        self.pairs = {p[k:k + 2] for p in self.score for k in range(len(p) - 1)}
         self.splits = all(MARK not in p.lstrip(MARK) for p in self.score)
         self.value_of_byte = {i: b for b, i in enumerate(self.byte)}
         # the same tree as sorted numbers: node * characters + character -> next node
@@ -73,7 +71,7 @@ class Pieces:
         # what every id decodes to, one after another
         self.raw = _Laid([bytes([self.value_of_byte[i]]) if i in self.value_of_byte else p.replace(MARK, " ").encode("utf-8")
                           for i, p in enumerate(self.piece)])
-        self.cache: dict[str, tuple[float, bytes, float]] = {}
+        self.cache = _Learned()
         self.alternatives: dict[tuple[str, int], list] = {}
 
     def _numbered(self) -> tuple[tuple, np.ndarray, np.ndarray]:
@@ -83,6 +81,9 @@ class Pieces:
         self.letter[[ord(c) for c in chars]] = np.arange(len(chars))
         moves, ends, cost, at, todo = [], [], [np.nan], [-1], [(0, self.tree)]
         self.letters = len(chars) + 1
+        # characters that stand together in a piece, as sorted numbers
+        self.pairs = np.array(sorted({int(self.letter[ord(a)]) * self.letters + int(self.letter[ord(b)])
+                                      for p in self.score for a, b in zip(p, p[1:], strict=False)}) or [-1], np.int64)
         while todo:
             node, kids = todo.pop()
             for c, (further, score, piece) in kids.items():
@@ -94,19 +95,28 @@ class Pieces:
         o = np.argsort(moves)
         return (np.array(moves, np.int64)[o], np.array(ends, np.int64)[o]), np.array(cost), np.array(at, np.int64)
 
-    def prepare(self, units: set) -> None:
-        """Learn new units together: the Viterbi steps of units of like length
-        run as arrays, but for rare ones (very long, with unknown characters, with a
-        tie).  A unit is learned from the parts between its cuts."""
-        new, whole = set(), []
-        for u in units.difference(self.cache):
-            cuts = self.cuts(u)
-            if cuts:
-                whole.append((u, [u[i:j] for i, j in zip([0, *cuts], [*cuts, len(u)], strict=True)]))
-                new.update(whole[-1][1])
-            else:
-                new.add(u)
-        rest = sorted(new.difference(self.cache), key=len)
+    def prepare(self, units) -> None:
+        """Learn new units (each once) together: the Viterbi steps of units of like
+        length run as arrays, but for rare ones (very long, with unknown characters,
+        with a tie).  A unit is learned from the parts between its cuts: places
+        whose two characters stand together in no piece."""
+        new = [u for u in units if u not in self.cache.number]
+        if not new:
+            return
+        text = "".join(new)
+        code = self.letter[_codes(text)].astype(np.int64)
+        end = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)))
+        pair = code[:-1] * self.letters + code[1:]
+        cut = np.ones(len(code), bool)
+        cut[1:] = self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] != pair
+        cut[end[:-1][end[:-1] < len(code)]] = True
+        first = np.flatnonzero(cut)
+        of = np.searchsorted(end, first, "right")
+        many = np.bincount(of, minlength=len(new))
+        shared = many[of] > 1
+        parts = [text[i:j] for i, j in zip(first[shared].tolist(), np.append(first[1:], len(code))[shared].tolist(), strict=True)]
+        single = np.flatnonzero(many <= 1).tolist()
+        rest = sorted((u for u in {*parts, *map(new.__getitem__, single)} if u not in self.cache), key=len)
         sizes, low = [len(u) for u in rest], 0
         for top in (4, 8, 16, 32, 64):
             high = bisect_right(sizes, top)
@@ -115,16 +125,31 @@ class Pieces:
             low = high
         for u in rest:
             if u not in self.cache:
-                self.cache[u] = self.best_two(u)
-        for u, parts in whole:
-            self.cache[u] = self.joined(parts)
+                score, ids, loss = self.best_two(u)
+                self.cache.add([u], [score], np.frombuffer(ids, np.int32), [len(ids) // 4], [loss])
+        if parts:
+            self._joined([new[k] for k in np.flatnonzero(many > 1).tolist()], parts, many[many > 1])
+
+    def _joined(self, units: list, parts: list, many: np.ndarray) -> None:
+        """Learn units from their parts, ``many`` of each."""
+        at = self.cache.numbers(parts)
+        # a unit may be a part of another one
+        fresh = np.array([u not in self.cache for u in units], bool)
+        at, many, units = at[np.repeat(fresh, many)], many[fresh], [u for u, f in zip(units, fresh.tolist(), strict=True) if f]
+        if not units:
+            return
+        end = np.cumsum(many)
+        score, ends = self.cache.score.all()[at].tolist(), end.tolist()
+        ids, edge = self.cache.take(at)
+        self.cache.add(units, [sum(score[a:b]) for a, b in zip([0, *ends], ends, strict=False)], ids,
+                       np.diff(edge[np.append(0, end)]), np.minimum.reduceat(self.cache.loss.all()[at], end - many))
 
     def _together(self, units: list) -> None:
         moves, ends = self.steps
         size = np.array([len(u) for u in units])
         n, width = len(units), int(size.max())
         text = np.full((n, width), self.letters - 1, np.int32)
-        text[np.arange(width) < size[:, None]] = self.letter[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        text[np.arange(width) < size[:, None]] = self.letter[_codes("".join(units))]
         one, two = np.full((width + 1, n), -np.inf), np.full((width + 1, n), -np.inf)
         start, piece = np.zeros((width + 1, n), np.int32), np.full((width + 1, n), -1, np.int32)
         one[0] = 0.0
@@ -164,22 +189,8 @@ class Pieces:
             return
         of, ids, where = np.concatenate(of), np.concatenate(ids), np.concatenate(where)
         o = np.lexsort((where, of))
-        raw = ids[o].astype(np.int32).tobytes()
-        edge = np.searchsorted(of[o], np.arange(n + 1)).tolist()
-        loss, score = (np.where(good, score, 0) - np.where(good, other, 0)).tolist(), score.tolist()
-        for t in np.flatnonzero(good).tolist():
-            a, b = edge[t], edge[t + 1]
-            self.cache[units[t]] = (score[t], raw[4 * a:4 * b], loss[t])
-
-    def cuts(self, unit: str) -> list[int]:
-        """Places whose two characters stand together in no piece."""
-        pairs = self.pairs
-        return [k for k, c in enumerate(map(add, unit, unit[1:]), 1) if c not in pairs]
-
-    def joined(self, parts: list[str]) -> tuple[float, bytes, float]:
-        """What is known of the unit that the parts make up."""
-        score, ids, loss = zip(*[self.cache[u] for u in parts], strict=True)
-        return sum(score), b"".join(ids), min(loss)
+        t = np.flatnonzero(good)
+        self.cache.add([units[k] for k in t.tolist()], score[t], ids[o], np.bincount(of, minlength=n)[t], score[t] - other[t])
 
     def best_two(self, unit: str) -> tuple[float, bytes, float]:
         """(best score, its ids, loss of the second segmentation) of a unit:
@@ -269,29 +280,46 @@ class Pieces:
         for part in slices(texts, SLICE):
             if len(self.cache) > CACHE:
                 self.cache.clear()
-            units = [self.units(t) if t else [] for t in texts[part]]
-            known = set().union(*units)
+            known, at, edge = self._distinct_units(texts[part])
             self.prepare(known)
-            yield from self._assembled(units, {u: k for k, u in enumerate(known)}, n)
-
-    def _assembled(self, units: list[list[str]], number: dict[str, int], n: int):
-        if not number:
-            yield from [([(0.0, b"")], "")] * len(units)
+            yield from self._assembled(known, at, edge, n)
+
+    def _distinct_units(self, texts: list) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct units, number of every unit of the texts in order, where the
+        units of each text begin and those of the last end): ``units`` of all at once."""
+        norm = [self.sp.normalize(t).encode("utf-8") if t else b"" for t in texts]
+        raw = b"".join(norm)
+        first = np.concatenate([[0], np.cumsum([len(t) for t in norm], dtype=np.int64)])
+        begins = np.zeros(len(raw) + 1, bool)
+        if self.splits:
+            buf = np.frombuffer(raw, np.uint8)
+            a, b, c = MARK.encode("utf-8")
+            at = np.flatnonzero(buf[:-2] == a)
+            at = at[(buf[at + 1] == b) & (buf[at + 2] == c)]
+            after = np.zeros(len(raw) + 1, bool)             # behind a mark
+            after[at + 3] = True
+            begins[at[~after[at]]] = True
+        begins[first] = True
+        begins[-1] = False
+        start = np.flatnonzero(begins)
+        coded = pa.LargeStringArray.from_buffers(
+            len(start), pa.py_buffer(np.append(start, len(raw)).astype(np.int64)), pa.py_buffer(raw)).dictionary_encode()
+        return coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(start, first)
+
+    def _assembled(self, known: list[str], at: np.ndarray, edge: np.ndarray, n: int):
+        if not known:
+            yield from [([(0.0, b"")], "")] * (len(edge) - 1)
             return
-        score, ids, loss = zip(*map(self.cache.__getitem__, number), strict=True)
-        every = list(itertools.chain.from_iterable(units))
-        at = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
-        score, loss = np.array(score, float)[at].tolist(), np.array(loss, float)[at]
-        ids, id_end = _Laid(ids).take(at)
+        number = self.cache.numbers(known)[at]
+        score, loss = self.cache.score.all()[number].tolist(), self.cache.loss.all()[number]
+        ids, id_end = self.cache.take(number)
         # the ids of the slice are decoded together; bytes of a character never stand in two texts
-        back, back_end = self.raw.take(np.frombuffer(ids, np.int32))
-        edge = np.concatenate([[0], np.cumsum([len(u) for u in units])])
-        back_end = back_end[id_end[edge] // 4].tolist()
-        id_end = id_end.tolist()
-        b = 0
-        for t, mine in enumerate(units):
-            a, b = b, b + len(mine)
-            if not mine:
+        back, back_end = self.raw.take(ids)
+        back, ids = back.tobytes(), ids.tobytes()
+        back_end = back_end[id_end[edge]].tolist()
+        id_end, edge = (4 * id_end).tolist(), edge.tolist()
+        for t, (a, b) in enumerate(zip(edge, edge[1:], strict=False)):
+            if a == b:
                 yield [(0.0, b"")], ""
                 continue
             zero = id_end[a]
@@ -301,7 +329,7 @@ class Pieces:
             # only the units of least loss can change within the n best
             least = np.argsort(loss[a:b], kind="stable")[:n - 1]
             where = np.sort(least[loss[a:b][least] < np.inf]).tolist()
-            choices = [self.choices(mine[k], n) for k in where]
+            choices = [self.choices(known[at[a + k]], n) for k in where]
             # best first over the choices of these units; each state is reached from one other only
             heap = [(0.0, (0,) * len(where), 0)]
             chosen = []
@@ -351,6 +379,17 @@ class Pieces:
         return "".join(out).replace(MARK, " ")
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _taken(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values`` one after another, and where each begins and the last ends."""
+    end = np.cumsum(size)
+    pos = np.repeat(first - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+    return values[pos], np.concatenate([[0], end])
+
+
 class _Laid:
     """Strings of bytes one after another, taken by number."""
 
@@ -359,12 +398,63 @@ class _Laid:
         self.first = np.cumsum(self.size) - self.size
         self.bytes = np.frombuffer(b"".join(known), np.uint8)
 
-    def take(self, at: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """``known[at]`` joined, and where each begins and the last ends."""
-        first, many = self.first[at], self.size[at]
-        end = np.cumsum(many)
-        pos = np.repeat(first - (end - many), many) + np.arange(end[-1] if len(end) else 0)
-        return self.bytes[pos].tobytes(), np.concatenate([[0], end])
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _taken(self.bytes, self.first[at], self.size[at])
+
+
+class _Grown:
+    """An array that values are added to."""
+
+    def __init__(self, kind):
+        self.values, self.n = np.empty(1024, kind), 0
+
+    def add(self, new) -> None:
+        n = self.n + len(new)
+        if n > len(self.values):
+            self.values = np.concatenate([self.values[:self.n], np.empty(max(n, 1024), self.values.dtype)])
+        self.values[self.n:n] = new
+        self.n = n
+
+    def all(self) -> np.ndarray:
+        return self.values[:self.n]
+
+
+class _Learned:
+    """What is known of units: (best score, its ids, loss of the second
+    segmentation), by unit or, as arrays, by number."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.score, self.loss = _Grown(float), _Grown(float)
+        self.first, self.size, self.ids = _Grown(np.int64), _Grown(np.int64), _Grown(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.number)
+
+    def __contains__(self, unit: str) -> bool:
+        return unit in self.number
+
+    def __getitem__(self, unit: str) -> tuple[float, bytes, float]:
+        k = self.number[unit]
+        a, n = self.first.values[k], self.size.values[k]
+        return float(self.score.values[k]), self.ids.values[a:a + n].tobytes(), float(self.loss.values[k])
+
+    def add(self, units: list, score, ids: np.ndarray, size, loss) -> None:
+        """Further units, ``size`` ids of each one after another."""
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+        self.first.add(self.ids.n + np.cumsum(size) - size)
+        for to, new in ((self.score, score), (self.loss, loss), (self.size, size), (self.ids, ids)):
+            to.add(new)
+
+    def numbers(self, units: list) -> np.ndarray:
+        return np.fromiter(map(self.number.__getitem__, units), np.int64, len(units))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these, joined, and where each begins and the last ends."""
+        return _taken(self.ids.all(), self.first.values[at], self.size.values[at])
 
 
 _MODELS: dict = {}
