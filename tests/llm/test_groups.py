@@ -178,6 +178,34 @@ def test_search_recall_and_scores(spark):
     assert ann.nearest(df.limit(0), lambda i: i % 20 == 0, 20).count() == 0
 
 
+def test_vectors_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    monkeypatch.setattr(ann, "ROWS", 512)                       # many cells
+    monkeypatch.setattr(ann, "LOAD", 64)
+    rng = np.random.default_rng(9)
+    n, width = 600, 4
+    x = rng.normal(size=(n, 8)).astype(np.float32)
+    # every list holds node 0, others are drawn
+    lists = [(i, [0 if i else 1, *(int(v) for v in rng.choice([j for j in range(2, n) if j != i], width - 1, False))]) for i in range(n)]
+    graph = spark.createDataFrame([(i, [(0.0, v) for v in far]) for i, far in lists], f"t long, near {ann.LIST}")
+    store = spark.createDataFrame([(i, x[i].tobytes()) for i in range(n)], "node long, h binary")
+    own = store.selectExpr("node", "h", "CAST('inf' AS double) AS bar")
+    via = spark.createDataFrame(lists, "u long, via array<long>")
+    packs = ann.packs_of(graph, own, width)
+    args = (via, own.withColumnRenamed("node", "u"), packs, n * width)
+    left, right = (v.toPandas() for v in ann.dealt(*args))
+    assert len(left) == n * width and sorted(left["u"]) == sorted(list(range(n)) * width)      # however many cells
+    assert len(right) <= n + n * width // 64                    # a node that all list stands in a few cells
+    assert left[left["w"] == 0].groupby("cell").size().max() < 3 * 64
+    got = {r["t"]: [(e["d"], e["v"]) for e in r["near"]] for r in ann.best(ann.evaluate(*args, n, both=False), n).collect()}
+    far = dict(lists)
+    x = x.astype(np.float64)
+    for u in range(n):
+        c = {v for w in far[u] for v in far[w]} - {u}
+        assert sorted(v for _, v in got.get(u, [])) == sorted(c)
+        assert got.get(u, []) == sorted(got.get(u, []))
+        assert all(abs(-d - x[u] @ x[v]) < 1e-9 for d, v in got.get(u, []))
+
+
 def test_search_in_groups_of_copies(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(1400, 16))

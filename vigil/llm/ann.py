@@ -2,17 +2,19 @@
 
 The neighbour graph starts from exact neighbours inside overlapping clusters
 and is improved by NN-descent: each round joins the graph with itself
-(neighbours of neighbours), evaluates the new pairs in the block that holds
-the candidate's vector, lets each pair improve both its ends, and keeps the
-``DEGREE`` best of every node.  It ends when few lists change.
+(neighbours of neighbours), evaluates the pairs at their common neighbour, whose
+row holds the vectors of its own neighbours, lets each pair improve both its
+ends, and keeps the ``DEGREE`` best of every node.  So a node's vector is sent a
+fixed number of times a round; a node that very many others list is dealt out in
+parts.  It ends when few lists change.
 
 Queries run a greedy beam search over the graph, also as joins: every round
 expands the ``EXPAND`` best unexpanded nodes of each beam until the beam holds
 none.
 
 Equal vectors are one node, named by their smallest id, with the k + 1
-smallest ids of the group: no result needs more.  Nodes are dealt to blocks by
-a hash, so a cluster spreads over all blocks; vectors travel as the single
+smallest ids of the group: no result needs more.  Nodes are dealt to cells by
+a hash, so a cluster spreads over all cells; vectors travel as the single
 precision values they are and every score is their inner product in double
 precision.  All lists are ordered by score descending, then id ascending.
 
@@ -28,29 +30,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vigil.llm.common import materialize, mix
+from vigil.llm.common import materialize
 from vigil.llm.neardup import centres_of, deal, unit, usable
 
 DEGREE = 24           # neighbours kept of a node
 HOP = 16              # neighbours a node offers to a neighbour in a round
 ROUNDS = 6            # rounds of descent, at most
 CHANGED = 0.02        # share of new list entries below which descent ends
-BLOCK = 4096          # nodes of a block, about
+ROWS = 1 << 15        # (node, common neighbour) rows of a cell, about
+LOAD = ROWS // 8      # rows of one common neighbour in a cell, about
 BEAM, EXPAND = 256, 48
 STARTS = 1024         # start nodes, at most
 
 LIST = "array<struct<d:double,v:bigint>>"     # d = -score, so that ascending order is the best first
 
 
-def block_of(ids: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(np.asarray(ids, np.int64).view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
-
-
 def _bytes(x: np.ndarray) -> list:
     return [v.tobytes() for v in x.astype(np.float32)]
 
@@ -59,23 +57,25 @@ def _vectors(column) -> np.ndarray:
     return np.stack([np.frombuffer(b, np.float32) for b in column]).astype(np.float64)
 
 
-def packed(vectors: DataFrame, blocks: int) -> DataFrame:
-    """(node, block, h binary) of (node, embedding)."""
+def packed(vectors: DataFrame) -> DataFrame:
+    """(node, h binary) of (node, embedding)."""
     def run(batches):
         for pdf in batches:
             if len(pdf):
                 h = _bytes(np.stack([np.asarray(v, np.float64) for v in pdf["embedding"]]))
-                yield pd.DataFrame({"node": pdf["node"], "block": block_of(pdf["node"].to_numpy(), blocks), "h": h})
+                yield pd.DataFrame({"node": pdf["node"], "h": h})
 
-    return vectors.select("node", "embedding").mapInPandas(run, "node long, block int, h binary")
+    return vectors.select("node", "embedding").mapInPandas(run, "node long, h binary")
 
 
 def _top(target: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, list]:
-    """The k best (score, other) of every target: (targets, lists)."""
+    """The k best different (score, other) of every target: (targets, lists)."""
     if not len(target):
         return target, []
     o = np.lexsort((other, -s, target))
     target, other, s = target[o], other[o], s[o]
+    new = np.append(True, (target[1:] != target[:-1]) | (other[1:] != other[:-1]))
+    target, other, s = target[new], other[new], s[new]
     first = np.flatnonzero(np.diff(target, prepend=target[0] - 1))
     rank = np.arange(len(target)) - np.repeat(first, np.diff(np.append(first, len(target))))
     keep = rank < k
@@ -86,59 +86,83 @@ def _top(target: np.ndarray, other: np.ndarray, s: np.ndarray, k: int) -> tuple[
                            for i, j in zip(first, ends, strict=True)]
 
 
-def evaluate(asked: DataFrame, store: DataFrame, blocks: int, k: int, both: bool) -> DataFrame:
-    """Scores of the pairs (u, each of cand), each computed in the block of the
-    candidate: (t, near) lists of the k best per block.  ``asked`` has (u, h,
-    cand); with ``both`` the pairs count for their candidates, too."""
-    def split(batches):
-        for b in batches:
-            cand = b.column(2)
-            flat = cand.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            of = np.repeat(np.arange(b.num_rows), np.diff(cand.offsets.to_numpy()))
-            to = block_of(flat, blocks)
-            o = np.lexsort((of, to))
-            flat, of, to = flat[o], of[o], to[o]
-            if not len(flat):
-                continue
-            first = np.flatnonzero(np.diff(of.astype(np.int64) + to.astype(np.int64) * b.num_rows, prepend=-1))
-            rows = pa.array(of[first])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to[first]), b.column(0).take(rows), b.column(1).take(rows),
-                 pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)).astype(np.int32)), pa.array(flat))],
-                names=["block", "u", "h", "cand"])
+def bar(near, k: int):
+    """What an entry must not exceed to enter a list (its k-th, if it is full)."""
+    return F.when(F.size(near) >= k, F.element_at(near, k)["d"]).otherwise(F.lit(float("inf")))
+
+
+def packs_of(graph: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """(w, far, hs, bars): every node's first ``width`` neighbours with their
+    vectors and bars, from ``own`` (node, h, bar)."""
+    rows = graph.select(F.col("t").alias("w"), F.explode(F.slice("near", 1, width)).alias("e")).select("w", F.col("e.v").alias("node"))
+    return (rows.join(own, "node").groupBy("w").agg(F.collect_list(F.struct("node", "h", "bar")).alias("m"))
+            .select("w", F.col("m.node").alias("far"), F.col("m.h").alias("hs"), F.col("m.bar").alias("bars")))
+
 
+def dealt(lists: DataFrame, own: DataFrame, packs: DataFrame, edges: int) -> tuple[DataFrame, DataFrame]:
+    """The rows (cell, u, h, bar, w), one for every w of ``lists`` (u, via), with
+    what ``own`` (u, h, bar) says of u, and the rows of ``packs`` in the cells that
+    ask for them.  A w of very many rows is dealt to several cells."""
+    cells = max(1, -(-edges // ROWS))
+
+    def cell(part):
+        return F.pmod(F.xxhash64("w", part.cast("int")), F.lit(cells)).cast("int").alias("cell")
+
+    parts = (lists.select(F.explode("via").alias("w")).groupBy("w")
+             .agg(F.ceil(F.count("*") / F.lit(LOAD)).cast("int").alias("parts")))
+    # at most edges / LOAD rows
+    hubs = F.broadcast(parts.where("parts > 1"))
+    left = (lists.join(own, "u").select("u", "h", "bar", F.explode("via").alias("w")).join(hubs, "w", "left")
+            .select(cell(F.pmod(F.xxhash64("u"), F.coalesce("parts", F.lit(1)))), "u", "h", "bar", "w"))
+    right = (packs.join(parts, "w").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select(cell(F.col("part")), "w", "far", "hs", "bars"))
+    return left, right
+
+
+def evaluate(lists: DataFrame, own: DataFrame, packs: DataFrame, edges: int, k: int, both: bool) -> DataFrame:
+    """Scores of the pairs (u, each neighbour of each of its ``via``), computed
+    where the common neighbour's pack is: (t, near) lists of the k best per cell,
+    without entries that the bar of t rules out.  With ``both`` the pairs count
+    for the neighbours, too."""
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"t": pd.Series([], dtype="int64"), "near": pd.Series([], dtype=object)})
-        right = right.sort_values("node")
-        ids, vec = right["node"].to_numpy(), _vectors(right["h"])
-        u, uvec = left["u"].to_numpy(), _vectors(left["h"])
-        size = np.array([len(c) for c in left["cand"]])
-        cand = np.concatenate(left["cand"].to_list())
-        row = np.repeat(np.arange(len(u)), size)
-        at = np.searchsorted(ids, cand)
-        at[at == len(ids)] = 0
-        ok = ids[at] == cand
-        row, at = row[ok], at[ok]
-        s = np.empty(len(row))
-        for i in range(0, len(row), 1 << 16):
-            r, a = row[i:i + (1 << 16)], at[i:i + (1 << 16)]
-            s[i:i + (1 << 16)] = np.einsum("ij,ij->i", uvec[r], vec[a])
-        t, near = _top(u[row], ids[at], s, k)
-        if both:
-            t2, near2 = _top(ids[at], u[row], s, k)
-            t, near = np.concatenate([t, t2]), near + near2
-        return pd.DataFrame({"t": t, "near": pd.Series(near, dtype=object)})
-
-    rows = asked.select("u", "h", "cand").mapInArrow(
-        split, "block int, u long, h binary, cand array<long>")
-    return rows.groupBy("block").cogroup(store.groupBy("block")).applyInPandas(score, f"t long, near {LIST}")
+        right = right.sort_values("w")
+        ids, size = right["w"].to_numpy(), np.array([len(v) for v in right["far"]])
+        begin = np.cumsum(size) - size
+        far, bars = np.concatenate(right["far"].to_list()), np.concatenate(right["bars"].to_list())
+        vec = np.frombuffer(b"".join(h for hs in right["hs"] for h in hs), np.float32).reshape(len(far), -1).astype(np.float64)
+        left = left[np.isin(left["w"].to_numpy(), ids)]
+        u, limit = left["u"].to_numpy(), left["bar"].to_numpy()
+        at = np.searchsorted(ids, left["w"].to_numpy())
+        mine, yours = [], []
+        for i in range(0, len(u), 4096):
+            a, many = at[i:i + 4096], size[at[i:i + 4096]]
+            uvec = _vectors(left["h"].iloc[i:i + 4096])
+            row = np.repeat(np.arange(len(a)), many)
+            col = np.arange(len(row)) + np.repeat(begin[a] - (np.cumsum(many) - many), many)
+            x, y = u[i + row], far[col]
+            s = np.einsum("ij,ij->i", uvec[row], vec[col])
+            for out, to, of, most in ((mine, x, y, limit[i + row]), (yours, y, x, bars[col]))[:1 + both]:
+                ok = (x != y) & (-s <= most)
+                out.append((to[ok], of[ok], s[ok]))
+        t, near = [], []
+        for some in (mine, yours)[:1 + both]:
+            if some:
+                to, found = _top(*(np.concatenate(v) for v in zip(*some, strict=True)), k)
+                t.append(to)
+                near += found
+        return pd.DataFrame({"t": np.concatenate(t) if t else np.zeros(0, np.int64), "near": pd.Series(near, dtype=object)})
+
+    left, right = dealt(lists, own, packs, edges)
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInPandas(score, f"t long, near {LIST}")
 
 
 def best(lists: DataFrame, k: int) -> DataFrame:
-    """The k best entries of every t over all its lists."""
-    near = F.array_distinct(F.flatten(F.collect_list("near")))
-    return lists.groupBy("t").agg(F.slice(F.sort_array(near), 1, k).alias("near"))
+    """The k best different entries of every t over all its lists."""
+    every = lists.groupBy("t").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
+    new = F.filter("near", lambda e, i: (i == 0) | (e != F.get("near", i - 1)))
+    return every.select("t", F.slice(new, 1, k).alias("near"))
 
 
 def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
@@ -164,26 +188,20 @@ def start_graph(nodes: DataFrame, degree: int) -> DataFrame:
     return best(members.groupBy("shard", "block").applyInPandas(inside, f"t long, near {LIST}"), degree)
 
 
-def descend(nodes: DataFrame, store: DataFrame, blocks: int, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
+def descend(nodes: DataFrame, store: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
     """NN-descent: (t, near) of every node."""
     graph = materialize(start_graph(nodes, degree), "ann-graph")
-    total = graph.count() * degree
+    many = graph.count()
     for _ in range(rounds):
-        ids = graph.select("t", F.transform(F.slice("near", 1, HOP), lambda x: x["v"]).alias("ids"))
-        hops = (ids.select(F.col("t").alias("u"), F.explode("ids").alias("w"))
-                .join(ids.select(F.col("t").alias("w"), F.col("ids").alias("far")), "w"))
-        far = hops.groupBy("u").agg(F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
-        asked = (far.join(graph.select(F.col("t").alias("u"), "near"), "u")
-                 .select("u", F.array_except(F.array_except("far", F.transform("near", lambda x: x["v"])),
-                                             F.array("u")).alias("cand"))
-                 .join(store.select(F.col("node").alias("u"), "h"), "u"))
-        found = evaluate(asked, store, blocks, degree, both=True)
+        own = store.join(graph.select(F.col("t").alias("node"), bar(F.col("near"), degree).alias("bar")), "node")
+        lists = graph.select(F.col("t").alias("u"), F.transform(F.slice("near", 1, HOP), lambda x: x["v"]).alias("via"))
+        found = evaluate(lists, own.withColumnRenamed("node", "u"), packs_of(graph, own, HOP), many * HOP, degree, both=True)
         old = graph.select("t", "near")
         new = materialize(best(old.unionByName(found), degree), "ann-graph")
         changed = (new.join(old.select("t", F.col("near").alias("before")), "t")
                    .agg(F.sum(F.size(F.array_except("near", "before")))).first()[0] or 0)
         graph = new
-        if changed <= CHANGED * total:
+        if changed <= CHANGED * many * degree:
             break
     return graph
 
@@ -203,7 +221,7 @@ def start_nodes(nodes: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return ids[near], x[near]
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFrame, blocks: int, k: int,
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFrame, k: int,
            beam: int = BEAM, expand: int = EXPAND) -> DataFrame:
     """(q, near) with the k best nodes found for every query (node, embedding),
     itself among them."""
@@ -234,19 +252,19 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, store: DataFr
     # a start that is a neighbour, too, stands once
     mine = F.filter(F.coalesce("mine", no), lambda e: ~F.array_contains(F.transform("near", lambda x: x["v"]), e["v"]))
     state = materialize(own.select("q", "h", opened(F.concat("near", mine)).alias("beam")), "ann-beam")
-    ids_of = graph.select(F.col("t").alias("w"), F.transform("near", lambda e: e["v"]).alias("far"))
+    edges = state.count() * expand
+    packs = materialize(packs_of(graph, store.withColumn("bar", F.lit(0.0)), DEGREE), "ann-packs")
     while True:
         front = F.slice(F.filter("beam", lambda e: ~e["done"]), 1, expand)
-        step = state.withColumn("front", F.transform(front, lambda e: e["v"]))
-        hops = step.select("q", F.explode("front").alias("w")).join(ids_of, "w")
-        far = hops.groupBy("q").agg(F.array_distinct(F.flatten(F.collect_list("far"))).alias("far"))
-        asked = step.join(far, "q").select(
-            F.col("q").alias("u"), "h",
-            F.array_except(F.array_except("far", F.transform("beam", lambda e: e["v"])), F.array("q")).alias("cand"))
-        found = best(evaluate(asked, store, blocks, beam, both=False), beam).select(F.col("t").alias("q"), F.col("near").alias("new"))
+        step = (state.withColumn("front", F.transform(front, lambda e: e["v"]))
+                .withColumn("seen", F.transform("beam", lambda e: e["v"])))
+        lists = step.where(F.size("front") > 0).select(F.col("q").alias("u"), F.col("front").alias("via"))
+        own = state.select(F.col("q").alias("u"), "h", bar(F.col("beam"), beam).alias("bar"))
+        found = best(evaluate(lists, own, packs, edges, beam, both=False), beam).select(F.col("t").alias("q"), F.col("near").alias("new"))
         marked = F.transform("beam", lambda e: F.struct(
             e["d"].alias("d"), e["v"].alias("v"), (e["done"] | F.array_contains("front", e["v"])).alias("done")))
-        fresh = F.transform(F.coalesce("new", no), lambda e: F.struct(
+        unseen = F.filter(F.coalesce("new", no), lambda e: ~F.array_contains("seen", e["v"]))
+        fresh = F.transform(unseen, lambda e: F.struct(
             e["d"].alias("d"), e["v"].alias("v"), F.lit(False).alias("done")))
         state = materialize(step.join(found, "q", "left").select(
             "q", "h", F.slice(F.sort_array(F.concat(marked, fresh)), 1, beam).alias("beam")), "ann-beam")
@@ -289,13 +307,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", v
     for r in groups.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect():
         here = groups.where(F.size("embedding") == r["d"])             # one run for each vector length
         nodes = here.select("node", "embedding")
-        blocks = max(1, -(-r["n"] // BLOCK))
-        store = materialize(packed(nodes, blocks), "ann-store")
-        graph = descend(nodes, store, blocks)
+        store = materialize(packed(nodes), "ann-store")
+        graph = descend(nodes, store)
         asked = materialize(rows.where(is_query(F.col("id"))).join(nodes, "embedding")
                             .select(F.col("id").alias("query_id"), F.col("node").alias("q")), "ann-asked")
         queries = nodes.join(asked.select(F.col("q").alias("node")).distinct(), "node", "left_semi")
-        part = expanded(search(queries, nodes, graph, store, blocks, k + 1), here, asked, k)
+        part = expanded(search(queries, nodes, graph, store, k + 1), here, asked, k)
         out = part if out is None else out.unionByName(part)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
