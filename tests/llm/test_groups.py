@@ -405,3 +405,31 @@ def test_frequent_values_counted_in_place():
             ids, count = np.unique(v, return_counts=True)
             got = jaccard.often(v, least)
             assert got[0].tolist() == ids[count >= least].tolist() and got[1].tolist() == count[count >= least].tolist()
+
+
+def test_bounds_of_many_pairs(monkeypatch):
+    rng = np.random.default_rng(12)
+    counts = [rng.integers(0, top, w).astype(np.uint8) for w in (16, 64, 256, 1024, 2048) for top in (3, 60, 256)]
+    counts += [np.full(1024, 254, np.uint8)] * 2 + [np.full(16, 254, np.uint8)] * 2
+    sketch, size = [c.tobytes() for c in counts], np.array([int(c.sum()) for c in counts])
+    x, y = (v.ravel() for v in np.meshgrid(np.arange(len(counts)), np.arange(len(counts))))
+    for k in (1, 2, 8):                                          # sets of more shingles than the sketches count
+        want = [7 * jaccard.sketch_bound(sketch[a], sketch[b]) >= 3 * k * (size[a] + size[b]) for a, b in zip(x, y, strict=True)]
+        assert jaccard.bounded(x, y, k * size, sketch).tolist() == want
+    # sums of bytes are added as whole words, not one by one
+    wide, least = [], np.minimum
+    monkeypatch.setattr(jaccard.np, "minimum", lambda a, b: wide.append(a.dtype) or least(a, b))
+    same = [np.full(256, 2, np.uint8).tobytes()] * 4
+    assert jaccard.bounded(np.array([0, 1]), np.array([2, 3]), np.full(4, 512), same).all()
+    assert np.dtype(np.uint8) in wide and np.dtype(np.uint32) not in wide
+
+
+def test_hashes_that_share_their_upper_bits_are_ordered():
+    from vigil.llm.common import _order
+    rng = np.random.default_rng(2)
+    h = np.concatenate([np.arange(500)[::-1].astype(np.uint64) + np.uint64(7 << 60), rng.integers(0, 1 << 63, 500).astype(np.uint64)])
+    of = rng.integers(0, 1000, 1000) // 100
+    for v in (h, h[500:]):
+        mine = of[:len(v)]
+        got, want = _order(mine, v, 1000), np.lexsort((v, mine))
+        assert (v[got] == v[want]).all() and (mine[got] == mine[want]).all()

@@ -257,7 +257,16 @@ def words_of(texts: list, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.nd
         h[i:i + step] = mix((acc[e0] - acc[s0]) * inv[s0] + (e0 - s0).astype(np.uint64) * MULT[7])
     lens = np.fromiter((len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(lens + 1)])
-    return h, np.searchsorted(first, start, side="right") - 1, start, end, buf
+    return h, np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, first))), start, end, buf
+
+
+def _order(of: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """An order by ``of`` (below ``n``), then ``h``: by one number that holds the
+    upper bits of ``h``, by both where these don't tell."""
+    bits = int(n).bit_length()
+    order = np.argsort(of.astype(np.uint64) << _U(64 - bits) | h >> _U(bits))
+    a, b = h[order], of[order]
+    return np.lexsort((h, of)) if ((b[1:] == b[:-1]) & (a[1:] < a[:-1])).any() else order
 
 
 def shingle_sets(texts: list, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +288,7 @@ def shingle_sets(texts: list, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
         w = h[first[d]:first[d] + n[d]]
         v = np.sum(w * MULT[np.arange(len(w)) % 7] * (2 * (np.arange(len(w)) // 7) + 1).astype(np.uint64))
         sh, sd = np.append(sh, mix(np.array([v + _U(len(w))], np.uint64))), np.append(sd, d)
-    order = np.lexsort((sh, sd))
+    order = _order(sd, sh, len(texts))
     sh, sd = sh[order], sd[order]
     keep = np.concatenate([[True], (sh[1:] != sh[:-1]) | (sd[1:] != sd[:-1])])
     return sd[keep], sh[keep]

@@ -58,6 +58,7 @@ CARRIED = 8           # signatures of a node that a member carries
 HOT_PENALTY = 20.0    # cost of an index entry made of frequent shingles, in plain entries
 SCHEMA = "doc_id long, n long, k1 long, sketch binary, hot array<struct<h:long,c:long>>"
 SLICE = 1_000_000     # bytes of text whose shingles are held at once
+_BYTES = np.uint64(0x00FF00FF00FF00FF)
 SMALL = 1_000_000     # node ids (16 bytes each) that may be broadcast; more are shuffled
 
 
@@ -188,7 +189,7 @@ def _emit(doc, h, n, hot, zone, limit, zones):
     seed = mix(np.arange(len(zones.m), dtype=np.uint64) + MULT[2])
     m = zones.m[z].astype(np.uint64)
     seg = ((mix(h + seed[z]) >> np.uint64(32)) * m >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(doc.astype(np.uint64) << np.uint64(32) | seg.astype(np.uint64), kind="stable")
+    order = np.argsort(doc.astype(np.uint64) << np.uint64(32) | seg.astype(np.uint64))
     doc, h, seg, z = doc[order], h[order], seg[order], z[order]
     first = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(seg, prepend=-1))
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(doc))))
@@ -414,6 +415,14 @@ def apart(mix: DataFrame) -> DataFrame:
     return each.select(F.explode(F.array_distinct(pairs)).alias("p")).select("p.a", "p.b").distinct()
 
 
+def _numbered(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows (of ``n``) in x or y, and the places of x and of y among them."""
+    held = np.zeros(n, bool)
+    held[x] = held[y] = True
+    at = np.cumsum(held) - 1
+    return np.flatnonzero(held), at[x], at[y]
+
+
 def bounded(x: np.ndarray, y: np.ndarray, size: np.ndarray, sketch: list) -> np.ndarray:
     """Which pairs (x, y) of rows their sketches leave possible: ``possible`` for many pairs of few sets."""
     bins = np.array([len(v) for v in sketch])
@@ -423,12 +432,17 @@ def bounded(x: np.ndarray, y: np.ndarray, size: np.ndarray, sketch: list) -> np.
         step = max(1, (1 << 22) // int(w))
         for i in range(0, len(at), step):
             part = at[i:i + step]
-            used, inv = np.unique(np.concatenate([x[part], y[part]]), return_inverse=True)
+            used, j, k = _numbered(x[part], y[part], len(sketch))
             raw = [np.frombuffer(sketch[r], np.uint8) for r in used]
             full = np.array([v.max() == 255 for v in raw])                    # counts that may be any number
-            m = np.stack([v.reshape(-1, w).sum(0, dtype=np.uint32) for v in raw])
-            j, k = inv[:len(part)], inv[len(part):]
-            both = np.minimum(m[j], m[k]).sum(1, dtype=np.int64)
+            m = np.stack([v if len(v) == w else v.reshape(-1, w).sum(0, dtype=np.uint32) for v in raw])
+            if m.max() < 256:
+                m = m.astype(np.uint8)
+            least = np.minimum(m[j], m[k])
+            if m.dtype == np.uint8 and w <= 1024:            # four sums of 16 bits side by side in a word
+                least = least.view(np.uint64)
+                least = ((least & _BYTES) + (least >> np.uint64(8) & _BYTES)).sum(1).view(np.uint16).reshape(-1, 4)
+            both = least.sum(1, dtype=np.int64)
             ok[part] = full[j] | full[k] | (7 * both >= 3 * (size[x[part]] + size[y[part]]))
     return ok
 
@@ -484,13 +498,13 @@ def met(mix: DataFrame, nodes: DataFrame, few: bool) -> DataFrame:
             x, y, a = x[ok], y[ok], b
             if not len(x):
                 continue
-            used, inv = np.unique(np.concatenate([x, y]), return_inverse=True)
-            ok = bounded(inv[:len(x)], inv[len(x):], size[used], t.column(8).take(pa.array(used)).to_pylist())
-            x, y, inv = x[ok], y[ok], np.concatenate([inv[:len(x)][ok], inv[len(x):][ok]])
+            used, p, q = _numbered(x, y, t.num_rows)
+            ok = bounded(p, q, size[used], t.column(8).take(pa.array(used)).to_pylist())
+            x, y, p, q = x[ok], y[ok], p[ok], q[ok]
             if not few:                                          # drawn members differ by signature
                 sigs = [frozenset(v) for v in t.column(9).take(pa.array(used)).to_pylist()]
-                new = np.array([min(sigs[p] & sigs[q], default=s) >= s for p, q, s in
-                                zip(inv[:len(x)].tolist(), inv[len(x):].tolist(), sig[x].tolist(), strict=True)], bool)
+                new = np.array([min(sigs[i] & sigs[j], default=s) >= s for i, j, s in
+                                zip(p.tolist(), q.tolist(), sig[x].tolist(), strict=True)], bool)
                 x, y = x[new], y[new]
             x, y = node[x], node[y]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
